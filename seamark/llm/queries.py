@@ -10,6 +10,7 @@ from seamark.llm.conversations import rebuild_conversations
 from seamark.llm.pairs import code_pairs, documented_units
 from seamark.llm.splitting import split_oversized
 from seamark.llm.stuffing import stuffed_pages
+from seamark.llm.validity import acceptance, check_sources
 from seamark.session import table
 
 
@@ -21,6 +22,18 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return code_pairs(table(spark, d, "partition_source"), table(spark, d, "partition_unit"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_files(spark, d).filter("NOT valid").select("source_id")
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return check_sources(table(spark, d, "partition_source"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return acceptance(p2_files(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(table(spark, d, "session_entry"), with_text=False).select("session_id", "turn_no", "entry_id")
 
@@ -46,7 +59,7 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_conversations, p6_found, p6_pieces, p9_found, p9_pages)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p9_found, p9_pages)}
 
 
 ORACLE = {
