@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seamark.llm.conversations import rebuild_conversations
+from seamark.llm.mixing import draw_mixture, mixture_report
+from seamark.llm.packing import pack, packing_report
 from seamark.llm.pairs import code_pairs, documented_units
 from seamark.llm.splitting import split_oversized
 from seamark.llm.stuffing import stuffed_pages
@@ -50,6 +52,22 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "partition_source"), table(spark, d, "partition_unit"), table(spark, d, "split_limit"))
 
 
+def p7_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_target"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p7_assignments(spark, d), table(spark, d, "pack_target"))
+
+
+def p8_draws(spark: SparkSession, d: str) -> DataFrame:
+    return draw_mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_report(p8_draws(spark, d), table(spark, d, "mix_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pages(spark, d).select("doc_id")
 
@@ -59,7 +77,7 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p9_found, p9_pages)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p7_assignments, p7_report, p8_draws, p8_shares, p9_found, p9_pages)}
 
 
 ORACLE = {
