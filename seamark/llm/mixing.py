@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.tokens import VOCABULARY, encode
+from seamark.functions.tokens import VOCABULARY, encode
 from seamark.session import cut
 
 #: Buckets of hashed token ids that the classifier counts.

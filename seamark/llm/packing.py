@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from seamark.llm.tokens import VOCABULARY, encode
+from seamark.functions.tokens import VOCABULARY, encode
 from seamark.session import cut
 
 #: Groups of large sizes, and the share of the capacity from which a size is large.
