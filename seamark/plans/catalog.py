@@ -6,20 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamark.plans import evolving
+from seamark.plans import evolving, relations, retrieval, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (storage, retrieval, relations)
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for m in (evolving,):
-        out |= m.QUERIES
-    return out
+    for m in MODULES:
+        out |= m.plans.queries
+    return out | evolving.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in (evolving,):
-        out |= m.ORACLE
-    return out
+    for m in MODULES:
+        out |= m.plans.sql
+    return out | evolving.ORACLE
