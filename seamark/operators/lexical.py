@@ -58,12 +58,11 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return hit.select(key, score.alias("score"))
 
 
-def concept_score(text: Column, concepts: list[str], preferred: Column | None = None) -> Column:
-    """1 for each distinct concept, a share of 0.5 for each neighbouring pair in order within the slop, a boost for the preferred language.
+def concept_score(w: Column, concepts: list[str], preferred: Column | None = None) -> Column:
+    """Of an array of words: 1 for each distinct concept, a share of 0.5 for each neighbouring pair in order within the slop, a boost for the preferred language.
 
     All within the row: no positions are exploded and nothing is shuffled.
     """
-    w = words(text)
     have = F.size(F.array_intersect(F.array_distinct(w), F.array(*[F.lit(c) for c in concepts]))).cast("double")
     bonus = F.lit(0.0)
     for a, b in zip(concepts, concepts[1:]):
@@ -77,8 +76,9 @@ def concept_score(text: Column, concepts: list[str], preferred: Column | None =
 def prose_hits(docs: DataFrame, text: str, concepts: list[str], preferred: Column | None = None, top: int = TIER2_WINDOW, tie: str = "key_hash") -> DataFrame:
     """The best documents for a prose query by (score descending, key hash)."""
     any_word = F.col(text).rlike("(?i)" + "|".join(concepts))  # cheap test before words are cut
-    d = docs.filter(any_word).withColumn("score", concept_score(F.col(text), concepts, preferred)).filter("score > 0")
-    return d.orderBy(F.desc("score"), tie).limit(top)
+    d = docs.filter(any_word).withColumn("_w", words(F.col(text)))
+    d = d.withColumn("score", concept_score(F.col("_w"), concepts, preferred)).drop("_w", text)
+    return d.filter("score > 0").orderBy(F.desc("score"), tie).limit(top)
 
 
 def phrase(docs: DataFrame, text: str, first: str, second: str, slop: int = SLOP) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamark.plans import evolving, relations, retrieval, storage
+from seamark.plans import accounts, evolving, relations, retrieval, storage, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (storage, retrieval, relations)
+MODULES = (storage, retrieval, relations, accounts, texts)
 
 
 def queries() -> dict[str, Query]:
