@@ -51,7 +51,7 @@ def prepare(entries: DataFrame) -> DataFrame:
         "session_id", "entry_id", "parent_entry_id",
         F.when(is_message, symbol).otherwise(-1).cast("byte").alias("symbol"),
         F.when(is_message, r).alias("role"),
-        F.unix_micros("ts").alias("us"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.xxhash64(F.struct("parent_entry_id", "entry_type", F.coalesce(r, F.lower(F.trim("msg_role"))).alias("r"), "content_text")).alias("digest"),
     )
 
