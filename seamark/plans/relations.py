@@ -95,9 +95,9 @@ def coverage(t):
     return G.coverage(g).select("symbol", "coverage")
 
 
-@plans.query("T08_prefix", "SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'Part#1') ORDER BY 1 LIMIT 9")
+@plans.query("T08_prefix", "SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'blue') ORDER BY 1 LIMIT 9")
 def prefix(t):
-    return G.by_prefix(t.part, "p_name", "Part#1")
+    return G.by_prefix(t.part, "p_name", "blue")
 
 
 @plans.query("A15_doors_by_file", r"""

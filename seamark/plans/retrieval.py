@@ -97,13 +97,13 @@ def boolean(t):
 
 
 #: Definitions: a file defines the name that its stem begins with.
-_STEM = r"regexp_extract(path, '([a-z_]+)_[a-z0-9]{6}\.[^./]*$', 1)"
+_STEM = r"regexp_extract(path, '([a-z]+)_[a-z_]+_[a-z0-9]{6}\.[^./]*$', 1)"
 _DEFS = f"defs AS (SELECT source_id, repo, path, {_STEM} AS name, {_H.format('repo || chr(0) || path')} AS key_hash, list_distinct(string_split_regex(lower(regexp_replace(path, '\\.[^./]*$', '')), '[^a-z0-9_$]+')) AS address, CASE WHEN starts_with(path, 'tests/') THEN 1 ELSE 0 END AS role_rank FROM {NEWEST} WHERE {_STEM} <> '')"
-ANCHORS, QUALIFIERS = ["merge_batch", "publish_batch", "Merge_Tier", "rank_vector"], ["src", "graph", "engine"]
+ANCHORS, QUALIFIERS = ["merge", "Publish", "rank", "cut"], ["src", "graph", "engine"]
 
 
 def definitions(t):
-    d = newest(t).withColumn("name", F.regexp_extract("path", r"([a-z_]+)_[a-z0-9]{6}\.[^./]*$", 1)).filter("name <> ''")
+    d = newest(t).withColumn("name", F.regexp_extract("path", r"([a-z]+)_[a-z_]+_[a-z0-9]{6}\.[^./]*$", 1)).filter("name <> ''")
     return d.select("source_id", "repo", "path", "name", F.lit(0).alias("start"), L.hash64(F.concat("repo", F.lit("\0"), "path")).alias("key_hash"), X.path_segments(F.col("path")).alias("address"), F.when(F.col("path").startswith("tests/"), "test").otherwise("source").alias("role"))
 
 

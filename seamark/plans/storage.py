@@ -73,7 +73,7 @@ def sweep(t):
 
 
 @plans.query("S20_status", f"""
-SELECT s.repo, count(*) AS sources, sum(length(s.body)) AS characters, count(*) FILTER (WHERE r.path IS NULL) AS lagging,
+SELECT s.repo, count(*) AS sources, sum(length(s.body))::BIGINT AS characters, count(*) FILTER (WHERE r.path IS NULL) AS lagging,
   CASE WHEN count(*) FILTER (WHERE r.path IS NULL) = 0 THEN 'ready' ELSE 'lagging' END AS index_state
 FROM {NEWEST} s LEFT JOIN (SELECT DISTINCT repo, path, lower(source_hash) AS h FROM partition_record) r ON r.repo = s.repo AND r.path = s.path AND r.h = s.source_hash
 GROUP BY s.repo""")

@@ -71,7 +71,7 @@ def pack(t):
 
 @plans.query("C14_multiroot")
 def multiroot(t):
-    roots = {r: definitions(t).filter(F.col("repo") == r) for r in ("foundry-core", "packet-kit", "segment-kit")}
+    roots = {r: definitions(t).filter(F.col("repo") == r) for r in ("foundry-core", "window-app", "packet-kit")}
     res = None
     for name, d in roots.items():
         r = L.resolve(d, ANCHORS, QUALIFIERS).withColumn("root", F.lit(name))
