@@ -983,19 +983,14 @@ class Rust(Parser):
             return
 
     def items(self, end: str) -> None:
-        self.attributes(True)
+        while self.t[self.i] == "#" and self.t[self.i + 1] == "!" and self.peek(2) == "[":
+            self.i += 2
+            self.tree()
         while self.t[self.i] not in (end, "EOF"):
             start, depth = self.i, self.depth
             try:
-                self.attributes(True)
-                if self.t[self.i] == end and end != "EOF":
-                    self.fail("an item after its attributes")
-                if self.t[self.i] == "EOF":
-                    if self.t[start] == "#" and self.v[start + 1] != "!":
-                        self.fail("an item after its attributes")
-                    return
-                if self.got(";"):
-                    self.i -= 1
+                self.attributes()
+                if self.t[self.i] in (end, "EOF", ";"):
                     self.fail("an item")
                 self.item()
             except Panic:

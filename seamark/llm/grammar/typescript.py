@@ -118,6 +118,7 @@ class TypeScript(Parser):
         self.nl = lines
         self.no_in = False
         self.no_conditional = False
+        self.plain = False
 
     def fail(self, what: str):
         i = min(self.i, len(self.t) - 1)
@@ -137,12 +138,12 @@ class TypeScript(Parser):
 
     def attempt(self, f) -> bool:
         """Run ``f``; on an error go back as if it hadn't been tried."""
-        i, depth, errors, a, b = self.i, self.depth, len(self.errors), self.no_in, self.no_conditional
+        i, depth, errors, a, b, c = self.i, self.depth, len(self.errors), self.no_in, self.no_conditional, self.plain
         try:
             f()
             return True
         except Panic:
-            self.i, self.depth, self.no_in, self.no_conditional = i, depth, a, b
+            self.i, self.depth, self.no_in, self.no_conditional, self.plain = i, depth, a, b, c
             del self.errors[errors:]
             return False
 
@@ -480,7 +481,7 @@ class TypeScript(Parser):
         elif x == "(":
             j = self.mate(self.i)
             after = t[j + 1] if j + 1 < len(t) else "EOF"
-            if after in ("=>", ":") and self.attempt(self.arrow_head):
+            if (after == "=>" or (after == ":" and not self.plain)) and self.attempt(self.arrow_head):
                 self.arrow_tail()
                 self.depth -= 1
                 return
@@ -493,7 +494,12 @@ class TypeScript(Parser):
         y = t[self.i]
         if y == "?":
             self.i += 1
-            self.inside(self.assignment)
+            save, self.plain = self.plain, False
+            if not self.attempt(self.first_choice):
+                # brackets and a colon there are no arrow function with a type
+                self.plain = True
+                self.inside(self.assignment)
+            self.plain = save
             self.eat(":")
             self.assignment()
         elif y in ASSIGN:
@@ -503,6 +509,11 @@ class TypeScript(Parser):
             self.assignment()
         self.depth -= 1
 
+    def first_choice(self) -> None:
+        self.inside(self.assignment)
+        if self.t[self.i] != ":":
+            self.fail(":")
+
     def async_head(self) -> None:
         self.i += 1
         self.arrow_head()

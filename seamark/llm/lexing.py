@@ -41,7 +41,6 @@ def _compile() -> dict:
     return {
         "rust": re.compile(rust, re.S), "go": re.compile(go, re.S), "ts": re.compile(ts, re.S), "head": re.compile(head, re.S), "py": re.compile(py),
         "py_end": {q: re.compile(rf"(?:[^\\{q[0]}]+|\\.|{q[0]}(?!{q[0]}{q[0]}))*+{q}" if len(q) == 3 else rf"(?:[^\\{q}\n]+|\\(?:\r\n|.))*+{q}", re.S) for q in ('"""', "'''", '"', "'")},
-        "py_raw_end": None,
         "nest": re.compile(r"/\*|\*/"), "tpl": re.compile(r"[`\\]|\$\{"), "tplx": re.compile(r"`|\{|\}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"),
         "regex": re.compile(r"/(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"), "ws": re.compile(r"[ \t\r\n\f\v]*"),
         "brackets": re.compile(r"[\[\]]|\"(?:[^\"\\]|\\.)*\"|r\"[^\"]*\""), "def": re.compile(rf"(?:async\s+)?def\s+(?P<name>{NAME})"),
@@ -129,7 +128,7 @@ def _find_body(src: str, at: int, r: dict, lang: str) -> tuple[int, str]:
                 before = src[max(0, m.start() - 12) : m.start()].rstrip()
                 if lang == "go" and (before.endswith("interface") or before.endswith("struct")):
                     depth += 1
-                elif lang == "ts" and before[-1:] in (":", "|", "&"):
+                elif lang == "ts" and before[-1:] in (":", "|", "&", "<", ","):
                     depth += 1
                 else:
                     return m.start(), "{"
@@ -161,7 +160,7 @@ def _arrow_body(src: str, at: int, r: dict) -> tuple[int, str]:
                 return m.start(), ";" if arrow else ""
         elif k == "b":
             if arrow:
-                return m.start(), "{" if not src[arrow : m.start()].strip() else ("(" if False else _expression_end(src, m.start(), r))
+                return m.start(), "{" if not src[arrow : m.start()].strip() else ";"
             depth += 1
         elif k == "a" and depth == 0:
             arrow = at
@@ -169,17 +168,12 @@ def _arrow_body(src: str, at: int, r: dict) -> tuple[int, str]:
             return m.start(), ";" if arrow else ""
 
 
-def _expression_end(src: str, at: int, r: dict) -> str:
-    return ";"
-
-
 def lex_braces(src: str, lang: str) -> list[tuple]:
     r = resource("lexing.rules", _compile)
     rx, out = r[lang], _Out(src, r["ws"])
     at, n = 0, len(src)
     depth = 0
     classes: list[int] = []
-    want_open = -1  # place of the block that a head waits for
     search = rx.search
     while True:
         m = search(src, at)
@@ -188,7 +182,7 @@ def lex_braces(src: str, lang: str) -> list[tuple]:
         k, s, at = m.lastgroup, m.start(), m.end()
         if k == "lc":
             text = m.group()
-            doc = (lang == "rust" and text.startswith("///") and not text.startswith("////")) or (lang == "go" and True)
+            doc = lang == "go" or (lang == "rust" and text.startswith("///") and not text.startswith("////"))
             out.add(DOC if doc else LEAD, s, at, text if doc else None)
         elif k == "bc":
             at = _block_end(src, at, r, lang == "rust")
@@ -224,7 +218,7 @@ def lex_braces(src: str, lang: str) -> list[tuple]:
             body, how = _find_body(src, at, r, lang)
             if how == "{":
                 out.add(HEAD, s, at, m.group("name"))
-                want_open = at = body
+                at = body
             elif how == ";":
                 out.add(HEAD, s, at, m.group("name"))
                 out.add(END, body, body + 1)
@@ -234,8 +228,7 @@ def lex_braces(src: str, lang: str) -> list[tuple]:
             if how:
                 out.add(HEAD, s + len(m.group("aw")), at, m.group("aname"))
                 if how == "{":
-                    want_open = at = body
-                    out.rows[-1] = out.rows[-1][:5] + (m.group("aname"),)
+                    at = body
                     classes.append(-depth - 2)  # an arrow's block may end in a semicolon that belongs to it
                 else:
                     e = src.find(";", at) if body >= n else body
@@ -253,13 +246,11 @@ def lex_braces(src: str, lang: str) -> list[tuple]:
                 if how:
                     out.add(HEAD, s + len(m.group("mw")), at, name)
                     if how == "{":
-                        want_open = at = body
+                        at = body
                     else:
                         out.add(END, body, body + 1)
                         at = body + 1
                     continue
-            at = m.end() - 1 if m.end() - 1 > s else m.end()
-            at = m.end()
         elif k == "b":
             if src[s] == "{":
                 depth += 1
@@ -316,8 +307,6 @@ def lex_python(src: str) -> list[tuple]:
                 last_end = comments.pop(0)[2]
             stack.pop()
             out.add(CLOSE, last_end, last_end)
-            if len(stack) > 1 and ind < stack[-1]:
-                continue
         opened = False
         if pending is not None:
             if ind > pending:

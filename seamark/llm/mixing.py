@@ -1,6 +1,6 @@
 """Mixing sources to target weights (problem 8), with soft membership.
 
-1. One pass over the texts counts tokens and, of the labelled rows, sums hashed token counts per source: the table of a classifier.
+1. One pass over the texts counts tokens; a bounded sample of the labelled rows fits a classifier of the sources.
 2. Rows without a source get its posterior over the sources; labelled rows belong to theirs.
 3. Projected gradient descent on the squared distance of the expected tokens of each source from its target finds a nonnegative rate for
    every text, capped by the repeats its source allows. Every step is one distributed sum of a few numbers; rates are recomputed from the
@@ -23,75 +23,80 @@ from seamark.session import cut
 
 #: Buckets of hashed token ids that the classifier counts.
 BUCKETS = 1024
-#: A text of more tokens is no surer of its source than one of so many.
-CERTAIN = 60
+#: The classifier is fitted on about so many labelled rows, chosen by a hash of their id; the only sample taken here.
+SAMPLE = 4000
+EPOCHS, RATE, DECAY = 120, 0.01, 1e-3
 STEPS = 25
 FACTORS = 65
 
 
-def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows of documents (``doc_id`` set; ``counts`` only where the source is unknown) and of class sums (``doc_id`` null).
+def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, key, cls, tokens, counts`` of every text: ``key`` its digest, ``cls`` its class (-1: unknown).
 
-    A class is a listed source, or the last one for all others.
+    A class is a listed source, or the last one for all others. ``counts`` are hashed token counts, kept for the rows without a source
+    and for the sample of the classifier only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {s: i for i, s in enumerate(sources)}
-        sums = np.zeros((len(sources) + 1, BUCKETS), np.float64)
-        rows = np.zeros(len(sources) + 1, np.int64)
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float32()))
-        names = ["doc_id", "key", "cls", "tokens", "counts"]
         for b in batches:
-            ids, keys, src, texts = (c.to_pylist() for c in b.columns)
+            ids, keys, src, keep, texts = (c.to_pylist() for c in b.columns)
             cls, tokens, counts = [], [], []
-            for s, t in zip(src, texts):
+            for s, k, t in zip(src, keep, texts):
                 ids_of = np.array(encode(t, vocabulary), np.int64)
                 tokens.append(len(ids_of))
-                c = np.bincount((ids_of * 2654435761 >> 7) % BUCKETS, minlength=BUCKETS)
-                if s is None:
-                    cls.append(-1)
-                    counts.append(c.astype(np.float32).tolist())
-                else:
-                    k = index.get(s, len(sources))
-                    cls.append(k)
-                    counts.append(None)
-                    sums[k] += c
-                    rows[k] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, keys, cls, tokens, counts), kinds)], names=names)
-        some = [k for k in range(len(rows)) if rows[k]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([None] * len(some), [None] * len(some), some, [int(rows[k]) for k in some], [sums[k].tolist() for k in some]), kinds)], names=names)
+                cls.append(-1 if s is None else index.get(s, len(sources)))
+                counts.append(np.bincount((ids_of * 2654435761 >> 7) % BUCKETS, minlength=BUCKETS).astype(np.float32).tolist() if k or s is None else None)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, keys, cls, tokens, counts), kinds)], names=["doc_id", "key", "cls", "tokens", "counts"])
 
     src = F.when(F.trim("source") != "", F.trim("source"))
-    d = documents.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", F.md5("text").alias("key"), src.alias("source"), "text")
+    d = documents.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
+    labelled = max(1, d.filter(src.isNotNull()).count())
+    keep = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / labelled) * (1 << 40)))
+    d = d.select("doc_id", F.md5("text").alias("key"), src.alias("source"), keep.alias("keep"), "text")
     return d.mapInArrow(run, "doc_id long, key string, cls int, tokens long, counts array<float>")
 
 
 class Classifier:
-    """Multinomial Bayes over hashed token counts, fitted on all labelled rows from their sums alone."""
-
-    def __init__(self, sums: np.ndarray, rows: np.ndarray):
-        theta = sums + 0.5
-        self.logs = np.log(theta / theta.sum(1, keepdims=True))
-        self.prior = np.log((rows + 0.5) / (rows + 0.5).sum())
-        self.known = rows > 0
+    """Softmax regression over hashed token counts, their shares and the length, fitted on the driver on the bounded sample."""
+
+    def __init__(self, counts: np.ndarray, cls: np.ndarray, classes: int):
+        x = self._raw(counts)
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        x = (x - self.mean) / self.scale
+        y = np.eye(classes, dtype=np.float32)[cls]
+        self.known = y.any(0)
+        self.w, self.b = np.zeros((x.shape[1], classes), np.float32), np.log(y.mean(0) + 1e-6)
+        m, v = np.zeros_like(self.w), np.zeros_like(self.w)
+        for k in range(1, EPOCHS + 1):
+            g = (self._softmax(x) - y) / len(x)
+            self.b = self.b - 0.1 * g.sum(0)
+            g = x.T @ g + DECAY * self.w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            self.w -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+
+    @staticmethod
+    def _raw(counts: np.ndarray) -> np.ndarray:
+        n = counts.sum(1, keepdims=True)
+        return np.hstack([np.log1p(counts), 10 * counts / np.maximum(1, n), np.log1p(n)]).astype(np.float32)
+
+    def _softmax(self, x: np.ndarray) -> np.ndarray:
+        z = x @ self.w + self.b
+        z = np.where(self.known, z, -np.inf)
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, counts: np.ndarray) -> np.ndarray:
-        n = np.maximum(1, counts.sum(1, keepdims=True))
-        logit = counts @ self.logs.T * (np.minimum(n, CERTAIN) / n) + self.prior
-        logit[:, ~self.known] = -np.inf
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return self._softmax((self._raw(counts) - self.mean) / self.scale)
 
 
-def fit_classifier(measured: DataFrame, n: int) -> Classifier:
-    """The sums are as large as the table of the classifier: sources by buckets, whatever the corpus."""
-    sums, rows = np.zeros((n, BUCKETS)), np.zeros(n)
-    parts = measured.filter("doc_id IS NULL").select("cls", "tokens", F.posexplode("counts").alias("b", "c")).groupBy("cls", "b").agg(F.sum("c").alias("c"))
-    for r in parts.collect():
-        sums[r["cls"], r["b"]] = r["c"]
-    for r in measured.filter("doc_id IS NULL").groupBy("cls").agg(F.sum("tokens").alias("n")).collect():
-        rows[r["cls"]] = r["n"]
-    return Classifier(sums, rows)
+def fit_classifier(measured: DataFrame, classes: int) -> Classifier | None:
+    """The classifier of the sampled rows; None without a labelled row. What comes to the driver is bounded by the sample."""
+    rows = measured.filter("cls >= 0 AND counts IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * SAMPLE).select("cls", "counts").toPandas()
+    if rows.empty:
+        return None
+    return Classifier(np.array(rows["counts"].tolist(), np.float32), rows["cls"].to_numpy(), classes)
 
 
 def _rates(p: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -128,7 +133,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
             soft = [i for i, c in enumerate(cls) if c < 0]
             hard = [i for i, c in enumerate(cls) if c >= 0]
             p[hard, [cls[i] for i in hard]] = 1.0
-            if soft:
+            if soft and model is not None:
                 p[soft] = np.round(model.posterior(np.array([counts[i] for i in soft])), 6)
             best = p.argmax(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(tokens, pa.int64()), pa.array(p[:, :n].tolist(), pa.list_(pa.float64())), pa.array(repeats[best], pa.int32())], names=["doc_id", "cls", "tokens", "p", "cap"])

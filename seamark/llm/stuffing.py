@@ -122,6 +122,9 @@ def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]]]:
     for k in (0, 1):
         if sizes[k]:
             blocks.append((k == 1, sizes[k], _share("\n".join(streams[k]), r)))
+    if not any(c.isalpha() for c in text):
+        # without a letter there is neither a sentence nor a keyword
+        blocks = [(True, c, 0.0) for _, c, _ in blocks]
     if legit:
         blocks.append((True, legit, 0.0))
     for w, times in Counter(heard).items():
