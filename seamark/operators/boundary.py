@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Converters of route templates and what a segment of each may be.
-CONVERTERS = {"int": r"[0-9]+", "str": r"[^/]+", "string": r"[^/]+", "path": r".+", "float": r"[0-9]+\\.[0-9]+", "uuid": r"[0-9a-fA-F-]{36}"}
+CONVERTERS = {"int": r"[0-9]+", "str": r"[^/]+", "string": r"[^/]+", "path": r".+", "float": r"[0-9]+\.[0-9]+", "uuid": r"[0-9a-fA-F-]{36}"}
 MOST_FILES, MOST_FACTS, MOST_RESULTS = 64, 128, 64
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 
@@ -26,12 +26,22 @@ def normalize_template(c: Column) -> Column:
     return F.when(~odd.rlike(r"[<>{}]") & ~braces.rlike(r":path\}.+"), braces)
 
 
-def template_pattern(c: Column) -> Column:
-    """The regular expression of a normalized template."""
-    out = F.regexp_replace(c, r"([.+*?^$()\[\]|\\])", r"\\$1")
+def segment_fits(template: Column, segment: Column) -> Column:
+    """Whether one segment of a path is what a segment of a template asks for; the patterns are constants."""
+    out = F.when(~template.startswith("{"), template == segment)
     for name, rx in CONVERTERS.items():
-        out = F.regexp_replace(out, rf"\{{[A-Za-z_]\w*:{name}\}}", rx)
-    return F.concat(F.lit("^"), out, F.lit("$"))
+        out = out.when(template.endswith(f":{name}}}"), segment.rlike(f"^{rx}$"))
+    return F.coalesce(out, F.lit(False))
+
+
+def fits(template: Column, path: Column) -> Column:
+    """Whether a path matches a normalized template segment by segment; a path converter takes one segment or more."""
+    ts, ps = F.split(template, "/"), F.split(path, "/")
+    open_ = template.contains(":path}")
+    head = F.when(open_, F.size(ts) - 1).otherwise(F.size(ts))
+    long_enough = F.when(open_, (F.size(ps) >= F.size(ts)) & ~path.endswith("/")).otherwise(F.size(ps) == F.size(ts))
+    pairs = F.zip_with(F.slice(ts, F.lit(1), head), F.slice(ps, F.lit(1), head), segment_fits)
+    return long_enough & F.forall(pairs, lambda x: x)
 
 
 def provider_currency(providers: DataFrame, inputs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -45,23 +55,23 @@ def resolve_routes(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     """``consumer, state, matches, route``: exact_key, route_template, ambiguous, unresolved, incomplete or unsupported.
 
     Literal routes meet by equality on (service, method, path). Templates meet on (service, method, number of segments, first segment
-    where it is literal), so that the patterns are tried on few candidates; path converters are tried on (service, method).
+    where it is literal), so that they are tried on few candidates; path converters are tried on (service, method).
     """
     c = consumers.withColumn("_segments", F.size(F.split("path", "/"))).withColumn("_first", F.get(F.split("path", "/"), F.lit(1)))
     p = providers.withColumn("template", normalize_template(F.col("route"))).filter("template IS NOT NULL")
     p = p.withColumn("_is", F.col("template").contains("{")).withColumn("_open", F.col("template").contains(":path}"))
-    p = p.withColumn("_segments", F.size(F.split("template", "/"))).withColumn("_pattern", template_pattern(F.col("template"))).withColumn("_first", F.get(F.split("template", "/"), F.lit(1)))
+    p = p.withColumn("_segments", F.size(F.split("template", "/"))).withColumn("_first", F.get(F.split("template", "/"), F.lit(1)))
     keys = ["service", "method"]
     cols = ["consumer", "route", "_is"]
     exact = c.join(p.filter("NOT _is").select(*keys, F.col("template").alias("path"), "route", "_is"), [*keys, "path"]).select(*cols)
     fixed = p.filter("_is AND NOT _open")
-    lead = fixed.filter(~F.col("_first").contains("{")).select(*keys, "_segments", "_first", "_pattern", "route", "_is")
-    free = fixed.filter(F.col("_first").contains("{")).select(*keys, "_segments", "_pattern", "route", "_is")
-    rest = p.filter("_open").select(*keys, "_pattern", "route", "_is")
+    lead = fixed.filter(~F.col("_first").contains("{")).select(*keys, "_segments", "_first", "template", "route", "_is")
+    free = fixed.filter(F.col("_first").contains("{")).select(*keys, "_segments", "template", "route", "_is")
+    rest = p.filter("_open").select(*keys, "template", "route", "_is")
     tried = [c.join(lead, [*keys, "_segments", "_first"]), c.join(free, [*keys, "_segments"]), c.join(rest, keys)]
     hits = exact
     for x in tried:
-        hits = hits.unionByName(x.filter(F.expr("path rlike _pattern")).select(*cols))
+        hits = hits.unionByName(x.filter(fits(F.col("template"), F.col("path"))).select(*cols))
     g = hits.groupBy("consumer").agg(F.count("*").alias("matches"), F.min("route").alias("route"), F.bool_or("_is").alias("_template"))
     broken = providers.filter(~F.col("complete")).select(*keys).distinct().withColumn("_broken", F.lit(True))
     j = consumers.join(g, "consumer", "left").join(broken, keys, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from seamark.functions.identity import json_string
+from seamark.session import cut
 
 MOST_DEPTH, MOST_EDGES, MOST_FILES = 4, 256, 64
 KINDS = ("calls", "references", "imports", "contains", "depends_on", "covers")
@@ -55,10 +56,12 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, most_edges: int
     visited = frontier
     levels = []
     for hop in range(1, depth + 1):
-        step = edges.join(frontier.withColumnRenamed("node", a), a).withColumn("hop", F.lit(hop))
+        # repeated edges fall after the join, where few are left; each level is cut so that plans don't nest
+        step = cut(edges.join(frontier.withColumnRenamed("node", a), a).select(*edges.columns).distinct().withColumn("hop", F.lit(hop)))
         levels.append(step)
-        frontier = step.filter("fresh").select(F.col(b).alias("node")).distinct().join(visited, "node", "left_anti")
-        visited = visited.union(frontier)
+        if hop < depth:
+            frontier = cut(step.filter("fresh").select(F.col(b).alias("node")).distinct().join(visited, "node", "left_anti"))
+            visited = visited.union(frontier)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

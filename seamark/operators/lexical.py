@@ -34,20 +34,33 @@ def collection(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count("*").alias("docs"), F.avg(F.size(words(F.col(text)))).alias("mean_length"))
 
 
-def _equals(term: str):
-    return lambda x: x == term
+def normal(c: Column) -> Column:
+    """The words of the analyzer as one text, each between blanks: terms and phrases become plain searches in it."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def followed(w: Column, first: str, second: str, slop: int = SLOP) -> Column:
-    """Whether ``second`` follows ``first`` in an array of words with at most ``slop`` words between."""
-    return F.exists(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (p["x"] == first) & F.array_contains(F.slice(w, p["i"] + 2, slop + 1), second))
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it: the optimizer would repeat it at every use."""
+    return F.transform(F.array(value), f)[0]
+
+
+def has_term(norm: Column, term: str) -> Column:
+    return F.contains(norm, F.lit(f" {term} "))
+
+
+def followed(norm: Column, first: str, second: str, slop: int = SLOP) -> Column:
+    """Whether ``second`` follows ``first`` with at most ``slop`` words between."""
+    return norm.rlike(f" {first} (?:[a-z0-9]+ ){{0,{slop}}}{second} ")
+
+
+def word_count(norm: Column) -> Column:
+    return F.when(norm == "  ", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "))) - 1)
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """``key, score`` of every document with a term. Frequencies are counted within the row; only document counts are aggregated."""
-    w = F.col("_w")
-    d = docs.select(key, words(F.col(text)).alias("_w"))
-    d = d.select(key, F.size("_w").alias("_n"), *[F.size(F.filter(w, _equals(t))).alias(f"_f{k}") for k, t in enumerate(terms)])
+    row = lambda w: F.struct(word_count(w).alias("_n"), *[F.regexp_count(w, F.lit(f"(?<= ){t}(?= )")).alias(f"_f{k}") for k, t in enumerate(terms)])
+    d = docs.select(key, once(normal(F.col(text)), row).alias("_r")).select(key, "_r.*")
     s = d.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
     hit = d.filter(sum((F.col(f"_f{k}") for k in range(1, len(terms))), F.col("_f0")) > 0).join(F.broadcast(s), how="cross")  # one row of statistics
     score = F.lit(0.0)
@@ -58,46 +71,58 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return hit.select(key, score.alias("score"))
 
 
-def concept_score(w: Column, concepts: list[str], preferred: Column | None = None) -> Column:
-    """Of an array of words: 1 for each distinct concept, a share of 0.5 for each neighbouring pair in order within the slop, a boost for the preferred language.
+def concept_score(norm: Column, concepts: list[str], preferred: Column | None = None) -> Column:
+    """Of a normal text: 1 for each distinct concept, a share of 0.5 for each neighbouring pair in order within the slop, a boost for the
+    preferred language.
 
     All within the row: no positions are exploded and nothing is shuffled.
     """
-    have = F.size(F.array_intersect(F.array_distinct(w), F.array(*[F.lit(c) for c in concepts]))).cast("double")
+    have = F.lit(0.0)
+    for c in concepts:
+        have = have + F.when(has_term(norm, c), 1.0).otherwise(0.0)
     bonus = F.lit(0.0)
     for a, b in zip(concepts, concepts[1:]):
-        bonus = bonus + F.when(followed(w, a, b), PAIR_BONUS / max(1, len(concepts))).otherwise(0.0)
+        bonus = bonus + F.when(has_term(norm, a) & has_term(norm, b) & followed(norm, a, b), PAIR_BONUS / max(1, len(concepts))).otherwise(0.0)
     score = have + bonus
     if preferred is not None:
         score = score + F.when(F.coalesce(preferred, F.lit(False)) & (have > 0), LANGUAGE_BOOST).otherwise(0.0)
     return F.when(have > 0, score).otherwise(0.0)
 
 
-def prose_hits(docs: DataFrame, text: str, concepts: list[str], preferred: Column | None = None, top: int = TIER2_WINDOW, tie: str = "key_hash") -> DataFrame:
-    """The best documents for a prose query by (score descending, key hash)."""
-    any_word = F.col(text).rlike("(?i)" + "|".join(concepts))  # cheap test before words are cut
-    d = docs.filter(any_word).withColumn("_w", words(F.col(text)))
-    d = d.withColumn("score", concept_score(F.col("_w"), concepts, preferred)).drop("_w", text)
-    return d.filter("score > 0").orderBy(F.desc("score"), tie).limit(top)
+def prose_hits(docs: DataFrame, text: str, concepts: list[str], preferred: Column | None = None, top: int = TIER2_WINDOW, tie: str = "key_hash", key: str | None = None) -> DataFrame:
+    """The best documents for a prose query by (score descending, key hash).
+
+    Texts are scored where they are scanned and go no further; ``key`` then drops rows delivered again, narrow as they are. The test for
+    a hit follows the top-k, as hits of score 0 come last in it.
+    """
+    d = docs.withColumn("score", once(normal(F.col(text)), lambda w: concept_score(w, concepts, preferred))).drop(text)
+    if key:
+        d = d.dropDuplicates([key])
+    return d.orderBy(F.desc("score"), tie).limit(top).filter("score > 0")
 
 
 def phrase(docs: DataFrame, text: str, first: str, second: str, slop: int = SLOP) -> DataFrame:
     """Documents where ``second`` follows ``first`` with at most ``slop`` words between."""
-    return docs.filter(F.col(text).rlike(f"(?i){first}") & F.col(text).rlike(f"(?i){second}")).filter(followed(words(F.col(text)), first, second, slop))
+    return docs.filter(followed(normal(F.col(text)), first, second, slop))
 
 
 def boolean(docs: DataFrame, text: str, any_of: list[str] = (), all_of: list[str] = (), none_of: list[str] = ()) -> DataFrame:
-    """OR, AND and NOT of terms, as set operations within the row."""
-    w = words(F.col(text))
-    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    ok = F.lit(True)
-    if any_of:
-        ok = ok & F.arrays_overlap(w, lit(any_of))
-    if all_of:
-        ok = ok & (F.size(F.array_except(lit(all_of), w)) == 0)
-    if none_of:
-        ok = ok & ~F.arrays_overlap(w, lit(none_of))
-    return docs.filter(ok)
+    """OR, AND and NOT of terms, as predicates within the row."""
+
+    def ok(w: Column) -> Column:
+        out = F.lit(True)
+        if any_of:
+            one = F.lit(False)
+            for t in any_of:
+                one = one | has_term(w, t)
+            out = out & one
+        for t in all_of:
+            out = out & has_term(w, t)
+        for t in none_of:
+            out = out & ~has_term(w, t)
+        return out
+
+    return docs.filter(once(normal(F.col(text)), ok))
 
 
 def resolve(definitions: DataFrame, anchors: list[str], qualifiers: list[str], window: int = TIER1_WINDOW) -> DataFrame:

@@ -33,17 +33,17 @@ def _seeds(t):
 
 @plans.query("J07_bfs_depth2", f"{_BFS} SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2")
 def bfs(t):
-    return G.traverse(edges(t).distinct(), _seeds(t), 2, None).select("hop", "src", "dst", "fresh")
+    return G.traverse(edges(t), _seeds(t), 2, None).select("hop", "src", "dst", "fresh")
 
 
 @plans.query("C08_graph", f"{_BFS}, a AS (SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3) SELECT * FROM a ORDER BY hop, src, dst, fresh LIMIT 256")
 def graph(t):
-    return G.traverse(edges(t).distinct(), _seeds(t), 3, G.MOST_EDGES, order=["src", "dst", "fresh"]).select("hop", "src", "dst", "fresh")
+    return G.traverse(edges(t), _seeds(t), 3, G.MOST_EDGES, order=["src", "dst", "fresh"]).select("hop", "src", "dst", "fresh")
 
 
 @plans.query("C08_graph_stale", f"{_BFS} SELECT hop, count(*) AS examined, count(*) FILTER (WHERE NOT fresh) AS stale FROM (SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3) GROUP BY hop")
 def graph_stale(t):
-    e = G.traverse(edges(t).distinct(), _seeds(t), 3, None)
+    e = G.traverse(edges(t), _seeds(t), 3, None)
     return e.groupBy("hop").agg(F.count("*").alias("examined"), F.count_if(~F.col("fresh")).alias("stale"))
 
 

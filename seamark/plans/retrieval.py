@@ -36,7 +36,8 @@ top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, key_hash) AS
 
 
 def hits(t):
-    return L.prose_hits(docs(t), "text", CONCEPTS, F.col("lang") == "en").withColumn("score", F.round("score", 9))
+    d = t.documents.select("doc_id", "text", "lang", "source", "repo").filter("text IS NOT NULL").withColumn("key_hash", L.hash64(F.col("doc_id").cast("string")))
+    return L.prose_hits(d, "text", CONCEPTS, F.col("lang") == "en", key="doc_id").withColumn("score", F.round("score", 9))
 
 
 @plans.query("C04_prose_search", f"""WITH {_P}, f AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY place) AS in_file FROM top)

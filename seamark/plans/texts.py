@@ -64,8 +64,8 @@ def pack(t):
     """Responses for each repository from its best documents, full text or its first line, under 1024 tokens."""
     from pyspark.sql.window import Window as W
 
-    d = docs(t).withColumn("score", L.concept_score(L.words(F.col("text")), CONCEPTS)).filter("score > 0 AND repo IS NOT NULL")
-    d = d.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("score"), "key_hash"))).filter("rank <= 32")
+    d = docs(t).filter("repo IS NOT NULL").withColumn("score", L.once(L.normal(F.col("text")), lambda w: L.concept_score(w, CONCEPTS)))
+    d = d.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("score"), "key_hash"))).filter("rank <= 32 AND score > 0")
     return BU.pack_responses(d.withColumn("line", F.substring_index("text", "\n", 1)), "repo", "rank", ["text", "line"], 1024)
 
 
