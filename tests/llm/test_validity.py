@@ -110,12 +110,12 @@ def test_other_languages_are_refused():
 def test_files(spark):
     rows = [
         (1, "r", "a.py", "x = 1\n", 5), (1, "r", "a.py", "x = 1\n", 5), (2, "r", "a.PY", "x = (", 5), (3, "r", "a.json", "", 5), (4, "r", "a.rs", "", 5), (5, "r", "a.md", "anything <<<<<<<", 5), (6, "r", "a.go", None, 5), (7, "r", "a.xyz", "?", 5), (8, "r", None, "x", 5),
-        (9, None, "b.toml", "a = ", None), (10, "r", "deep.py", "(" * 5000 + ")" * 5000, 5), (11, "r", "deep.json", "[" * 100_000 + "]" * 100_000, 5), (12, "r", "c.rs", "<<<<<<< HEAD\nfn a() {}\n=======\n>>>>>>> b\n", 5), (13, "r", "long.py", "x = [" + "1, " * 300_000 + "]", 5),
+        (9, None, "b.toml", "a = ", None), (10, "r", "deep.py", "(" * 5000 + ")" * 5000, 5), (11, "r", "deep.json", "[" * 100_000 + "]" * 100_000, 5), (12, "r", "c.rs", "<<<<<<< HEAD\nfn a() {}\n=======\n>>>>>>> b\n", 5), (13, "r", "long.py", "x = [" + "1, " * 300_000 + "]", 5), (14, "r", "e.go", "", 5), (15, "r", "f.go", "\n", 5), (16, "r", "g.go", "// only a comment\n", 5),
     ]
     src = spark.createDataFrame(rows, "source_id long, repo string, path string, body string, valid int")
     got = {r["source_id"]: r for r in V.check_sources(src).collect()}
-    assert {k for k, r in got.items() if not r["valid"]} == {2, 3, 9, 10, 12}
-    assert set(got) == {1, 2, 3, 4, 5, 9, 10, 11, 12, 13} and got[12]["cause"] == "merge conflict" and got[2]["cause"] == "truncated" and got[2]["errors"]
+    assert {k for k, r in got.items() if not r["valid"]} == {2, 3, 9, 10, 12, 16}
+    assert set(got) == {1, 2, 3, 4, 5, 9, 10, 11, 12, 13, 14, 15, 16} and got[12]["cause"] == "merge conflict" and got[2]["cause"] == "truncated" and got[2]["errors"]
     rates = {(r["repo"], r["lang"]): r["invalid"] for r in V.acceptance(V.check_sources(src)).filter("level = 0").collect()}
     assert rates[("r", "python")] == 2 and rates[(None, "toml")] == 1
-    assert V.check_sources(src.limit(0)).count() == 0 and V.acceptance(V.check_sources(src)).filter("level = 3").first()["files"] == 10
+    assert V.check_sources(src.limit(0)).count() == 0 and V.acceptance(V.check_sources(src)).filter("level = 3").first()["files"] == 13
