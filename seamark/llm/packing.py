@@ -57,30 +57,24 @@ def configurations(group_sizes: list[int], demand: list[int], capacity: int) ->
     basis = np.diag([max(1, room // x) for x in w]).astype(float)
     for _ in range(60 * m):
         duals = np.linalg.solve(basis.T, np.ones(m))
-        # the most valuable composition that fits: unbounded knapsack
+        # the most valuable composition that fits: unbounded knapsack, one size after the other over all capacities at once
         best = np.zeros(room + 1)
         pick = np.full(room + 1, -1)
-        order = [g for g in range(m) if duals[g] > 1e-12]
-        if not order:
-            break
-        wo, yo = w[order], duals[order]
-        least = int(wo.min())
-        for c in range(least, room + 1):
-            ok = wo <= c
-            val = np.where(ok, best[c - np.where(ok, wo, 0)] + yo, -1.0)
-            k = int(val.argmax())
-            if val[k] > best[c - 1] + 1e-12:
-                best[c], pick[c] = val[k], order[k]
-            else:
-                best[c] = best[c - 1]
-        if best[room] <= 1 + 1e-9:
+        for g in np.argsort(-duals / w):
+            if duals[g] <= 1e-12:
+                break
+            for _ in range(room // w[g]):
+                value = best[: room + 1 - w[g]] + duals[g]
+                better = value > best[w[g] :] + 1e-12
+                if not better.any():
+                    break
+                best[w[g] :][better] = value[better]
+                pick[w[g] :][better] = g
+        c = int(best.argmax())
+        if best[c] <= 1 + 1e-9:
             break
         column = np.zeros(m)
-        c = room
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-                continue
+        while pick[c] >= 0:
             column[pick[c]] += 1
             c -= w[pick[c]]
         x = np.linalg.solve(basis, d)
