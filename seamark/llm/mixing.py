@@ -26,7 +26,8 @@ BUCKETS = 1024
 #: The classifier is fitted on about so many labelled rows, chosen by a hash of their id; the only sample taken here.
 SAMPLE = 4000
 EPOCHS, RATE, DECAY = 120, 0.01, 1e-3
-STEPS = 25
+#: Steps of the descent at most, and the share of the whole at which it has converged.
+STEPS, TOLERANCE = 25, 1e-4
 FACTORS = 65
 
 
@@ -52,7 +53,7 @@ def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULA
 
     src = F.when(F.trim("source") != "", F.trim("source"))
     d = documents.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
-    labelled = max(1, d.filter(src.isNotNull()).count())
+    labelled = max(1, documents.filter(src.isNotNull()).count())
     keep = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / labelled) * (1 << 40)))
     d = d.select("doc_id", F.md5("text").alias("key"), src.alias("source"), keep.alias("keep"), "text")
     return d.mapInArrow(run, "doc_id long, key string, cls int, tokens long, counts array<float>")
@@ -171,7 +172,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
     steps: list[np.ndarray] = []
     for _ in range(STEPS):
         gap = goal - now
-        if np.abs(gap).max() <= 1e-6 * size:
+        if np.abs(gap).max() <= TOLERANCE * size:
             break
         steps.append(np.where(reach, gap / np.maximum(have, 1e-9), 0.0))
         now = totals(steps)[0]
