@@ -40,7 +40,7 @@ def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {s: i for i, s in enumerate(sources)}
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float32()))
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
         for b in batches:
             ids, keys, src, keep, texts = (c.to_pylist() for c in b.columns)
             cls, tokens, counts = [], [], []
@@ -48,7 +48,7 @@ def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULA
                 ids_of = np.array(encode(t, vocabulary), np.int64)
                 tokens.append(len(ids_of))
                 cls.append(-1 if s is None else index.get(s, len(sources)))
-                counts.append(np.bincount((ids_of * 2654435761 >> 7) % BUCKETS, minlength=BUCKETS).astype(np.float32).tolist() if k or s is None else None)
+                counts.append(np.minimum(np.bincount((ids_of * 2654435761 >> 7) % BUCKETS, minlength=BUCKETS), 65535).astype("<u2").tobytes() if k or s is None else None)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, keys, cls, tokens, counts), kinds)], names=["doc_id", "key", "cls", "tokens", "counts"])
 
     src = F.when(F.trim("source") != "", F.trim("source"))
@@ -56,7 +56,12 @@ def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULA
     labelled = max(1, documents.filter(src.isNotNull()).count())
     keep = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / labelled) * (1 << 40)))
     d = d.select("doc_id", F.md5("text").alias("key"), src.alias("source"), keep.alias("keep"), "text")
-    return d.mapInArrow(run, "doc_id long, key string, cls int, tokens long, counts array<float>")
+    return d.mapInArrow(run, "doc_id long, key string, cls int, tokens long, counts binary")
+
+
+def unpacked(counts: list[bytes]) -> np.ndarray:
+    """The counts of some rows as a matrix; a count above 65,535 stays at that."""
+    return np.frombuffer(b"".join(counts), "<u2").reshape(-1, BUCKETS).astype(np.float32)
 
 
 class Classifier:
@@ -97,7 +102,7 @@ def fit_classifier(measured: DataFrame, classes: int) -> Classifier | None:
     rows = measured.filter("cls >= 0 AND counts IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * SAMPLE).select("cls", "counts").toPandas()
     if rows.empty:
         return None
-    return Classifier(np.array(rows["counts"].tolist(), np.float32), rows["cls"].to_numpy(), classes)
+    return Classifier(unpacked([bytes(c) for c in rows["counts"]]), rows["cls"].to_numpy(), classes)
 
 
 def _rates(p: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -135,7 +140,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
             hard = [i for i, c in enumerate(cls) if c >= 0]
             p[hard, [cls[i] for i in hard]] = 1.0
             if soft and model is not None:
-                p[soft] = np.round(model.posterior(np.array([counts[i] for i in soft])), 6)
+                p[soft] = np.round(model.posterior(unpacked([counts[i] for i in soft])), 6)
             best = p.argmax(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(tokens, pa.int64()), pa.array(p[:, :n].tolist(), pa.list_(pa.float64())), pa.array(repeats[best], pa.int32())], names=["doc_id", "cls", "tokens", "p", "cap"])
 

@@ -207,7 +207,7 @@ def test_classifier_holds_out(spark):
     held = d.filter("doc_id % 5 = 0").withColumn("was", F.col("source")).withColumn("source", F.lit(None).cast("string"))
     rows = M.measure(held, names).filter("doc_id IS NOT NULL").join(held.select("doc_id", "was").distinct(), "doc_id").collect()
     assert len(rows) > 150
-    best = model.posterior(np.array([r["counts"] for r in rows])).argmax(1)
+    best = model.posterior(M.unpacked([bytes(r["counts"]) for r in rows])).argmax(1)
     assert np.mean([names[b] == r["was"] for b, r in zip(best, rows) if b < len(names)]) > 0.4
 
 
