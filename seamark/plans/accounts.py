@@ -207,7 +207,9 @@ SELECT consumer, CASE WHEN matches = 0 THEN 'unresolved' WHEN matches > 1 THEN '
 def boundary(t):
     k = F.col("o_orderkey") % 5
     path = F.when(k == 0, F.concat(F.lit("/orders/"), "o_orderkey")).when(k == 1, "/orders/open").when(k == 2, F.concat(F.lit("/parts/p"), "o_custkey")).when(k == 3, F.concat(F.lit("/files/a/"), "o_custkey")).otherwise(F.concat(F.lit("/none/"), "o_custkey"))
-    c = t.orders.select(F.col("o_orderkey").alias("consumer"), F.lit("shop").alias("service"), F.lit("GET").alias("method"), path.alias("path"))
+    # taken from the row, so that the keys stay keys: Spark would fold literals and join by nested loops
+    given = lambda x: F.when(F.col("o_orderkey").isNotNull(), x)
+    c = t.orders.select(F.col("o_orderkey").alias("consumer"), given("shop").alias("service"), given("GET").alias("method"), path.alias("path"))
     p = t.spark.createDataFrame(_ROUTES, "service string, method string, route string").withColumn("complete", F.lit(True))
     return B.resolve_routes(c, p)
 
