@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from seamark.functions.identity import json_string
-from seamark.session import cut
+from seamark.session import cut, hinted
 
 MOST_DEPTH, MOST_EDGES, MOST_FILES = 4, 256, 64
 KINDS = ("calls", "references", "imports", "contains", "depends_on", "covers")
@@ -52,12 +52,12 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, most_edges: int
     """
     depth = max(1, min(depth, MOST_DEPTH))
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    frontier = seeds.select("node").distinct()
+    frontier = cut(seeds.select("node").distinct())
     visited = frontier
     levels = []
     for hop in range(1, depth + 1):
         # repeated edges fall after the join, where few are left; each level is cut so that plans don't nest
-        step = cut(edges.join(frontier.withColumnRenamed("node", a), a).select(*edges.columns).distinct().withColumn("hop", F.lit(hop)))
+        step = cut(edges.join(hinted(frontier).withColumnRenamed("node", a), a).select(*edges.columns).distinct().withColumn("hop", F.lit(hop)))
         levels.append(step)
         if hop < depth:
             frontier = cut(step.filter("fresh").select(F.col(b).alias("node")).distinct().join(visited, "node", "left_anti"))

@@ -6,6 +6,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "seamark", master: str | None = None, **conf: object) -> SparkSession:
@@ -55,3 +56,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder: survives lost executors and ends its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hinted(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted and is small; beyond that the join stays a shuffle. For cut frames of narrow rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
