@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 BLOCK, SPLIT_OVER, PART, MOST_PARSED = 2048, 8192, 4096, 1 << 20
 MOST_QUALIFIERS, MOST_QNAME = 16, 256
 ELIDE_LINES, ELIDE_COMMENT_LINES = 4, 6
+#: Tokens of a card and of its heading; bytes that an overview takes from one declaration; the most declarations it takes.
+CARD_TOKENS, HEADING_TOKENS = 512, 64
+LEAD_BYTES, MOST_LEADS, MOST_TOKEN_BYTES = 256, 128, 16
+#: Sixteenths of a text without declarations, in the order in which an overview takes samples of them.
+SAMPLES = (0, 8, 4, 12, 2, 6, 10, 14, 1, 3, 5, 7, 9, 11, 13, 15)
 
 
 def line_starts(body: bytes) -> list[int]:
@@ -131,8 +136,10 @@ def units_of(path: str, text: str) -> list[tuple] | None:
 
 def documents_of(path: str, text: str) -> list[tuple[str, str | None, str | None, int, int]]:
     """(kind, name, qualified name, start, end): leaf units and the blocks between them; together they tile the text but for white space."""
-    body = text.encode("utf-8", "replace")
-    units = units_of(path, text)
+    return _tiles(text.encode("utf-8", "replace"), units_of(path, text))
+
+
+def _tiles(body: bytes, units: list[tuple] | None) -> list[tuple[str, str | None, str | None, int, int]]:
     if not units:
         return [("block", None, None, a, b) for a, b in blocks(body)]
     has_child = {u[5] for u in units}
@@ -260,11 +267,116 @@ def outlines(path: Column, content: Column) -> Column:
     return run(path, content)
 
 
-def cards(documents: DataFrame, path: str, qname: str, text: str, function_digest: str, most_chars: int = 1024) -> DataFrame:
-    """Address and body cards: ``card_kind, card, input_key``; the key is the identity of exactly this input."""
+def _char_floor(body: bytes, at: int) -> int:
+    while 0 < at < len(body) and body[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def fitting(head: str, piece: bytes, most: int) -> int:
+    """How many bytes of the start of ``piece`` fit under ``head`` into a card of ``most`` tokens, counted on the card as it is; at least one character."""
+    from seamark.functions.tokens import encode, encoder
+
+    piece = piece[: _char_floor(piece, most * MOST_TOKEN_BYTES)]
+    if len(encode(head + piece.decode())) <= most:
+        return len(piece)
+    room = max(1, most - len(encode(head)))
+    end = sum(map(len, encoder().decode_tokens_bytes(encode(piece.decode())[:room])))
+    while True:
+        end = _char_floor(piece, end) or next(k for k in range(1, 5) if k == len(piece) or piece[k] & 0xC0 != 0x80)
+        if len(encode(head + piece[:end].decode())) <= most:
+            return end
+        if end <= 4 and not _char_floor(piece, end - 1):
+            raise ValueError("a card has no room for a character of its source")
+        end -= max(1, end // 8)
+
+
+def windows(body: bytes, start: int, end: int, head: str, most: int) -> list[tuple[int, int]]:
+    """Ranges that tile [start, end), each as long as its card allows; a line end in the latter half of a range is preferred as its end."""
+    from seamark.functions.tokens import encode
+
+    out = []
+    while start < end:
+        to = start + fitting(head, body[start:end], most)
+        line = body.rfind(b"\n", start, to) + 1
+        if to < end and line > start and line - start >= (to - start) / 2 and len(encode(head + body[start:line].decode())) <= most:
+            to = line
+        out.append((start, to))
+        start = to
+    return out
+
+
+def _lead(body: bytes, start: int, end: int) -> str:
+    """Whole lines of a range within ``LEAD_BYTES``, or the start of a first line that is longer."""
+    to = _char_floor(body, min(end, start + LEAD_BYTES))
+    line = body.rfind(b"\n", start, to) + 1
+    return body[start : line if to < end and line > start else to].decode().rstrip()
+
+
+def overview(body: bytes, units: list[tuple], start: int, end: int, head: str, most: int) -> str:
+    """The card of a whole range: all of it if it fits, else the leads of its declarations, widely spread ones first, or samples where it has none."""
+    if end - start <= most * MOST_TOKEN_BYTES and fitting(head, body[start:end], most) == end - start:
+        return head + body[start:end].decode()
+    inner = sorted({u[3] for u in units if start <= u[3] < end})
+    leads: list[str] = []
+    if inner:
+        if start < inner[0]:
+            leads.append(_lead(body, start, inner[0]))
+        until = dict(zip(inner, [*inner[1:], end]))
+        queue, at = [(0, len(inner))], 0
+        while at < len(queue) and len(leads) <= MOST_LEADS:
+            lo, hi = queue[at]
+            at += 1
+            if lo < hi:
+                leads.append(_lead(body, inner[lo], until[inner[lo]]))
+                mid = lo + 1 + (hi - lo - 1) // 2
+                queue += [(mid, hi), (lo + 1, mid)]
+    else:
+        bound = [_char_floor(body, start + (end - start) * k // 16) for k in range(17)]
+        leads = [_lead(body, bound[k], bound[k + 1]) for k in SAMPLES]
+    text = "\n".join(x for x in leads if x.strip()).encode()
+    return head + text[: fitting(head, text, most)].decode()
+
+
+def cards_of(address: str, path: str, text: str, most: int) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, card): body cards whose ranges tile the text but for white space, an overview of the file and one of each unit with children."""
+    body = text.encode("utf-8", "replace")
+    if not body.strip():
+        return []
+    units = units_of(path, text) or []
+
+    def head(*parts: str | None) -> str:
+        whole = "\n".join(x for x in parts if x).encode("utf-8", "replace")
+        return whole[: fitting("", whole, min(HEADING_TOKENS, most // 4))].decode() + "\n" if whole else "\n"
+
+    out = []
+    for _, _, qname, start, end in _tiles(body, units):
+        h = head(qname, address)
+        out += [("body", a, b, h + body[a:b].decode()) for a, b in windows(body, start, end, h, most) if body[a:b].strip()]
+    out.append(("file", 0, len(body), overview(body, units, 0, len(body), head("file", address), most)))
+    for k in sorted({u[5] for u in units if u[5] >= 0}):
+        _, _, qname, start, end, _, _ = units[k]
+        out.append(("parent", start, end, overview(body, units, start, end, head("parent", qname, address), most)))
+    return out
+
+
+def cards(documents: DataFrame, path: str, qname: str, text: str, function_digest: str, most_tokens: int = CARD_TOKENS) -> DataFrame:
+    """All cards: ``card_kind, card_start, card_end, card, input_key``; the key is the identity of exactly this input.
+
+    An address card for each row; of its text body cards, whose byte ranges tile it but for white space, and overviews of the file and
+    of each unit with children, which needn't hold all of it. Each of these holds at most ``most_tokens`` tokens with its heading, the
+    qualified name and the address. A null or blank text has an address card only.
+    """
     from seamark.functions.identity import input_key
 
+    if most_tokens < 32:
+        raise ValueError("a card must hold 32 tokens at least")
+
+    @F.pandas_udf("array<struct<card_kind:string,card_start:bigint,card_end:bigint,card:string>>")
+    def of_text(addresses: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([cards_of(a or "", p or "", t, most_tokens) if t is not None else [] for a, p, t in zip(addresses, paths, texts)])
+
     address = F.concat_ws(" › ", F.concat_ws("/", F.col(path)), F.col(qname))
-    kinds = F.explode(F.array(F.struct(F.lit("address").alias("card_kind"), address.alias("card")), F.struct(F.lit("body").alias("card_kind"), F.concat(address, F.lit("\n"), F.substring(F.col(text), 1, most_chars)).alias("card"))))
-    c = documents.withColumn("_c", kinds).select("*", "_c.*").drop("_c")
+    own = F.array(F.struct(F.lit("address").alias("card_kind"), F.lit(None).cast("long").alias("card_start"), F.lit(None).cast("long").alias("card_end"), address.alias("card")))
+    c = documents.withColumn("_c", F.explode(F.concat(own, of_text(address, F.col(path), F.col(text))))).select("*", "_c.*").drop("_c")
     return c.withColumn("input_key", input_key(F.lit(function_digest), F.col("card")))

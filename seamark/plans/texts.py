@@ -59,6 +59,12 @@ def cards(t):
     return DO.cards(s, "path", "repo", "body", "f1").filter("card_kind = 'address'").agg(F.count("*").alias("cards"), F.count_distinct("input_key").alias("inputs"))
 
 
+@plans.query("Y09_cards_all")
+def cards_all(t):
+    s = t.partition_source.filter("body IS NOT NULL").select("source_id", "path", "repo", "body").dropDuplicates(["source_id"])
+    return DO.cards(s, "path", "repo", "body", "f1").select("source_id", "card_kind", "card_start", "card_end", "card", "input_key")
+
+
 @plans.query("C24_pack")
 def pack(t):
     """Responses for each repository from its best documents, full text or its first line, under 1024 tokens."""

@@ -180,6 +180,27 @@ def test_documents_tile_the_text(spark):
     assert "… 4 lines" in documents.outline_of("x.py", "def f():\n    a\n    b\n    c\n    d\n")
 
 
+def test_cards_hold_the_whole_text(spark):
+    py = '"""Top."""\nimport os\n\n\nclass A:\n' + "".join(f"    def f{i}(self):\n        return 'é {i}'\n\n" for i in range(300)) + "def g():\n" + "    x = 'word ' * 3\n" * 600
+    texts = [("a.py", py), ("b.md", "# A\n\n" + "text é\n" * 2000 + "\n## B\n\nmore\n"), ("c.txt", "€💡" * 3000), ("d.rs", "fn f() {}\r\n" * 900), ("e.txt", " \n"), ("f.py", None), ("g/" * 400 + "h.txt", "x y z\n" * 500)]
+    d = spark.createDataFrame([(i, p, "r", t) for i, (p, t) in enumerate(texts)], "id long, path string, repo string, body string")
+    rows = documents.cards(d, "path", "repo", "body", "f1", 64).collect()
+    for i, (path, text) in enumerate(texts):
+        mine = [r for r in rows if r["id"] == i]
+        assert [r["card"] for r in mine if r["card_kind"] == "address"] == [f"{path} › r"]
+        body, at = (text or "").encode(), 0
+        for a, b, card in sorted((r["card_start"], r["card_end"], r["card"]) for r in mine if r["card_kind"] == "body"):
+            assert a >= at and not body[at:a].strip() and card.endswith(body[a:b].decode())
+            at = b
+        assert not body[at:].strip()
+        assert sum(r["card_kind"] == "file" for r in mine) == bool(body.strip())
+        assert all(len(budget.encode(r["card"])) <= 64 for r in mine if r["card_kind"] != "address")
+    assert {(r["id"], r["card_kind"]) for r in rows if r["card_kind"] == "parent"} == {(0, "parent"), (1, "parent")}
+    # an edit behind the first 1024 characters changes a key
+    edited = documents.cards(d.filter("id = 1").withColumn("body", F.concat("body", F.lit("tail\n"))), "path", "repo", "body", "f1", 64)
+    assert {r["input_key"] for r in edited.filter("card_kind = 'body'").collect()} - {r["input_key"] for r in rows}
+
+
 def test_chunks_join_to_the_body():
     for body in (b"", b"x" * 5000, ("é\n" * 3000).encode(), ("€" * 3000).encode()):
         ends = workspace.chunk_ends(body)
