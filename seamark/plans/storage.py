@@ -216,3 +216,14 @@ def retrieve(t):
     s = t.partition_source.filter("octet_length(body) = length(body)").select("source_id", "source_hash", "body").dropDuplicates(["source_id"])
     j = u.join(s, ["source_id", "source_hash"]).withColumn("text", X.byte_slice(F.col("body"), F.col("start_byte"), F.col("end_byte")))
     return j.filter("text IS NOT NULL").select("unit_id", "text")
+
+
+@plans.query("C12_retrieve_all", f"""
+SELECT unit_id, text FROM (SELECT u.unit_id, try(decode(array_slice(encode(s.body), u.start_byte + 1, u.end_byte))) AS text
+FROM (SELECT DISTINCT unit_id, source_id, source_hash, start_byte, end_byte FROM partition_unit) u JOIN (SELECT DISTINCT source_id, source_hash, body FROM partition_source) s
+  ON s.source_id = u.source_id AND s.source_hash = u.source_hash WHERE u.start_byte >= 0 AND u.end_byte > u.start_byte AND u.end_byte <= octet_length(encode(s.body))) WHERE text IS NOT NULL""")
+def retrieve_all(t):
+    u = t.partition_unit.select("unit_id", "source_id", "source_hash", "start_byte", "end_byte").distinct()
+    s = t.partition_source.filter("body IS NOT NULL").select("source_id", "source_hash", "body").dropDuplicates(["source_id"])
+    j = u.join(s, ["source_id", "source_hash"]).withColumn("text", X.byte_slice(F.col("body"), F.col("start_byte"), F.col("end_byte")))
+    return j.filter("text IS NOT NULL").select("unit_id", "text")

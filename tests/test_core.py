@@ -138,6 +138,25 @@ def test_text_functions(spark):
     assert r["w"] > 20
 
 
+def test_retrieve_slices_bytes_of_any_text(spark, tmp_path):
+    from seamark.plans import catalog
+
+    body = "aé€\n💡x"
+    raw = body.encode()
+    cuts = [(a, b) for a in range(-1, len(raw) + 2) for b in range(len(raw) + 2)]
+    spark.createDataFrame([(k, 1, "h", a, b) for k, (a, b) in enumerate(cuts)], "unit_id long, source_id long, source_hash string, start_byte long, end_byte long").write.parquet(str(tmp_path / "partition_unit.parquet"))
+    spark.createDataFrame([(1, "h", body), (1, "h", body), (2, "h", None)], "source_id long, source_hash string, body string").write.parquet(str(tmp_path / "partition_source.parquet"))
+    want = {}
+    for k, (a, b) in enumerate(cuts):
+        if 0 <= a < b <= len(raw):
+            try:
+                want[k] = raw[a:b].decode()
+            except UnicodeDecodeError:
+                pass
+    got = catalog.queries()["C12_retrieve_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["unit_id"]: r["text"] for r in got} == want
+
+
 def test_query_text():
     a = query_text.parse_anchors("Why does `Engine::open` call load_index in src/store/Mod.rs and not Reader or the reader?")
     assert a.fixed == ["open", "load_index"] and a.capitalized == ["Reader"] and a.qualifiers == ["engine", "src", "store", "mod"]
