@@ -97,22 +97,39 @@ def python_units(text: str) -> list[tuple[str, str, str, int, int, int, int]] |
 
 
 def markdown_sections(text: str) -> list[tuple[str, str, str, int, int, int, int]]:
-    """Sections by ATX and setext headings outside of fences, nested by level."""
+    """Sections by ATX and setext headings outside of fences, nested by level. A setext heading begins with its paragraph.
+
+    Headings within list items, quotes and HTML blocks aren't told apart from those outside.
+    """
     body = text.encode()
     heads: list[tuple[int, int, str]] = []
-    at, fence, prev, prev_at = 0, None, "", 0
-    for line in text.splitlines(keepends=True):
-        s = line.strip()
-        m = re.match(r"(`{3,}|~{3,})", s)
-        if m and (fence is None or s.startswith(fence)):
-            fence = None if fence else m.group(1)[:3]
-        elif fence is None:
-            h = re.match(r"(#{1,6})(?:\s+(.*?))?\s*#*$", s) if len(line) - len(line.lstrip(" ")) < 4 else None
-            if h:
-                heads.append((at, len(h.group(1)), h.group(2) or ""))
-            elif re.fullmatch(r"=+|-{2,}", s) and prev.strip() and not prev.lstrip().startswith(("#", "-", "*", ">", "|")):
-                heads.append((prev_at, 1 if s[0] == "=" else 2, prev.strip()))
-        prev, prev_at = line, at
+    at, fence = 0, ""
+    # the open paragraph: where it began and its lines; None within a list item or a quote, whose text a line of signs doesn't end
+    para: tuple[int, list[str]] | None = (0, [])
+    for line in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", text):
+        s = line.strip(" \t\r\n")
+        indent = len(line) - len(line.lstrip(" "))
+        flat = indent < 4 and not line.startswith("\t")
+        m = re.match(r"`{3,}(?=[^`]*$)|~{3,}", s)
+        if fence:
+            if m and s == m.group() and s.startswith(fence):
+                fence = ""
+        elif m:
+            fence, para = m.group(), (0, [])
+        elif h := re.match(r"(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$", s) if flat else None:
+            heads.append((at, len(h.group(1)), h.group(2) or ""))
+            para = (0, [])
+        elif not s:
+            para = (0, [])
+        elif para and para[1] and flat and re.fullmatch(r"=+|-+", s):
+            heads.append((para[0], 1 if s[0] == "=" else 2, " ".join(para[1])))
+            para = (0, [])
+        elif flat and re.fullmatch(r"(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}", s):
+            para = (0, [])
+        elif re.match(r"(?:[-*+]|\d{1,9}[.)])(?:[ \t]|$)|>", s) and flat:
+            para = None
+        elif para and (para[1] or flat):
+            para = (para[0] if para[1] else at, [*para[1], s])
         at += len(line.encode())
     out: list[tuple] = []
     for i, (start, level, name) in enumerate(heads):

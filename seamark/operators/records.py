@@ -42,11 +42,16 @@ def search(rows: DataFrame, text: str, needle: str, order: list, window: int = 2
 
 
 def link_states(records: DataFrame, sources: DataFrame, key: str, links: str) -> DataFrame:
-    """``key, fresh, stale, missing, status``: links ``path@hash-prefix`` against the current sources."""
-    one = records.select(key, F.explode(links).alias("link")).select(key, F.regexp_extract("link", r"^(.*)@([0-9a-f]+)$", 1).alias("path"), F.regexp_extract("link", r"^(.*)@([0-9a-f]+)$", 2).alias("prefix"))
-    s = sources.select("path", "sha256").dropDuplicates(["path"])
+    """``key, fresh, stale, missing, status``: links ``path@hash-prefix`` against the current sources.
+
+    A link without hex digits behind its path, or to a source without a hash, is stale.
+    """
+    part = lambda k: F.regexp_extract("link", r"(?s)^(.*)@([^@]*)$", k)
+    one = records.select(key, F.explode(links).alias("link")).select(key, part(1).alias("path"), part(2).alias("prefix"))
+    s = sources.select("path", "sha256", F.lit(True).alias("_there")).dropDuplicates(["path"])
     j = one.join(s, "path", "left")
-    state = F.when(F.col("sha256").isNull(), "missing").when(F.startswith("sha256", "prefix"), "fresh").otherwise("stale")
+    fresh = F.col("prefix").rlike("^[0-9a-f]+$") & F.startswith("sha256", "prefix")
+    state = F.when(F.col("_there").isNull(), "missing").when(fresh, "fresh").otherwise("stale")
     g = j.withColumn("state", state).groupBy(key).agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("fresh", "stale", "missing")])
     return g.withColumn("status", F.array_join(F.filter(F.array(*[F.when(F.col(x) > 0, x) for x in ("fresh", "stale", "missing")]), lambda x: x.isNotNull()), "+"))
 
@@ -62,18 +67,20 @@ def export_page(rows: DataFrame, key: str, text: str, after: str | None = None)
 def eligible_briefs(briefs: DataFrame, dependencies: DataFrame, children: DataFrame, sources: DataFrame, key: str = "brief_id") -> DataFrame:
     """Briefs all of whose dependencies are current and all of whose children are eligible with the recorded fingerprint.
 
-    Lineage is at most four levels deep, so that the levels are unrolled: leaves first, each level one join and one grouped check.
+    Lineage is at most four levels deep, so that the levels are unrolled: leaves first, each level one join and one grouped check. Each
+    level is cut, as a plan of all of them would double with every level.
     """
     s = sources.select("path", "sha256").dropDuplicates(["path"])
     dep = dependencies.join(s, "path", "left").withColumn("ok", F.coalesce(F.col("sha256") == F.col("hash"), F.lit(False))).groupBy(key).agg(F.bool_and("ok").alias("current"))
-    own = briefs.join(dep, key, "left").withColumn("current", F.coalesce("current", F.lit(True)))
+    own = cut(briefs.join(dep, key, "left").withColumn("current", F.coalesce("current", F.lit(True))))
+    children = cut(children)
     good = cut(own.filter((F.col("depth") == 0) & F.col("current")).select(key, "fingerprint"))
     for level in range(1, MOST_DEPTH + 1):
         at = own.filter((F.col("depth") == level) & F.col("current")).select(key, "fingerprint")
         need = children.join(at.select(key), key, "left_semi")
         have = need.join(good.select(F.col(key).alias("child_id"), F.col("fingerprint").alias("_now")), "child_id", "left")
         ok = have.groupBy(key).agg(F.bool_and(F.coalesce(F.col("_now") == F.col("child_fingerprint"), F.lit(False))).alias("ok"))
-        good = good.unionByName(at.join(ok.filter("ok"), key, "left_semi"))
+        good = good.unionByName(cut(at.join(ok.filter("ok"), key, "left_semi")))
     return own.join(good.select(key), key, "left_semi")
 
 

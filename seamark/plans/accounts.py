@@ -8,7 +8,9 @@ from seamark.operators import boundary as B
 from seamark.operators import learning as LN
 from seamark.operators import records as RC
 from seamark.operators import usage as U
+from seamark.operators.incremental import hash_value
 from seamark.plans.registry import Plans
+from seamark.session import cut
 
 plans = Plans()
 
@@ -174,6 +176,23 @@ def links(t):
     return RC.link_states(r, s, "repo", "links")
 
 
+_HASH = "CASE WHEN regexp_matches(lower(trim({0})), '[0-9a-f]{{64}}$') THEN right(lower(trim({0})), 64) ELSE lower(trim({0})) END"
+
+
+@plans.query("A14_link_states_all", f"""
+WITH s AS (SELECT path, {_HASH.format("source_hash")} AS h FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY revision DESC, source_id DESC) AS n FROM partition_source) WHERE n = 1),
+r AS (SELECT DISTINCT record_id, repo, path, {_HASH.format("source_hash")} AS rh FROM partition_record),
+l AS (SELECT r.repo, CASE WHEN s.path IS NULL THEN 'missing' WHEN regexp_matches(rh, '^[0-9a-f]{{64}}$') AND starts_with(h, substr(rh, 1, 32)) THEN 'fresh' ELSE 'stale' END AS state FROM r LEFT JOIN s USING (path)),
+g AS (SELECT repo, count(*) FILTER (WHERE state = 'fresh') AS fresh, count(*) FILTER (WHERE state = 'stale') AS stale, count(*) FILTER (WHERE state = 'missing') AS missing FROM l GROUP BY repo)
+SELECT repo, fresh, stale, missing, concat_ws('+', CASE WHEN fresh > 0 THEN 'fresh' END, CASE WHEN stale > 0 THEN 'stale' END, CASE WHEN missing > 0 THEN 'missing' END) AS status FROM g""")
+def links_all(t):
+    s = t.partition_source.groupBy("path").agg(F.max_by(F.struct(hash_value(F.col("source_hash")).alias("h")), F.struct("revision", "source_id"))["h"].alias("sha256"))
+    r = t.partition_record.select("record_id", "repo", "path", hash_value(F.col("source_hash")).alias("h")).distinct()
+    # what isn't a digest is no prefix of one either
+    prefix = F.when(F.col("h").rlike("^[0-9a-f]{64}$"), F.substring("h", 1, 32)).otherwise("")
+    return RC.link_states(r.select("repo", F.array(F.concat(F.coalesce("path", F.lit("")), F.lit("@"), prefix)).alias("links")), s, "repo", "links")
+
+
 @plans.query("S17_export_page", "SELECT row_key, octets FROM (SELECT lpad(row_id::VARCHAR, 12, '0') AS row_key, strlen(any_value(content_text)) AS octets FROM session_entry WHERE content_text IS NOT NULL GROUP BY 1) WHERE row_key > '000000500000' ORDER BY row_key LIMIT 128")
 def export(t):
     r = t.session_entry.filter("content_text IS NOT NULL").select(F.lpad(F.col("row_id").cast("string"), 12, "0").alias("row_key"), "content_text").dropDuplicates(["row_key"])
@@ -187,13 +206,27 @@ def assertions(t):
 
 @plans.query("C18_briefs")
 def briefs(t):
-    """Order briefs over line items: a brief is eligible if its sources and, level by level, its children are current."""
-    b = t.partition_source.select("source_id", "path", "source_hash", "revision").dropDuplicates(["source_id"])
+    """Briefs of all revisions of files, and of each directory and repository as of the first and as of the newest revisions in it.
+
+    A brief is eligible if its sources and, level by level, its children are current; directories more than four levels above a file have none.
+    """
+    b = t.partition_source.select("source_id", "repo", "path", "source_hash", "revision").dropDuplicates(["source_id"])
     s = b.groupBy("path").agg(F.max_by("source_hash", F.struct("revision", "source_id")).alias("sha256"))
-    own = b.select(F.col("source_id").alias("brief_id"), F.sha2(F.col("path"), 256).alias("fingerprint"), F.lit(0).alias("depth"))
-    dep = b.select(F.col("source_id").alias("brief_id"), "path", F.col("source_hash").alias("hash"))
-    none = own.limit(0).select("brief_id", F.col("brief_id").alias("child_id"), F.col("fingerprint").alias("child_fingerprint"))
-    return RC.eligible_briefs(own, dep, none, s).select("brief_id")
+    mark = F.sha2(F.concat_ws("\0", "path", "source_hash"), 256).alias("fingerprint")
+    leaf = cut(b.select(F.concat_ws("/", "repo", "path", F.col("source_id").cast("string")).alias("brief_id"), "repo", "path", "source_hash", "revision", "source_id", mark))
+    briefs, children = leaf.select("brief_id", "fingerprint", F.lit(0).alias("depth")), None
+    for edition, pick in (("first", F.min_by), ("newest", F.max_by)):
+        e = leaf.groupBy("repo", "path").agg(pick(F.struct("brief_id", "fingerprint"), F.struct("revision", "source_id")).alias("f")).select(F.split(F.concat_ws("/", "repo", "path"), "/").alias("parts"), "f.*")
+        e = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)))
+        name = lambda k: F.concat(F.array_join(F.slice("parts", F.lit(1), k), "/"), F.lit(f"#{edition}"))
+        e = e.select(name(F.col("k")).alias("up"), F.when(F.col("k") + 1 == F.size("parts"), F.col("brief_id")).alias("file_id"), name(F.col("k") + 1).alias("down"), "fingerprint", (F.size("parts") - F.col("k")).alias("height"))
+        d = e.groupBy("up").agg(F.max("height").alias("depth"), F.bit_xor(F.xxhash64("fingerprint")).alias("x")).select(F.col("up").alias("brief_id"), F.sha2(F.concat_ws("\0", "up", F.col("x").cast("string")), 256).alias("fingerprint"), "depth")
+        files = e.filter("file_id IS NOT NULL").select(F.col("up").alias("brief_id"), F.col("file_id").alias("child_id"), F.col("fingerprint").alias("child_fingerprint"))
+        below = e.filter("file_id IS NULL").select(F.col("up").alias("brief_id"), F.col("down").alias("child_id")).distinct().join(d.select(F.col("brief_id").alias("child_id"), F.col("fingerprint").alias("child_fingerprint")), "child_id")
+        briefs = briefs.unionByName(d)
+        children = files.unionByName(below) if children is None else children.unionByName(files).unionByName(below)
+    dep = leaf.select("brief_id", "path", F.col("source_hash").alias("hash"))
+    return RC.eligible_briefs(briefs, dep, children, s).select("brief_id", "depth")
 
 
 _ROUTES = [("shop", "GET", "/orders/<int:id>"), ("shop", "GET", "/orders/open"), ("shop", "GET", "/parts/<name>"), ("shop", "GET", "/files/<path:rest>"), ("shop", "POST", "/orders"), ("shop", "GET", "/<kind>/new")]

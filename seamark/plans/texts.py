@@ -37,6 +37,12 @@ def sections(t):
     return DO.units(s, ["source_id"]).groupBy("source_id").agg(F.count("*").alias("sections"))
 
 
+@plans.query("Y04_sections_all")
+def sections_all(t):
+    s = sources(t).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
+    return DO.units(s, ["source_id"]).groupBy("source_id").agg(F.count("*").alias("sections"))
+
+
 @plans.query("Y06_imports")
 def imports(t):
     return DO.imports(sources(t), ["source_id"])

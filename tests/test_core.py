@@ -199,6 +199,23 @@ def test_documents_tile_the_text(spark):
     assert "… 4 lines" in documents.outline_of("x.py", "def f():\n    a\n    b\n    c\n    d\n")
 
 
+def test_sections_of_fenced_and_underlined_markdown(spark, tmp_path):
+    from seamark.plans import catalog
+
+    texts = [
+        ("a.md", "# A\n````\n# no\n```\n# no\n````\n# B #\n", ["A", "B"]),
+        ("b.markdown", "Title\nof two\n===\n\ntext\n-\n\n---\n\n- item\n---\n> quote\n---\n", ["Title of two", "Title of two / text"]),
+        ("c.MD", "~~~ x\n# no\n```\n~~~~\n## C#\r\nx\r\n--\r\n", ["C#", "x"]),
+        ("d.md", "``` a ``` b\n# A\n####### no\n#no\n    # no\n\n*em*\n---\nf\x0c# no\n", ["A", "A / *em*"]),
+        ("e.md", "```\nnever closed\n# no\n", []),
+        ("f.txt", "# no\n", []),
+    ]
+    spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(texts)], "source_id long, path string, body string").write.parquet(str(tmp_path / "partition_source.parquet"))
+    assert [[u[2] for u in documents.markdown_sections(t)] for p, t, _ in texts[:5]] == [want for _, _, want in texts[:5]]
+    got = {r["source_id"]: r["sections"] for r in catalog.queries()["Y04_sections_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(want) for i, (_, _, want) in enumerate(texts) if want}
+
+
 def test_cards_hold_the_whole_text(spark):
     py = '"""Top."""\nimport os\n\n\nclass A:\n' + "".join(f"    def f{i}(self):\n        return 'é {i}'\n\n" for i in range(300)) + "def g():\n" + "    x = 'word ' * 3\n" * 600
     texts = [("a.py", py), ("b.md", "# A\n\n" + "text é\n" * 2000 + "\n## B\n\nmore\n"), ("c.txt", "€💡" * 3000), ("d.rs", "fn f() {}\r\n" * 900), ("e.txt", " \n"), ("f.py", None), ("g/" * 400 + "h.txt", "x y z\n" * 500)]
@@ -267,6 +284,29 @@ def test_briefs_and_levels(spark):
     assert {(r["brief_id"], r["level"]) for r in lv.collect()} == {("l", 0), ("p", 1), ("q", 1), ("r", 2)}
 
 
+def test_briefs_of_directories_follow_their_files(spark, tmp_path):
+    from seamark.plans import catalog
+
+    rows = [(1, "r", "a/b/x", 1, "h1"), (2, "r", "a/b/y", 1, "h2"), (3, "r", "a/b/y", 2, "h3"), (4, "r", "a/c/z", 1, "h4"), (5, "s", "w", 1, "h5"), (6, "s", "k/1/2/3/4", 1, "h6")]
+    spark.createDataFrame([*rows, rows[0]], "source_id long, repo string, path string, revision long, source_hash string").write.parquet(str(tmp_path / "partition_source.parquet"))
+    got = {(r["brief_id"], r["depth"]) for r in catalog.queries()["C18_briefs"](spark, str(tmp_path)).collect()}
+    files = {(f"{r}/{p}/{i}", 0) for i, r, p, _, _ in rows if i != 2}
+    # as of the first revisions y was another text, so that neither its directory nor those above are current; s lies five levels above a file
+    newest = {("r/a/b#newest", 1), ("r/a/c#newest", 1), ("r/a#newest", 2), ("r#newest", 3), ("r/a/c#first", 1)}
+    assert got == files | newest | {(f"s/k{x}#{e}", n) for e in ("first", "newest") for x, n in (("/1/2/3", 1), ("/1/2", 2), ("/1", 3), ("", 4))}
+
+
+def test_links_of_any_spelling_have_a_state(spark, tmp_path):
+    from seamark.plans import catalog
+
+    a, b = "ab" * 32, "cd" * 32
+    spark.createDataFrame([(1, "r", "x", 1, f"sha256:{a}"), (2, "r", "n", 1, None)], "source_id long, repo string, path string, revision long, source_hash string").write.parquet(str(tmp_path / "partition_source.parquet"))
+    links = [("p", "x", a), ("p", "x", f" sha256:{a.upper()} "), ("p", "x", b), ("p", "x", None), ("p", "x", "abab"), ("p", "x", "none"), ("p", "gone", "none"), ("q", "n", a)]
+    spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "record_id long, repo string, path string, source_hash string").write.parquet(str(tmp_path / "partition_record.parquet"))
+    got = {(r["repo"], r["fresh"], r["stale"], r["missing"]) for r in catalog.queries()["A14_link_states_all"](spark, str(tmp_path)).collect()}
+    assert got == {("p", 2, 4, 1), ("q", 0, 1, 0)}
+
+
 def test_put_and_bins(spark):
     st = spark.createDataFrame([("a", "x")], "id string, text string")
     new = spark.createDataFrame([("a", "x"), ("a2", "y")], "id string, text string").union(spark.createDataFrame([("a", "z")], "id string, text string"))
