@@ -1,7 +1,8 @@
 """Splitting oversized bodies at natural boundaries (problem 6).
 
 A sparse table over the strengths of a body's possible cuts answers range-maximum queries in constant time; each piece ends at the
-strongest cut of its permissible window, the rightmost of equals, and the next piece steps back by the overlap.
+strongest cut of its permissible window, the rightmost of equals, and the next piece steps back by the overlap. Where the window has only
+white space or nothing, an edge, blank line or line end below it goes before a broken line.
 """
 
 from __future__ import annotations
@@ -93,8 +94,14 @@ def split_body(body: bytes, units: list[int], most: int, overlap: int) -> list[t
             break
         lo, hi = start + max(1, int(room * LEAST)), start + room
         i, j = int(np.searchsorted(places, lo, "left")), int(np.searchsorted(places, hi, "right"))
-        if table is not None and i < j:
-            cut = int(places[table.argmax(i, j)])
+        best = table.argmax(i, j) if table is not None and i < j else None
+        if table is not None and (best is None or strength[best] < LINE):
+            first = int(np.searchsorted(places, start, "right"))
+            low = table.argmax(first, i) if first < i else None
+            if low is not None and strength[low] >= LINE:
+                best = low
+        if best is not None:
+            cut = int(places[best])
         else:
             cut = _char_floor(body, hi)
             if cut > start + 1 and body[cut - 1] == 13 and body[cut : cut + 1] == b"\n":
@@ -128,8 +135,8 @@ def split_oversized(sources: DataFrame, units: DataFrame, limits: DataFrame) ->
     """The pieces of each body above the limit of its extension: ``source_id, piece_no, start_byte, end_byte, overlap_bytes, piece``.
 
     ``piece`` begins with the last ``overlap_bytes`` bytes of the piece before; the rest, [start_byte, end_byte), tiles the body. Cuts
-    fall on edges of units that belong to this very body, blank lines, line ends or other white space, and inside a word only where a
-    window has none; characters and CR LF pairs stay whole. Bodies that are null, without a known extension or within the limit have no
+    fall on edges of units that belong to this very body, blank lines, line ends or other white space; a line is broken only where the
+    piece could hold no whole line, and a word only where its window has no white space either; characters and CR LF pairs stay whole. Bodies that are null, without a known extension or within the limit have no
     rows. A row delivered several times is one; null or out-of-range unit offsets are no edges. A limit is at least 8 bytes.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))

@@ -111,6 +111,14 @@ def test_split_prefers_strong_and_late_cuts():
     assert S.split_body(b"a\n" * 20, [], 16, 4)[1] == (12, 16, 28)
 
 
+def test_split_breaks_no_line_that_it_needn_t():
+    body = b"ab\ncd\n" + b"word " * 40
+    assert S.split_body(body, [], 60, 0)[0] == (0, 0, 6)  # not in the long line
+    assert S.split_body(b"w" * 20 + b"\n" + b"v" * 200, [], 60, 8)[0] == (0, 0, 21)
+    assert S.split_body(body, [3], 60, 0)[0] == (0, 0, 3)  # a unit's edge is the strongest
+    assert S.split_body(b"word " * 40, [], 60, 0)[0] == (0, 0, 60)  # no line end: white space of the upper half
+
+
 def test_split_rows(spark):
     lim = spark.createDataFrame([("py", "python", 100, 10), ("md", "m", None, 0), ("rs", "r", 50, None)], "ext string, lang string, max_bytes int, overlap_bytes int")
     text = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(30))
