@@ -13,7 +13,8 @@ class Parser:
     The type of an operator or keyword is its text; others are ID, NUM, STR, CHR, NL, IN, DE, BAD and EOF.
     """
 
-    MAX_DEPTH = 240
+    #: Far above real code; a worker's recursion limit must allow some twenty calls a level.
+    MAX_DEPTH = 5_000
 
     def __init__(self, types: list[str], texts: list[str], places: list[int]):
         self.t, self.v, self.at = types, texts, places

@@ -423,23 +423,23 @@ class Go(Parser):
         self.depth -= 1
 
     def if_(self) -> None:
-        self.eat("if")
-        save, self.level = self.level, -1
-        if self.t[self.i] == "{":
-            self.fail("a condition")
-        if self.t[self.i] != ";":
-            self.simple()
-        if self.got(";"):
-            self.simple()
-        self.level = save
-        self.nested(self.block)
-        if self.got("else"):
-            if self.t[self.i] == "if":
-                self.enter()
-                self.if_()
-                self.depth -= 1
-            else:
+        # a chain of else if is flat: a loop, however long it is
+        while True:
+            self.eat("if")
+            save, self.level = self.level, -1
+            if self.t[self.i] == "{":
+                self.fail("a condition")
+            if self.t[self.i] != ";":
+                self.simple()
+            if self.got(";"):
+                self.simple()
+            self.level = save
+            self.nested(self.block)
+            if not self.got("else"):
+                return
+            if self.t[self.i] != "if":
                 self.nested(self.block)
+                return
 
     def cases(self) -> None:
         self.eat("{")

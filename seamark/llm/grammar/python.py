@@ -220,6 +220,9 @@ def _fields_ok(text: str, level: int) -> bool:
 
 
 class Python(Parser):
+    #: Python itself allows 200 brackets and 100 indents; what it accepts beyond is looked at by its own parser.
+    MAX_DEPTH = 240
+
     pattern = False
 
     # expressions: each gives 1 for a single target (name, attribute, item), 2 for a display of targets, 0 otherwise

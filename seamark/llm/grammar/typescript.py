@@ -1035,10 +1035,16 @@ class TypeScript(Parser):
                 self.i += 1
             self.class_()
         elif x == "if":
+            # a chain of else if is flat: a loop, however long it is
             self.i += 1
             self.condition()
             self.statement()
-            if self.got("else"):
+            while self.got("else"):
+                if self.t[self.i] != "if":
+                    self.statement()
+                    break
+                self.i += 1
+                self.condition()
                 self.statement()
         elif x == "for":
             self.for_()

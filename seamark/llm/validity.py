@@ -77,7 +77,7 @@ _TYPES = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list
 
 def _check(parsers: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(20_000)
+        sys.setrecursionlimit(150_000)
         for b in batches:
             out: list[list] = [[] for _ in _TYPES]
             for sid, repo, lang, body in zip(*(c.to_pylist() for c in b.columns)):

@@ -107,6 +107,22 @@ def test_other_languages_are_refused():
                 assert other == own or check(other) or (check is python_errors and other.startswith("{")), (check, other)
 
 
+def test_long_chains_and_deep_nesting_are_valid(spark):
+    n, deep = 1500, 1000
+    bodies = [
+        ("a.go", "package a\nfunc f(x int) {\n\tif x == 0 {\n\t}" + "".join(f" else if x == {i} {{\n\t}}" for i in range(n)) + " else {\n\t}\n}\n"),
+        ("a.ts", "if (x == 0) {\n}" + "".join(f" else if (x == {i}) {{\n}}" for i in range(n)) + " else {\n}\n"),
+        ("b.ts", "if (a) if (b) c(); else d(); else if (e) f(); else g();\n"),
+        ("b.go", "package a\n\nvar x = " + "(" * deep + "1" + ")" * deep + "\n"),
+        ("c.ts", "x = " + "[" * deep + "]" * deep + ";\n"),
+        ("a.rs", "fn f() " + "{" * deep + "}" * deep),
+        ("a.toml", "x = " + "[" * deep + "]" * deep + "\n"),
+    ]
+    broken = [("d.go", bodies[0][1].replace("else {", "else else {")), ("d.ts", bodies[1][1] + "else {}\n"), ("d.rs", bodies[5][1][:-1])]
+    src = spark.createDataFrame([(i, "r", *x) for i, x in enumerate(bodies + broken)], "source_id long, repo string, path string, body string")
+    assert {r["source_id"] for r in V.check_sources(src).filter("NOT valid").collect()} == {7, 8, 9}
+
+
 def test_files(spark):
     rows = [
         (1, "r", "a.py", "x = 1\n", 5), (1, "r", "a.py", "x = 1\n", 5), (2, "r", "a.PY", "x = (", 5), (3, "r", "a.json", "", 5), (4, "r", "a.rs", "", 5), (5, "r", "a.md", "anything <<<<<<<", 5), (6, "r", "a.go", None, 5), (7, "r", "a.xyz", "?", 5), (8, "r", None, "x", 5),
