@@ -46,13 +46,24 @@ STOP = {
 
 def _rules() -> dict:
     code = (
-        r"\s*(?://|/\*|\*/|\* |#!?\[|@\w|import\s|from\s\S+\simport|use\s\S+;|package\s\w+$|func[\s(]|(?:pub(?:\(\w+\))?\s+)?(?:fn|struct|enum|impl|trait|mod|const|static|type|use)\s|def\s|class\s\w|async\s|let\s|var\s|return\b|"
-        r"if\s.*[:{]\s*$|for\s.*[:{]\s*$|while\s.*[:{]\s*$|else\b.*[:{]?\s*$|try\b\s*[:{]|except\b.*:\s*$|match\s.*\{|switch\s.*\{|case\s.*:|default:|export\s|private\s|public\s|protected\s|interface\s|raise\s|throw\s|continue;?$|break;?$|pass$|\}|\)|\]|'''|\"\"\")"
-        r"|\s*[\w.\[\]]+\s*(?::=|[-+*/|]?=(?![>=]))\s*\S|^\s*[\w.]+\([^)]*\)?[;,]?\s*$|\s+[\w.\"'`]+:?\s.*,\s*$|\s*\w+!\(|\s*[\"'][^\"']*[\"']:\s"
+        r"\s*(?://|/\*|\*/|#!?\[|from\s\S+\simport|func\s*\(|"
+        r"if\s.*[:{]\s*$|for\s.*[:{]\s*$|while\s.*[:{]\s*$|else\s*[:{]\s*$|try\b\s*[:{]|except\b.*:\s*$|match\s.*\{|switch\s.*\{|default:|continue;?$|break;?$|pass$|\}|\)|\]|'''|\"\"\")"
+        r"|\s*[\w.\[\]]+\s*(?::=|[-+*/|]?=(?![>=]))\s*\S|^\s*[\w.]+\([^)]*\)?[;,]?\s*$|\s*\w+!\(|\s*[\"'][^\"']*[\"']:\s"
     )
+    # what code and lists of words have in common: code only by its structure, or beside code
+    word = (
+        r"\s*(?:import\s|use\s\S+;|package\s\w+$|func\s|(?:pub(?:\(\w+\))?\s+)?(?:fn|struct|enum|impl|trait|mod|const|static|type|use)\s|def\s|class\s\w|async\s|let\s|var\s|return\b|"
+        r"else\b|case\s.*:|export\s|private\s|public\s|protected\s|interface\s|raise\s|throw\s)"
+        r"|\s+[\w.\"'`]+:?\s.*,\s*$"
+    )
+    structure = r"\w\(|\)\s*[:;{]|\[\w*\]|[\])}]\s*;?\s*$|=|::|->|^\s*(?:(?:pub|export|private|public|protected|static|abstract|default)\s+)*(?:class|def|struct|enum|impl|trait|interface|mod|type|fn|func)\s[^,;]*[:{]\s*$"
     return {
         "fence": re.compile(r"^\s*(```|~~~)"),
         "code": re.compile(code),
+        "word": re.compile(word),
+        "sign": re.compile(r"\s*(?:\* |@\w)"),
+        "structure": re.compile(structure),
+        "link": re.compile(r"!?\[[^\]]*\]\([^)]*\)|<[^>]*>|(?:https?://|www\.)\S+", re.I),
         "log": re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d|\[?(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\b|at \S+\(|Traceback|File \"|\$ |>>> |\+\+\+ |--- |@@ )"),
         "url": re.compile(r"<a\s[^>]*>|</a>|<br\s*/?>|(?:https?://|www\.)[^\s)\]>\"'<]+", re.I),
         "number": re.compile(r"\d+(?:[.,]\d+)*"),
@@ -72,6 +83,57 @@ def _share(raw: str, r: dict) -> float:
     return (len(c.compress(masked)) + len(c.flush())) / len(raw.encode("utf-8", "replace"))
 
 
+#: How a line stands: text, code by itself, and code if enough code is beside it.
+TEXT, CODE, MAYBE = 0, 1, 2
+
+
+def code_lines(lines: list[str], r: dict) -> list[bool]:
+    """Which of these lines are code; blank and fenced lines between them are left out and end no run.
+
+    A bullet or an ``@word``, a keyword that is a usual word, and a line that ends in ``;``, ``{`` or a comma may stand in text as well. With
+    the structure of code, links aside, such a line is code (bullets and ``@`` never are by themselves); within an open block
+    comment it is; else a run of such lines is code if the code directly before and after it has as many lines.
+    """
+    code, word, sign, structure, link, log = r["code"].match, r["word"].match, r["sign"].match, r["structure"].search, r["link"].sub, r["log"].match
+    kinds = []
+    opened = -1
+    for k, line in enumerate(lines):
+        # a line that begins with a letter and ends as a sentence does needs no look at the rules for code
+        if log(line):
+            kind = CODE
+        elif (line[-1] in ".!?" and line[0].isalpha()) or "<a " in line:
+            kind = TEXT
+        elif code(line):
+            kind = CODE
+        elif sign(line):
+            kind = MAYBE
+        elif line.rstrip()[-1] in ";{" or word(line):
+            kind = CODE if structure(link(" ", line)) else MAYBE
+        else:
+            kind = TEXT
+        kinds.append(kind)
+        if kind != TEXT:
+            if opened < 0 and line.lstrip().startswith("/*") and "*/" not in line:
+                opened = k
+            elif opened >= 0 and line.rstrip().endswith("*/"):
+                # a comment of short lines that was closed: its lines of signs belong to it
+                kinds[opened : k + 1] = [CODE if x == MAYBE and lines[opened + i].lstrip().startswith("*") else x for i, x in enumerate(kinds[opened : k + 1])]
+                opened = -1
+    runs: list[list[int]] = []
+    for k, kind in enumerate(kinds):
+        if runs and runs[-1][0] == kind:
+            runs[-1][2] = k + 1
+        else:
+            runs.append([kind, k, k + 1])
+    out = [kind == CODE for kind in kinds]
+    for i, (kind, a, b) in enumerate(runs):
+        if kind == MAYBE:
+            beside = sum(y - x for near in (runs[i - 1 : i] if i else [], runs[i + 1 : i + 2]) for other, x, y in near if other == CODE)
+            if beside >= b - a:
+                out[a:b] = [True] * (b - a)
+    return out
+
+
 def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]]]:
     """The language by its function words, and of each block (sentences?, characters, compressed share).
 
@@ -80,7 +142,7 @@ def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]]]:
     """
     r = resource("stuffing.rules", _rules)
     stop, known_words, url, ends = r["stop"], r["known"], r["url"], r["ends"]
-    fence, log, code = r["fence"].match, r["log"].match, r["code"].match
+    fence = r["fence"].match
     votes: dict[str, int] = {}
     blocks: list[tuple[bool, int, float]] = []
     streams: tuple[list[str], list[str]] = ([], [])
@@ -88,17 +150,19 @@ def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]]]:
     heard: list[str] = []
     legit = 0
     fenced = False
+    lines: list[str] = []
     for line in text.splitlines():
         if not line or line.isspace():
             continue
-        first, last = line[0], line[-1]
-        if (first == "`" or first == "~" or first == " ") and fence(line):
+        if line[0] in "`~ " and fence(line):
             fenced = not fenced
             legit += len(line)
-            continue
-        # a line that begins with a letter and ends as a sentence does needs no look at the rules for code
-        plain = last in ".!?" and first.isalpha()
-        if fenced or log(line) or (not plain and "<a " not in line and (last in ";{" or code(line))):
+        elif fenced:
+            legit += len(line)
+        else:
+            lines.append(line)
+    for line, is_code in zip(lines, code_lines(lines, r)):
+        if is_code:
             legit += len(line)
             continue
         for piece in ends.split(line):
