@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.operators.flatten import found_leaves, plan_tables, relational, schema_graph, shred
-from seamark.operators.incremental import done_records, merge_done, newest_sources, pending_sources
-from seamark.session import table
+from seamark.operators.incremental import IncrementalRun, done_records, merge_done, newest_sources, pending_of, prepare
+from seamark.session import checkpoint_dir, table
+
+
+def _prepared(spark: SparkSession, d: str, bounds: tuple[int | None, ...]) -> DataFrame:
+    """The pending set that the last of these runs published; each run has its bound, None for the newest completed run."""
+    run = IncrementalRun(spark, f"{checkpoint_dir(spark)}/preparation-{uuid.uuid4().hex}")
+    for upper in bounds:
+        prepare(run, table(spark, d, "partition_source"), table(spark, d, "partition_record"), table(spark, d, "prep_run"), upper)
+    return pending_of(run)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +25,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pending(spark: SparkSession, d: str) -> DataFrame:
-    return pending_sources(table(spark, d, "partition_source"), table(spark, d, "partition_record"), table(spark, d, "prep_run"))
+    return _prepared(spark, d, (None,))
+
+
+def p3_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same after an earlier run up to run 12: its ledger is read back and only later records are folded in."""
+    return _prepared(spark, d, (12, None))
 
 
 def p3_two_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +65,7 @@ def p4_usage(spark: SparkSession, d: str) -> DataFrame:
     return relational(nodes, "usage", cols).select("record_id", "node_path", "kind", *cols)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pending, p3_two_windows, p3_newest, p4_found, p4_tool_calls, p4_usage)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pending, p3_resumed, p3_two_windows, p3_newest, p4_found, p4_tool_calls, p4_usage)}
 
 _HASH = "CASE WHEN regexp_extract(lower(trim({0})), '([0-9a-f]{{64}})$', 1) <> '' THEN regexp_extract(lower(trim({0})), '([0-9a-f]{{64}})$', 1) ELSE lower(trim({0})) END"
 _DONE = f"""
@@ -72,6 +87,7 @@ WHERE d.run_id IS NULL OR coalesce(n.h = d.h, false) = false OR coalesce(d.dg =
 ORACLE = {
     "p3_found": f"SELECT source_id FROM ({_PENDING})",
     "p3_pending": _PENDING,
+    "p3_resumed": _PENDING,
     "p3_two_windows": f"WITH {_DONE} SELECT repo, path, h AS done_hash, dg AS done_digest, run_id AS done_run FROM done",
     "p3_newest": "SELECT repo, path, source_id, source_hash FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY revision DESC, source_id DESC) AS n FROM partition_source) WHERE n = 1",
 }

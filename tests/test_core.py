@@ -82,6 +82,60 @@ def test_two_writers_cannot_publish_one_batch(spark, tmp_path):
     assert run.committed().count() == 5
 
 
+def test_a_second_run_spares_the_folder_of_one_that_still_writes(spark, tmp_path):
+    """The second run starts after the first has written and before it publishes; the batch stays whole."""
+    feed = spark.range(5).withColumnRenamed("id", "seq")
+
+    class Slow(IN.IncrementalRun):
+        def _publish(self, n, mark):
+            IN.IncrementalRun(spark, self.dir)._sweep(IN.IncrementalRun(spark, self.dir).commits())
+            super()._publish(n, mark)
+
+    assert Slow(spark, str(tmp_path / "s")).run(feed, "seq", lambda d: d)["rows"] == 5
+    later = IN.IncrementalRun(spark, str(tmp_path / "s"))
+    assert sorted(r[0] for r in later.committed().collect()) == [0, 1, 2, 3, 4]
+    assert later.run(feed, "seq", lambda d: d) is None
+
+
+def test_what_a_lost_race_left_is_swept_by_the_next_run(spark, tmp_path):
+    feed = spark.range(9).withColumnRenamed("id", "seq")
+    mine = IN.IncrementalRun(spark, str(tmp_path / "s"))
+
+    def other_first(d):
+        IN.IncrementalRun(spark, str(tmp_path / "s")).run(feed.filter("seq < 5"), "seq", lambda x: x)
+        return d
+
+    with pytest.raises(Exception):
+        mine.run(feed.filter("seq < 5"), "seq", other_first)
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 2
+    assert mine.run(feed, "seq", lambda d: d)["rows"] == 4
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 2 and mine.committed().count() == 9
+
+
+def test_a_run_of_lower_id_that_completes_later_is_not_lost(spark, tmp_path):
+    src = spark.createDataFrame([(i, "r", f"p{i}", 1, H, "x", None) for i in range(4)], SRC)
+    rec = spark.createDataFrame([(1, "r", "p0", H, "f", 1), (2, "r", "p1", H, "f", 2), (3, "r", "p2", H, "f", 3)], REC)
+    run = IN.IncrementalRun(spark, str(tmp_path / "s"))
+    ids = lambda: {r["source_id"] for r in IN.pending_of(run).collect()}
+    first = IN.prepare(run, src, rec, spark.createDataFrame([(1, "completed", "f", None), (2, "running", "f", None), (3, "completed", "f", None)], RUN))
+    assert first["high"] == 1 and ids() == {1, 3}
+    second = IN.prepare(run, src, rec, spark.createDataFrame([(1, "completed", "f", None), (2, "completed", "f", None), (3, "completed", "f", None)], RUN))
+    assert (second["low"], second["high"]) == (1, 3) and ids() == {3}
+    assert second["outputs"] == {"ledger": 2, "pending": 1}
+
+
+def test_ledger_is_written_whole_from_time_to_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IN, "COMPACT_AFTER", 2)
+    src = spark.createDataFrame([(i, "r", f"p{i}", 1, H, "x", None) for i in range(6)], SRC)
+    rec = spark.createDataFrame([(i, "r", f"p{i % 4}", H, "f", i + 1) for i in range(5)], REC)
+    run = IN.IncrementalRun(spark, str(tmp_path / "s"))
+    for n in range(1, 6):
+        IN.prepare(run, src, rec, spark.createDataFrame([(i, "completed", "f", None) for i in range(1, n + 1)], RUN))
+    assert ["whole" in c["outputs"] for c in run.commits()] == [False, False, True, False, True]
+    assert {r["source_id"] for r in IN.pending_of(run).collect()} == {4, 5}
+    assert {r["path"]: r["done_run"] for r in IN.ledger_of(run).collect()} == {"p0": 5, "p1": 2, "p2": 3, "p3": 4}
+
+
 RAWS = [
     (1, '{"messages":[{"role":"a","tool_calls":[{"function":{"name":"f","arguments":"{\\"x\\": [1, {\\"y\\": null, \\"z\\": \\"\\"}], \\"t\\": true}"}}]}]}'),
     (2, json.dumps({"messages": [{"tool_calls": [{"function": {"arguments": json.dumps(json.dumps({"k": 1}))}}, {"function": {"arguments": "[1]"}}, {"function": {"arguments": {"d": {"e": 2}}}}, None, {"function": None}]}, {"tool_calls": None}]})),
