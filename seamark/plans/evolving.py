@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.operators.flatten import found_leaves, plan_tables, relational, schema_graph, shred
+from seamark.operators.flatten import DECODED, Plan, found_leaves, plan_tables, relational, scan_records, shred
 from seamark.operators.incremental import IncrementalRun, done_records, merge_done, newest_sources, pending_of, prepare
 from seamark.session import checkpoint_dir, table
 
@@ -47,22 +47,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found_leaves(table(spark, d, "host_record"))
 
 
+def _shredded(spark: SparkSession, d: str, below: tuple[str, ...]) -> tuple[DataFrame, Plan]:
+    scan = scan_records(table(spark, d, "host_record"), below=below)
+    plan = plan_tables(scan.graph)
+    return shred(scan, plan), plan
+
+
 def p4_tool_calls(spark: SparkSession, d: str) -> DataFrame:
     """The tool calls with the keys of their messages, and of how many decoded argument nodes they are the parent."""
-    h = table(spark, d, "host_record")
-    nodes = shred(h, plan_tables(schema_graph(h)), ("tool_call", "argument"))
-    calls = relational(nodes, "tool_call", {"call_id": "id", "call_type": "type", "function_name": "function.name"})
-    args = nodes.filter("table_name = 'argument'").select("record_id", F.col("parent_path").alias("node_path"), F.lit(1).alias("a"), "parent_table").filter("parent_table = 'tool_call'")
-    args = args.groupBy("record_id", "node_path").agg(F.sum("a").alias("n_arguments"))
+    nodes, plan = _shredded(spark, d, ("messages[].tool_calls",))
+    calls = relational(nodes, plan.tables.get("messages[].tool_calls[]", ""), {"call_id": "id", "call_type": "type", "function_name": "function.name"})
+    args = nodes.filter(F.col("table_name").isin(plan.of(*DECODED)) & (F.col("parent_table") == plan.tables.get("messages[].tool_calls[]", "")))
+    args = args.groupBy("record_id", F.col("parent_path").alias("node_path")).agg(F.count("*").alias("n_arguments"))
     return calls.select("record_id", "node_path", F.col("parent_path").alias("message_path"), "ord", "call_id", "call_type", "function_name").join(args, ["record_id", "node_path"], "left").na.fill(0, ["n_arguments"])
 
 
 def p4_usage(spark: SparkSession, d: str) -> DataFrame:
-    """The shared usage element of both dialects, one row per occurrence, linked to its record."""
-    h = table(spark, d, "host_record")
-    nodes = shred(h, plan_tables(schema_graph(h)), ("usage",))
+    """The usage elements of all dialects, one row per occurrence that is an object, linked to its record."""
+    where = ("payload.info.total_token_usage", "payload.info.last_token_usage", "payload.usage", "message.usage")
+    nodes, plan = _shredded(spark, d, where)
     cols = {c: c for c in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens", "input", "output", "cacheRead", "cacheWrite", "totalTokens")}
-    return relational(nodes, "usage", cols).select("record_id", "node_path", "kind", *cols)
+    return relational(nodes.filter(F.col("node_path").isin(*where)), sorted({plan.tables[w] for w in where if w in plan.tables}), cols).select("record_id", "node_path", "kind", *cols)
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pending, p3_resumed, p3_two_windows, p3_newest, p4_found, p4_tool_calls, p4_usage)}
