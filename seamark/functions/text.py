@@ -11,21 +11,30 @@ IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
 #: Languages by extension and by whole file name.
 LANGUAGE_BY_EXTENSION = {
-    "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx",
-    "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift",
-    "scala": "scala", "sh": "shell", "bash": "shell", "lua": "lua", "ex": "elixir", "exs": "elixir", "zig": "zig", "dart": "dart", "hs": "haskell", "ml": "ocaml", "sql": "sql",
-    "md": "markdown", "markdown": "markdown", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "html": "html", "css": "css", "txt": "text", "xml": "xml",
+    "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "go": "go", "c": "c", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "java": "java", "cs": "csharp", "fs": "fsharp", "fsx": "fsharp", "fsi": "fsharp", "vb": "vbnet",
+    "php": "php", "phtml": "php", "pl": "perl", "pm": "perl", "t": "perl", "psgi": "perl", "ps1": "powershell", "psm1": "powershell", "psd1": "powershell", "rb": "ruby", "rake": "ruby", "kt": "kotlin", "kts": "kotlin",
+    "swift": "swift", "scala": "scala", "sc": "scala", "lua": "lua", "dart": "dart", "ex": "elixir", "exs": "elixir", "hs": "haskell", "md": "markdown", "markdown": "markdown", "toml": "toml", "json": "json",
+    "yaml": "yaml", "yml": "yaml", "sh": "bash", "bash": "bash", "zsh": "bash", "sql": "sql", "html": "html", "css": "css",
 }
 LANGUAGE_BY_NAME = {"Rakefile": "ruby", "Gemfile": "ruby"}
 
 #: What makes a path a lock file, a snapshot, generated, vendored or a test, in this order.
-LOCK_NAMES = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Gemfile.lock", "go.sum", "composer.lock", "uv.lock", "bun.lock")
-SNAPSHOT_GLOBS, SNAPSHOT_DIRS = ("*.snap", "*.snapshot"), ("__snapshots__", "snapshots")
-GENERATED_GLOBS, GENERATED_DIRS = ("*.pb.go", "*_pb2.py", "*.generated.*", "*.min.js"), ("generated", "__generated__", "dist", "build")
-VENDORED_DIRS = ("vendor", "third_party", "node_modules", "external")
-TEST_GLOBS, TEST_DIRS = ("*_test.go", "test_*.py", "*_test.py", "*.test.ts", "*.spec.ts", "*.test.js", "*.spec.js", "*_test.rs"), ("test", "tests", "__tests__", "spec", "testdata")
+LOCK_NAMES = (
+    "bun.lock", "bun.lockb", "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "composer.lock", "Gemfile.lock", "poetry.lock", "uv.lock", "Pipfile.lock", "go.sum",
+    "packages.lock.json", "Podfile.lock", "pubspec.lock", "mix.lock", "flake.lock",
+)
+SNAPSHOT_GLOBS, SNAPSHOT_PARTS = ("*.snap",), ("__snapshots__",)
+GENERATED_GLOBS = ("*.min.js", "*.min.css", "*.g.cs", "*.Designer.cs", "*.designer.cs", "*_pb2.py", "*.pb.go", "*.generated.*")
+GENERATED_PARTS = ("generated", "__generated__", "obj")
+VENDORED_PARTS = ("vendor", "third_party", "third-party", "Pods")
+TEST_PARTS = ("test", "tests", "__tests__", "testing", "testdata", "fixtures", "e2e", "spec", "benches")
+TEST_GLOBS = (
+    "tests.rs", "conftest.py", "*_test.go", "test_*.py", "*_test.py", "*.test.*", "*.spec.*", "*_spec.rb", "*Test.java", "*Tests.java", "*Test.kt", "*Tests.kt", "*Test.swift", "*Tests.swift", "*Test.cs", "*Tests.cs",
+    "*Test.php", "*_test.cc", "*_test.cpp", "*_unittest.cc", "*.t", "*.bats",
+)
 #: Order of the roles in every ranking.
-ROLES = ("source", "test", "generated", "vendored", "snapshot", "lock")
+ROLES = ("source", "test", "generated", "vendored", "lock", "snapshot")
 
 
 def subtokens(c: Column) -> Column:
@@ -76,23 +85,22 @@ def in_subtree(path: Column, tree: str) -> Column:
 
 
 def language(path: Column) -> Column:
-    """The language of a path by its file name, else its extension; null if unknown."""
+    """The language of a path by its file name, else its extension as it is spelled; null if unknown or a bare ``.name``."""
     pair = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    return F.coalesce(pair(LANGUAGE_BY_NAME)[basename(path)], pair(LANGUAGE_BY_EXTENSION)[extension(path)])
+    return F.coalesce(pair(LANGUAGE_BY_NAME)[basename(path)], F.when(~basename(path).rlike(r"^\.[^.]*$"), pair(LANGUAGE_BY_EXTENSION)[F.regexp_extract(path, r"\.([^./\\]+)$", 1)]))
 
 
 def path_role(path: Column) -> Column:
-    """lock, snapshot, generated, vendored, test or source; the first that matches."""
-    name, dirs = basename(path), F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1)))
-    dirs = F.when(path.contains("/"), dirs).otherwise(F.array().cast("array<string>"))
-    any_glob = lambda gs: F.greatest(*[glob(name, g) for g in gs])
-    any_dir = lambda ds: F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in ds]))
+    """lock, snapshot, generated, vendored, test or source; the first that matches. The base name is a component of the path like the others."""
+    name, parts = basename(path), F.split(path, "/")
+    any_glob = lambda gs: F.greatest(*[glob(name, g) for g in gs]) if len(gs) > 1 else glob(name, gs[0])
+    any_part = lambda ds: F.arrays_overlap(parts, F.array(*[F.lit(d) for d in ds]))
     return (
         F.when(name.isin(*LOCK_NAMES), "lock")
-        .when(any_glob(SNAPSHOT_GLOBS) | any_dir(SNAPSHOT_DIRS), "snapshot")
-        .when(any_glob(GENERATED_GLOBS) | any_dir(GENERATED_DIRS), "generated")
-        .when(any_dir(VENDORED_DIRS), "vendored")
-        .when(any_glob(TEST_GLOBS) | any_dir(TEST_DIRS), "test")
+        .when(any_glob(SNAPSHOT_GLOBS) | any_part(SNAPSHOT_PARTS), "snapshot")
+        .when(any_glob(GENERATED_GLOBS) | any_part(GENERATED_PARTS), "generated")
+        .when(any_part(VENDORED_PARTS), "vendored")
+        .when(any_glob(TEST_GLOBS) | any_part(TEST_PARTS), "test")
         .otherwise("source")
     )
 
@@ -117,6 +125,11 @@ def find_word(text: Column, word: str) -> Column:
     return F.regexp_instr(text, F.lit(rf"(?<![\p{{IsAlphabetic}}\p{{N}}_$]){w}(?![\p{{IsAlphabetic}}\p{{N}}_$])"))
 
 
+def has_any_word(text: Column, wanted: list[str]) -> Column:
+    """Whether a whole word (letters, digits, underscore; whatever the case) is one of those wanted; null for null."""
+    return F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1), F.array(*[F.lit(w) for w in wanted]))
+
+
 def best_line(text: Column, wanted: list[str]) -> Column:
     """(line, terms): the 0-based line with most distinct wanted terms, the earliest of equals."""
     lines = F.split(text, "\n")

@@ -27,7 +27,7 @@ def search_in(docs: DataFrame, definitions: DataFrame, sources: DataFrame, query
     a = Q.parse_anchors(query)
     names = [*a.fixed, *a.capitalized]
     first = L.resolve(definitions, names, a.qualifiers) if names else None
-    concepts = Q.concepts(query) or [query.lower()]
+    concepts = Q.concepts(query) or [[query.lower()]]
     second = L.prose_hits(docs.select("path", "start", "sha256", "text", "key_hash"), "text", concepts).select("path", "start", "sha256", "score", "key_hash", F.lit(2).alias("tier"))
     if first is not None:
         one = first.select("path", "start", "sha256", (1.0 / F.col("rank")).alias("score"), "key_hash", F.lit(1).alias("tier"))

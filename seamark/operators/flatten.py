@@ -33,6 +33,8 @@ ROOT = "record"
 ALIKE = 0.8
 #: An object of more structured members than this is a map whose keys are data; it is read as free JSON.
 MOST_MEMBERS = 1000
+#: Labels of elements are broadcast up to so many.
+MOST_LABELS = 20_000
 SCALARS = ("string", "number", "boolean")
 SCAN_SCHEMA = "record_id long, elem string, node_path string, parent_elem string, parent_path string, ord int, kind string, value string, cols map<string,struct<kind:string,value:string>>, times long, most long"
 EDGE = "edge:"
@@ -334,7 +336,9 @@ def plan_tables(graph: DataFrame, decoded: tuple[str, ...] = DECODED) -> Plan:
 def _labels(spark, plan: Plan) -> DataFrame:
     """``elem, table_name, own, more``: the table of an element's rows, whether it is the element's own, and by how much its path exceeds the owner's."""
     rows = [(e, t, True, 0) for e, t in plan.tables.items()] + [(e, plan.tables[o], False, len(e) - len(o)) for e, o in plan.owners.items()]
-    return spark.createDataFrame(rows, "elem string, table_name string, own boolean, more int")
+    out = spark.createDataFrame(rows, "elem string, table_name string, own boolean, more int")
+    # as many rows as the schema has elements; they are counted here
+    return F.broadcast(out) if len(rows) <= MOST_LABELS else out
 
 
 def _owner_path(path: Column, more: Column) -> Column:

@@ -71,25 +71,30 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return hit.select(key, score.alias("score"))
 
 
-def concept_score(norm: Column, concepts: list[str], preferred: Column | None = None) -> Column:
-    """Of a normal text: 1 for each distinct concept, a share of 0.5 for each neighbouring pair in order within the slop, a boost for the
-    preferred language.
+def concept_score(norm: Column, concepts: list[list[str]], preferred: Column | None = None) -> Column:
+    """Of a normal text: 1 for each distinct concept, whichever of its words is there, a share of 0.5 for each neighbouring pair in order
+    within the slop, a boost for the preferred language.
 
     All within the row: no positions are exploded and nothing is shuffled.
     """
+    any_of = lambda c: (lambda has: has[0] if len(has) == 1 else F.greatest(*has))([has_term(norm, w) for w in c])
     have = F.lit(0.0)
     for c in concepts:
-        have = have + F.when(has_term(norm, c), 1.0).otherwise(0.0)
+        have = have + F.when(any_of(c), 1.0).otherwise(0.0)
     bonus = F.lit(0.0)
     for a, b in zip(concepts, concepts[1:]):
-        bonus = bonus + F.when(has_term(norm, a) & has_term(norm, b) & followed(norm, a, b), PAIR_BONUS / max(1, len(concepts))).otherwise(0.0)
+        near = F.lit(False)
+        for x in a:
+            for y in b:
+                near = near | followed(norm, x, y)
+        bonus = bonus + F.when(any_of(a) & any_of(b) & near, PAIR_BONUS / max(1, len(concepts))).otherwise(0.0)
     score = have + bonus
     if preferred is not None:
         score = score + F.when(F.coalesce(preferred, F.lit(False)) & (have > 0), LANGUAGE_BOOST).otherwise(0.0)
     return F.when(have > 0, score).otherwise(0.0)
 
 
-def prose_hits(docs: DataFrame, text: str, concepts: list[str], preferred: Column | None = None, top: int = TIER2_WINDOW, tie: str = "key_hash", key: str | None = None) -> DataFrame:
+def prose_hits(docs: DataFrame, text: str, concepts: list[list[str]], preferred: Column | None = None, top: int = TIER2_WINDOW, tie: str = "key_hash", key: str | None = None) -> DataFrame:
     """The best documents for a prose query by (score descending, key hash).
 
     Texts are scored where they are scanned and go no further; ``key`` then drops rows delivered again, narrow as they are. The test for
@@ -137,7 +142,9 @@ def resolve(definitions: DataFrame, anchors: list[str], qualifiers: list[str], w
     d = d.withColumn("qualifier_hits", F.size(F.array_intersect(F.array_distinct("address"), F.array(*[F.lit(q) for q in qualifiers]).cast("array<string>"))))
     d = d.withColumn("exact", F.col("name") == F.col("anchor")).withColumn("role_rank", role_rank(F.col("role")))
     cut = W.partitionBy("anchor").orderBy(F.desc("qualifier_hits"), F.desc("exact"), "role_rank", "key_hash")
-    d = d.withColumn("cut", F.row_number().over(cut)).withColumn("definitions", F.count("*").over(W.partitionBy("anchor"))).filter(F.col("cut") <= window)
+    # counted apart, by partial sums: a count beside the rank would keep Spark from cutting before the shuffle. At most a row for each anchor
+    counts = d.groupBy("anchor").agg(F.count("*").alias("definitions"))
+    d = d.withColumn("cut", F.row_number().over(cut)).filter(F.col("cut") <= window).join(F.broadcast(counts), "anchor")
     listing = W.partitionBy("anchor").orderBy(F.desc("qualifier_hits"), F.desc("exact"), "role_rank", "path", "start", "key_hash")
     return d.withColumn("rank", F.row_number().over(listing)).drop("cut")
 
@@ -201,11 +208,16 @@ def interleave(hits: DataFrame, lane: str, order: list) -> DataFrame:
 
 
 def by_specificity(definitions: DataFrame, run: str, slots: int = TIER1_WINDOW, unique_only: bool = False) -> DataFrame:
-    """Definitions of the runs with fewest definitions first, then by run, path and start, as many as fit: ``..., of_run``."""
-    d = definitions.withColumn("of_run", F.count("*").over(W.partitionBy(run)))
+    """Definitions of the runs with fewest definitions first, then by run, path and start, as many as fit: ``..., of_run``.
+
+    The counts are partial sums; as every run brings a definition at least, the first runs that fill the slots are at most as many as
+    slots, and only their definitions are ranked.
+    """
+    counts = definitions.groupBy(run).agg(F.count("*").alias("of_run"))
     if unique_only:
-        d = d.filter("of_run = 1")
-    return d.orderBy("of_run", run, "path", "start").limit(slots)
+        counts = counts.filter("of_run = 1")
+    first = counts.orderBy("of_run", run).limit(slots)
+    return definitions.join(F.broadcast(first), run).orderBy("of_run", run, "path", "start").limit(slots)
 
 
 def key_hash_of(*parts: Column) -> Column:

@@ -7,13 +7,37 @@ from dataclasses import dataclass, field
 
 MOST_QUERY_BYTES, MOST_LIMIT, MOST_TOKENS = 4096, 64, 32768
 MOST_ANCHORS, MOST_RUNS, MOST_CONCEPTS = 4, 32, 64
-#: Fixed values.
-STOPWORDS = frozenset("a an and are as at be by can do does for from has have how i if in into is it its me my of on or our show so than that the their them then there these they this to us was we what when where which who why will with you your".split())
-NOT_PROSE_FIRST = frozenset("where find locate show who".split())
-DOOR_WORDS = frozenset("who uses use used using callers caller calls call called references reference referenced refs importers imports imported importing usages usage dependents invokes".split())
-EXTENSIONS = {"rust": "rust", "python": "python", "typescript": "typescript", "go": "go", "golang": "go", "markdown": "markdown"}
+#: Words that express no concept, first words of a locator request, words that ask for users of a definition.
+STOPWORDS = frozenset(
+    (
+        "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "do", "does", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "should", "that", "the", "their", "this", "to", "was", "when", "where", "which",
+        "while", "with", "without", "would",
+    )
+)
+NOT_PROSE_FIRST = frozenset(("where", "find", "locate", "show", "who"))
+DOOR_WORDS = frozenset(
+    (
+        "callers", "caller", "calls", "called", "invokes", "invoked", "invokers", "uses", "used", "usage", "usages", "references", "reference", "referenced", "dependents", "depends", "dependency", "dependencies", "impact", "affects",
+        "break", "breaks",
+    )
+)
+#: Languages that prose may ask for, the things that must follow one, words of a request for a symbol.
+LANGUAGES = {"Go": "go", "Rust": "rust", "Python": "python", "Java": "java", "Javascript": "javascript", "JavaScript": "javascript", "Typescript": "typescript", "TypeScript": "typescript", "Ruby": "ruby", "Swift": "swift", "Kotlin": "kotlin"}
+LANGUAGE_THINGS = frozenset(("string", "slice", "map", "array", "boolean", "bytes", "channel", "code", "source", "package", "module", "path", "reader"))
+INCIDENTAL_THINGS = LANGUAGE_THINGS | {"whitespace", "character", "characters", "text"}
+INCIDENTAL_NAMES = frozenset(LANGUAGES) | {"Unicode"}
+SYMBOL_WORDS = frozenset(("call", "invoke", "named", "symbol", "function", "method"))
+#: How a question of behaviour begins, words that make it a locator request, words that say nothing of the behaviour.
+BEHAVIOUR_STARTS = ("how does ", "how do ", "how is ", "why does ", "explain how ", "describe how ")
+LOCATOR_WORDS = frozenset(("find", "locate", "defined", "definition", "definitions"))
+BEHAVIOUR_STOP = frozenset(
+    (
+        "how", "does", "do", "is", "why", "explain", "describe", "the", "a", "an", "it", "its", "and", "or", "to", "of", "in", "on", "with", "for", "when", "before", "after", "first", "that", "this", "handle", "handles",
+    )
+)
+PATH_EXTENSIONS = frozenset(("md", "txt", "rst", "json", "yaml", "yml", "toml", "lock"))
+ENDS = "?.,:"
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
-CHAIN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:(?:::|->)[A-Za-z_$][A-Za-z0-9_$]*)+")
 
 
 def check_query(query: str, limit: int = 10, tokens: int = 4096) -> None:
@@ -28,19 +52,43 @@ def check_query(query: str, limit: int = 10, tokens: int = 4096) -> None:
 
 def code_spans(query: str) -> list[str]:
     """The contents of Markdown code spans: runs of backticks closed by runs of equal length."""
+    return [query[a:b].strip() for a, b in span_ranges(query)]
+
+
+def span_ranges(query: str) -> list[tuple[int, int]]:
+    """Where the contents of code spans lie."""
     out, at = [], 0
     while m := re.compile(r"`+").search(query, at):
         close = re.compile(rf"(?<!`){m.group()}(?!`)").search(query, m.end())
         if close:
-            out.append(query[m.end() : close.start()].strip())
-            at = close.end()
-        else:
-            at = m.end()
+            out.append((m.end(), close.start()))
+        at = close.end() if close else m.end()
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case parts of identifiers and words of at least two characters, as the analyzer of sources has them."""
+    import regex
+
+    parts = regex.split(r"[^\p{L}\p{Nl}\p{N}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", text)
+    return [p.lower() for p in parts if len(p) > 1]
+
+
 def identifier_shaped(word: str) -> bool:
-    return "_" in word or "$" in word or bool(re.search(r"[a-z0-9][A-Z]", word))
+    return "_" in word or "$" in word or bool(re.search(r"[a-z][A-Z]", word))
+
+
+def never_anchors(word: str) -> bool:
+    """Single letters, all capitals without an underscore, and letters with only digits behind them never name a definition by themselves."""
+    return len(word) < 2 or ("_" not in word and word.upper() == word and any(c.isalpha() for c in word)) or bool(re.fullmatch(r"[A-Za-z]+[0-9]+", word))
+
+
+def is_path(token: str) -> bool:
+    """A token with a slash, or that ends in the extension of a known language or of a usual text file."""
+    from seamark.functions.text import LANGUAGE_BY_EXTENSION, LANGUAGE_BY_NAME
+
+    stem, dot, ext = token.rpartition(".")
+    return "/" in token or "\\" in token or token in LANGUAGE_BY_NAME or bool(dot and stem and (ext in LANGUAGE_BY_EXTENSION or ext in PATH_EXTENSIONS))
 
 
 @dataclass
@@ -50,44 +98,69 @@ class Anchors:
     fixed: list[str] = field(default_factory=list)
     capitalized: list[str] = field(default_factory=list)
     qualifiers: list[str] = field(default_factory=list)
+    #: Where each capitalized one stands.
+    places: dict[str, int] = field(default_factory=dict)
 
 
 def parse_anchors(query: str) -> Anchors:
-    """Group 1 from code spans, 2 identifier-shaped words and chains, 3 capitalized words that aren't the first; paths only qualify."""
-    out, seen = Anchors(), set()
-
-    def add(target: list[str], name: str) -> None:
-        if name.lower() not in seen and len(name) > 1:
+    """Marked names first, then identifier-shaped ones and names of chains, then capitalized words that aren't the first.
+
+    A chain is names joined by ``::`` or ``->``, within a code span also by ``.``; its last one is the name, the others qualify. Tokens that
+    are paths only qualify. Within a span a name may hold hyphens between letters. Of equal names, whatever the case, the first counts;
+    of fixed ones at most four do, and what is marked beyond them qualifies.
+    """
+    out = Anchors()
+    spans = span_ranges(query)
+    inside = lambda at: next((k for k, (a, b) in enumerate(spans) if a <= at < b), None)
+    qualifiers: list[str] = []
+    free = list(query)
+    for m in re.finditer(r"[^\s`]+", query):
+        token = m.group().lstrip("([{<\"'").rstrip(")]}>\"',;:!?.")
+        if token and is_path(token):
+            at = m.start() + m.group().index(token)
+            free[at : at + len(token)] = " " * len(token)
+            stem = re.sub(r"\.[^./]*$", "", token.lower())
+            qualifiers += [x for x in re.split(r"[^a-z0-9_$]+", stem) if x]
+    text = "".join(free)
+    # each match is a chain, cut further below where a joint isn't one
+    names: list[list[tuple[int, int]]] = []
+    for m in re.finditer(r"[A-Za-z_$][A-Za-z0-9_$]*(?:(?<=[A-Za-z])-(?=[A-Za-z])[A-Za-z_$][A-Za-z0-9_$]*)*", text):
+        parts = [m.span()] if inside(m.start()) is not None else [(m.start() + x.start(), m.start() + x.end()) for x in IDENTIFIER.finditer(m.group())]
+        for a, b in parts:
+            last = names[-1][-1] if names else None
+            joint = text[last[1] : a] if last else ""
+            if last and inside(last[0]) == inside(a) and (joint in ("::", "->") or (joint == "." and inside(a) is not None)):
+                names[-1].append((a, b))
+            else:
+                names.append([(a, b)])
+    start = len(query) - len(query.lstrip())
+    first_end = start + len((query.split() or [""])[0])
+    marked, shaped, capital = [], [], []
+    for chain in names:
+        a, b = chain[-1]
+        qualifiers += [text[x:y].lower() for x, y in chain[:-1]]
+        name = text[a:b]
+        if inside(a) is not None:
+            marked.append(name)
+        elif len(chain) > 1 or (identifier_shaped(name) and not never_anchors(name)):
+            shaped.append(name)
+        elif name[0].isupper() and not never_anchors(name) and not start <= a < first_end:
+            capital.append((name, a))
+    seen: set[str] = set()
+    for k, name in enumerate([*marked, *shaped]):
+        if name.lower() not in seen:
             seen.add(name.lower())
-            target.append(name)
-
-    spans = code_spans(query)
-    for s in spans:
-        parts = re.split(r"::|->|\.", s)
-        if all(IDENTIFIER.fullmatch(p) for p in parts):
-            add(out.fixed, parts[-1])
-            out.qualifiers += [p.lower() for p in parts[:-1]]
-        else:
-            for p in IDENTIFIER.findall(s):
-                add(out.fixed, p)
-    rest = re.sub(r"`+[^`]*`+", " ", query)
-    first = True
-    for word in rest.split():
-        w = word.strip(".,;:!?()[]{}\"'")
-        if not w:
-            continue
-        if "/" in w:
-            out.qualifiers += [x.lower() for x in re.split(r"[^A-Za-z0-9_$]+", re.sub(r"\.[^./]*$", "", w)) if x]
-        elif CHAIN.fullmatch(w):
-            parts = re.split(r"::|->", w)
-            add(out.fixed, parts[-1])
-            out.qualifiers += [p.lower() for p in parts[:-1]]
-        elif IDENTIFIER.fullmatch(w) and identifier_shaped(w):
-            add(out.fixed, w)
-        elif not first and w[0].isupper() and IDENTIFIER.fullmatch(w) and w.lower() not in STOPWORDS:
-            add(out.capitalized, w)
-        first = False
-    out.qualifiers = list(dict.fromkeys(out.qualifiers))
+            if len(out.fixed) < MOST_ANCHORS:
+                out.fixed.append(name)
+            elif k < len(marked):
+                qualifiers.append(name.lower())
+    if len(out.fixed) < MOST_ANCHORS:
+        for name, at in capital:
+            if name.lower() not in seen:
+                seen.add(name.lower())
+                out.capitalized.append(name)
+                out.places[name] = at
+    out.qualifiers = list(dict.fromkeys(qualifiers))
     return out
 
 
@@ -97,39 +170,67 @@ def select_anchors(a: Anchors, defined: set[str]) -> list[str]:
 
 
 def runs(query: str) -> list[str]:
-    """Distinct identifier runs, those of code spans first, at most 32."""
+    """Distinct identifiers in lower case: those of code spans if there are any, else all; at most 32."""
     marked = [r for s in code_spans(query) for r in IDENTIFIER.findall(s)]
-    return list(dict.fromkeys([*marked, *IDENTIFIER.findall(query)]))[:MOST_RUNS]
-
-
-def concepts(query: str) -> list[str]:
-    """Words that carry meaning, in order, plural acronyms as their singular, at most 64."""
-    out: list[str] = []
-    for w in re.findall(r"[A-Za-z0-9]+", query):
-        if re.fullmatch(r"[A-Z]{2,}s", w):
-            w = w[:-1]
-        w = w.lower()
-        if len(w) > 1 and w not in STOPWORDS and w not in out:
-            out.append(w)
-    return out[:MOST_CONCEPTS]
+    return list(dict.fromkeys(x.lower() for x in (marked or IDENTIFIER.findall(query))))[:MOST_RUNS]
+
+
+def concepts(query: str) -> list[list[str]]:
+    """The concepts of a prose query, each with the words that express it: a plural acronym and its singular are one.
+
+    Stop words and the language that the query asks for are none; a word that came before adds to its concept; at most 64.
+    """
+    asked = language_preference(query)
+    out: list[list[str]] = []
+    for word in query.split():
+        w = word.rstrip(ENDS)
+        forms = [[w[:-1].lower(), w.lower()]] if re.fullmatch(r"[A-Z]{2,}s", w) else [[x] for x in words_of(w)]
+        for f in forms:
+            if f[0] in STOPWORDS or f[0] == asked:
+                continue
+            old = next((c for c in out if set(c) & set(f)), None)
+            if old is not None:
+                old += [x for x in f if x not in old]
+            elif len(out) < MOST_CONCEPTS:
+                out.append(f)
+    return out
 
 
 def is_prose(query: str) -> bool:
-    """At least three words, all alphabetic, and no search verb first."""
-    words = query.strip().rstrip("?.!").split()
-    return len(words) >= 3 and all(w.strip(",;:'\"").isalpha() for w in words) and words[0].lower() not in NOT_PROSE_FIRST
+    """At least three words, all of letters with single hyphens, and no search verb first."""
+    words = query.split()
+    return len(words) >= 3 and words[0].lower() not in NOT_PROSE_FIRST and all(p.isalpha() for w in words for p in w.rstrip(ENDS).split("-"))
 
 
 def asks_for_doors(query: str) -> bool:
+    """Whether a whole word of the query asks for the users of a definition."""
     return any(w in DOOR_WORDS for w in re.findall(r"[a-z0-9_]+", query.lower()))
 
 
-def asks_behaviour(query: str) -> bool:
-    """A question how or why something is done."""
-    return bool(re.match(r"(?i)\s*(how|why|what happens|when)\b", query)) and not asks_for_doors(query)
+def behaviour_terms(query: str, name: str, kind: str) -> list[str]:
+    """What a question of behaviour asks about a single resolved type, empty where it is none of that: its words without the type's own."""
+    if not query.strip().lower().startswith(BEHAVIOUR_STARTS) or kind not in ("struct", "class", "interface", "enum", "trait"):
+        return []
+    words = words_of(query)
+    if LOCATOR_WORDS.intersection(words):
+        return []
+    return sorted(set(words) - set(words_of(name)) - BEHAVIOUR_STOP)
+
+
+def incidental_anchor(query: str, name: str, place: int) -> bool:
+    """Whether a capitalized word of prose is part of a hyphenated one or only names a language, so that it is no anchor."""
+    before, after = query[:place], query[place + len(name) :]
+    if before.endswith("-") or after.startswith("-"):
+        return True
+    if name not in INCIDENTAL_NAMES or any(w.lower() in SYMBOL_WORDS for w in before.split()):
+        return False
+    return bool(after.split()) and after.split()[0].rstrip(ENDS) in INCIDENTAL_THINGS
 
 
 def language_preference(query: str) -> str | None:
-    """The language that a prose query names, if it names one."""
-    named = {EXTENSIONS[w] for w in re.findall(r"[a-z]+", query.lower()) if w in EXTENSIONS}
+    """The language that a prose query asks for: one capitalized name before a kind of thing, and no request for a symbol."""
+    words = query.split()
+    if any(w.lower() in SYMBOL_WORDS for w in words):
+        return None
+    named = {LANGUAGES[a] for a, b in zip(words, words[1:]) if a in LANGUAGES and b.rstrip(ENDS) in LANGUAGE_THINGS}
     return named.pop() if len(named) == 1 else None

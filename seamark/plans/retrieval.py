@@ -9,11 +9,13 @@ from seamark.operators import freshness as R
 from seamark.operators import lexical as L
 from seamark.operators import query_text as Q
 from seamark.plans.registry import Plans
-from seamark.plans.storage import NEWEST, newest
+from seamark.plans.storage import NEWEST, SQL_ROLE, newest
 
 plans = Plans()
 QUERY = "Why does the packet reader refuse an empty token before the ledger is written?"
 CONCEPTS = Q.concepts(QUERY)
+#: The concepts of the query, written out for SQL.
+_SQL_CONCEPTS = "['why', 'packet', 'reader', 'refuse', 'empty', 'token', 'before', 'ledger', 'written']"
 _DOCS = "(SELECT DISTINCT doc_id, text, lang, source, repo FROM documents WHERE text IS NOT NULL)"
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _H = "CAST(concat('0x', substr(sha256({0}), 1, 16)) AS UBIGINT)::DECIMAL(20,0)"
@@ -27,10 +29,10 @@ def docs(t):
 _P = f"""
 d AS (SELECT *, {_H.format("doc_id::VARCHAR")} AS key_hash FROM {_DOCS}),
 p AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM d),
-q AS (SELECT unnest({CONCEPTS}) AS term, generate_subscripts({CONCEPTS}, 1) AS k),
+q AS (SELECT unnest({_SQL_CONCEPTS}) AS term, generate_subscripts({_SQL_CONCEPTS}, 1) AS k),
 c AS (SELECT doc_id, count(DISTINCT term) AS n FROM p JOIN q USING (term) GROUP BY doc_id),
 b AS (SELECT doc_id, count(*) AS pairs FROM (SELECT DISTINCT p1.doc_id, q1.k FROM q q1 JOIN q q2 ON q2.k = q1.k + 1 JOIN p p1 ON p1.term = q1.term JOIN p p2 ON p2.doc_id = p1.doc_id AND p2.term = q2.term AND p2.pos - p1.pos BETWEEN 1 AND 17) GROUP BY doc_id),
-s AS (SELECT d.doc_id, d.source, d.repo, d.key_hash, c.n + coalesce(b.pairs, 0) * (0.5::DOUBLE / {len(CONCEPTS)}) + CASE WHEN coalesce(d.lang = 'en', false) THEN 65.0::DOUBLE ELSE 0 END AS score FROM d JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)),
+s AS (SELECT d.doc_id, d.source, d.repo, d.key_hash, c.n + coalesce(b.pairs, 0) * (0.5::DOUBLE / 9) + CASE WHEN coalesce(d.lang = 'en', false) THEN 65.0::DOUBLE ELSE 0 END AS score FROM d JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)),
 top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, key_hash) AS place FROM s QUALIFY place <= 256)
 """
 
@@ -120,6 +122,22 @@ def resolver(t):
     return r.select("anchor", "source_id", "definitions", F.col("rank").cast("long").alias("rank"), F.col("qualifier_hits").cast("long").alias("qualifier_hits"), "exact")
 
 
+_ANY_ROLE = ["", "tests/", "src/generated/", "vendor/x/", "__snapshots__/", ""]
+
+
+@plans.query("W01_roles", f"""WITH d0 AS (SELECT source_id, name, key_hash, CASE source_id % 6 WHEN 1 THEN 'tests/' || path WHEN 2 THEN 'src/generated/' || path WHEN 3 THEN 'vendor/x/' || path WHEN 4 THEN '__snapshots__/' || path WHEN 5 THEN path || '/yarn.lock' ELSE path END AS path FROM (WITH {_DEFS} SELECT * FROM defs)),
+d1 AS (SELECT *, {SQL_ROLE} AS role FROM d0), d2 AS (SELECT *, list_position(['source', 'test', 'generated', 'vendored', 'lock', 'snapshot'], role) AS role_rank FROM d1 WHERE name IN ('merge', 'rank', 'cut')),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY role_rank, key_hash) AS cut FROM d2)
+SELECT name AS anchor, source_id, role, row_number() OVER (PARTITION BY name ORDER BY role_rank, path, key_hash) AS rank FROM r WHERE cut <= 1024""")
+def resolver_roles(t):
+    """The resolver's order over paths of all six roles."""
+    d = definitions(t)
+    at = F.col("source_id") % 6
+    path = F.when(at == 5, F.concat("path", F.lit("/yarn.lock"))).otherwise(F.concat(F.element_at(F.array(*[F.lit(x) for x in _ANY_ROLE]), (at + 1).cast("int")), "path"))
+    d = d.withColumn("path", path).withColumn("role", X.path_role(F.col("path")))
+    return L.resolve(d, ["merge", "rank", "cut"], [], 1024).select("anchor", "source_id", "role", F.col("rank").cast("long").alias("rank"))
+
+
 @plans.query("W02_resolved", f"""WITH {_RES}, f AS (SELECT anchor, qualifier_hits, exact, role_rank FROM w WHERE rank = 1)
 SELECT w.anchor, max(w.definitions) AS definitions, CASE WHEN count(*) FILTER (WHERE w.qualifier_hits = f.qualifier_hits AND w.exact = f.exact AND w.role_rank = f.role_rank) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state,
  count(*) FILTER (WHERE w.qualifier_hits = f.qualifier_hits AND w.exact = f.exact AND w.role_rank = f.role_rank) AS ties FROM w JOIN f USING (anchor) GROUP BY w.anchor""")

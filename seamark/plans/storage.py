@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seamark.functions import identity as I
 from seamark.functions import numeric as N
 from seamark.functions import text as X
+from seamark.operators.query_text import DOOR_WORDS
 from seamark.plans.registry import Plans, Tables
 from seamark.sources import workspace as S
 
@@ -91,22 +92,28 @@ def subtree(t):
     return t.partition_source.filter(X.in_subtree(F.col("path"), "./src/graph/")).select("repo", "path", "source_id")
 
 
-_DIR = "list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1)"
-
-
-def _rx(globs):
-    return "|".join("^" + g.replace(".", r"\.").replace("*", ".*") + "$" for g in globs)
-
-
-@plans.query("F03_path_role", f"""
-SELECT repo, path, CASE WHEN string_split(path, '/')[-1] IN ({", ".join(f"'{n}'" for n in X.LOCK_NAMES)}) THEN 'lock'
- WHEN regexp_matches(string_split(path, '/')[-1], '{_rx(X.SNAPSHOT_GLOBS)}') OR list_has_any({_DIR}, {list(X.SNAPSHOT_DIRS)}) THEN 'snapshot'
- WHEN regexp_matches(string_split(path, '/')[-1], '{_rx(X.GENERATED_GLOBS)}') OR list_has_any({_DIR}, {list(X.GENERATED_DIRS)}) THEN 'generated'
- WHEN list_has_any({_DIR}, {list(X.VENDORED_DIRS)}) THEN 'vendored'
- WHEN regexp_matches(string_split(path, '/')[-1], '{_rx(X.TEST_GLOBS)}') OR list_has_any({_DIR}, {list(X.TEST_DIRS)}) THEN 'test' ELSE 'source' END AS role
-FROM (SELECT DISTINCT repo, path FROM partition_source)""")
+#: Roles of paths, written out for SQL.
+SQL_ROLE = r"""CASE WHEN string_split(path, '/')[-1] IN ('bun.lock', 'bun.lockb', 'package-lock.json', 'npm-shrinkwrap.json', 'yarn.lock', 'pnpm-lock.yaml', 'Cargo.lock', 'composer.lock', 'Gemfile.lock', 'poetry.lock', 'uv.lock', 'Pipfile.lock', 'go.sum', 'packages.lock.json', 'Podfile.lock', 'pubspec.lock', 'mix.lock', 'flake.lock') THEN 'lock'
+ WHEN string_split(path, '/')[-1] LIKE '%.snap' OR list_contains(string_split(path, '/'), '__snapshots__') THEN 'snapshot'
+ WHEN regexp_matches(string_split(path, '/')[-1], '\.min\.(js|css)$|\.g\.cs$|\.[Dd]esigner\.cs$|_pb2\.py$|\.pb\.go$|\.generated\.') OR list_has_any(string_split(path, '/'), ['generated', '__generated__', 'obj']) THEN 'generated'
+ WHEN list_has_any(string_split(path, '/'), ['vendor', 'third_party', 'third-party', 'Pods']) THEN 'vendored'
+ WHEN list_has_any(string_split(path, '/'), ['test', 'tests', '__tests__', 'testing', 'testdata', 'fixtures', 'e2e', 'spec', 'benches'])
+  OR regexp_matches(string_split(path, '/')[-1], '^tests\.rs$|^conftest\.py$|_test\.go$|^test_.*\.py$|_test\.py$|\.test\.|\.spec\.|_spec\.rb$|Tests?\.(java|kt|swift|cs)$|Test\.php$|_test\.(cc|cpp)$|_unittest\.cc$|\.t$|\.bats$') THEN 'test'
+ ELSE 'source' END"""
+#: One path for each rule of the roles, and some that only look like one.
+_ROLE_CASES = (
+    ("web/package-lock.json", "lock"), ("go.sum", "lock"), ("a/flake.lock", "lock"), ("my.lock", "source"), ("ui/x.snap", "snapshot"), ("a/__snapshots__/x.ts", "snapshot"), ("a/snapshots/x.ts", "source"), ("x.snapshot", "source"),
+    ("a/app.min.css", "generated"), ("A.g.cs", "generated"), ("Form.Designer.cs", "generated"), ("m_pb2.py", "generated"), ("m.pb.go", "generated"), ("a.generated.ts", "generated"), ("obj/a.cs", "generated"), ("dist/a.js", "source"), ("build/a.js", "source"),
+    ("a/Pods/b.swift", "vendored"), ("third-party/a.c", "vendored"), ("vendor", "vendored"), ("node_modules/a.js", "source"), ("external/a.c", "source"), ("src/benches/a.rs", "test"), ("e2e/a.ts", "test"), ("fixtures/a.json", "test"),
+    ("src/tests.rs", "test"), ("conftest.py", "test"), ("a_test.go", "test"), ("test_a.py", "test"), ("a.test.tsx", "test"), ("a_spec.rb", "test"), ("ATests.kt", "test"), ("ATest.php", "test"), ("ATests.php", "source"), ("a_unittest.cc", "test"),
+    ("x.t", "test"), ("x.bats", "test"), ("src/latest.rs", "source"), ("Tests/a.rs", "source"), ("vendor/package-lock.json", "lock"), ("tests/__snapshots__/a.rs", "snapshot"), ("vendor/tests/a.rs", "vendored"),
+)
+
+
+@plans.query("F03_path_role", f"SELECT repo, path, {SQL_ROLE} AS role FROM (SELECT DISTINCT repo, path FROM partition_source) UNION ALL SELECT repo, path, role FROM (VALUES " + ", ".join(f"('case', '{p}', '{r}')" for p, r in _ROLE_CASES) + ") AS v(repo, path, role)")
 def role(t):
-    return t.partition_source.select("repo", "path").distinct().withColumn("role", X.path_role(F.col("path")))
+    cases = t.spark.createDataFrame([("case", p) for p, _ in _ROLE_CASES], "repo string, path string")
+    return t.partition_source.select("repo", "path").distinct().unionByName(cases).withColumn("role", X.path_role(F.col("path")))
 
 
 @plans.query("F04_language", """
@@ -201,10 +208,11 @@ def lines(t):
     return d.select("source_id", X.line_range(F.col("body"), F.lit(2), F.lit(3)).alias("lines"))
 
 
-@plans.query("F11_router", r"SELECT row_id FROM session_entry WHERE len(list_intersect(regexp_extract_all(lower(content_text), '[a-z0-9_]+'), ['who', 'uses', 'callers', 'references', 'lookup'])) > 0")
+@plans.query("F11_router", r"""
+SELECT row_id FROM session_entry WHERE len(list_intersect(regexp_extract_all(lower(content_text), '[a-z0-9_]+'), ['callers', 'caller', 'calls', 'called', 'invokes', 'invoked', 'invokers', 'uses', 'used', 'usage', 'usages', 'references', 'reference',
+ 'referenced', 'dependents', 'depends', 'dependency', 'dependencies', 'impact', 'affects', 'break', 'breaks'])) > 0""")
 def router(t):
-    words = F.regexp_extract_all(F.lower("content_text"), F.lit("([a-z0-9_]+)"), 1)
-    return t.session_entry.filter(F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("who", "uses", "callers", "references", "lookup")]))).select("row_id")
+    return t.session_entry.filter(X.has_any_word(F.col("content_text"), sorted(DOOR_WORDS))).select("row_id")
 
 
 @plans.query("C12_retrieve", f"""

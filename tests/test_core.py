@@ -237,10 +237,45 @@ def test_retrieve_slices_bytes_of_any_text(spark, tmp_path):
 
 def test_query_text():
     a = query_text.parse_anchors("Why does `Engine::open` call load_index in src/store/Mod.rs and not Reader or the reader?")
-    assert a.fixed == ["open", "load_index"] and a.capitalized == ["Reader"] and a.qualifiers == ["engine", "src", "store", "mod"]
+    assert a.fixed == ["open", "load_index"] and a.capitalized == ["Reader"] and a.qualifiers == ["src", "store", "mod", "engine"]
     assert query_text.select_anchors(a, set()) == ["open", "load_index"] and query_text.select_anchors(a, {"Reader"})[-1] == "Reader"
-    assert query_text.is_prose("How are stale units dropped?") and not query_text.is_prose("find stale units now") and query_text.asks_for_doors("who calls x")
-    assert query_text.concepts("The APIs of the index") == ["api", "index"] and query_text.language_preference("in rust code") == "rust"
+    b = query_text.parse_anchors("`a.b` `to-json` `c` `d` `e` MCP v2 T002 x->y fooBar fooBar Cargo.lock")
+    assert b.fixed == ["b", "to-json", "c", "d"] and b.capitalized == [] and b.qualifiers == ["cargo", "a", "x", "e"]
+    assert query_text.runs("call `Foo.bar` and foo baz") == ["foo", "bar"] and query_text.runs("foo Baz foo") == ["foo", "baz"]
+    for text, want in (("How are stale units dropped?", True), ("How are read-only files kept?", True), ("find stale units now", False), ("why x2 fails", False), ("two words", False), ("a - b", False)):
+        assert query_text.is_prose(text) == want
+    for text, want in (("who calls x", True), ("the impact of x", True), ("preferences of a calls_tracker", False), ("who use importers", False), ("does it break", True)):
+        assert query_text.asks_for_doors(text) == want
+
+
+def test_concepts_of_prose():
+    c = query_text.concepts
+    assert c("Why does the packet reader refuse an empty token before the ledger is written?") == [["why"], ["packet"], ["reader"], ["refuse"], ["empty"], ["token"], ["before"], ["ledger"], ["written"]]
+    # both forms of an acronym are one concept, in whatever order they come
+    assert c("collect CPUs utilization sample") == [["collect"], ["cpu", "cpus"], ["utilization"], ["sample"]]
+    assert c("collect CPUs CPU sample") == c("collect CPUs sample") and c("collect CPU CPUs sample") == [["collect"], ["cpu", "cpus"], ["sample"]]
+    assert c("parse HTTPServer2 names") == [["parse"], ["http"], ["server"], ["names"]]
+    # the language that is asked for is a preference, no concept
+    assert c("trim whitespace from a Go string") == [["trim"], ["whitespace"], ["string"]] and c("could should while without would") == []
+    lang = query_text.language_preference
+    assert lang("trim a Go string") == "go" and lang("in rust code") is None and lang("go through the code") is None and lang("call Go string helper") is None and lang("a Go string or a Rust slice") is None and lang("a Go map of Go code.") == "go"
+
+
+def test_incidental_anchors_and_behaviour():
+    q = "remove whitespace from a Go string"
+    assert query_text.incidental_anchor(q, "Go", q.index("Go")) and not query_text.incidental_anchor("call Go string helper", "Go", 5) and not query_text.incidental_anchor("start Go with a callback", "Go", 6)
+    assert query_text.incidental_anchor("a Read-only file", "Read", 2)
+    assert query_text.behaviour_terms("How does Ledger keep order?", "Ledger", "struct") == ["keep", "order"]
+    assert query_text.behaviour_terms("How does Ledger keep order?", "Ledger", "fn") == [] and query_text.behaviour_terms("How does one find the definition of Ledger?", "Ledger", "struct") == []
+
+
+def test_concept_alternatives_count_once(spark):
+    d = spark.createDataFrame([("cpu",), ("cpus",), ("cpu cpus",), ("cpu usage",), ("usage",)], "t string")
+    got = [r[0] for r in d.select(L.concept_score(L.normal(F.col("t")), [["cpu", "cpus"], ["usage"]])).collect()]
+    assert got == [1.0, 1.0, 1.0, 2.25, 1.0]
+
+
+def test_limits_of_queries():
     assert query_text.code_spans("a ``b ` c`` `d`") == ["b ` c", "d"]
     for bad in ("  ", "x" * 5000):
         with pytest.raises(ValueError):
