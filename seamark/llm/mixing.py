@@ -5,8 +5,9 @@
 3. Projected gradient descent on the squared distance of the expected tokens of each source from its target finds a nonnegative rate for
    every text, capped by the repeats its source allows. Every step is one distributed sum of a few numbers; rates are recomputed from the
    steps so far, which are the only state.
-4. A text is drawn floor(rate + u) times with its own fixed u; a last factor per source makes the drawn shares, not only the expected
-   ones, meet the targets.
+4. Rates become whole repeats from the longest text to the shortest: each is rounded up or down so that the tokens drawn so far keep to
+   the tokens expected so far. What was rounded off a long text is made up by shorter ones, so that the drawn shares are the expected
+   ones but for about one short text of each group.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from seamark.session import cut
 #: Buckets of hashed token ids that the classifier counts.
 BUCKETS = 1024
 #: The classifier is fitted on about so many labelled rows, chosen by a hash of their id; the only sample taken here.
-SAMPLE = 4000
-EPOCHS, RATE, DECAY = 120, 0.01, 1e-3
+SAMPLE = 8000
+EPOCHS, RATE, DECAY = 120, 0.01, 1e-2
 #: Steps of the descent at most, and the share of the whole at which it has converged.
 STEPS, TOLERANCE = 25, 1e-4
-FACTORS = 65
+#: Texts that are rounded one after the other in one group; a source has as many groups as it takes.
+GROUP = 200_000
 
 
 def measure(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
@@ -113,20 +115,44 @@ def _rates(p: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarra
     return r
 
 
-def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The drawn texts: ``doc_id, source, tokens, rate, repeats`` with ``repeats`` from 1 to the cap of the source.
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one group after the other, longest text first; the state is one number."""
+    now, owed = None, 0.0
+    for b in batches:
+        rate, tokens = b.column("rate").to_numpy(), b.column("tokens").to_numpy()
+        out = np.zeros(len(rate), np.int32)
+        for i, key in enumerate(zip(b.column("cls").to_pylist(), b.column("part").to_pylist())):
+            if key != now:
+                now, owed = key, 0.0
+            r, t = rate[i], tokens[i]
+            owed += r * t
+            k = min(max(int(owed / t + 0.5), int(r)), int(np.ceil(r)))
+            owed -= k * t
+            out[i] = k
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "cls", "tokens", "p", "rate")), pa.array(out)], names=["doc_id", "cls", "tokens", "p", "rate", "repeats"])
+
+
+RATED = "doc_id long, source string, tokens long, rate double, repeats int, membership array<double>"
 
-    The size of the mixture is the largest at which every target can be met. One document stands for all copies of its text, so that no
-    text is drawn more often than its source allows (of copies, the labelled one of smallest id). ``source`` is that of the row, or the
-    most probable one of a row that has none. Defined cases: null and blank texts and sources that aren't listed take no part; a source
-    without any text makes its share unreachable and is left out, the others keep their proportions; empty tables give no rows.
+
+def rate_texts(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every text that takes part: ``doc_id, source, tokens, rate, repeats, membership``; ``repeats`` may be 0.
+
+    ``membership`` holds the posteriors of the listed sources in alphabetical order. The size of the mixture is the largest at which every
+    target can be met. One document stands for all copies of its text, so that no text is drawn more often than its source allows (of
+    copies, the labelled one of smallest id). ``source`` is that of the row, or the most probable one of a row that has none. Defined
+    cases: null and blank texts and sources that aren't listed take no part; a source without any text makes its share unreachable and is
+    left out, the others keep their proportions; empty tables give no rows.
     """
     spark = documents.sparkSession
-    out = "doc_id long, source string, tokens long, rate double, repeats int"
     # the targets are a configuration table of a few rows
     want = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").orderBy("source").collect()]
     if not want:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], RATED)
     names, n = [w[0] for w in want], len(want)
     share, repeats = np.array([w[1] for w in want]), np.array([w[2] for w in want] + [0])
     measured = cut(measure(documents, names, vocabulary))
@@ -142,9 +168,10 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
             if soft and model is not None:
                 p[soft] = np.round(model.posterior(unpacked([counts[i] for i in soft])), 6)
             best = p.argmax(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(tokens, pa.int64()), pa.array(p[:, :n].tolist(), pa.list_(pa.float64())), pa.array(repeats[best], pa.int32())], names=["doc_id", "cls", "tokens", "p", "cap"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n), pa.array(np.ascontiguousarray(p[:, :n]).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(tokens, pa.int64()), lists, pa.array(repeats[best], pa.int32())], names=["doc_id", "cls", "tokens", "p", "cap"])
 
-    once = measured.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("doc_id", "cls", "tokens", "counts"), F.struct((F.col("cls") < 0), "doc_id")).alias("d")).select("d.*")
+    once = measured.filter("doc_id IS NOT NULL AND tokens > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "cls", "tokens", "counts"), F.struct((F.col("cls") < 0), "doc_id")).alias("d")).select("d.*")
     pool = cut(once.mapInArrow(posteriors, "doc_id long, cls int, tokens long, p array<double>, cap int").filter("cap > 0"))
     # texts of equal membership and cap have equal rates: one cell for all texts of a labelled source
     cells = cut(pool.groupBy("p", "cap").agg(F.sum("tokens").alias("tokens")))
@@ -154,7 +181,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
             total = np.zeros((3, n))
             for b in batches:
                 if b.num_rows:
-                    p = np.array(b.column(0).to_pylist())
+                    p = _matrix(b.column(0), n)
                     cap, t = b.column(1).to_numpy(), b.column(2).to_numpy()
                     total[0] += (_rates(p, cap, steps) * t) @ p
                     total[1] += (cap * t) @ p
@@ -169,7 +196,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
     now, most, have = totals([])
     reach = most > 0
     if not reach.any():
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], RATED)
     share = np.where(reach, share, 0)
     share = share / share.sum()
     size = min(most[s] / share[s] for s in range(n) if share[s] > 0)
@@ -182,53 +209,42 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOC
         steps.append(np.where(reach, gap / np.maximum(have, 1e-9), 0.0))
         now = totals(steps)[0]
 
-    def drawn(p: np.ndarray, cap: np.ndarray, cls: np.ndarray, u: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = np.minimum(cap, _rates(p, cap, steps) * factor[cls])
-        return r, np.floor(r + u).astype(np.int64)
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                r = _rates(_matrix(b.column(3), n), b.column(4).to_numpy(), steps)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(r)], names=["doc_id", "cls", "tokens", "p", "rate"])
+
+    # one number for each source
+    parts = {r["cls"]: -(-r["n"] // GROUP) for r in pool.groupBy("cls").agg(F.count("*").alias("n")).collect()}
+    per = F.create_map(*[x for c, k in sorted(parts.items()) for x in (F.lit(c), F.lit(k))])
+    u = F.xxhash64("doc_id", F.lit("draw"))
+    r = pool.select("doc_id", "cls", "tokens", "p", "cap").mapInArrow(rated, "doc_id long, cls int, tokens long, p array<double>, rate double").withColumn("part", F.pmod(u, per[F.col("cls")]).cast("int")).withColumn("u", u)
+    ordered = r.repartition("cls", "part").sortWithinPartitions("cls", "part", F.desc("tokens"), "u", "doc_id").select("doc_id", "cls", "tokens", "p", "rate", "part")
+    drawn = ordered.mapInArrow(_rounded, "doc_id long, cls int, tokens long, p array<double>, rate double, repeats int")
+    source = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("cls") + 1)
+    return drawn.select("doc_id", source.alias("source"), "tokens", "rate", "repeats", F.col("p").alias("membership"))
 
-    pool = pool.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40)))
 
-    def trials(center: np.ndarray, width: float) -> np.ndarray:
-        tries = 1 + width * np.linspace(-1, 1, FACTORS)
+def draw_mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The drawn texts of ``rate_texts``: ``doc_id, source, tokens, rate, repeats`` with ``repeats`` from 1 to the cap of the source."""
+    return rate_texts(documents, targets, vocabulary).filter("repeats > 0").drop("membership")
 
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((FACTORS, n))
-            for b in batches:
-                if b.num_rows:
-                    p = np.array(b.column(0).to_pylist())
-                    cap, t, cls, u = (b.column(i).to_numpy() for i in range(1, 5))
-                    base = _rates(p, cap, steps)
-                    for j in range(FACTORS):
-                        k = np.floor(np.minimum(cap, base * (center * tries[j])[cls]) + u)
-                        total[j] += np.bincount(cls, k * t, minlength=n)[:n]
-            yield pa.RecordBatch.from_arrays([pa.array([j for j in range(FACTORS) for _ in range(n)], pa.int32()), pa.array(list(range(n)) * FACTORS, pa.int32()), pa.array(total.ravel())], names=["k", "s", "v"])
-
-        got = np.zeros((FACTORS, n))
-        for r in pool.select("p", "cap", "tokens", "cls", "u").mapInArrow(part, "k int, s int, v double").groupBy("k", "s").agg(F.sum("v").alias("v")).collect():
-            got[r["k"], r["s"]] = r["v"]
-        return center * tries[np.abs(got - goal).argmin(0)]
 
-    factor, width = np.ones(n), 0.5
-    for _ in range(3):
-        factor = trials(factor, width)
-        width *= 3 / (FACTORS - 1)
+def mixture_report(rated: DataFrame, targets: DataFrame) -> DataFrame:
+    """Shares of the mixture by source: ``source, target_share, expected_share, drawn_share, actual_share, tokens, documents, most_repeats, max_repeats``.
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                p = np.array(b.column(3).to_pylist())
-                cls, t, cap, u = (b.column(i).to_numpy() for i in (1, 2, 4, 5))
-                r, k = drawn(p, cap, cls, u, factor)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[c] for c in cls], pa.string()), b.column(2), pa.array(r), pa.array(k, pa.int32())], names=["doc_id", "source", "tokens", "rate", "repeats"])
-
-    return pool.select("doc_id", "cls", "tokens", "p", "cap", "u").mapInArrow(final, out).filter("repeats > 0")
-
-
-def mixture_report(draws: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, actual_share, tokens, documents, most_repeats``: the shares of the tokens drawn."""
-    g = draws.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    whole = g.agg(F.sum("tokens").alias("whole"))
-    t = targets.filter("source IS NOT NULL").select("source", "target_share", "max_repeats")
-    g = t.join(g, "source", "left").na.fill(0, ["tokens", "documents", "most_repeats"])
-    # one row against the few rows of the target table
-    return g.join(F.broadcast(whole), how="inner", on=F.lit(True)).select("source", "target_share", (F.col("tokens") / F.col("whole")).alias("actual_share"), "tokens", "documents", "most_repeats", "max_repeats")
+    Expected and drawn shares are those of the rates and of the repeats by membership; the actual share counts a text wholly for its
+    source. A listed source without texts has shares of 0.
+    """
+    listed = F.array_sort(F.collect_list("source"))
+    t = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("source", "target_share", "max_repeats")
+    # one row for each source of the configuration table
+    at = t.agg(listed.alias("all")).select(F.posexplode("all").alias("k", "source"))
+    sums = rated.select("source", "tokens", "rate", "repeats", F.posexplode("membership").alias("k", "m")).groupBy("k").agg(F.sum(F.col("m") * F.col("rate") * F.col("tokens")).alias("expected"), F.sum(F.col("m") * F.col("repeats") * F.col("tokens")).alias("drawn"))
+    g = rated.filter("repeats > 0").groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
+    j = t.join(at, "source").join(sums, "k", "left").join(g, "source", "left").na.fill(0, ["expected", "drawn", "tokens", "documents", "most_repeats"])
+    whole = j.agg(F.sum("expected").alias("e"), F.sum("drawn").alias("d"), F.sum("tokens").alias("t"))
+    j = j.join(F.broadcast(whole), how="inner", on=F.lit(True))  # one row against the few rows of the target table
+    of = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return j.select("source", "target_share", of("expected", "e").alias("expected_share"), of("drawn", "d").alias("drawn_share"), of("tokens", "t").alias("actual_share"), "tokens", "documents", "most_repeats", "max_repeats")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seamark.llm.conversations import rebuild_conversations
-from seamark.llm.mixing import draw_mixture, mixture_report
+from seamark.llm.mixing import draw_mixture, mixture_report, rate_texts
 from seamark.llm.packing import pack, packing_report
 from seamark.llm.pairs import code_pairs, documented_units
 from seamark.llm.splitting import split_oversized
@@ -65,7 +66,13 @@ def p8_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture_report(p8_draws(spark, d), table(spark, d, "mix_target"))
+    return mixture_report(rate_texts(table(spark, d, "documents"), table(spark, d, "mix_target")), table(spark, d, "mix_target"))
+
+
+def p8_shares_met(spark: SparkSession, d: str) -> DataFrame:
+    """Whether expected, drawn and actual shares are within 0.005 of the target and no text is drawn too often."""
+    near = lambda c: F.abs(F.col(c) - F.col("target_share")) <= 0.005
+    return p8_shares(spark, d).select("source", "target_share", near("expected_share").alias("expected"), near("drawn_share").alias("drawn"), near("actual_share").alias("actual"), (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,10 +84,12 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p7_assignments, p7_report, p8_draws, p8_shares, p9_found, p9_pages)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p7_assignments, p7_report, p8_draws, p8_shares, p8_shares_met, p9_found, p9_pages)}
 
 
 ORACLE = {
+    # what the shares must be, from the targets alone
+    "p8_shares_met": "SELECT source, target_share, true AS expected, true AS drawn, true AS actual, true AS capped FROM mix_target",
     # the rows above the limit, counted without the operator
     "p6_found": """
 SELECT DISTINCT s.source_id

@@ -203,11 +203,27 @@ def test_mixing(spark):
     share = (got.tokens * got.repeats).groupby(got.source).sum() / (got.tokens * got.repeats).sum()
     assert abs(share["x"] - 0.5) < 0.02 and abs(share["y"] - 0.2) < 0.02 and abs(share["z"] - 0.3) < 0.02
     assert all(got[got.doc_id.between(5000, 5999)].source == "z")
-    rep = {r["source"]: r["actual_share"] for r in M.mixture_report(spark.createDataFrame(got), t).collect()}
-    assert abs(rep["x"] - share["x"]) < 1e-9
+    rep = {r["source"]: r for r in M.mixture_report(M.rate_texts(d, t), t).collect()}
+    assert set(rep) == set(cap) and all(abs(rep[s]["actual_share"] - share[s]) < 1e-9 for s in cap)
+    for s, want in (("x", 0.5), ("y", 0.2), ("z", 0.3)):
+        assert abs(rep[s]["expected_share"] - want) < 0.005 and abs(rep[s]["drawn_share"] - rep[s]["expected_share"]) < 0.005
     assert M.draw_mixture(d.limit(0), t).count() == 0 and M.draw_mixture(d, t.limit(0)).count() == 0
 
 
+def test_rounding_keeps_to_the_expected_tokens(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted(([k, 0, k % 2, rng.choice((1, 5, 40, 3000)), [1.0], rng.random() * 2.5] for k in range(2000)), key=lambda r: (r[2], -r[3]))
+    names = ("doc_id", "cls", "part", "tokens", "p", "rate")
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i : i + 300]))))) for i in range(0, 2000, 300)]
+    got = [r for b in M._rounded(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == 2000 and all(int(r["rate"]) <= r["repeats"] <= int(r["rate"]) + 1 for r in got)
+    for part in (0, 1):
+        mine = [r for r in got if r["doc_id"] % 2 == part]
+        assert abs(sum(r["tokens"] * (r["rate"] - r["repeats"]) for r in mine)) <= 1
+
+
 def test_classifier_holds_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("source IS NOT NULL AND length(text) > 40")
     names = sorted(r[0] for r in d.select("source").distinct().collect())
