@@ -10,16 +10,13 @@ class Panic(Exception):
 class Parser:
     """A cursor over parallel lists of token types, texts and places.
 
-    The type of an operator or keyword is its text; others are ID, NUM, STR, CHR, NL, IN, DE, BAD and EOF.
+    The type of an operator or keyword is its text; others are ID, NUM, STR, CHR, NL, IN, DE, BAD and EOF. Nesting has no bound of its own:
+    calls of Python functions live on the heap, about a kilobyte for each level, so that only the worker's recursion limit has to be lifted.
     """
 
-    #: Far above real code; a worker's recursion limit must allow some twenty calls a level.
-    MAX_DEPTH = 5_000
-
     def __init__(self, types: list[str], texts: list[str], places: list[int]):
         self.t, self.v, self.at = types, texts, places
         self.i = 0
-        self.depth = 0
         self.errors: list[tuple[int, str]] = []
 
     def fail(self, what: str):

@@ -121,9 +121,6 @@ class Toml(Parser):
                 self.i += 1
         elif x == "[":
             self.i += 1
-            self.depth += 1
-            if self.depth > self.MAX_DEPTH:
-                self.fail("less nesting")
             while True:
                 while self.got("NL"):
                     pass
@@ -135,7 +132,6 @@ class Toml(Parser):
                 if not self.got(","):
                     self.eat("]")
                     break
-            self.depth -= 1
         elif x == "{":
             self.i += 1
             if not self.got("}"):
@@ -169,7 +165,6 @@ class Toml(Parser):
                 if self.t[self.i] != "EOF":
                     self.eat("NL")
             except Panic:
-                self.depth = 0
                 while self.t[self.i] not in ("NL", "EOF"):
                     self.i += 1
 

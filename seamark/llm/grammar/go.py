@@ -51,11 +51,6 @@ def tokenize(src: str) -> tuple[list[str], list[str], list[int]]:
 class Go(Parser):
     level = 0  # below zero in the clause of a control statement, where composite literals need brackets
 
-    def enter(self) -> None:
-        self.depth += 1
-        if self.depth > self.MAX_DEPTH:
-            self.fail("less nesting")
-
     # types
 
     def type_(self) -> None:
@@ -64,7 +59,6 @@ class Go(Parser):
 
     def try_type(self) -> bool:
         x = self.t[self.i]
-        self.enter()
         if x == "ID":
             self.i += 1
             if self.got("."):
@@ -114,9 +108,7 @@ class Go(Parser):
             self.i += 1
             self.interface()
         else:
-            self.depth -= 1
             return False
-        self.depth -= 1
         return True
 
     def nested(self, f) -> None:
@@ -198,7 +190,6 @@ class Go(Parser):
     # expressions
 
     def expr(self, least: int = 1) -> None:
-        self.enter()
         self.unary()
         while True:
             p = BIN.get(self.t[self.i], 0)
@@ -206,7 +197,6 @@ class Go(Parser):
                 break
             self.i += 1
             self.expr(p + 1)
-        self.depth -= 1
 
     def unary(self) -> None:
         while self.t[self.i] in ("+", "-", "!", "^", "*", "&", "<-"):
@@ -304,9 +294,7 @@ class Go(Parser):
 
     def element(self) -> None:
         if self.t[self.i] == "{":
-            self.enter()
             self.composite()
-            self.depth -= 1
         else:
             self.expr()
 
@@ -324,13 +312,13 @@ class Go(Parser):
 
     def statements(self, ends: tuple[str, ...]) -> None:
         while self.t[self.i] not in ends and self.t[self.i] != "EOF":
-            start, depth, level = self.i, self.depth, self.level
+            start, level = self.i, self.level
             try:
                 self.statement()
                 if self.t[self.i] not in ends and self.t[self.i] != "EOF":
                     self.eat(";")
             except Panic:
-                self.depth, self.level = depth, level
+                self.level = level
                 self.skip_to((";", "}"))
                 self.got(";")
                 if self.i == start:
@@ -358,7 +346,6 @@ class Go(Parser):
         return False
 
     def statement(self) -> None:
-        self.enter()
         x = self.t[self.i]
         if x in ("var", "const", "type"):
             self.declaration()
@@ -420,7 +407,6 @@ class Go(Parser):
             self.fail("( of a function literal")
         else:
             self.simple()
-        self.depth -= 1
 
     def if_(self) -> None:
         # a chain of else if is flat: a loop, however long it is
@@ -549,7 +535,7 @@ class Go(Parser):
                 if self.t[self.i] != "EOF":
                     self.eat(";")
             except Panic:
-                self.depth = self.level = 0
+                self.level = 0
                 self.skip_to((";",))
                 self.got(";")
                 if self.i == start:

@@ -52,7 +52,7 @@ def tokenize(src: str) -> tuple[list[str], list[str], list[int]]:
     pos = 0
     it = rx["tok"].finditer(src)
     margin = ""
-    for m in it:
+    while (m := next(it, None)) is not None:
         k = m.lastgroup
         x = m.group()
         if k == "w":
@@ -102,6 +102,13 @@ def tokenize(src: str) -> tuple[list[str], list[str], list[int]]:
                     elif stack[-1][1] != alt:
                         add("BAD", "inconsistent use of tabs and spaces", pos)
         if k == "ID":
+            if len(x) < 3 and x.lower() in ("f", "rf", "fr") and src[m.end() : m.end() + 1] in ("'", '"') and m.end() < len(src):
+                # no string by the pattern, but a field may go over lines
+                end = _string_end(src, m.end(), True)
+                if end > 0:
+                    add("STR", src[pos:end], pos)
+                    it = rx["tok"].finditer(src, end)
+                    continue
             add(x if x in KEYWORDS else "ID", x, pos)
         elif k == "op":
             if x in "([{":
@@ -126,6 +133,12 @@ def tokenize(src: str) -> tuple[list[str], list[str], list[int]]:
                 else:
                     add("BAD", f"invalid number {x[:20]!r}", pos)
         elif k == "STR":
+            if "{" in x and x.count("{") != x.count("}") and "f" in x[:2].lower():
+                # a field may hold the string's own quote
+                end = _string_end(src, pos + re.search("[\"']", x).start(), True)
+                if end > m.end():
+                    x = src[pos:end]
+                    it = rx["tok"].finditer(src, end)
             add("STR", x, pos)
         else:
             add("BAD", "unterminated string" if x in "\"'" else f"stray {x!r}", pos)
@@ -142,6 +155,59 @@ def tokenize(src: str) -> tuple[list[str], list[str], list[int]]:
     return t, v, at
 
 
+def _string_end(text: str, at: int, fields: bool) -> int:
+    """The place behind the string whose quote is at ``at``, -1 if it has no end; ``fields`` if braces hold expressions."""
+    quote = text[at] * 3 if text.startswith(text[at] * 3, at) else text[at]
+    i, n = at + len(quote), len(text)
+    while i < n:
+        c = text[i]
+        if c == quote[0] and text.startswith(quote, i):
+            return i + len(quote)
+        if c == "\\" or (fields and text.startswith("{{", i)):
+            i += 2
+        elif c == "\n" and len(quote) == 1:
+            return -1
+        elif fields and c == "{":
+            i = _field_end(text, i)
+            if i < 0:
+                return -1
+        else:
+            i += 1
+    return -1
+
+
+def _quoted(text: str, at: int) -> int:
+    """The same for a quote within an expression, whose letters before it say what it is."""
+    return _string_end(text, at, "f" in re.search(r"[A-Za-z]{0,2}$", text[max(0, at - 2) : at]).group().lower())
+
+
+def _field_end(text: str, at: int) -> int:
+    """The place behind the replacement field that begins at ``at``, -1 if it has no end."""
+    depth, j, n = 0, at + 1, len(text)
+    while j < n:
+        c = text[j]
+        if c in "\"'":
+            j = _quoted(text, j)
+            if j < 0:
+                return -1
+            continue
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            if depth == 0:
+                return j + 1 if c == "}" else -1
+            depth -= 1
+        elif c == ":" and depth == 0 and not text.startswith(":=", j):
+            j += 1
+            while j < n and text[j] != "}":
+                j = _field_end(text, j) if text[j] == "{" else j + 1
+                if j < 0:
+                    return -1
+            return j + 1 if j < n else -1
+        j += 1
+    return -1
+
+
 def _fstring_ok(text: str) -> bool:
     known = resource("grammar.python", _rx)["fexpr"]
     hit = known.get(text)
@@ -160,17 +226,16 @@ def _fields_ok(text: str, level: int) -> bool:
             if text.startswith("{{", i) and level == 0:
                 i += 2
                 continue
-            depth, j, quote = 0, i + 1, None
+            depth, j = 0, i + 1
             spec = None
             while j < n:
                 c = text[j]
-                if quote:
-                    if text.startswith(quote, j):
-                        j += len(quote) - 1
-                        quote = None
-                elif c in "\"'":
-                    quote = c
-                elif c in "([{":
+                if c in "\"'":
+                    j = _quoted(text, j)
+                    if j < 0:
+                        return False
+                    continue
+                if c in "([{":
                     depth += 1
                 elif c in ")]}":
                     if depth == 0:
@@ -220,9 +285,6 @@ def _fields_ok(text: str, level: int) -> bool:
 
 
 class Python(Parser):
-    #: Python itself allows 200 brackets and 100 indents; what it accepts beyond is looked at by its own parser.
-    MAX_DEPTH = 240
-
     pattern = False
 
     # expressions: each gives 1 for a single target (name, attribute, item), 2 for a display of targets, 0 otherwise
@@ -238,9 +300,6 @@ class Python(Parser):
         return k
 
     def expr(self) -> int:
-        self.depth += 1
-        if self.depth > self.MAX_DEPTH:
-            self.fail("less nesting")
         t = self.t
         if t[self.i] == "lambda":
             self.i += 1
@@ -256,7 +315,6 @@ class Python(Parser):
                 self.eat("else")
                 self.expr()
                 k = 0
-        self.depth -= 1
         return k
 
     def binary(self, least: int) -> int:
@@ -548,7 +606,6 @@ class Python(Parser):
 
     def recover(self, start: int) -> None:
         """Drop the rest of the logical line and any block below it."""
-        self.depth = 0
         self.pattern = False
         t = self.t
         while t[self.i] not in ("NL", "EOF"):
@@ -775,7 +832,6 @@ class Python(Parser):
                 if self.t[self.i] in ("IN", "NL", "DE"):
                     raise
             self.i = save
-            self.depth = 0
             del self.errors[errors:]
         while True:
             self.item()

@@ -80,11 +80,6 @@ def tokenize(src: str) -> tuple[list[str], list[str], list[int]]:
 
 
 class Rust(Parser):
-    def enter(self) -> None:
-        self.depth += 1
-        if self.depth > self.MAX_DEPTH:
-            self.fail("less nesting")
-
     def split(self, x: str) -> bool:
         """Whether the token begins with ``x``; if so, only that much of it is taken."""
         y = self.t[self.i]
@@ -213,7 +208,6 @@ class Rust(Parser):
         self.type_no_bounds(True)
 
     def type_no_bounds(self, plus: bool = False) -> None:
-        self.enter()
         x = self.t[self.i]
         if x in ("&", "&&"):
             self.i += 1
@@ -278,7 +272,6 @@ class Rust(Parser):
         if plus and self.t[self.i] == "+":
             self.i += 1
             self.bounds()
-        self.depth -= 1
 
     def generics(self) -> None:
         if not self.split("<"):
@@ -338,7 +331,6 @@ class Rust(Parser):
         return False
 
     def pattern_one(self) -> None:
-        self.enter()
         self.attributes()
         x = self.t[self.i]
         if x in ("&", "&&"):
@@ -407,12 +399,10 @@ class Rust(Parser):
             self.block()
         else:
             self.fail("a pattern")
-        self.depth -= 1
 
     # expressions
 
     def expr(self, least: int = 1, struct: bool = True) -> None:
-        self.enter()
         t = self.t
         x = t[self.i]
         if x in ("..", "..="):
@@ -427,7 +417,6 @@ class Rust(Parser):
         else:
             self.unary(struct)
         self.climb(least, struct)
-        self.depth -= 1
 
     def climb(self, least: int, struct: bool) -> None:
         t = self.t
@@ -685,11 +674,10 @@ class Rust(Parser):
         while self.t[self.i] != "}":
             if self.t[self.i] == "EOF":
                 self.fail("}")
-            start, depth = self.i, self.depth
+            start = self.i
             try:
                 self.statement()
             except Panic:
-                self.depth = depth
                 self.skip_to((";", "}"))
                 self.got(";")
                 if self.i == start:
@@ -700,7 +688,6 @@ class Rust(Parser):
         t = self.t
         if self.got(";"):
             return
-        self.enter()
         self.attributes()
         x = t[self.i]
         if x == "let":
@@ -721,7 +708,6 @@ class Rust(Parser):
                 ended = self.primary(True)
                 if ended and t[self.i] not in (".", "?"):
                     self.got(";")
-                    self.depth -= 1
                     return
                 self.postfix(False, True)
                 self.climb(1, True)
@@ -729,7 +715,6 @@ class Rust(Parser):
                 self.expr()
             if t[self.i] != "}":
                 self.eat(";")
-        self.depth -= 1
 
     def is_item(self) -> bool:
         x, y = self.t[self.i], self.t[self.i + 1]
@@ -749,7 +734,6 @@ class Rust(Parser):
         return False
 
     def item(self) -> None:
-        self.enter()
         t = self.t
         if self.got("pub") and t[self.i] == "(" and t[self.i + 1] in ("crate", "super", "self", "in"):
             self.tree()
@@ -880,7 +864,6 @@ class Rust(Parser):
                     self.eat(";")
             else:
                 self.fail("an item")
-        self.depth -= 1
 
     def trait(self) -> None:
         self.eat("trait")
@@ -966,9 +949,7 @@ class Rust(Parser):
                 return
             if self.got("{"):
                 while self.t[self.i] != "}":
-                    self.enter()
                     self.use()
-                    self.depth -= 1
                     if not self.got(","):
                         break
                 self.eat("}")
@@ -987,14 +968,13 @@ class Rust(Parser):
             self.i += 2
             self.tree()
         while self.t[self.i] not in (end, "EOF"):
-            start, depth = self.i, self.depth
+            start = self.i
             try:
                 self.attributes()
                 if self.t[self.i] in (end, "EOF", ";"):
                     self.fail("an item")
                 self.item()
             except Panic:
-                self.depth = depth
                 self.skip_to((";", "}"))
                 if not self.got(";") and end == "EOF":
                     self.got("}")

@@ -119,6 +119,7 @@ class TypeScript(Parser):
         self.no_in = False
         self.no_conditional = False
         self.plain = False
+        self.mates: dict[int, int] | None = None
 
     def fail(self, what: str):
         i = min(self.i, len(self.t) - 1)
@@ -127,23 +128,18 @@ class TypeScript(Parser):
             raise Panic
         super().fail(what)
 
-    def enter(self) -> None:
-        self.depth += 1
-        if self.depth > self.MAX_DEPTH:
-            self.fail("less nesting")
-
     def word(self, w: str, k: int = 0) -> bool:
         j = self.i + k
         return self.t[j] == "ID" and self.v[j] == w
 
     def attempt(self, f) -> bool:
         """Run ``f``; on an error go back as if it hadn't been tried."""
-        i, depth, errors, a, b, c = self.i, self.depth, len(self.errors), self.no_in, self.no_conditional, self.plain
+        i, errors, a, b, c = self.i, len(self.errors), self.no_in, self.no_conditional, self.plain
         try:
             f()
             return True
         except Panic:
-            self.i, self.depth, self.no_in, self.no_conditional, self.plain = i, depth, a, b, c
+            self.i, self.no_in, self.no_conditional, self.plain = i, a, b, c
             del self.errors[errors:]
             return False
 
@@ -171,7 +167,6 @@ class TypeScript(Parser):
     # types
 
     def type_(self) -> None:
-        self.enter()
         if self.is_function_type():
             self.function_type()
         else:
@@ -187,7 +182,6 @@ class TypeScript(Parser):
                 self.eat(":")
                 self.type_()
                 self.no_conditional = save
-        self.depth -= 1
 
     def is_function_type(self) -> bool:
         x = self.t[self.i]
@@ -208,16 +202,15 @@ class TypeScript(Parser):
         return False
 
     def mate(self, i: int) -> int:
-        level, t = 0, self.t
-        while t[i] != "EOF":
-            if t[i] in ("(", "[", "{"):
-                level += 1
-            elif t[i] in (")", "]", "}"):
-                level -= 1
-                if level == 0:
-                    return i
-            i += 1
-        return len(t) - 2
+        """Where the bracket at ``i`` closes; all pairs are found in one pass when the first is asked for."""
+        if self.mates is None:
+            self.mates, open_ = {}, []
+            for k, x in enumerate(self.t):
+                if x in ("(", "[", "{"):
+                    open_.append(k)
+                elif x in (")", "]", "}") and open_:
+                    self.mates[open_.pop()] = k
+        return self.mates.get(i, len(self.t) - 2)
 
     def function_type(self) -> None:
         if self.word("abstract"):
@@ -252,7 +245,6 @@ class TypeScript(Parser):
             self.i += 1
 
     def postfix_type(self) -> None:
-        self.enter()
         while (self.t[self.i] == "ID" and self.v[self.i] in ("keyof", "unique", "readonly", "infer") and not self.nl[self.i + 1] and self.t[self.i + 1] in ("ID", "[", "(", "{", "typeof", "this", "STR", "void", "null")) and True:
             infer = self.v[self.i] == "infer"
             self.i += 1
@@ -327,7 +319,6 @@ class TypeScript(Parser):
                 self.i += 1
             else:
                 break
-        self.depth -= 1
 
     def infer_bound(self) -> None:
         self.i += 1
@@ -451,7 +442,6 @@ class TypeScript(Parser):
         self.no_in = save
 
     def assignment(self) -> None:
-        self.enter()
         t = self.t
         x = t[self.i]
         if x == "ID":
@@ -459,36 +449,30 @@ class TypeScript(Parser):
             if t[self.i + 1] == "=>" and not self.nl[self.i + 1]:
                 self.i += 1
                 self.arrow_tail()
-                self.depth -= 1
                 return
             if w == "async" and not self.nl[self.i + 1]:
                 if t[self.i + 1] == "ID" and self.peek(2) == "=>":
                     self.i += 2
                     self.arrow_tail()
-                    self.depth -= 1
                     return
                 if t[self.i + 1] in ("(", "<") and self.attempt(self.async_head):
                     self.arrow_tail()
-                    self.depth -= 1
                     return
             if w == "yield":
                 self.i += 1
                 if not self.nl[self.i] and t[self.i] not in (")", "]", "}", ",", ";", ":", "EOF", "in"):
                     self.got("*")
                     self.assignment()
-                self.depth -= 1
                 return
         elif x == "(":
             j = self.mate(self.i)
             after = t[j + 1] if j + 1 < len(t) else "EOF"
             if (after == "=>" or (after == ":" and not self.plain)) and self.attempt(self.arrow_head):
                 self.arrow_tail()
-                self.depth -= 1
                 return
         elif x == "<":
             if self.attempt(self.arrow_head):
                 self.arrow_tail()
-                self.depth -= 1
                 return
         target = self.binary(1)
         y = t[self.i]
@@ -507,7 +491,6 @@ class TypeScript(Parser):
                 self.fail("a target before the assignment")
             self.i += 1
             self.assignment()
-        self.depth -= 1
 
     def first_choice(self) -> None:
         self.inside(self.assignment)
@@ -559,10 +542,8 @@ class TypeScript(Parser):
         t = self.t
         x = t[self.i]
         if x in ("!", "~", "+", "-", "typeof", "void", "delete", "++", "--") or (x == "ID" and self.v[self.i] == "await" and not (t[self.i + 1] in (")", ",", ";", ".", "=", "=>", "}", "]", ":"))):
-            self.enter()
             self.i += 1
             self.unary()
-            self.depth -= 1
             return False
         if x == "<":
             self.i += 1
@@ -632,11 +613,9 @@ class TypeScript(Parser):
             self.fail("a call")
 
     def new(self) -> bool:
-        self.enter()
         self.i += 1
         if self.got("."):
             self.name()
-            self.depth -= 1
             return True
         if self.t[self.i] == "new":
             self.new()
@@ -659,7 +638,6 @@ class TypeScript(Parser):
                 break
         if self.t[self.i] == "(":
             self.args()
-        self.depth -= 1
         return False
 
     def args(self) -> None:
@@ -675,7 +653,6 @@ class TypeScript(Parser):
 
     def field(self, tokens, is_type: bool = False) -> None:
         sub = TypeScript(*tokens)
-        sub.depth = self.depth
         try:
             sub.type_() if is_type else sub.expression()
             if sub.t[sub.i] != "EOF":
@@ -851,7 +828,6 @@ class TypeScript(Parser):
         self.eat(")")
 
     def binding(self) -> None:
-        self.enter()
         x = self.t[self.i]
         if x == "ID":
             self.i += 1
@@ -886,7 +862,6 @@ class TypeScript(Parser):
             self.eat("}")
         else:
             self.fail("a name or pattern")
-        self.depth -= 1
 
     def decorators(self) -> None:
         while self.got("@"):
@@ -932,12 +907,10 @@ class TypeScript(Parser):
 
     def member(self) -> None:
         t = self.t
-        self.enter()
         self.decorators()
         if self.word("static") and t[self.i + 1] == "{":
             self.i += 1
             self.block()
-            self.depth -= 1
             return
         while t[self.i] == "ID" and self.v[self.i] in MODIFIERS and t[self.i + 1] not in ("(", "=", ";", ":", "?", "!", "}", "<", ",") and not (self.nl[self.i + 1] and self.v[self.i] in ("async",)):
             self.i += 1
@@ -951,7 +924,6 @@ class TypeScript(Parser):
             self.eat(":")
             self.type_()
             self.end()
-            self.depth -= 1
             return
         self.property_name()
         self.got("?") or self.got("!")
@@ -970,7 +942,6 @@ class TypeScript(Parser):
             if self.got("="):
                 self.assignment()
             self.end()
-        self.depth -= 1
 
     # statements
 
@@ -981,11 +952,11 @@ class TypeScript(Parser):
 
     def statements(self, ends: tuple[str, ...]) -> None:
         while self.t[self.i] not in ends and self.t[self.i] != "EOF":
-            start, depth = self.i, self.depth
+            start = self.i
             try:
                 self.statement()
             except Panic:
-                self.depth, self.no_in, self.no_conditional = depth, False, False
+                self.no_in, self.no_conditional = False, False
                 self.skip_to((";", "}"))
                 if not self.got(";") and not ends:
                     self.got("}")
@@ -1005,9 +976,7 @@ class TypeScript(Parser):
                 return
 
     def statement(self) -> None:
-        self.enter()
         self._statement()
-        self.depth -= 1
 
     def _statement(self) -> None:
         t = self.t

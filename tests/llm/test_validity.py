@@ -64,12 +64,12 @@ def test_invalid(check, text):
 
 
 def test_python_agrees_with_its_own_parser():
-    files = sorted(glob.glob(sysconfig.get_path("stdlib") + "/*.py"))[:120]
+    files = sorted(glob.glob(sysconfig.get_path("stdlib") + "/*.py"))
     wrong = 0
     for f in files:
         text = open(f, encoding="utf-8").read()
         ast.parse(text)
-        wrong += bool(python_errors(text)) and not V._exact(text, "python")
+        wrong += bool(python_errors(text))
         # broken by a cut inside of it: whatever Python says must be said here
         cut = text[: len(text) // 2]
         try:
@@ -77,7 +77,7 @@ def test_python_agrees_with_its_own_parser():
             ok = True
         except (SyntaxError, ValueError):
             ok = False
-        assert (not python_errors(cut)) == ok or (ok and V._exact(cut, "python")), f
+        assert (not python_errors(cut)) == ok, f
     assert wrong == 0
     for t in GOOD[json_errors]:
         json.loads(t)
@@ -91,6 +91,22 @@ def test_python_agrees_with_its_own_parser():
             ast.parse(t)
 
 
+def test_fields_of_formatted_strings():
+    """Quotes and line ends within fields, as the grammar has had them since 3.12."""
+    good = [
+        "x = f'{f' {d}\\n' if d else ''} def {n}({a}){r}:\\n{b}'\n", "f'{a['b']}'\n", "f'{a\n+ b}'\n", 'f"{x:{w}.{p}}"\n', "f'{ {1: 2}[1] }'\n", "rf'{x!r:>{w}}' 'b'\n", "f'{f'{f'{1}'}'}'\n", 'f"""{\nx\n}"""\n', "f'{{}}'\n",
+        "f'{(lambda y: y)(1)}'\n",
+    ]
+    bad = ["f'{a['\n", "f'{a'\n", "f'{f'{a'}'\n", "f'{}'\n", "f'{a b}'\n", "f'}'\n", "x = f'{a['b']\n"]
+    for t in good:
+        ast.parse(t)
+        assert python_errors(t) == [], t
+    for t in bad:
+        with pytest.raises(SyntaxError):
+            ast.parse(t)
+        assert python_errors(t), t
+
+
 def test_recovery_finds_all_errors():
     assert len(rust_errors("fn a() { let = 1; let y = 2; let = 3; }\nfn b( {}\nfn c() {}")) >= 3
     assert len(go_errors("package a\nfunc f() {\n\tx = = 1\n\ty := 2\n\tz = = 3\n}\nfunc g() {}\n")) == 2
@@ -108,7 +124,7 @@ def test_other_languages_are_refused():
 
 
 def test_long_chains_and_deep_nesting_are_valid(spark):
-    n, deep = 1500, 1000
+    n, deep = 1500, 5000
     bodies = [
         ("a.go", "package a\nfunc f(x int) {\n\tif x == 0 {\n\t}" + "".join(f" else if x == {i} {{\n\t}}" for i in range(n)) + " else {\n\t}\n}\n"),
         ("a.ts", "if (x == 0) {\n}" + "".join(f" else if (x == {i}) {{\n}}" for i in range(n)) + " else {\n}\n"),
@@ -117,10 +133,14 @@ def test_long_chains_and_deep_nesting_are_valid(spark):
         ("c.ts", "x = " + "[" * deep + "]" * deep + ";\n"),
         ("a.rs", "fn f() " + "{" * deep + "}" * deep),
         ("a.toml", "x = " + "[" * deep + "]" * deep + "\n"),
+        ("a.py", "x = " + "(" * deep + "1" + ")" * deep + "\n"),
+        ("a.json", '{"a":' * deep + "1" + "}" * deep),
+        ("d2.ts", "const f = " + "() => (" * deep + "1" + ")" * deep + ";\n"),
+        ("b.rs", "type A = " + "Vec<" * deep + "u8" + ">" * deep + ";\n"),
     ]
-    broken = [("d.go", bodies[0][1].replace("else {", "else else {")), ("d.ts", bodies[1][1] + "else {}\n"), ("d.rs", bodies[5][1][:-1])]
+    broken = [("d.go", bodies[0][1].replace("else {", "else else {")), ("d.ts", bodies[1][1] + "else {}\n"), ("d.rs", bodies[5][1][:-1]), ("d.py", bodies[7][1].replace("1", "1 1"))]
     src = spark.createDataFrame([(i, "r", *x) for i, x in enumerate(bodies + broken)], "source_id long, repo string, path string, body string")
-    assert {r["source_id"] for r in V.check_sources(src).filter("NOT valid").collect()} == {7, 8, 9}
+    assert {r["source_id"] for r in V.check_sources(src).filter("NOT valid").collect()} == {11, 12, 13, 14}
 
 
 def test_files(spark):
@@ -130,8 +150,8 @@ def test_files(spark):
     ]
     src = spark.createDataFrame(rows, "source_id long, repo string, path string, body string, valid int")
     got = {r["source_id"]: r for r in V.check_sources(src).collect()}
-    assert {k for k, r in got.items() if not r["valid"]} == {2, 3, 9, 10, 12, 16}
+    assert {k for k, r in got.items() if not r["valid"]} == {2, 3, 9, 12, 16}
     assert set(got) == {1, 2, 3, 4, 5, 9, 10, 11, 12, 13, 14, 15, 16} and got[12]["cause"] == "merge conflict" and got[2]["cause"] == "truncated" and got[2]["errors"]
     rates = {(r["repo"], r["lang"]): r["invalid"] for r in V.acceptance(V.check_sources(src)).filter("level = 0").collect()}
-    assert rates[("r", "python")] == 2 and rates[(None, "toml")] == 1
+    assert rates[("r", "python")] == 1 and rates[(None, "toml")] == 1
     assert V.check_sources(src.limit(0)).count() == 0 and V.acceptance(V.check_sources(src)).filter("level = 3").first()["files"] == 13
