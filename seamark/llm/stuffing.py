@@ -1,8 +1,10 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-A text is cut into blocks. Each block is measured twice: by its compression ratio, normalised by the median of blocks of like length
-and language, and by its sentence density, the share of its words that stand in well-formed, punctuated sentences. A block of extreme
-redundancy is junk when its sentence density confirms it; a page is found when most of its weighed text is junk.
+1. A text is cut into blocks, punctuated sentences and all else apart, both in order. Every block is compressed; its ratio is normalised by
+   the median of blocks of sentences of like length and language. A block far below it is redundant.
+2. A redundant block is junk if its sentence-punctuation density confirms it: it isn't made of sentences. A page most of whose text is
+   junk, and less than half of it sentences, is a candidate.
+3. What is code or a log in a candidate is no junk, whatever it repeats. Nothing is taken for code before it has been measured.
 
 Addresses, numbers and markup are replaced by one sign before compression, so that a list of links is as redundant as the list of
 keywords that it is.
@@ -24,15 +26,14 @@ from seamark.session import cut
 
 #: Target size of a block in characters and the least words for a measure.
 BLOCK_CHARS = 640
-#: A sentence has at least so many words, and at least this share of them is different.
+#: A sentence ends in its mark, has at least so many words, and at least this share of them is different.
 SENTENCE_WORDS = 7
 SENTENCE_DISTINCT = 0.8
-FUNCTION_SHARE = 0.1
-#: A block is extremely redundant below this share of its usual compression ratio.
-REDUNDANT = 0.80
-#: The share of a page's weighed text in well-formed sentences that refutes the redundancy of the rest.
+#: A block is redundant below this share of its usual compression ratio.
+REDUNDANT = 0.90
+#: The share of a page's text in sentences that refutes the redundancy of the rest.
 DENSITY = 0.5
-#: Share of the page's weighed text that must be junk.
+#: Share of the page's text that must be junk.
 MOST = 0.5
 
 #: Frequent function words that tell the languages of the corpus apart.
@@ -134,37 +135,41 @@ def code_lines(lines: list[str], r: dict) -> list[bool]:
     return out
 
 
-def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]]]:
-    """The language by its function words, and of each block (sentences?, characters, compressed share).
+def code_chars(text: str) -> int:
+    """Characters of the lines of code, logs and fenced text."""
+    r = resource("stuffing.rules", _rules)
+    n, fenced, lines = 0, False, []
+    for line in text.splitlines():
+        if not line or line.isspace():
+            continue
+        if line[0] in "`~ " and r["fence"].match(line):
+            fenced = not fenced
+            n += len(line)
+        elif fenced:
+            n += len(line)
+        else:
+            lines.append(line)
+    return n + sum(len(line) for line, is_code in zip(lines, code_lines(lines, r)) if is_code)
+
 
-    Well-formed sentences and the rest of the text are blocked apart, both in order. Code, fenced text and log lines make one block of
-    sentences' standing without a measure (share 0): they aren't junk, whatever they repeat.
+def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]], int]:
+    """The language by its function words, of each block (sentences?, characters, compressed share), and the characters of code.
+
+    Code is looked for only where sentences don't make up half of the text, as no other page can be found. A text without a letter has
+    no block.
     """
     r = resource("stuffing.rules", _rules)
     stop, known_words, url, ends = r["stop"], r["known"], r["url"], r["ends"]
-    fence = r["fence"].match
+    if not any(c.isalpha() for c in text):
+        return "none", [], 0
     votes: dict[str, int] = {}
     blocks: list[tuple[bool, int, float]] = []
     streams: tuple[list[str], list[str]] = ([], [])
-    sizes = [0, 0]
+    sizes, whole = [0, 0], [0, 0]
     heard: list[str] = []
-    legit = 0
-    fenced = False
-    lines: list[str] = []
     for line in text.splitlines():
         if not line or line.isspace():
             continue
-        if line[0] in "`~ " and fence(line):
-            fenced = not fenced
-            legit += len(line)
-        elif fenced:
-            legit += len(line)
-        else:
-            lines.append(line)
-    for line, is_code in zip(lines, code_lines(lines, r)):
-        if is_code:
-            legit += len(line)
-            continue
         for piece in ends.split(line):
             bare = url.sub(" ", piece) if "://" in piece or "<" in piece or "www." in piece else piece
             found = bare.lower().split()
@@ -173,70 +178,68 @@ def blocks_of(text: str) -> tuple[str, list[tuple[bool, int, float]]]:
             if n:
                 found[-1] = found[-1].rstrip(".!?,;:\"')*_`")
                 distinct = set(found)
-                known = distinct & known_words
-                heard.extend(known)
-                if n >= SENTENCE_WORDS and len(distinct) >= SENTENCE_DISTINCT * n and len(known) >= FUNCTION_SHARE * n:
+                heard.extend(distinct & known_words)
+                if n >= SENTENCE_WORDS and len(distinct) >= SENTENCE_DISTINCT * n:
                     good = int(bare.rstrip(" \t\"')]*_`")[-1:] in (".", "!", "?"))
             streams[good].append(piece)
             sizes[good] += len(piece)
             if sizes[good] >= BLOCK_CHARS:
                 blocks.append((good == 1, sizes[good], _share("\n".join(streams[good]), r)))
                 streams[good].clear()
+                whole[good] += sizes[good]
                 sizes[good] = 0
     for k in (0, 1):
         if sizes[k]:
             blocks.append((k == 1, sizes[k], _share("\n".join(streams[k]), r)))
-    if not any(c.isalpha() for c in text):
-        # without a letter there is neither a sentence nor a keyword
-        blocks = [(True, c, 0.0) for _, c, _ in blocks]
-    if legit:
-        blocks.append((True, legit, 0.0))
+            whole[k] += sizes[k]
     for w, times in Counter(heard).items():
         for k in stop[w]:
             votes[k] = votes.get(k, 0) + times
     lang = max(sorted(votes), key=votes.get) if votes else "none"
-    return lang, blocks
+    return lang, blocks, code_chars(text) if whole[1] < DENSITY * sum(whole) else 0
 
 
-BLOCKS = "doc_id long, lang string, sentences boolean, chars long, share double"
+BLOCKS = "doc_id long, lang string, sentences boolean, chars long, share double, code long"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
-    schema = pa.schema(list(zip(("doc_id", "lang", "sentences", "chars", "share"), types)))
+    types = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.int64())
+    schema = pa.schema(list(zip(("doc_id", "lang", "sentences", "chars", "share", "code"), types)))
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in types]
         for did, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lang, blocks = blocks_of(text)
-            for good, chars, share in blocks:
-                for x, v in zip(out, (did, lang, good, chars, share)):
+            lang, blocks, code = blocks_of(text)
+            for k, (good, chars, share) in enumerate(blocks):
+                for x, v in zip(out, (did, lang, good, chars, share, 0 if k else code)):
                     x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], schema=schema)
 
 
 def measure_blocks(documents: DataFrame) -> DataFrame:
-    """The blocks of all documents with text: ``doc_id, lang, sentences, chars, share``; a document delivered twice is measured once."""
+    """The blocks of all documents with text: ``doc_id, lang, sentences, chars, share, code``; ``code`` is that of the document, at its first block."""
     d = documents.select("doc_id", "text").filter(F.col("text").rlike(r"\S"))
     return d.mapInArrow(_measure, BLOCKS)
 
 
 def stuffed_pages(documents: DataFrame, most: float = MOST, redundant: float = REDUNDANT) -> DataFrame:
-    """The pages most of whose text is keywords, links, tags or slogans: ``doc_id, lang, chars, junk_share, sentence_share``.
+    """The pages most of whose text is keywords, links, tags or slogans: ``doc_id, lang, chars, redundant_share, junk_share, sentence_share``.
 
     The usual ratio of a block is the median over all blocks of sentences of its language and length class, or over all languages where
-    its own has none. Defined cases: null and blank texts are never found; a page without a measured block (code and logs only) isn't
-    found; copies under other ids are all found; a row delivered several times is found once, as repeated blocks weigh alike; extra
-    columns and a wrong ``lang`` are ignored.
+    its own has few. Defined cases: null and blank texts and texts without a letter are never found; a page of code and logs isn't found;
+    copies under other ids are all found; a row delivered several times is found once, as repeated blocks weigh alike; extra columns and
+    a wrong ``lang`` are ignored.
     """
     blocks = cut(measure_blocks(documents).withColumn("size", F.floor(2 * F.log2(F.greatest("chars", F.lit(16))))))
-    prose = blocks.filter(F.col("sentences") & (F.col("share") > 0))
+    prose = blocks.filter("sentences")
     usual = prose.groupBy("lang", "size").agg(F.percentile_approx("share", 0.5, 1000).alias("own"), F.count("*").alias("n")).filter("n >= 20")
     overall = prose.groupBy("size").agg(F.percentile_approx("share", 0.5, 1000).alias("any"))
     # one row per language and length class: five languages by about forty classes at most, whatever the data
-    rest = blocks.filter(~F.col("sentences")).join(F.broadcast(usual.select("lang", "size", "own")), ["lang", "size"], "left").join(F.broadcast(overall), "size", "left")
-    ratio = F.col("share") / F.coalesce("own", "any", F.lit(0.6))
-    rest = rest.select("doc_id", "lang", "chars", F.when(ratio < redundant, F.col("chars")).otherwise(0).alias("junk"), F.lit(0).cast("long").alias("prose"))
-    both = rest.unionByName(blocks.filter("sentences").select("doc_id", "lang", "chars", F.lit(0).cast("long").alias("junk"), F.col("chars").alias("prose")))
-    pages = both.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.sum("chars").alias("chars"), F.sum("junk").alias("junk"), F.sum("prose").alias("prose"))
-    pages = pages.select("doc_id", "lang", "chars", (F.col("junk") / F.col("chars")).alias("junk_share"), (F.col("prose") / F.col("chars")).alias("sentence_share"))
+    every = blocks.join(F.broadcast(usual.select("lang", "size", "own")), ["lang", "size"], "left").join(F.broadcast(overall), "size", "left")
+    flagged = F.col("share") / F.coalesce("own", "any", F.lit(0.6)) < redundant
+    of = lambda c: F.sum(F.when(c, F.col("chars")).otherwise(0))
+    pages = every.groupBy("doc_id").agg(
+        F.first("lang").alias("lang"), F.sum("chars").alias("chars"), of(flagged).alias("redundant"), of(flagged & ~F.col("sentences")).alias("junk"), of(F.col("sentences")).alias("prose"), F.sum("code").alias("code")
+    )
+    junk = F.least("junk", F.greatest(F.col("chars") - F.col("prose") - F.col("code"), F.lit(0)))
+    pages = pages.select("doc_id", "lang", "chars", (F.col("redundant") / F.col("chars")).alias("redundant_share"), (junk / F.col("chars")).alias("junk_share"), (F.col("prose") / F.col("chars")).alias("sentence_share"))
     return pages.filter((F.col("junk_share") >= most) & (F.col("sentence_share") < DENSITY))
