@@ -3,7 +3,8 @@
 1. The sizes of all texts give a histogram, as long as the capacity at most, whatever the corpus.
 2. Large sizes are rounded up within groups of equal cardinality; a configuration linear program over the few rounded sizes, solved by
    column generation on the driver, says how many containers of which composition there are.
-3. The actual texts take the slots: a text's rank in its group names its container, so that no task sees more than its rows.
+3. The actual texts take the slots: a text's rank in its group names its container, so that no task sees more than its rows. A piece as
+   large as the container fills one by itself and is never ranked.
 4. The small texts are best-fitted into the space left, in shards of bounded size that run in parallel.
 """
 
@@ -27,8 +28,8 @@ GROUPS = 32
 LARGE = 1 / 6
 #: Items and containers that one shard of the best fit holds.
 SHARD = 20_000
-#: Ranks of equal sizes are counted in so many independent shares.
-SALT = 32
+#: Texts of one size that are ranked in one share; there are as many shares as the most frequent size takes.
+SHARE = 100_000
 #: Resolution of the knapsack in the column generation.
 UNITS = 2048
 
@@ -105,7 +106,7 @@ def configurations(group_sizes: list[int], demand: list[int], capacity: int) ->
 
 def slot_table(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, int]:
     """Rows (first rank, slots per container, first container) by rising rank, of the large items ranked by falling size; containers used."""
-    big = sorted((s for s in histogram if s > capacity * LARGE), reverse=True)
+    big = sorted((s for s in histogram if capacity * LARGE < s < capacity), reverse=True)
     total = sum(histogram[s] for s in big)
     if not total:
         return np.zeros((0, 3), np.int64), 0
@@ -160,7 +161,8 @@ def _best_fit(free: list[tuple[int, int]], items: list[tuple], capacity: int, ne
 def pack(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The assignment of every text to a container of each kind: ``container_kind, container_id, doc_id, piece_no, start_token, tokens``.
 
-    A text is split only if it alone exceeds the capacity: into full containers and a rest. ``container_id`` is unique within its kind.
+    A text is split only if it alone exceeds the capacity: into full containers and a rest. ``container_id`` is unique within its
+    kind, below zero for a full piece.
     Defined cases: null and empty texts take no room and have no row; copies under other ids are assigned each; a row delivered several
     times once; kinds without a positive capacity hold nothing; empty tables give no rows.
     """
@@ -183,12 +185,15 @@ def pack(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
     larger: dict[str, dict[int, int]] = {}
     for k in kinds:
         run, at = {}, 0
-        for s in sorted(hist[k], reverse=True):
+        for s in sorted((s for s in hist[k] if s < kinds[k]), reverse=True):
             run[s] = at
             at += hist[k][s]
         larger[k] = run
 
-    large = items.filter(F.col("tokens") > F.col("cap") * LARGE).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALT)).cast("int"))
+    # ids below zero are those of full pieces, row by row of the written sizes
+    whole = items.filter(F.col("tokens") == F.col("cap")).select(F.col("kind").alias("container_kind"), (-1 - F.monotonically_increasing_id()).alias("container_id"), "doc_id", "piece_no", "start_token", "tokens")
+    per_size = F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(-(-max((n for s, n in hist[k].items() if s < kinds[k]), default=1) // SHARE)))])
+    large = items.filter((F.col("tokens") > F.col("cap") * LARGE) & (F.col("tokens") < F.col("cap"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), per_size[F.col("kind")]).cast("int"))
     share = W.partitionBy("kind", "tokens", "salt").orderBy("doc_id", "piece_no")
     large = large.withColumn("rn", F.row_number().over(share))
     offsets = large.groupBy("kind", "tokens", "salt").agg(F.count("*").alias("n"))
@@ -222,7 +227,7 @@ def pack(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
         return f.astype({"container_id": "int64", "doc_id": "int64", "piece_no": "int32", "start_token": "int64", "tokens": "int64"})
 
     fitted = free.groupBy("kind", "shard").cogroup(small.groupBy("kind", "shard")).applyInPandas(fit, out)
-    return placed.unionByName(fitted)
+    return placed.unionByName(whole).unionByName(fitted)
 
 
 def packing_report(assignment: DataFrame, targets: DataFrame) -> DataFrame:

@@ -57,6 +57,17 @@ def p7_assignments(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "pack_target"))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each kind: no container above its capacity, pieces that make up their text, no text split that fits, little space unused."""
+    a, t = p7_assignments(spark, d), table(spark, d, "pack_target")
+    per = a.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t")).groupBy("container_kind").agg(F.max("t").alias("fullest"), F.count("*").alias("containers"), F.sum("t").alias("tokens"))
+    doc = a.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.sum("tokens").alias("n"))
+    doc = doc.join(t, "container_kind").groupBy("container_kind").agg(F.bool_and(F.col("n") == F.col("end")).alias("whole"), F.bool_and(F.col("pieces") == F.ceil(F.col("n") / F.col("capacity_tokens"))).alias("unsplit"), F.count("*").alias("documents"))
+    j = t.join(per, "container_kind").join(doc, "container_kind")
+    full = F.col("tokens") >= 0.95 * (F.col("containers") - 1) * F.col("capacity_tokens")
+    return j.select("container_kind", "documents", (F.col("fullest") <= F.col("capacity_tokens")).alias("within"), "whole", "unsplit", full.alias("full"))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p7_assignments(spark, d), table(spark, d, "pack_target"))
 
@@ -84,10 +95,11 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p7_assignments, p7_report, p8_draws, p8_shares, p8_shares_met, p9_found, p9_pages)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_files, p2_rates, p5_found, p5_conversations, p6_found, p6_pieces, p7_assignments, p7_checked, p7_report, p8_draws, p8_shares, p8_shares_met, p9_found, p9_pages)}
 
 
 ORACLE = {
+    "p7_checked": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS documents, true AS within, true AS whole, true AS unsplit, true AS \"full\" FROM pack_target",
     # what the shares must be, from the targets alone
     "p8_shares_met": "SELECT source, target_share, true AS expected, true AS drawn, true AS actual, true AS capped FROM mix_target",
     # the rows above the limit, counted without the operator
