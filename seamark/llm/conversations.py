@@ -1,8 +1,11 @@
 """Rebuilding conversations from message rows (problem 5).
 
-The rows are partitioned by session and secondary-sorted by session and entry; a finite-state automaton then validates the roles,
-the empty turns and the missing replies along the chain of each session. A session larger than ``GIANT`` entries never enters one
-task: its chain is found by pointer doubling over DataFrames and the automaton runs as a composition of per-bucket transition tables.
+1. The links of a session give each entry of its chain a sequence number, its depth below the root. Sessions of up to ``BUCKET``
+   delivered rows are linked in the task that their rows are sent to, larger ones by pointer doubling over DataFrames, which numbers them
+   alike; no task ever holds more than ``BUCKET`` rows of a session.
+2. The numbered rows are partitioned by conversation and secondary-sorted by sequence number.
+3. A finite-state automaton streams over them and validates roles, empty turns and missing replies. A conversation that spans several
+   buckets has a transition table for each; the tables are composed.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from seamark.session import cut
 
@@ -23,9 +25,7 @@ ROLES = {
     "system": "system", "developer": "system",
     "toolresult": "toolResult", "tool": "toolResult", "toolresponse": "toolResult", "function": "toolResult", "functionresult": "toolResult",
 }
-#: Sessions with more delivered rows than this are handled without ever being gathered in one task.
-GIANT = 200_000
-#: Entries of a giant session that one bucket of the automaton holds.
+#: Rows of one session that a task holds.
 BUCKET = 50_000
 
 # Symbols of the automaton: 0 other, 1 user with text, 2 user without text, 3 assistant with text.
@@ -57,7 +57,7 @@ def prepare(entries: DataFrame) -> DataFrame:
 
 
 def chain_of(rows: list[tuple]) -> list[tuple] | None:
-    """The kept chain of one session from its rows (entry, parent, symbol, role, us, digest), or None.
+    """The chain of one session, (entry, symbol, role) by depth, from its rows (entry, parent, symbol, role, us, digest); None if it is broken.
 
     Of an entry delivered several times the newest non-null time counts; of equal newest entries the greater id.
     """
@@ -102,37 +102,31 @@ def chain_of(rows: list[tuple]) -> list[tuple] | None:
         while at is not None:
             line.append(at)
             at = children[at][0] if at in children else None
-    state, out = 0, []
-    for e in line:
-        v = by[e]
-        if v[1] >= 0:
-            state = STEP[state][v[1]]
-            out.append((e, v[2]))
-    return out if state == ACCEPT else None
+    return [(e, by[e][1], by[e][2]) for e in line]
 
 
+SEQUENCE = "session_id string, seq long, entry_id string, symbol byte, role string"
 OUT = "session_id string, turn_no long, entry_id string, role string"
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flushed(out: list[list], types: tuple, names: tuple) -> pa.RecordBatch:
+    b = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=list(names))
+    for x in out:
+        x.clear()
+    return b
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sessions arrive one after the other; at most one is held."""
-    schema = pa.schema([("session_id", pa.string()), ("turn_no", pa.int64()), ("entry_id", pa.string()), ("role", pa.string())])
+    types, names = (pa.string(), pa.int64(), pa.string(), pa.int8(), pa.string()), ("session_id", "seq", "entry_id", "symbol", "role")
     now, rows = None, []
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in types]
 
     def close() -> None:
-        chain = chain_of(rows) if rows else None
-        if chain:
-            out[0].extend([now] * len(chain))
-            out[1].extend(range(1, len(chain) + 1))
-            out[2].extend(e for e, _ in chain)
-            out[3].extend(r for _, r in chain)
-
-    def flush() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
-        for x in out:
-            x.clear()
-        return b
+        for k, (e, symbol, rl) in enumerate((chain_of(rows) if rows else None) or ()):
+            if symbol >= 0:
+                for x, v in zip(out, (now, k, e, symbol, rl)):
+                    x.append(v)
 
     for b in batches:
         sid, *cols = (c.to_pylist() for c in b.columns)
@@ -142,13 +136,58 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, rows = s, []
             rows.append(row)
         if len(out[0]) > 20_000:
-            yield flush()
+            yield _flushed(out, types, names)
     close()
-    yield flush()
+    yield _flushed(out, types, names)
+
+
+RUN = "session_id string, bucket long, n long, turn long, entry_id string, role string, ends array<int>"
 
 
-def _giant(rows: DataFrame) -> DataFrame:
-    """The same for sessions beyond ``GIANT``: no step holds a session, or a share of one that grows with it, in one task."""
+def _automaton(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in order of conversation, bucket and sequence. ``ends`` is where a bucket leads from each state; with ``single`` a conversation
+    has one bucket and comes out only if that accepts it."""
+    types, names = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), ("session_id", "bucket", "n", "turn", "entry_id", "role", "ends")
+    now, held = None, []
+    out: list[list] = [[] for _ in types]
+    ends = list(range(4))
+
+    def close() -> None:
+        if held and not (single and ends[0] != ACCEPT):
+            for k, (e, rl) in enumerate(held, 1):
+                for x, v in zip(out, (*now, len(held), k, e, rl, ends)):
+                    x.append(v)
+
+    for b in batches:
+        for sid, bucket, e, symbol, rl in zip(*(c.to_pylist() for c in b.columns)):
+            if (sid, bucket) != now:
+                close()
+                now, held, ends = (sid, bucket), [], list(range(4))
+            held.append((e, rl))
+            ends = [STEP[x][symbol] for x in ends]
+        if len(out[0]) > 20_000:
+            yield _flushed(out, types, names)
+    close()
+    yield _flushed(out, types, names)
+
+
+def validated(numbered: DataFrame, single: bool) -> DataFrame:
+    """The accepted conversations of numbered messages, ``turn_no`` from 1; ``single`` if none has more than one bucket."""
+    n = numbered.withColumn("bucket", F.lit(0).cast("long") if single else F.floor(F.col("seq") / BUCKET))
+    ordered = n.repartition("session_id", "bucket").sortWithinPartitions("session_id", "bucket", "seq").select("session_id", "bucket", "entry_id", "symbol", "role")
+    run = ordered.mapInArrow(lambda batches: _automaton(batches, single), RUN)
+    if single:
+        return run.select("session_id", F.col("turn").alias("turn_no"), "entry_id", "role")
+    run = cut(run)
+    tables = run.filter("turn = 1").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "ends"))).alias("b"))
+    tables = tables.filter(F.aggregate("b", F.lit(0), lambda s, x: x["ends"][s]) == ACCEPT)
+    before = F.transform("b", lambda x: F.struct(x["bucket"].alias("bucket"), F.aggregate(F.filter("b", lambda y: y["bucket"] < x["bucket"]), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("before")))
+    offsets = tables.select("session_id", F.explode(before).alias("o")).select("session_id", "o.*")
+    return run.join(offsets, ["session_id", "bucket"]).select("session_id", (F.col("before") + F.col("turn")).alias("turn_no"), "entry_id", "role")
+
+
+def _doubled(rows: DataFrame) -> DataFrame:
+    """The numbered messages of large sessions: no step holds a session, or a share of one that grows with it, in one task."""
     e = rows.groupBy("session_id", "entry_id").agg(
         F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.max("us").alias("us"), F.first("parent_entry_id").alias("parent"), F.first("symbol").alias("symbol"), F.first("role").alias("role")
     )
@@ -162,7 +201,7 @@ def _giant(rows: DataFrame) -> DataFrame:
     e = e.join(ok.select("session_id"), "session_id", "left_semi")
     most = ok.agg(F.max("n")).collect()[0][0]
     if most is None:
-        return rows.sparkSession.createDataFrame([], OUT)
+        return rows.sparkSession.createDataFrame([], SEQUENCE)
     # pointer doubling: after k rounds ``anc`` is the ancestor 2^k steps up and ``depth`` counts the steps taken
     jump = cut(e.select("session_id", "entry_id", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     jumps, k = [jump], 0
@@ -186,26 +225,10 @@ def _giant(rows: DataFrame) -> DataFrame:
         up = line.join(j, ["session_id", "entry_id"]).filter(F.col("anc").isNotNull()).select("session_id", F.col("anc").alias("entry_id"))
         line = cut(line.unionByName(up).distinct())
     line = line.join(depth, ["session_id", "entry_id"]).join(e.select("session_id", "entry_id", "symbol", "role"), ["session_id", "entry_id"]).filter("symbol >= 0")
-    line = cut(line.withColumn("bucket", F.floor(F.col("depth") / BUCKET)))
-
-    def summarise(key, pdf):
-        import pandas as pd
-
-        states = [0, 1, 2, 3]
-        for s in pdf.sort_values("depth")["symbol"]:
-            states = [STEP[x][s] for x in states]
-        return pd.DataFrame([[key[0], key[1], len(pdf), states]], columns=["session_id", "bucket", "n", "states"])
-
-    buckets = line.select("session_id", "bucket", "depth", "symbol").groupBy("session_id", "bucket").applyInPandas(summarise, "session_id string, bucket long, n long, states array<int>")
-    order = W.partitionBy("session_id").orderBy("bucket")
-    buckets = buckets.withColumn("before", F.sum("n").over(order) - F.col("n"))
-    final = buckets.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "states"))).alias("b")).withColumn("end", F.aggregate("b", F.lit(0), lambda s, x: x["states"][s])).filter(F.col("end") == ACCEPT)
-    within = F.row_number().over(W.partitionBy("session_id", "bucket").orderBy("depth"))
-    kept = line.join(final.select("session_id"), "session_id", "left_semi").withColumn("turn", within)
-    return kept.join(buckets.select("session_id", "bucket", "before"), ["session_id", "bucket"]).select("session_id", (F.col("before") + F.col("turn")).cast("long").alias("turn_no"), "entry_id", "role")
+    return line.select("session_id", F.col("depth").alias("seq"), "entry_id", "symbol", "role")
 
 
-def rebuild_conversations(entries: DataFrame, with_text: bool = True, giant: int = GIANT) -> DataFrame:
+def rebuild_conversations(entries: DataFrame, with_text: bool = True, held: int = BUCKET) -> DataFrame:
     """The messages of the kept sessions in order: ``session_id, turn_no, entry_id, role`` and, if wanted, ``content_text``.
 
     Defined cases: rows without a session are no part of any; a null entry id breaks its session; an entry delivered again with the
@@ -214,14 +237,16 @@ def rebuild_conversations(entries: DataFrame, with_text: bool = True, giant: int
     entries without a time come last) and below it single successors to the end. Empty input gives no rows; extra columns are ignored.
     """
     rows = prepare(entries)
-    large = rows.groupBy("session_id").count().filter(F.col("count") > giant).select("session_id")
+    large = rows.groupBy("session_id").count().filter(F.col("count") > held).select("session_id")
     big = cut(large) if not large.isEmpty() else None
     small = rows if big is None else rows.join(big, "session_id", "left_anti")
     ordered = small.repartition("session_id").sortWithinPartitions("session_id", "entry_id")
-    out = ordered.select("session_id", "entry_id", "parent_entry_id", "symbol", "role", "us", "digest").mapInArrow(_stream, OUT)
+    linked = ordered.select("session_id", "entry_id", "parent_entry_id", "symbol", "role", "us", "digest").mapInArrow(_link, SEQUENCE)
+    out = validated(linked, True)
     if big is not None:
-        out = out.unionByName(_giant(rows.join(big, "session_id", "left_semi")))
+        out = out.unionByName(validated(_doubled(rows.join(big, "session_id", "left_semi")), False))
     if with_text:
-        text = entries.groupBy("session_id", "entry_id").agg(F.first("content_text").alias("content_text"))
-        out = out.join(text, ["session_id", "entry_id"])
+        # texts meet the kept entries as they were delivered; of repeated ones, which are alike, one is left where they meet
+        text = entries.select("session_id", "entry_id", "content_text").filter(F.col("session_id").isNotNull() & F.col("entry_id").isNotNull())
+        out = out.join(text, ["session_id", "entry_id"]).dropDuplicates(["session_id", "entry_id"]).select("session_id", "turn_no", "entry_id", "role", "content_text")
     return out

@@ -66,13 +66,13 @@ def test_conversations(spark, giant):
     rows = [r for s, _ in SESSIONS.values() for r in s] * 2 + [entry(None, "q", None, "user", "x")]
     random.Random(1).shuffle(rows)
     want = {s: list(enumerate(w, 1)) for s, (_, w) in SESSIONS.items() if w}
-    assert rebuilt(spark, rows, with_text=False, giant=giant) == want
+    assert rebuilt(spark, rows, with_text=False, held=giant) == want
 
 
 def test_long_conversation_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(C, "BUCKET", 7)
     rows = [entry("long", f"e{i:04}", f"e{i - 1:04}" if i else None, "user" if i % 2 == 0 else "assistant", "x", i) for i in range(400)]
-    assert rebuilt(spark, rows, with_text=False, giant=10) == rebuilt(spark, rows, with_text=False) == {"long": [(i + 1, f"e{i:04}") for i in range(400)]}
+    assert rebuilt(spark, rows, with_text=False, held=10) == rebuilt(spark, rows, with_text=False) == {"long": [(i + 1, f"e{i:04}") for i in range(400)]}
 
 
 def test_conversation_texts_and_empty(spark):
