@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from seamark.llm.lexing import CLOSE, DOC, DOCSTRING, END, HEAD, LEAD, OPEN, lex
+from seamark.session import cut
 
 #: Languages that are lexed, by extension.
 LANGS = {"py": "python", "pyi": "python", "rs": "rust", "ts": "ts", "tsx": "ts", "go": "go"}
@@ -166,7 +167,8 @@ def documented_units(sources: DataFrame, units: DataFrame) -> DataFrame:
 
 def code_pairs(sources: DataFrame, units: DataFrame) -> DataFrame:
     """``unit_id, source_id, lang, name, code, description``: the span cut from its body beside what documents it."""
-    hit = documented_units(sources, units)
+    # written once, narrow as it is: bodies are lexed once, and only those with a hit are moved
+    hit = cut(documented_units(sources, units))
     bodies = sources.filter(F.col("body").isNotNull()).select("source_id", "source_hash", "body").join(hit.select("source_id").distinct(), "source_id", "left_semi").dropDuplicates(["source_id"])
     code = F.expr("decode(substring(encode(body, 'UTF-8'), cast(start_byte + 1 as int), cast(end_byte - start_byte as int)), 'UTF-8')")
     return hit.join(bodies.select("source_id", "body"), "source_id").select("unit_id", "source_id", "lang", "name", code.alias("code"), F.trim("doc").alias("description"))
