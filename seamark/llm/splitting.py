@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamark.session import cut
+
 #: Strengths of cuts, strongest first: edge of a unit, after a blank line, after a line end, after other white space.
 UNIT, BLANK, LINE, SPACE = 4, 3, 2, 1
 #: The window reaches down to this share of the largest permissible piece.
@@ -142,7 +144,8 @@ def split_oversized(sources: DataFrame, units: DataFrame, limits: DataFrame) ->
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     lim = limits.select(F.lower("ext").alias("_ext"), "max_bytes", F.coalesce("overlap_bytes", F.lit(0)).alias("overlap_bytes")).filter(F.col("max_bytes") >= 8).dropDuplicates(["_ext"])
     s = sources.select("source_id", "source_hash", "body", ext.alias("_ext")).filter(F.col("body").isNotNull())
-    s = s.join(lim, "_ext").filter(F.octet_length("body") > F.col("max_bytes")).dropDuplicates(["source_id"])
+    # bodies are read once; those above their limit are written with what the join with their edges needs
+    s = cut(s.join(lim, "_ext").filter(F.octet_length("body") > F.col("max_bytes")).dropDuplicates(["source_id"]))
     # at most one edge per byte of the body: the set is bounded by the text that carries it
     edges = units.filter(F.col("start_byte").isNotNull() & F.col("end_byte").isNotNull()).select("source_id", "source_hash", F.explode(F.array("start_byte", "end_byte")).alias("at"))
     edges = edges.join(s.select("source_id", "source_hash"), ["source_id", "source_hash"], "left_semi").groupBy("source_id").agg(F.collect_set("at").alias("edges"))
