@@ -89,7 +89,27 @@ FROM newest n LEFT JOIN done d ON n.repo IS NOT DISTINCT FROM d.repo AND n.path
 WHERE d.run_id IS NULL OR coalesce(n.h = d.h, false) = false OR coalesce(d.dg = (SELECT dg FROM want), false) = false
 """
 
+#: Parsed records, and the decoded arguments of their tool calls: text is decoded, again if the result is text, and counts if an object results.
+_JSON = r"""
+r AS (SELECT DISTINCT record_id, raw FROM host_record WHERE json_valid(raw)),
+t AS (SELECT r.record_id, j.fullkey, j.type, j.value, j.atom FROM r, json_tree(r.raw) j),
+a0 AS (SELECT record_id, substr(fullkey, 3) AS place, CASE WHEN type = 'OBJECT' THEN value::VARCHAR WHEN type = 'VARCHAR' THEN value ->> '$' END AS v, type = 'OBJECT' AS is_object FROM t WHERE regexp_full_match(fullkey, '\$\.messages\[\d+\]\.tool_calls\[\d+\]\.function\.arguments')),
+a1 AS (SELECT record_id, place, CASE WHEN is_object THEN v WHEN json_valid(v) THEN CASE json_type(v) WHEN 'OBJECT' THEN v WHEN 'VARCHAR' THEN v ->> '$' END END AS v FROM a0),
+a2 AS (SELECT record_id, place, CASE WHEN json_valid(v) THEN CASE json_type(v) WHEN 'OBJECT' THEN v WHEN 'VARCHAR' THEN v ->> '$' END END AS v FROM a1),
+a3 AS (SELECT record_id, place, v FROM a2 WHERE json_valid(v) AND json_type(v) = 'OBJECT')"""
+
 ORACLE = {
+    "p4_found": rf"""WITH {_JSON},
+u AS (SELECT record_id, substr(fullkey, 3) AS node_path FROM t WHERE type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') AND (starts_with(fullkey, '$.payload.info.total_token_usage.') OR starts_with(fullkey, '$.message.usage.'))),
+l AS (SELECT record_id, place || substr(j.fullkey, 2) AS node_path FROM a3, json_tree(a3.v) j WHERE j.type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT DISTINCT record_id, replace(node_path, '"', '') AS node_path FROM (SELECT * FROM u UNION ALL SELECT * FROM l)""",
+    "p4_tool_calls": rf"""WITH {_JSON},
+c AS (SELECT record_id, substr(fullkey, 3) AS node_path, value FROM t WHERE regexp_full_match(fullkey, '\$\.messages\[\d+\]\.tool_calls\[\d+\]'))
+SELECT c.record_id, node_path, regexp_extract(node_path, '^messages\[\d+\]') AS message_path, regexp_extract(node_path, '(\d+)\]$', 1)::INTEGER AS ord, value ->> '$.id' AS call_id, value ->> '$.type' AS call_type, value ->> '$.function.name' AS function_name,
+ (SELECT count(*) FROM a3 WHERE a3.record_id = c.record_id AND a3.place = c.node_path || '.function.arguments') AS n_arguments FROM c""",
+    "p4_usage": rf"""WITH {_JSON}
+SELECT record_id, substr(fullkey, 3) AS node_path, 'object' AS kind, value ->> '$.input_tokens' AS "input_tokens", value ->> '$.cached_input_tokens' AS "cached_input_tokens", value ->> '$.output_tokens' AS "output_tokens", value ->> '$.reasoning_output_tokens' AS "reasoning_output_tokens", value ->> '$.total_tokens' AS "total_tokens", value ->> '$.input' AS "input", value ->> '$.output' AS "output", value ->> '$.cacheRead' AS "cacheRead", value ->> '$.cacheWrite' AS "cacheWrite", value ->> '$.totalTokens' AS "totalTokens"
+FROM t WHERE type = 'OBJECT' AND fullkey IN ('$.payload.info.total_token_usage', '$.payload.info.last_token_usage', '$.payload.usage', '$.message.usage')""",
     "p3_found": f"SELECT source_id FROM ({_PENDING})",
     "p3_pending": _PENDING,
     "p3_resumed": _PENDING,
