@@ -1,11 +1,13 @@
 """From texts to citable documents: units, blocks that tile the text, outlines, imports, calls and cards for embedding.
 
-Python is read with its own parser, Markdown by its headings; any other text is tiled by blocks, as is a source that doesn't parse.
+Python is read with its own parser, Markdown by its headings, languages with braces by ``functions/code``; any other text is tiled by
+blocks, as is a source that doesn't parse.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable
 
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamark.functions import code
+
 #: Fixed values.
 BLOCK, SPLIT_OVER, PART, MOST_PARSED = 2048, 8192, 4096, 1 << 20
 MOST_QUALIFIERS, MOST_QNAME = 16, 256
@@ -66,33 +70,50 @@ def blocks(body: bytes, start: int = 0, end: int | None = None) -> list[tuple[in
     return out
 
 
-def python_units(text: str) -> list[tuple[str, str, str, int, int, int, int]] | None:
-    """(kind, name, qualified name, start, end, parent, depth) of classes and functions, parents before children; None if it doesn't parse."""
+def qualified(names: list[str], joint: str = ".") -> str:
+    """The last names joined, its front cut at a character where it is too long: the own name is what must stay."""
+    whole = joint.join(names[-MOST_QUALIFIERS - 1 :]).encode("utf-8", "replace")
+    return whole[_char_floor_up(whole, len(whole) - MOST_QNAME) :].decode() if len(whole) > MOST_QNAME else whole.decode()
+
+
+def _char_floor_up(body: bytes, at: int) -> int:
+    while at < len(body) and body[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _python_tree(text: str) -> ast.Module | None:
     try:
-        tree = ast.parse(text)
+        return ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    body = text.encode()
-    starts = line_starts(body)
+
+
+def python_units(text: str) -> list[tuple[str, str, str, int, int, int, int]] | None:
+    """(kind, name, qualified name, start, end, parent, depth) of classes, functions and values of the module; None if it doesn't parse.
+
+    Each node is visited once and handed its parent on the way down.
+    """
+    tree = _python_tree(text)
+    if tree is None:
+        return None
+    starts = line_starts(text.encode())
     out: list[tuple] = []
     stack: list[tuple[ast.AST, int, list[str]]] = [(tree, -1, [])]
     while stack:
         node, parent, names = stack.pop()
-        for child in reversed(list(ast.iter_child_nodes(node))):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                stack.append((child, parent, names))
-            elif not isinstance(child, ast.expr):
-                stack.append((child, parent, names))
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
             start, end = starts[first - 1], starts[node.end_lineno - 1] + node.end_col_offset
             kind = "class" if isinstance(node, ast.ClassDef) else ("method" if parent >= 0 and out[parent][0] == "class" else "function")
-            qname = ".".join([*names[-MOST_QUALIFIERS:], node.name])[:MOST_QNAME]
-            out.append((kind, node.name, qname, start, end, parent, len(names)))
-            # children of this node were pushed with the old parent; give them the new one
-            mine = {id(c) for c in ast.walk(node)} - {id(node)}
-            k = len(out) - 1
-            stack = [(n, k, [*names, node.name]) if id(n) in mine and p == parent else (n, p, q) for n, p, q in stack]
+            names = [*names, node.name]
+            out.append((kind, node.name, qualified(names), start, end, parent, len(names) - 1))
+            parent = len(out) - 1
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)) and parent < 0 and node.col_offset == 0:
+            target = node.targets[0] if isinstance(node, ast.Assign) else node.target
+            if isinstance(target, ast.Name):
+                out.append(("static", target.id, target.id, starts[node.lineno - 1], starts[node.end_lineno - 1] + node.end_col_offset, -1, 0))
+        stack += [(c, parent, names) for c in reversed(list(ast.iter_child_nodes(node))) if not isinstance(c, ast.expr)]
     return out
 
 
@@ -136,19 +157,46 @@ def markdown_sections(text: str) -> list[tuple[str, str, str, int, int, int, int
         end = next((h[0] for h in heads[i + 1 :] if h[1] <= level), len(body))
         parent = next((j for j in range(i - 1, -1, -1) if heads[j][1] < level), -1)
         qname = (out[parent][2] + " / " if parent >= 0 else "") + name
-        out.append(("section", name, qname[:MOST_QNAME], start, end, parent, level - 1))
-    return out
+        out.append(("section", name, qname, start, end, parent, level - 1))
+    return [(k, name, qualified([q], ""), *rest) for k, name, q, *rest in out]
 
 
 def units_of(path: str, text: str) -> list[tuple] | None:
+    """The units of a text, None where it isn't parsed: it is too long, of no known language, or broken."""
     ext = path.rsplit(".", 1)[-1].lower()
-    if len(text) > MOST_PARSED:
+    if len(text.encode("utf-8", "replace")) > MOST_PARSED:
         return None
     if ext in ("py", "pyi"):
         return python_units(text)
     if ext in ("md", "markdown"):
         return markdown_sections(text)
-    return None
+    family = code.family_of(path)
+    if family is None:
+        return None
+    at = code.Bytes(text)
+    joint = "::" if family in ("rust", "c") else "."
+    return [(u.kind, u.name, qualified(u.qname.split(joint), joint), at(u.start), at(u.end), u.parent, u.depth) for u in code.code_units(text, family)]
+
+
+def parsed_of(path: str, text: str) -> bool | None:
+    """Whether a text parses; null where its language has no units. Too long a text isn't parsed and counts as such."""
+    ext = path.rsplit(".", 1)[-1].lower()
+    if ext in ("md", "markdown"):
+        return True
+    family = code.family_of(path)
+    if ext not in ("py", "pyi") and family is None:
+        return None
+    if len(text.encode("utf-8", "replace")) > MOST_PARSED:
+        return False
+    return _python_tree(text) is not None if family is None else code.balanced(text, family)
+
+
+def parsed(path: Column, content: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([parsed_of(p, t) if p is not None and t is not None else None for p, t in zip(paths, texts)], dtype=object)
+
+    return run(path, content)
 
 
 def documents_of(path: str, text: str) -> list[tuple[str, str | None, str | None, int, int]]:
@@ -196,25 +244,18 @@ def units(sources: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def imports_of(path: str, text: str) -> list[tuple[str]]:
+    """The names that imports bind: an alias before the name itself, else the last segment; globs bind none."""
     ext = path.rsplit(".", 1)[-1].lower()
+    family = code.family_of(path)
     found: list[str] = []
     if ext in ("py", "pyi"):
-        for m in re.finditer(r"(?m)^[ \t]*(?:from\s+([.\w]+)\s+import\s+([^\n#(]+|\([^)]*\))|import\s+([^\n#]+))", text):
-            if m.group(1):
-                found += [m.group(1).rsplit(".", 1)[-1], *(x.strip().split(" as ")[0].strip() for x in m.group(2).strip("()").split(","))]
-            else:
-                found += [x.strip().split(" as ")[0].strip().rsplit(".", 1)[-1] for x in m.group(3).split(",")]
-    elif ext == "rs":
-        for m in re.finditer(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);", text):
-            found += re.findall(r"[A-Za-z_]\w*", re.sub(r"\bas\s+\w+", "", m.group(1)))
-    elif ext in ("ts", "tsx", "js", "mts"):
-        for m in re.finditer(r"(?m)^\s*(?:import|export)\b([^;\n]*?)\bfrom\s*[\"']([^\"']+)[\"']", text):
-            found += re.findall(r"[A-Za-z_$][\w$]*", re.sub(r"\bas\s+\w+|\btype\b", "", m.group(1)))
-            found.append(re.split(r"[/]", m.group(2))[-1])
-    elif ext == "go":
-        for m in re.finditer(r"(?ms)^import\s*(\([^)]*\)|\"[^\"]*\")", text):
-            found += [p.rsplit("/", 1)[-1] for p in re.findall(r"\"([^\"]*)\"", m.group(1))]
-    return [(x,) for x in dict.fromkeys(x for x in found if x and x not in ("self", "super", "crate", "import", "*"))]
+        tree = _python_tree(text)
+        for n in ast.walk(tree) if tree else ():
+            if isinstance(n, (ast.Import, ast.ImportFrom)):
+                found += [a.asname or a.name.rsplit(".", 1)[-1] for a in n.names if a.name != "*"]
+    elif family is not None:
+        found = code.code_imports(text, family)
+    return [(x,) for x in dict.fromkeys(found)]
 
 
 def imports(sources: DataFrame, keys: list[str]) -> DataFrame:
@@ -223,14 +264,17 @@ def imports(sources: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def calls_of(path: str, text: str) -> list[tuple[str, int]]:
-    """Names called in a Python file, through the aliases of its imports, with their counts."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    """Names called in a file with their counts; in Python through the aliases of its imports."""
+    family = code.family_of(path)
+    if family is not None:
+        return list(code.code_calls(text, family).items())
+    tree = _python_tree(text)
+    if tree is None:
         return []
-    alias = {a.asname: a.name for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names if a.asname}
+    nodes = list(ast.walk(tree))
+    alias = {a.asname: a.name for n in nodes if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names if a.asname}
     count: dict[str, int] = {}
-    for n in ast.walk(tree):
+    for n in nodes:
         if isinstance(n, ast.Call):
             name = n.func.attr if isinstance(n.func, ast.Attribute) else (n.func.id if isinstance(n.func, ast.Name) else None)
             if name:
@@ -240,22 +284,30 @@ def calls_of(path: str, text: str) -> list[tuple[str, int]]:
 
 
 def calls(sources: DataFrame, keys: list[str]) -> DataFrame:
-    return _exploded(sources.filter(F.lower("path").rlike(r"\.pyi?$")), keys, calls_of, "name string, calls int")
+    known = "|".join(["py", "pyi", *code.FAMILY])
+    return _exploded(sources.filter(F.lower("path").rlike(rf"\.({known})$")), keys, calls_of, "name string, calls int")
 
 
 def outline_of(path: str, text: str) -> str:
     """The text with bodies of at least four lines and comments of at least six elided, each by a marker that names its size."""
     lines = text.split("\n")
     drop: list[tuple[int, int]] = []
+    family = code.family_of(path)
     if path.lower().endswith((".py", ".pyi")):
-        try:
-            for n in ast.walk(ast.parse(text)):
-                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    first = n.body[0].lineno
-                    if n.end_lineno - first + 1 >= ELIDE_LINES:
-                        drop.append((first, n.end_lineno))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
+        tree = _python_tree(text)
+        for n in ast.walk(tree) if tree else ():
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                first = n.body[0].lineno
+                if n.end_lineno - first + 1 >= ELIDE_LINES:
+                    drop.append((first, n.end_lineno))
+    elif family is not None:
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        for u in code.code_units(text, family):
+            if u.body is not None and u.kind in ("fn", "method"):
+                # the lines between the one that opens the block and the one that closes it
+                first, last = bisect.bisect_right(starts, u.body) + 1, bisect.bisect_right(starts, u.end - 1) - 1
+                if last - first + 1 >= ELIDE_LINES:
+                    drop.append((first, last))
     run = None
     for i, line in enumerate([*lines, ""], 1):
         comment = line.lstrip().startswith(("#", "//", "--", "*"))

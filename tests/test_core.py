@@ -308,7 +308,7 @@ def test_documents_tile_the_text(spark):
         assert not body[at:].strip()
     assert [(u[0], u[2]) for u in documents.python_units(py)] == [("class", "A"), ("method", "A.f"), ("function", "g")]
     assert [u[2] for u in documents.markdown_sections(md)] == ["A", "A / B", "C"]
-    assert documents.imports_of("x.rs", "use a::{b, c as d};") == [("a",), ("b",), ("c",)]
+    assert documents.imports_of("x.rs", "use a::{b, c as d};") == [("b",), ("d",)]
     assert "… 4 lines" in documents.outline_of("x.py", "def f():\n    a\n    b\n    c\n    d\n")
 
 
