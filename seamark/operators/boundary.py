@@ -10,20 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Converters of route templates and what a segment of each may be.
-CONVERTERS = {"int": r"[0-9]+", "str": r"[^/]+", "string": r"[^/]+", "path": r".+", "float": r"[0-9]+\.[0-9]+", "uuid": r"[0-9a-fA-F-]{36}"}
+from seamark.session import cut, hinted
+
+#: Converters of route templates and what one segment of each may be; the last two take the rest of a path, the very last
+#: one only if its first segment isn't empty. In angle brackets only strings and integers are known.
+CONVERTERS = {"str": r"[^/]+", "int": r"[0-9]+", "float": r"[0-9]+(?:\.[0-9]+)?", "uuid": r"[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}"}
+OPEN = ("path", "flask_path")
+ANGLE = {"string": "str", "int": "int"}
+MOST_ROUTE = 1024
 MOST_FILES, MOST_FACTS, MOST_RESULTS = 64, 128, 64
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 
 
 def normalize_template(c: Column) -> Column:
-    """``<int:id>`` and ``<id>`` become ``{id:int}`` and ``{id:str}``; an unknown converter gives null."""
-    braces = F.regexp_replace(F.regexp_replace(c, r"<([a-z]+):([A-Za-z_]\w*)>", "{$2:$1}"), r"<([A-Za-z_]\w*)>", "{$1:str}")
-    braces = F.regexp_replace(braces, r"\{([A-Za-z_]\w*)\}", "{$1:str}")
-    known = "|".join(CONVERTERS)
-    odd = F.regexp_replace(braces, rf"\{{[A-Za-z_]\w*:(?:{known})\}}", "")
-    # a path converter takes the rest, so that it may only come last
-    return F.when(~odd.rlike(r"[<>{}]") & ~braces.rlike(r":path\}.+"), braces)
+    """A route with each parameter as ``{name:converter}``: ``<int:id>``, ``<id>``, ``{id}`` and ``{id:int}`` are known.
+
+    Null for a route that doesn't begin with a slash, is longer than 1,024 bytes, holds ``?``, ``#`` or ``%``, mixes text and a parameter
+    in a segment, repeats a name, has an unknown converter or one that takes the rest before its end.
+    """
+    name = r"([A-Za-z_][A-Za-z0-9_]*)"
+    kinds = "|".join([*CONVERTERS, *OPEN])
+
+    def part(x: Column) -> Column:
+        brace = F.regexp_replace(x, rf"^\{{{name}\}}$", "{$1:str}")
+        angle = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, rf"^<{name}>$", "{$1:str}"), rf"^<string:{name}>$", "{$1:str}"), rf"^<int:{name}>$", "{$1:int}")
+        out = F.when(x.startswith("<"), angle).otherwise(brace)
+        return F.when(~x.rlike(r"[<>{}]"), x).when(out.rlike(rf"^\{{{name}:(?:{kinds})\}}$"), out)
+
+    parts = F.transform(F.split(c, "/"), part)
+    names = F.filter(F.transform(parts, lambda x: F.regexp_extract(x, rf"^\{{{name}:", 1)), lambda x: x != "")
+    mixed = c.contains("<") & c.contains("{")
+    ends_before = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: x.rlike(r":(?:flask_)?path\}$"))
+    ok = c.startswith("/") & (F.octet_length(c) <= MOST_ROUTE) & ~c.rlike(r"[?#%]") & ~mixed & ~F.exists(parts, lambda x: x.isNull()) & (F.size(F.array_distinct(names)) == F.size(names)) & ~F.coalesce(ends_before, F.lit(False))
+    return F.when(ok, F.array_join(parts, "/"))
 
 
 def segment_fits(template: Column, segment: Column) -> Column:
@@ -35,13 +54,14 @@ def segment_fits(template: Column, segment: Column) -> Column:
 
 
 def fits(template: Column, path: Column) -> Column:
-    """Whether a path matches a normalized template segment by segment; a path converter takes one segment or more."""
+    """Whether a path matches a normalized template segment by segment; an open converter takes the rest, be it empty, from its segment on."""
     ts, ps = F.split(template, "/"), F.split(path, "/")
-    open_ = template.contains(":path}")
+    open_ = template.endswith("path}") & template.rlike(r":(?:flask_)?path\}$")
     head = F.when(open_, F.size(ts) - 1).otherwise(F.size(ts))
-    long_enough = F.when(open_, (F.size(ps) >= F.size(ts)) & ~path.endswith("/")).otherwise(F.size(ps) == F.size(ts))
+    long_enough = F.when(open_, F.size(ps) >= F.size(ts)).otherwise(F.size(ps) == F.size(ts))
+    first = F.get(ps, F.size(ts) - 1)
     pairs = F.zip_with(F.slice(ts, F.lit(1), head), F.slice(ps, F.lit(1), head), segment_fits)
-    return long_enough & F.forall(pairs, lambda x: x)
+    return long_enough & F.forall(pairs, lambda x: x) & (~template.endswith(":flask_path}") | (first != ""))
 
 
 def provider_currency(providers: DataFrame, inputs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -55,20 +75,25 @@ def resolve_routes(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     """``consumer, state, matches, route``: exact_key, route_template, ambiguous, unresolved, incomplete or unsupported.
 
     Literal routes meet by equality on (service, method, path). Templates meet on (service, method, number of segments, first segment
-    where it is literal), so that they are tried on few candidates; path converters are tried on (service, method).
+    where it is literal), those with an open end on the same without the number, so that they are tried on few candidates. Templates whose
+    first segment is a parameter meet without it; those are counted and broadcast where they are few, so that a service with a third of all
+    consumers isn't one task.
     """
     c = consumers.withColumn("_segments", F.size(F.split("path", "/"))).withColumn("_first", F.get(F.split("path", "/"), F.lit(1)))
     p = providers.withColumn("template", normalize_template(F.col("route"))).filter("template IS NOT NULL")
-    p = p.withColumn("_is", F.col("template").contains("{")).withColumn("_open", F.col("template").contains(":path}"))
+    p = p.withColumn("_is", F.col("template").contains("{")).withColumn("_open", F.col("template").rlike(r":(?:flask_)?path\}$"))
     p = p.withColumn("_segments", F.size(F.split("template", "/"))).withColumn("_first", F.get(F.split("template", "/"), F.lit(1)))
     keys = ["service", "method"]
     cols = ["consumer", "route", "_is"]
     exact = c.join(p.filter("NOT _is").select(*keys, F.col("template").alias("path"), "route", "_is"), [*keys, "path"]).select(*cols)
-    fixed = p.filter("_is AND NOT _open")
-    lead = fixed.filter(~F.col("_first").contains("{")).select(*keys, "_segments", "_first", "template", "route", "_is")
-    free = fixed.filter(F.col("_first").contains("{")).select(*keys, "_segments", "template", "route", "_is")
-    rest = p.filter("_open").select(*keys, "template", "route", "_is")
-    tried = [c.join(lead, [*keys, "_segments", "_first"]), c.join(free, [*keys, "_segments"]), c.join(rest, keys)]
+    cols_of = ("template", "route", "_is")
+    named, free = ~F.col("_first").contains("{"), F.col("_first").contains("{")
+    tried = [
+        c.join(p.filter(F.col("_is") & ~F.col("_open") & named).select(*keys, "_segments", "_first", *cols_of), [*keys, "_segments", "_first"]),
+        c.join(p.filter(F.col("_is") & F.col("_open") & named).select(*keys, "_first", *cols_of), [*keys, "_first"]),
+        c.join(hinted(cut(p.filter(F.col("_is") & ~F.col("_open") & free).select(*keys, "_segments", *cols_of))), [*keys, "_segments"]),
+        c.join(hinted(cut(p.filter(F.col("_is") & F.col("_open") & free).select(*keys, *cols_of))), keys),
+    ]
     hits = exact
     for x in tried:
         hits = hits.unionByName(x.filter(fits(F.col("template"), F.col("path"))).select(*cols))
@@ -86,11 +111,14 @@ def resolve_routes(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     return j.select("consumer", state.alias("state"), F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("route")).alias("route"))
 
 
-FACT = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("method", T.StringType()), T.StructField("path", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("unsupported", T.StringType())]))
+FACT = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("method", T.StringType()), T.StructField("path", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("unsupported", T.StringType()), T.StructField("more", T.BooleanType())]))
 
 
 def facts_of(body: str) -> list[tuple]:
-    """(role, method, path, line, reason) of the route decorators and HTTP calls of a Python file; of one that doesn't parse, none."""
+    """(role, method, path, line, reason, more) of the route decorators and HTTP calls of a Python file; of one that doesn't parse, none.
+
+    At most ``MOST_FACTS`` in order of place; ``more`` says that the file has others.
+    """
     try:
         tree = ast.parse(body)
     except (SyntaxError, ValueError, RecursionError):
@@ -110,11 +138,12 @@ def facts_of(body: str) -> list[tuple]:
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in METHODS and isinstance(node.func.value, ast.Name) and node.func.value.id in ("requests", "httpx", "client", "session"):
             url = text(node.args[0]) if node.args else None
             out.append(("consume", node.func.attr.upper(), re.sub(r"^https?://[^/]+", "", url) if url else None, node.lineno, None if url else "computed path"))
-    return out[:MOST_FACTS]
+    out.sort(key=lambda f: f[3])
+    return [(*f, len(out) > MOST_FACTS) for f in out[:MOST_FACTS]]
 
 
 def index_facts(sources: DataFrame, key: str, body: str) -> DataFrame:
-    """``key, role, method, path, line, unsupported`` of Python sources."""
+    """``key, role, method, path, line, unsupported, more`` of Python sources."""
 
     @F.pandas_udf(FACT)
     def facts(s: pd.Series) -> pd.Series:

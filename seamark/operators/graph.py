@@ -31,12 +31,17 @@ def replace_provider(edges: DataFrame, provider: str, bundle: DataFrame) -> Data
 
 
 def endpoint_freshness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """``fresh``: whether the recorded digests of both ends are the current ones; an end without a digest is never fresh."""
+    """``fresh``: whether the recorded digests of all ends are the current ones; an end without a digest is never fresh.
+
+    Ends are those of the edge, and the test of an execution where the edge has one (``test_path``, ``test_hash``).
+    """
     s = sources.select("path", "sha256").dropDuplicates(["path"])
-    for end in ("from", "to"):
+    fresh = F.lit(True)
+    for end in ("from", "to", "test") if "test_path" in edges.columns else ("from", "to"):
         edges = edges.join(s.select(F.col("path").alias(f"{end}_path"), F.col("sha256").alias(f"_{end}")), f"{end}_path", "left")
-    fresh = (F.col("_from") == F.col("from_hash")) & (F.col("_to") == F.col("to_hash"))
-    return edges.withColumn("fresh", F.coalesce(fresh, F.lit(False))).drop("_from", "_to")
+        same = F.coalesce(F.col(f"_{end}") == F.col(f"{end}_hash"), F.lit(False))
+        fresh = fresh & (same if end != "test" else F.col("test_path").isNull() | same)
+    return edges.withColumn("fresh", fresh).drop("_from", "_to", "_test")
 
 
 def execution_fresh(edges: DataFrame, revision: int, endpoint_only: bool = False) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window as W
 
 from seamark.session import cut
 
-MOST_DEPTH = 4
 EXPORT_ROWS, EXPORT_BYTES = 128, 4 * 1024 * 1024
 
 
@@ -67,15 +66,16 @@ def export_page(rows: DataFrame, key: str, text: str, after: str | None = None)
 def eligible_briefs(briefs: DataFrame, dependencies: DataFrame, children: DataFrame, sources: DataFrame, key: str = "brief_id") -> DataFrame:
     """Briefs all of whose dependencies are current and all of whose children are eligible with the recorded fingerprint.
 
-    Lineage is at most four levels deep, so that the levels are unrolled: leaves first, each level one join and one grouped check. Each
-    level is cut, as a plan of all of them would double with every level.
+    Leaves first, each level of the lineage one join and one grouped check, as many levels as the briefs have. Each level is cut, as a plan
+    of all of them would double with every level.
     """
     s = sources.select("path", "sha256").dropDuplicates(["path"])
     dep = dependencies.join(s, "path", "left").withColumn("ok", F.coalesce(F.col("sha256") == F.col("hash"), F.lit(False))).groupBy(key).agg(F.bool_and("ok").alias("current"))
     own = cut(briefs.join(dep, key, "left").withColumn("current", F.coalesce("current", F.lit(True))))
     children = cut(children)
     good = cut(own.filter((F.col("depth") == 0) & F.col("current")).select(key, "fingerprint"))
-    for level in range(1, MOST_DEPTH + 1):
+    deepest = own.agg(F.max("depth")).collect()[0][0] or 0
+    for level in range(1, deepest + 1):
         at = own.filter((F.col("depth") == level) & F.col("current")).select(key, "fingerprint")
         need = children.join(at.select(key), key, "left_semi")
         have = need.join(good.select(F.col(key).alias("child_id"), F.col("fingerprint").alias("_now")), "child_id", "left")
@@ -90,13 +90,18 @@ def one_per_path(hits: DataFrame, path: str, order: list) -> DataFrame:
 
 
 def preparation_levels(nodes: DataFrame, children: DataFrame, key: str) -> DataFrame:
-    """``key, level``: children before their parents; a cycle or a chain beyond the depth bound has no level."""
-    level = cut(nodes.join(children.select(key), key, "left_anti").select(key, F.lit(0).alias("level")))
-    for k in range(1, MOST_DEPTH + 1):
-        ready = children.join(nodes.select(key), key, "left_semi").join(level.select(F.col(key).alias("child_id"), F.col("level").alias("_l")), "child_id", "left")
+    """``key, level``: children before their parents, one above the highest of them; what depends on itself or on an unknown child has no level."""
+    nodes, children = cut(nodes.select(key).distinct()), cut(children.join(nodes.select(key), key, "left_semi").select(key, "child_id").distinct())
+    level = cut(nodes.join(children.select(key), key, "left_anti").withColumn("level", F.lit(0)))
+    k = 0
+    while True:
+        k += 1
+        ready = children.join(level.select(F.col(key).alias("child_id"), F.col("level").alias("_l")), "child_id", "left")
         ok = ready.groupBy(key).agg(F.bool_and(F.col("_l").isNotNull()).alias("ok")).filter("ok").select(key)
-        level = level.unionByName(ok.join(level.select(key), key, "left_anti").withColumn("level", F.lit(k)))
-    return level
+        new = cut(ok.join(level.select(key), key, "left_anti").withColumn("level", F.lit(k)))
+        if new.isEmpty():
+            return level
+        level = level.unionByName(new)
 
 
 def assertion_conflicts(entries: DataFrame, task: str, subject: str, value: str) -> DataFrame:

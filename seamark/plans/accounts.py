@@ -208,7 +208,7 @@ def assertions(t):
 def briefs(t):
     """Briefs of all revisions of files, and of each directory and repository as of the first and as of the newest revisions in it.
 
-    A brief is eligible if its sources and, level by level, its children are current; directories more than four levels above a file have none.
+    A brief is eligible if its sources and, level by level, its children are current.
     """
     b = t.partition_source.select("source_id", "repo", "path", "source_hash", "revision").dropDuplicates(["source_id"])
     s = b.groupBy("path").agg(F.max_by("source_hash", F.struct("revision", "source_id")).alias("sha256"))
@@ -229,17 +229,29 @@ def briefs(t):
     return RC.eligible_briefs(briefs, dep, children, s).select("brief_id", "depth")
 
 
-_ROUTES = [("shop", "GET", "/orders/<int:id>"), ("shop", "GET", "/orders/open"), ("shop", "GET", "/parts/<name>"), ("shop", "GET", "/files/<path:rest>"), ("shop", "POST", "/orders"), ("shop", "GET", "/<kind>/new")]
+_ROUTES = [
+    ("shop", "GET", "/orders/<int:id>"), ("shop", "GET", "/orders/open"), ("shop", "GET", "/parts/<name>"), ("shop", "GET", "/files/{rest:path}"), ("shop", "POST", "/orders"), ("shop", "GET", "/<kind>/new"), ("shop", "GET", "/rate/{x:float}"),
+    ("shop", "GET", "/key/{x:uuid}"), ("shop", "GET", "/static/{name:flask_path}"), ("shop", "GET", "/bad/<float:x>"), ("shop", "GET", "/bad/a<x>"), ("shop", "GET", "/bad/{x:path}/y"), ("shop", "GET", "/bad/{x}/{x}"), ("shop", "GET", "bad"),
+    ("shop", "GET", "/bad?x"), ("shop", "GET", "/bad/{x:custom}"),
+]
+#: Paths by the last digit of an order, with a literal part and the order's or customer's number.
+_PATHS = (
+    ("/orders/", "o"), ("/orders/open", ""), ("/parts/p", "c"), ("/files/a/", "c"), ("/none/", "c"), ("/files/", ""), ("/rate/", "c"), ("/key/0123abcd-0123-4567-89AB0123456789ab", ""), ("/static/", ""), ("/static/a/", "o"),
+)
 
 
 @plans.query("C10_boundary", r"""
-WITH c AS (SELECT o_orderkey AS consumer, CASE o_orderkey % 5 WHEN 0 THEN '/orders/' || o_orderkey WHEN 1 THEN '/orders/open' WHEN 2 THEN '/parts/p' || o_custkey WHEN 3 THEN '/files/a/' || o_custkey ELSE '/none/' || o_custkey END AS path FROM orders),
-p AS (SELECT unnest(['/orders/<int:id>', '/orders/open', '/parts/<name>', '/files/<path:rest>', '/<kind>/new']) AS route, unnest(['^/orders/[0-9]+$', '^/orders/open$', '^/parts/[^/]+$', '^/files/.+$', '^/[^/]+/new$']) AS rx),
+WITH c AS (SELECT o_orderkey AS consumer, CASE o_orderkey % 10 WHEN 0 THEN '/orders/' || o_orderkey WHEN 1 THEN '/orders/open' WHEN 2 THEN '/parts/p' || o_custkey WHEN 3 THEN '/files/a/' || o_custkey WHEN 4 THEN '/none/' || o_custkey
+ WHEN 5 THEN '/files/' WHEN 6 THEN '/rate/' || o_custkey WHEN 7 THEN '/key/0123abcd-0123-4567-89AB0123456789ab' WHEN 8 THEN '/static/' ELSE '/static/a/' || o_orderkey END AS path FROM orders),
+p AS (SELECT unnest(['/orders/<int:id>', '/orders/open', '/parts/<name>', '/files/{rest:path}', '/<kind>/new', '/rate/{x:float}', '/key/{x:uuid}', '/static/{name:flask_path}']) AS route,
+ unnest(['^/orders/[0-9]+$', '^/orders/open$', '^/parts/[^/]+$', '^/files/.*$', '^/[^/]+/new$', '^/rate/[0-9]+(\.[0-9]+)?$', '^/key/[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$', '^/static/[^/]+(/.*)?$']) AS rx),
 m AS (SELECT consumer, count(route) AS matches, min(route) AS route FROM c LEFT JOIN p ON regexp_matches(c.path, p.rx) GROUP BY consumer)
-SELECT consumer, CASE WHEN matches = 0 THEN 'unresolved' WHEN matches > 1 THEN 'ambiguous' WHEN contains(route, '<') THEN 'route_template' ELSE 'exact_key' END AS state, matches, CASE WHEN matches = 1 THEN route END AS route FROM m""")
+SELECT consumer, CASE WHEN matches = 0 THEN 'unresolved' WHEN matches > 1 THEN 'ambiguous' WHEN regexp_matches(route, '[<{]') THEN 'route_template' ELSE 'exact_key' END AS state, matches, CASE WHEN matches = 1 THEN route END AS route FROM m""")
 def boundary(t):
-    k = F.col("o_orderkey") % 5
-    path = F.when(k == 0, F.concat(F.lit("/orders/"), "o_orderkey")).when(k == 1, "/orders/open").when(k == 2, F.concat(F.lit("/parts/p"), "o_custkey")).when(k == 3, F.concat(F.lit("/files/a/"), "o_custkey")).otherwise(F.concat(F.lit("/none/"), "o_custkey"))
+    k = F.col("o_orderkey") % 10
+    path = F.lit(None).cast("string")
+    for i, (text, number) in reversed(list(enumerate(_PATHS))):
+        path = F.when(k == i, F.concat(F.lit(text), F.col("o_orderkey" if number == "o" else "o_custkey")) if number else F.lit(text)).otherwise(path)
     # taken from the row, so that the keys stay keys: Spark would fold literals and join by nested loops
     given = lambda x: F.when(F.col("o_orderkey").isNotNull(), x)
     c = t.orders.select(F.col("o_orderkey").alias("consumer"), given("shop").alias("service"), given("GET").alias("method"), path.alias("path"))
@@ -247,12 +259,37 @@ def boundary(t):
     return B.resolve_routes(c, p)
 
 
-@plans.query("C11_facts")
+#: A file with routes and calls, as no file of the tables has one.
+_SERVICE = """import requests
+app = make()
+
+@app.route("/orders/<int:id>", methods=["GET", "POST"])
+def order(id):
+    return requests.get("http://shop/parts/7")
+
+@router.put("/parts/{name}")
+async def part(name):
+    return client.post(url)
+
+@app.route(prefix + "/x")
+def computed():
+    pass
+"""
+
+
+@plans.query("C11_facts", """
+SELECT * FROM (VALUES (-1::BIGINT, 'provide', 'GET', '/orders/<int:id>', 4, NULL, false), (-1, 'provide', 'POST', '/orders/<int:id>', 4, NULL, false), (-1, 'consume', 'GET', '/parts/7', 6, NULL, false), (-1, 'provide', 'PUT', '/parts/{name}', 8, NULL, false),
+ (-1, 'consume', 'POST', NULL, 10, 'computed path', false), (-1, 'provide', 'GET', NULL, 12, 'computed path', false)) AS v(source_id, role, method, path, line, unsupported, more)
+UNION ALL SELECT source_id, NULL, NULL, NULL, NULL, NULL, NULL FROM partition_source WHERE regexp_matches(lower(path), '\\.py$') AND regexp_matches(body, '(?m)^\\s*@[\\w.]+\\.(route|get|post|put|patch|delete|head|options)\\(')""")
 def facts(t):
+    """Over all Python sources, none of which has a route, and one file that has."""
     s = t.partition_source.filter(F.lower("path").endswith(".py")).select("source_id", "body").dropDuplicates(["source_id"])
-    return B.index_facts(s, "source_id", "body")
+    own = t.spark.createDataFrame([(-1, _SERVICE)], "source_id long, body string")
+    return B.index_facts(s.unionByName(own), "source_id", "body")
 
 
-@plans.query("F14_templates", "SELECT route, CASE WHEN regexp_matches(route, '<(int|str|string|path|float|uuid):') THEN regexp_replace(route, '<([a-z]+):([a-z]+)>', '{\\2:\\1}') ELSE regexp_replace(route, '<([a-z]+)>', '{\\1:str}') END AS template FROM (SELECT unnest(['/orders/<int:id>', '/orders/open', '/parts/<name>', '/files/<path:rest>', '/orders', '/<kind>/new']) AS route)")
+@plans.query("F14_templates", """
+SELECT * FROM (VALUES ('/orders/<int:id>', '/orders/{id:int}'), ('/orders/open', '/orders/open'), ('/parts/<name>', '/parts/{name:str}'), ('/files/{rest:path}', '/files/{rest:path}'), ('/orders', '/orders'), ('/<kind>/new', '/{kind:str}/new'), ('/rate/{x:float}', '/rate/{x:float}'),
+ ('/key/{x:uuid}', '/key/{x:uuid}'), ('/static/{name:flask_path}', '/static/{name:flask_path}'), ('/bad/<float:x>', NULL), ('/bad/a<x>', NULL), ('/bad/{x:path}/y', NULL), ('/bad/{x}/{x}', NULL), ('bad', NULL), ('/bad?x', NULL), ('/bad/{x:custom}', NULL)) AS v(route, template)""")
 def templates(t):
     return t.spark.createDataFrame(_ROUTES, "service string, method string, route string").select("route", B.normalize_template(F.col("route")).alias("template"))

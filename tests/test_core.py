@@ -373,8 +373,18 @@ def test_lsh_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = e.filter("vec_id % 20 = 0")
     exact = {(r["query"], r["key"]) for r in dense.top_k_batch(e, q, "vec_id", "embedding", "vec_id").collect()}
-    found = {(r["query"], r["key"]) for r in dense.HyperplaneIndex(len(e.first()["embedding"])).search(e, q, "vec_id", "embedding").collect()}
+    found = {(r["query"], r["key"]) for r in dense.SketchIndex(len(e.first()["embedding"])).search(e, q, "vec_id", "embedding").collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+    # groups of queries against shares of vectors give the same as one block
+    assert {(r["query"], r["key"]) for r in dense.top_k_batch(e, q, "vec_id", "embedding", "vec_id", block=7).collect()} == exact
+    assert dense.top_k_batch(e, q.limit(0), "vec_id", "embedding", "vec_id").count() == 0 and dense.top_k_batch(e.limit(0), q, "vec_id", "embedding", "vec_id").count() == 0
+
+
+def test_equal_distances_go_by_key(spark):
+    e = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(40)] + [(99, None)], "id long, v array<double>")
+    for block in (4096, 1):
+        got = sorted((r["query"], r["key"]) for r in dense.top_k_batch(e.repartition(3), e.filter("id IN (3, 4)"), "id", "v", "id", 5, block).collect())
+        assert got == [(3, k) for k in (1, 3, 5, 7, 9)] + [(4, k) for k in (0, 2, 4, 6, 8)]
 
 
 def test_budget_is_kept_and_monotone():
@@ -395,6 +405,10 @@ def test_briefs_and_levels(spark):
     assert {r["brief_id"] for r in records.eligible_briefs(b, dep, ch, s).collect()} == {"l", "p"}
     lv = records.preparation_levels(b.select("brief_id"), ch.select("brief_id", "child_id"), "brief_id")
     assert {(r["brief_id"], r["level"]) for r in lv.collect()} == {("l", 0), ("p", 1), ("q", 1), ("r", 2)}
+    # a lineage of nine, a cycle, an unknown child
+    chain = spark.createDataFrame([(f"n{i}",) for i in range(9)] + [("x",), ("y",), ("z",)], "id string")
+    links = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 9)] + [("x", "y"), ("y", "x"), ("z", "gone")], "id string, child_id string")
+    assert {(r["id"], r["level"]) for r in records.preparation_levels(chain, links, "id").collect()} == {(f"n{i}", i) for i in range(9)}
 
 
 def test_briefs_of_directories_follow_their_files(spark, tmp_path):
@@ -404,9 +418,9 @@ def test_briefs_of_directories_follow_their_files(spark, tmp_path):
     spark.createDataFrame([*rows, rows[0]], "source_id long, repo string, path string, revision long, source_hash string").write.parquet(str(tmp_path / "partition_source.parquet"))
     got = {(r["brief_id"], r["depth"]) for r in catalog.queries()["C18_briefs"](spark, str(tmp_path)).collect()}
     files = {(f"{r}/{p}/{i}", 0) for i, r, p, _, _ in rows if i != 2}
-    # as of the first revisions y was another text, so that neither its directory nor those above are current; s lies five levels above a file
+    # as of the first revisions y was another text, so that neither its directory nor those above are current; s lies five levels above a file and is as good as the others
     newest = {("r/a/b#newest", 1), ("r/a/c#newest", 1), ("r/a#newest", 2), ("r#newest", 3), ("r/a/c#first", 1)}
-    assert got == files | newest | {(f"s/k{x}#{e}", n) for e in ("first", "newest") for x, n in (("/1/2/3", 1), ("/1/2", 2), ("/1", 3), ("", 4))}
+    assert got == files | newest | {(f"s/k{x}#{e}", n) for e in ("first", "newest") for x, n in (("/1/2/3", 1), ("/1/2", 2), ("/1", 3), ("", 4))} | {(f"s#{e}", 5) for e in ("first", "newest")}
 
 
 def test_links_of_any_spelling_have_a_state(spark, tmp_path):
