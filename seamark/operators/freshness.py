@@ -22,17 +22,26 @@ def minus_units(second: DataFrame, first: DataFrame, unit: list[str]) -> DataFra
 
 
 def enclosing(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, tie: list[str]) -> DataFrame:
-    """Each point with the smallest range that contains it (equal sizes: the ties' order), null if none does.
+    """Each distinct point with the smallest range that contains it (equal sizes: the ties' order), null if none does.
 
-    Ranges are repeated for each bin they touch and met by equality on (key, bin), so that a long file is no single task.
+    A range lies in bins of its own order of size, so that it touches two of them at most however long it is; a point looks at one bin of
+    each order there is. They meet by equality on (key, order, bin), so that a long file is no single task, and the best range is found by
+    partial aggregates before the exchange.
     """
-    r = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / BIN))))
-    p = points.withColumn("_bin", F.floor(F.col(at) / BIN)).withColumn("_p", F.monotonically_increasing_id())
+    size = F.greatest(F.col(end) - F.col(start), F.lit(1))
+    r = ranges.withColumn("_order", F.greatest(F.ceil(F.log2(size / BIN)), F.lit(0)).cast("int"))
+    width = lambda o: F.lit(BIN) * F.pow(F.lit(2.0), o)
+    place = lambda x, o: F.floor(x / width(o)).cast("long")
+    r = r.withColumn("_bin", F.explode(F.sequence(place(F.col(start), F.col("_order")), place(F.greatest(F.col(end) - 1, F.col(start)), F.col("_order")))))
+    # one number: the highest order of size
+    orders = r.agg(F.max("_order")).collect()[0][0] or 0
+    p = points.distinct().withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(orders)))).withColumn("_bin", place(F.col(at), F.col("_order")))
     names = [c for c in ranges.columns if c != key]
-    j = p.alias("p").join(r.alias("r"), (F.col(f"p.{key}") == F.col(f"r.{key}")) & (F.col("p._bin") == F.col("r._bin")) & (F.col(f"r.{start}") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col(f"r.{end}")), "left")
-    j = j.select("p.*", *[F.col(f"r.{c}").alias(c) for c in names])
-    best = F.row_number().over(W.partitionBy("_p").orderBy(F.col(end) - F.col(start), *tie))
-    return j.withColumn("_n", best).filter("_n = 1").drop("_n", "_p", "_bin")
+    on = (F.col(f"p.{key}") == F.col(f"r.{key}")) & (F.col("p._order") == F.col("r._order")) & (F.col("p._bin") == F.col("r._bin")) & (F.col(f"r.{start}") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col(f"r.{end}"))
+    j = p.alias("p").join(r.alias("r"), on, "left")
+    mine = points.columns
+    best = F.min_by(F.struct(*[F.col(f"r.{c}").alias(c) for c in names]), F.struct(F.col(f"r.{start}").isNull(), F.col(f"r.{end}") - F.col(f"r.{start}"), *[F.col(f"r.{c}") for c in tie]))
+    return j.groupBy(*[F.col(f"p.{c}").alias(c) for c in mine]).agg(best.alias("_r")).select(*mine, "_r.*")
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -53,9 +53,15 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, most_edges: int
     """Breadth-first edges from the seeds (column ``node``): ``hop, src, dst, fresh, ...``.
 
     ``edges`` needs ``src, dst, fresh``. Every examined edge counts towards the bound, stale ones too, but only fresh ones are followed; a
-    node is expanded once. Levels are joins; at most four of them. Without a bound the whole reachable set comes out.
+    node is expanded once. At most four levels. With a bound, a level that fills it is the last one, at most ``MOST_FILES`` nodes are
+    visited in the order in which they are met, and so each level is a filter by few nodes. Without one the whole reachable set comes out,
+    level by level by joins.
     """
     depth = max(1, min(depth, MOST_DEPTH))
+    order = order or ["src", "dst"]
+    if most_edges is not None:
+        first = [r["node"] for r in seeds.select("node").distinct().orderBy("node").limit(MOST_FILES).collect()]
+        return _bounded(edges, first, depth, most_edges, reverse, order)
     a, b = ("dst", "src") if reverse else ("src", "dst")
     frontier = cut(seeds.select("node").distinct())
     visited = frontier
@@ -70,11 +76,28 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, most_edges: int
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    if most_edges is not None:
-        out = out.orderBy("hop", *(order or ["src", "dst"])).limit(most_edges)
     return out
 
 
+def _bounded(edges: DataFrame, seeds: list, depth: int, most: int, reverse: bool, order: list[str]) -> DataFrame:
+    """At most ``most`` edges, so that each level's are known to the driver before the next is asked for."""
+    spark = edges.sparkSession
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    frontier, visited, rows = list(seeds), set(seeds), []
+    schema = edges.withColumn("hop", F.lit(1)).schema
+    for hop in range(1, depth + 1):
+        if not frontier or len(rows) >= most:
+            break
+        level = edges.filter(F.col(a).isin(frontier)).distinct().orderBy(*order).limit(most - len(rows)).collect()
+        rows += [(*r, hop) for r in level]
+        frontier = []
+        for r in level:
+            if r["fresh"] and r[b] not in visited and len(visited) < MOST_FILES:
+                visited.add(r[b])
+                frontier.append(r[b])
+    return spark.createDataFrame(rows, schema)
+
+
 def unresolved(references: DataFrame, definitions: DataFrame, symbol: str) -> DataFrame:
     """References with ``n_definitions``; those that don't have exactly one are unresolved."""
     d = definitions.groupBy(symbol).agg(F.count("*").alias("n_definitions"))

@@ -36,7 +36,13 @@ def bfs(t):
     return G.traverse(edges(t), _seeds(t), 2, None).select("hop", "src", "dst", "fresh")
 
 
-@plans.query("C08_graph", f"{_BFS}, a AS (SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3) SELECT * FROM a ORDER BY hop, src, dst, fresh LIMIT 256")
+@plans.query("C08_graph", f"""WITH {_EDGES}, seed AS (SELECT unnest(['c1', 'c2', 'c3']) AS node),
+h1 AS (SELECT *, row_number() OVER (ORDER BY src, dst, fresh) AS n FROM (SELECT DISTINCT src, dst, fresh FROM e WHERE src IN (SELECT node FROM seed)) QUALIFY n <= 256),
+f1 AS (SELECT dst AS node FROM h1 WHERE fresh AND dst NOT IN (SELECT node FROM seed) GROUP BY dst ORDER BY min(n) LIMIT 61),
+h2 AS (SELECT *, row_number() OVER (ORDER BY src, dst, fresh) AS n FROM (SELECT DISTINCT src, dst, fresh FROM e WHERE src IN (SELECT node FROM f1)) QUALIFY n <= 256 - (SELECT count(*) FROM h1)),
+f2 AS (SELECT dst AS node, min(n) AS n FROM h2 WHERE fresh AND dst NOT IN (SELECT node FROM f1) AND dst NOT IN (SELECT node FROM seed) GROUP BY dst QUALIFY row_number() OVER (ORDER BY min(n)) <= 61 - (SELECT count(*) FROM f1)),
+h3 AS (SELECT *, row_number() OVER (ORDER BY src, dst, fresh) AS n FROM (SELECT DISTINCT src, dst, fresh FROM e WHERE src IN (SELECT node FROM f2)) QUALIFY n <= 256 - (SELECT count(*) FROM h1) - (SELECT count(*) FROM h2))
+SELECT 1 AS hop, src, dst, fresh FROM h1 UNION ALL SELECT 2, src, dst, fresh FROM h2 UNION ALL SELECT 3, src, dst, fresh FROM h3""")
 def graph(t):
     return G.traverse(edges(t), _seeds(t), 3, G.MOST_EDGES, order=["src", "dst", "fresh"]).select("hop", "src", "dst", "fresh")
 

@@ -78,20 +78,65 @@ def acknowledge(queue: DataFrame, done: DataFrame, key: str, revision: str) -> D
     return queue.join(done.select(key, revision), [key, revision], "left_anti")
 
 
+def _folders(spark: SparkSession, table_dir: str) -> dict[str, list[int]]:
+    """Complete bases and deltas of a table by their batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(table_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, list[int]] = {"base": [], "delta": []}
+    if fs.exists(path(table_dir)):
+        for f in fs.listStatus(path(table_dir)):
+            kind, _, n = f.getPath().getName().partition("=")
+            if kind in out and fs.exists(path(f"{table_dir}/{kind}={n}/_SUCCESS")):
+                out[kind].append(int(n))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _current(spark: SparkSession, table_dir: str, keys: list[str], version: str, upto: int | None = None) -> DataFrame | None:
+    have = _folders(spark, table_dir)
+    bases = [n for n in have["base"] if upto is None or n <= upto]
+    deltas = [n for n in have["delta"] if (not bases or n > bases[-1]) and (upto is None or n <= upto)]
+    paths = [f"{table_dir}/base={n}" for n in bases[-1:]] + [f"{table_dir}/delta={n}" for n in deltas]
+    if not paths:
+        return None
+    rows = spark.read.parquet(*paths)
+    return _newest(rows, keys, version)
+
+
+def _newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
+
+
+def snapshot(spark: SparkSession, table_dir: str, keys: list[str], version: str) -> DataFrame | None:
+    """The live rows of a reconciled table: the last base and the deltas after it, the newest version of each key, without deleted keys."""
+    now = _current(spark, table_dir, keys, version)
+    if now is None or "deleted" not in now.columns:
+        return now
+    return now.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
+
+
 def reconcile(stream: DataFrame, table_dir: str, keys: list[str], version: str, checkpoint: str) -> None:
-    """Apply a stream of row versions to a snapshot folder until it is drained; every batch is an idempotent overwrite of a new version.
+    """Apply a stream of row versions to a table until it is drained; ``snapshot`` reads it.
 
-    A batch that is replayed gives the same snapshot: rows are chosen by their version, not by their arrival. ``deleted`` rows retire keys.
+    A batch writes its changed keys as one delta; a base is written anew only when the deltas have grown to a share of it
+    (``compaction_due``). A batch that is replayed overwrites its own folder with the same rows: they are chosen by version, not by
+    arrival. Rows with ``deleted`` retire their keys; they stay in the table, so that an older version that comes late finds its key retired.
     """
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fs_path = f"{table_dir}/v={batch_id}"
-        old = spark.read.parquet(f"{table_dir}/v={batch_id - 1}") if batch_id > 0 else None
-        both = batch if old is None else old.unionByName(batch)
-        rest = [c for c in batch.columns if c not in keys]
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
-        newest.write.mode("overwrite").parquet(fs_path)
+        _newest(batch, keys, version).write.mode("overwrite").parquet(f"{table_dir}/delta={batch_id}")
+        have = _folders(spark, table_dir)
+        bases = [n for n in have["base"] if n < batch_id]
+        count = lambda kind, ns: sum(spark.read.parquet(f"{table_dir}/{kind}={n}").count() for n in ns)
+        if compaction_due(count("base", bases[-1:]), count("delta", [n for n in have["delta"] if not bases or n > bases[-1]])):
+            _current(spark, table_dir, keys, version, batch_id).write.mode("overwrite").parquet(f"{table_dir}/base={batch_id}")
+            # what the base before the new one holds already; that base stays for readers that have it open
+            old = bases[-1] if bases else -1
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            fs = path(table_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for kind, n in [("base", n) for n in have["base"] if n < old] + [("delta", n) for n in have["delta"] if n <= old]:
+                fs.delete(path(f"{table_dir}/{kind}={n}"), True)
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

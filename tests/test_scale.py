@@ -58,6 +58,21 @@ def test_traversal_ends_on_cycles(spark):
     assert {r["src"] for r in G.traverse(e, spark.createDataFrame([("d",)], "node string"), 1, None, reverse=True).collect()} == {"c"}
 
 
+def test_bounded_traversal_keeps_order_and_bounds(spark):
+    e = spark.createDataFrame([("a", f"b{i:03}", True) for i in range(100)] + [(f"b{i:03}", "c", i % 2 == 0) for i in range(100)], "src string, dst string, fresh boolean")
+    got = G.traverse(e, spark.createDataFrame([("a",)], "node string"), 2, 150).collect()
+    # 63 of the hundred are visited besides the seed
+    assert len(got) == 100 + 50 and [r["src"] for r in got if r["hop"] == 2] == [f"b{i:03}" for i in range(50)]
+    assert len(G.traverse(e, spark.createDataFrame([("a",)], "node string"), 2, 256).collect()) == 100 + 63
+
+
+def test_long_ranges_touch_few_bins(spark):
+    ranges = spark.createDataFrame([("f", 0, 1 << 30, 1), ("f", 10, 20, 2), ("f", 5000, 90_000, 3), ("f", 5000, 90_000, 4)], "path string, start long, end long, unit long")
+    points = spark.createDataFrame([("f", 15), ("f", 21), ("f", 6000), ("f", 1 << 30), ("g", 1), ("f", 15)], "path string, at long")
+    got = {(r["path"], r["at"]): r["unit"] for r in R.enclosing(points, ranges, "path", "at", "start", "end", ["unit"]).collect()}
+    assert got == {("f", 15): 2, ("f", 21): 1, ("f", 6000): 3, ("f", 1 << 30): None, ("g", 1): None}
+
+
 @pytest.mark.parametrize("name", ["C04_prose_search", "W01_resolver", "p3_found", "p4_found", "R02_debounce"])
 def test_partitioning_changes_nothing(spark, name):
     answers = []
