@@ -272,7 +272,7 @@ def code_imports(text: str, family: str) -> list[str]:
                     out.append(part.split()[-1])
         out += [_stem(x) for x in re.findall(r"\brequire\(\s*[\"']([^\"']+)[\"']\s*\)", plain)]
     elif family == "go":
-        for m in re.finditer(r"(?m)^import\s*(\([^)]*\)|[^\n]+)", plain):
+        for m in re.finditer(r"(?m)^import\s*(\([^)]*\)|(?:[\w.]+[ \t]+)?[\"`][^\n]+)", plain):
             for alias, path in re.findall(r"([\w.]+)?[ \t]*[\"`]([^\"`]+)[\"`]", m.group(1)):
                 if alias not in ("_", "."):
                     out.append(alias or path.rsplit("/", 1)[-1])

@@ -12,7 +12,7 @@ from seamark.operators import documents as DO
 from seamark.operators import graph as G
 from seamark.operators import lexical as L
 from seamark.plans.registry import Plans
-from seamark.plans.retrieval import _DEFS, _RES, ANCHORS, QUALIFIERS, definitions, hits
+from seamark.plans.retrieval import _DEFS, _P, _RES, ANCHORS, QUALIFIERS, definitions, hits
 from seamark.plans.storage import NEWEST, newest
 from seamark.plans.texts import sources
 
@@ -28,11 +28,12 @@ def search(t):
     return CX.search_in(docs, d, n.select("path", F.col("sha256").alias("current")), "How does `merge` in src/graph keep stale packets out of the ledger?", limit=20)
 
 
-@plans.query("C03_context")
+@plans.query("C03_context", f"""WITH {_P}, tiers AS (SELECT coalesce(repo, '?') || '/' || coalesce(source, '?') AS path, doc_id AS start, place FROM top)
+SELECT 1 AS lane, place, path, start FROM tiers WHERE place <= 32 UNION ALL SELECT 4, place, path, 0 FROM (SELECT path, min(place) AS place FROM tiers GROUP BY path ORDER BY 2 LIMIT 3)""")
 def context(t):
     from pyspark.sql.window import Window as W
 
-    tiers = hits(t).withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "key_hash"))).select(F.concat(F.coalesce("repo", F.lit("?")), F.lit("/"), F.coalesce("source", F.lit("?"))).alias("path"), F.col("doc_id").alias("start"), "place")  # 256 rows
+    tiers = hits(t).withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "key_hash"))).select(F.concat(F.coalesce("repo", F.lit("?")), F.lit("/"), F.coalesce("source", F.lit("?"))).alias("path"), F.col("doc_id").alias("start"), F.col("place").cast("long").alias("place"))  # 256 rows
     return CX.context(tiers, tiers.select("path").distinct())
 
 
@@ -110,11 +111,20 @@ def callers(t):
     return CX.callers_by_name(c, ["len", "append", "enumerate", "open"])
 
 
+_PARSED = (("a.py", "import os\nX = 1\n", True), ("b.py", "def f(:\n", False), ("c.rs", "fn f() { }", True), ("d.rs", "fn f() { ", False), ("e.go", "package p\nvar x = \"}\"\n", True), ("f.ts", "const x = [1;", False), ("g.md", "# x", True), ("h.txt", "(", None))
+
+
 @plans.query("A17_unparsed")
 def unparsed(t):
-    s = sources(t).filter(F.lower("path").endswith(".py"))
-    u = DO.units(s, ["source_id"]).select("source_id").distinct().withColumn("parsed", F.lit(True))
-    return CX.unparsed(s.select("source_id", "path").join(u, "source_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False))))
+    """Sources of languages with units that don't parse, by the parser's own flag."""
+    return CX.unparsed(sources(t).select("path", DO.parsed(F.col("path"), F.col("content")).alias("parsed")).filter("parsed IS NOT NULL"))
+
+
+@plans.query("A17_cases", "SELECT 3::BIGINT AS sources, 'b.py d.rs f.ts' AS samples")
+def unparsed_cases(t):
+    d = t.spark.createDataFrame([(p, x) for p, x, _ in _PARSED], "path string, content string")
+    u = CX.unparsed(d.select("path", DO.parsed(F.col("path"), F.col("content")).alias("parsed")).filter("parsed IS NOT NULL"))
+    return u.select("sources", F.array_join("samples", " ").alias("samples"))
 
 
 @plans.query("X17_strict_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND len(list_filter(json_keys(props), lambda x: x <> 'k')) = 0""")

@@ -42,6 +42,14 @@ def chunked(t):
     return S.chunks(t.partition_source.select("source_id", "body").dropDuplicates(["source_id"]), "source_id", "body")
 
 
+@plans.query("S04_joined", "SELECT source_id, sha256(body) AS sha256, octet_length(encode(body)) AS bytes FROM (SELECT DISTINCT source_id, body FROM partition_source WHERE body IS NOT NULL AND body <> '')")
+def joined(t):
+    """The chunks of each body joined again."""
+    c = chunked(t).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end", "chunk"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda x: x["chunk"]), "")
+    return c.select("source_id", F.sha2(text, 256).alias("sha256"), (F.element_at("c", -1)["end"] - F.col("c")[0]["start"]).alias("bytes"))
+
+
 @plans.query("S05_verified", "SELECT repo, count(*) AS files, count(*) FILTER (WHERE sha256(body) = source_hash) AS verified FROM partition_source GROUP BY repo")
 def verified(t):
     return t.partition_source.groupBy("repo").agg(F.count("*").alias("files"), F.count_if(I.digest(F.col("body")) == F.col("source_hash")).alias("verified"))

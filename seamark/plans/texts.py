@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seamark.functions import text as X
 from seamark.operators import budget as BU
 from seamark.operators import documents as DO
 from seamark.operators import lexical as L
 from seamark.operators import roots as RO
 from seamark.plans.registry import Plans
-from seamark.plans.retrieval import ANCHORS, QUALIFIERS, CONCEPTS, definitions, docs
+from seamark.plans.retrieval import _DEFS, _P, ANCHORS, CONCEPTS, QUALIFIERS, definitions, docs
 from seamark.streaming import changes as CH
 
 plans = Plans()
@@ -29,12 +30,39 @@ def units(t):
     return DO.units(sources(t), ["source_id"])
 
 
-@plans.query("Y04_sections", r"""
-SELECT source_id, count(*) AS sections FROM (SELECT source_id, unnest(string_split_regex(body, '\r?\n')) AS x FROM (SELECT DISTINCT source_id, path, body FROM partition_source WHERE regexp_matches(lower(path), '\.md$') AND NOT contains(body, '```') AND NOT contains(body, '~~~')))
-WHERE regexp_matches(x, '^ {0,3}#{1,6}(\s|$)') GROUP BY source_id""")
-def sections(t):
-    s = sources(t).filter(F.lower("path").endswith(".md") & ~F.col("content").contains("```") & ~F.col("content").contains("~~~") & ~F.col("content").rlike(r"(?m)^(=+|-{2,})\s*$"))
-    return DO.units(s, ["source_id"]).groupBy("source_id").agg(F.count("*").alias("sections"))
+#: Every body once, for SQL.
+_BODIES = "(SELECT DISTINCT source_id, path, body FROM partition_source WHERE body IS NOT NULL)"
+
+
+@plans.query("Y05_tiles", rf"SELECT source_id, length(regexp_replace(body, '[ \t\n\r\f\v]+', '', 'g')) AS shown FROM {_BODIES}")
+def tiles(t):
+    """Of each body the characters that its documents hold, white space aside: all of them, each once."""
+    d = DO.search_documents(sources(t), ["source_id", "content"])
+    piece = X.byte_slice(F.col("content"), F.col("start"), F.col("end"))
+    g = d.groupBy("source_id").agg(F.sum(F.length(F.regexp_replace(piece, r"[ \t\n\r\f\x0b]+", ""))).alias("shown"))
+    return sources(t).select("source_id").join(g, "source_id", "left").na.fill(0, ["shown"])
+
+
+@plans.query("Y02_functions", rf"""
+SELECT source_id, len(regexp_extract_all(body, CASE WHEN regexp_matches(lower(path), '\.rs$') THEN '(?m)^[ \t]*(?:pub(?:\([a-z]+\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+\w+' ELSE '(?m)^func\s' END)) AS functions
+FROM {_BODIES} WHERE regexp_matches(lower(path), '\.(rs|go)$')""")
+def functions(t):
+    """Functions and methods of each Rust and Go source; SQL counts the lines that declare one."""
+    s = sources(t).filter(F.lower("path").rlike(r"\.(rs|go)$"))
+    u = DO.units(s, ["source_id"]).filter(F.col("kind").isin("fn", "method")).groupBy("source_id").agg(F.count("*").alias("functions"))
+    return s.select("source_id").join(u, "source_id", "left").na.fill(0, ["functions"])
+
+
+@plans.query("Y02_nesting", rf"SELECT count(*) AS sources, true AS inside, true AS nested FROM {_BODIES}")
+def nesting(t):
+    """Whether all units lie within their body and their parent, and a parent comes before its children."""
+    u = DO.units(sources(t), ["source_id"])
+    up = u.select("source_id", F.col("ordinal").alias("parent"), F.col("start").alias("s"), F.col("end").alias("e"))
+    j = u.filter("parent >= 0").join(up, ["source_id", "parent"], "left")
+    ok = j.agg(F.coalesce(F.bool_and((F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")) & (F.col("parent") < F.col("ordinal"))), F.lit(True)).alias("nested"))
+    inside = u.join(sources(t).select("source_id", F.octet_length("content").alias("n")), "source_id").agg(F.coalesce(F.bool_and((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n"))), F.lit(True)).alias("inside"))
+    # one row each
+    return sources(t).agg(F.count("*").alias("sources")).join(F.broadcast(inside), how="cross").join(F.broadcast(ok), how="cross")
 
 
 @plans.query("Y04_sections_all")
@@ -48,6 +76,16 @@ def imports(t):
     return DO.imports(sources(t), ["source_id"])
 
 
+@plans.query("Y06_imports_braces", rf"""
+SELECT DISTINCT source_id, key FROM (
+ SELECT source_id, unnest(regexp_extract_all(body, '(?m)^import "(?:[^"\n]*/)?([^"/\n]+)"', 1)) AS key FROM {_BODIES} WHERE regexp_matches(lower(path), '\.go$') UNION ALL
+ SELECT source_id, unnest(regexp_extract_all(body, '(?m)^[ \t]*(?:pub )?use [\w:]*?(\w+);', 1)) FROM {_BODIES} WHERE regexp_matches(lower(path), '\.rs$') UNION ALL
+ SELECT source_id, trim(unnest(string_split(names, ','))) FROM (SELECT source_id, unnest(regexp_extract_all(body, '(?m)^import \{{ ([^}}]*) \}} from "', 1)) AS names FROM {_BODIES} WHERE regexp_matches(lower(path), '\.tsx?$')))""")
+def imports_braces(t):
+    """Rust, Go and TypeScript, whose imports SQL can read in the forms that the tables have."""
+    return DO.imports(sources(t).filter(F.lower("path").rlike(r"\.(rs|go|tsx?)$")), ["source_id"])
+
+
 @plans.query("Y07_calls")
 def calls(t):
     return DO.calls(sources(t), ["source_id"])
@@ -58,6 +96,16 @@ def outlines(t):
     return sources(t).select("source_id", DO.outlines(F.col("path"), F.col("content")).alias("outline"))
 
 
+@plans.query("Y08_lines", rf"SELECT source_id, len(string_split(body, chr(10))) AS lines, true AS shorter FROM {_BODIES}")
+def outline_lines(t):
+    """Of each outline the lines that it shows and those that its markers stand for: as many as the body has."""
+    o = sources(t).select("source_id", "content", DO.outlines(F.col("path"), F.col("content")).alias("outline"))
+    marks = F.regexp_extract_all("outline", F.lit(r"(?m)^\s*… (\d+) lines$"), 1)
+    own = F.regexp_extract_all("content", F.lit(r"(?m)^\s*… (\d+) lines$"), 1)
+    hidden = F.aggregate(marks, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") - 1) - F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") - 1)
+    return o.select("source_id", (F.size(F.split("outline", "\n")) + hidden).alias("lines"), (F.size(F.split("outline", "\n")) <= F.size(F.split("content", "\n"))).alias("shorter"))
+
+
 @plans.query("Y09_cards", """
 SELECT count(*) AS cards, count(DISTINCT input_key) AS inputs FROM (SELECT sha256('f1' || chr(0) || concat_ws(' › ', path, repo)) AS input_key FROM (SELECT DISTINCT source_id, path, repo FROM partition_source WHERE body IS NOT NULL))""")
 def cards(t):
@@ -81,14 +129,22 @@ def pack(t):
     return BU.pack_responses(d.withColumn("line", F.substring_index("text", "\n", 1)), "repo", "rank", ["text", "line"], 1024)
 
 
-@plans.query("C14_multiroot")
+@plans.query("C24_checked", f"""WITH {_P} SELECT repo, true AS within, true AS complete FROM s WHERE repo IS NOT NULL GROUP BY repo""")
+def pack_checked(t):
+    """Of each response: within its budget, and every one of at most 32 items taken, shortened or counted as left out."""
+    return pack(t).select("repo", (F.col("tokens") <= 1024).alias("within"), ((F.col("items") + F.col("left_out") <= 32) & (F.col("short") <= F.col("items")) & (F.col("items") > 0)).alias("complete"))
+
+
+@plans.query("C14_multiroot", f"""WITH {_DEFS}, a AS (SELECT unnest({ANCHORS}) AS anchor),
+r AS (SELECT a.anchor, d.*, repo AS root, len(list_intersect(address, {QUALIFIERS})) AS hits, name = anchor AS exact, count(*) OVER (PARTITION BY anchor, repo) AS definitions,
+ row_number() OVER (PARTITION BY anchor, repo ORDER BY len(list_intersect(address, {QUALIFIERS})) DESC, name = anchor DESC, role_rank, key_hash) AS cut FROM defs d JOIN a ON lower(a.anchor) = lower(d.name) WHERE repo IN ('foundry-core', 'window-app', 'packet-kit')),
+n AS (SELECT anchor, sum(definitions)::BIGINT AS all_definitions FROM (SELECT DISTINCT anchor, root, definitions FROM r) GROUP BY anchor),
+w AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY hits DESC, exact DESC, role_rank, root, path) AS place FROM r WHERE cut <= 64)
+SELECT anchor, root, path, place, all_definitions FROM w JOIN n USING (anchor) WHERE place <= 16""")
 def multiroot(t):
     roots = {r: definitions(t).filter(F.col("repo") == r) for r in ("foundry-core", "window-app", "packet-kit")}
-    res = None
-    for name, d in roots.items():
-        r = L.resolve(d, ANCHORS, QUALIFIERS).withColumn("root", F.lit(name))
-        res = r if res is None else res.unionByName(r)
-    return RO.merged_anchors(res).select("anchor", "root", "path", "place", "all_definitions")
+    res = RO.union_roots({name: L.resolve(d, ANCHORS, QUALIFIERS) for name, d in roots.items()})
+    return RO.merged_anchors(res).select("anchor", "root", "path", F.col("place").cast("long").alias("place"), "all_definitions")
 
 
 _HINTS = "h AS (SELECT user_id AS k, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL), g AS (SELECT k, us, CASE WHEN us - lag(us) OVER (PARTITION BY k ORDER BY us) > 3600000000 THEN 1 ELSE 0 END AS n FROM h), i AS (SELECT k, us, sum(n) OVER (PARTITION BY k ORDER BY us) AS island FROM g)"
@@ -120,6 +176,20 @@ def workqueue(t):
     return CH.acknowledge(q, done, "key", "revision")
 
 
+#: Texts and their tokens in the vocabulary that is the default.
+_COUNTED = (("hello world", 2), ("The packet reader refuses an empty token.", 8), ("", 0), ("aaaaaaaaaaaaaaaaaaaaaaaa", 6), ("2031-04-20T15:27:26.837Z", 16), ("don't won't I'm", 6))
+
+
+@plans.query("X19_counted", "SELECT 'text' AS what, doc_id::VARCHAR AS item, NULL::BIGINT AS tokens, true AS plausible FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) UNION ALL SELECT 'case', text, n, true FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + f"', {n}::BIGINT)" for x, n in _COUNTED) + ") AS v(text, n)")
+def counted(t):
+    """Known counts, and of every document that its tokens are neither more than its bytes nor fewer than its bytes by the longest token."""
+    from seamark.functions.tokens import count_tokens
+
+    d = docs(t).select("doc_id", F.octet_length("text").alias("n"), count_tokens(F.col("text")).alias("tokens"))
+    c = t.spark.createDataFrame([(x,) for x, _ in _COUNTED], "item string").select(F.lit("case").alias("what"), "item", count_tokens(F.col("item")).alias("tokens"), F.lit(True).alias("plausible"))
+    return d.select(F.lit("text").alias("what"), F.col("doc_id").cast("string").alias("item"), F.lit(None).cast("long").alias("tokens"), ((F.col("tokens") <= F.col("n")) & (F.col("tokens") * 128 >= F.col("n"))).alias("plausible")).unionByName(c)
+
+
 @plans.query("X19_tokens")
 def tokens(t):
     from seamark.functions.tokens import count_tokens
