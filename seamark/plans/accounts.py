@@ -164,27 +164,19 @@ def changes(t):
     return RC.change(stored, req, "key").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@plans.query("A14_link_states", """
-WITH s AS (SELECT path, source_hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY revision DESC, source_id DESC) AS n FROM partition_source) WHERE n = 1),
-l AS (SELECT r.repo, CASE WHEN s.path IS NULL THEN 'missing' WHEN starts_with(s.source_hash, substr(r.source_hash, 1, 32)) THEN 'fresh' ELSE 'stale' END AS state FROM (SELECT DISTINCT record_id, repo, path, source_hash FROM partition_record WHERE regexp_matches(source_hash, '^[0-9a-f]{64}$')) r LEFT JOIN s USING (path)),
-g AS (SELECT repo, count(*) FILTER (WHERE state = 'fresh') AS fresh, count(*) FILTER (WHERE state = 'stale') AS stale, count(*) FILTER (WHERE state = 'missing') AS missing FROM l GROUP BY repo)
-SELECT repo, fresh, stale, missing, concat_ws('+', CASE WHEN fresh > 0 THEN 'fresh' END, CASE WHEN stale > 0 THEN 'stale' END, CASE WHEN missing > 0 THEN 'missing' END) AS status FROM g""")
-def links(t):
-    s = t.partition_source.groupBy("path").agg(F.max_by("source_hash", F.struct("revision", "source_id")).alias("sha256"))
-    r = t.partition_record.filter(F.col("source_hash").rlike("^[0-9a-f]{64}$")).select("record_id", "repo", "path", "source_hash").distinct()
-    r = r.select("repo", F.array(F.concat("path", F.lit("@"), F.substring("source_hash", 1, 32))).alias("links"))
-    return RC.link_states(r, s, "repo", "links")
-
-
 _HASH = "CASE WHEN regexp_matches(lower(trim({0})), '[0-9a-f]{{64}}$') THEN right(lower(trim({0})), 64) ELSE lower(trim({0})) END"
 
 
-@plans.query("A14_link_states_all", f"""
+_LINKS = f"""
 WITH s AS (SELECT path, {_HASH.format("source_hash")} AS h FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY revision DESC, source_id DESC) AS n FROM partition_source) WHERE n = 1),
 r AS (SELECT DISTINCT record_id, repo, path, {_HASH.format("source_hash")} AS rh FROM partition_record),
 l AS (SELECT r.repo, CASE WHEN s.path IS NULL THEN 'missing' WHEN regexp_matches(rh, '^[0-9a-f]{{64}}$') AND starts_with(h, substr(rh, 1, 32)) THEN 'fresh' ELSE 'stale' END AS state FROM r LEFT JOIN s USING (path)),
 g AS (SELECT repo, count(*) FILTER (WHERE state = 'fresh') AS fresh, count(*) FILTER (WHERE state = 'stale') AS stale, count(*) FILTER (WHERE state = 'missing') AS missing FROM l GROUP BY repo)
-SELECT repo, fresh, stale, missing, concat_ws('+', CASE WHEN fresh > 0 THEN 'fresh' END, CASE WHEN stale > 0 THEN 'stale' END, CASE WHEN missing > 0 THEN 'missing' END) AS status FROM g""")
+SELECT repo, fresh, stale, missing, concat_ws('+', CASE WHEN fresh > 0 THEN 'fresh' END, CASE WHEN stale > 0 THEN 'stale' END, CASE WHEN missing > 0 THEN 'missing' END) AS status FROM g"""
+
+
+@plans.query("A14_link_states", _LINKS)
+@plans.query("A14_link_states_all", _LINKS)
 def links_all(t):
     s = t.partition_source.groupBy("path").agg(F.max_by(F.struct(hash_value(F.col("source_hash")).alias("h")), F.struct("revision", "source_id"))["h"].alias("sha256"))
     r = t.partition_record.select("record_id", "repo", "path", hash_value(F.col("source_hash")).alias("h")).distinct()

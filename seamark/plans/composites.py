@@ -74,10 +74,10 @@ def eligible(t):
 
 @plans.query("J13_currency", """
 WITH s AS (SELECT path, source_hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY revision DESC, source_id DESC) AS n FROM partition_source) WHERE n = 1)
-SELECT r.repo AS scope, bool_and(r.source_hash IS NOT DISTINCT FROM s.source_hash) AS complete FROM (SELECT DISTINCT repo, path, source_hash FROM partition_record WHERE run_id >= 22) r LEFT JOIN s USING (path) GROUP BY r.repo""")
+SELECT r.repo || '/' || r.path AS scope, bool_and(r.source_hash IS NOT DISTINCT FROM s.source_hash) AS complete FROM (SELECT DISTINCT repo, path, source_hash FROM partition_record) r LEFT JOIN s USING (path) GROUP BY 1""")
 def currency(t):
     s = t.partition_source.groupBy("path").agg(F.max_by("source_hash", F.struct("revision", "source_id")).alias("sha256"))
-    i = t.partition_record.filter("run_id >= 22").select(F.col("repo").alias("scope"), "path", F.col("source_hash").alias("hash")).distinct()
+    i = t.partition_record.select(F.concat("repo", F.lit("/"), "path").alias("scope"), "path", F.col("source_hash").alias("hash")).distinct()
     return B.provider_currency(i.select("scope").distinct(), i, s).select("scope", "complete")
 
 
@@ -133,11 +133,17 @@ def strict_json(t):
     return v.select("event_id", "o.k")
 
 
-@plans.query("X10_positions", f"""
-SELECT source_id, octet_length(encode(list_aggregate(string_split(body, chr(10))[1:2], 'string_agg', chr(10)))) + 1 AS at FROM (SELECT DISTINCT source_id, body FROM partition_source WHERE len(string_split(body, chr(10))) >= 3)""")
+@plans.query("X10_positions", """
+WITH d AS (SELECT source_id, x, octet_length(encode(list_aggregate(x[1:2], 'string_agg', chr(10)))) + 1 AS base FROM (SELECT DISTINCT source_id, string_split(body, chr(10)) AS x FROM partition_source WHERE len(string_split(body, chr(10))) >= 3))
+SELECT source_id, base AS at, CASE WHEN octet_length(encode(x[3])) >= 7 THEN base + 7 END AS seventh, CASE WHEN length(x[3]) >= 3 AND NOT regexp_matches(x[3][1:3], '[\\x{10000}-\\x{10FFFF}]') THEN base + octet_length(encode(x[3][1:3])) WHEN NOT regexp_matches(x[3], '[\\x{10000}-\\x{10FFFF}]') THEN NULL ELSE -1 END AS third_unit FROM d""")
 def positions(t):
+    """The start of the third line, its seventh byte and its third UTF-16 unit; -1 for the unit where a wide character stands in the line's first three."""
     d = t.partition_source.filter(F.size(F.split("body", "\n")) >= 3).select("source_id", "body").dropDuplicates(["source_id"])
-    return d.select("source_id", X.byte_of_position(F.col("body"), F.lit(2), F.lit(0)).cast("long").alias("at"))
+    at = lambda n, units=False: X.byte_of_position(F.col("body"), F.lit(2), F.lit(n), units).cast("long")
+    line = F.get(F.split("body", "\n"), F.lit(2))
+    wide = lambda c: c.rlike(r"[\x{10000}-\x{10FFFF}]")
+    third = F.when((F.length(line) >= 3) & ~wide(F.substring(line, 1, 3)), at(3, True)).when(~wide(line), at(3, True)).otherwise(F.lit(-1).cast("long"))
+    return d.select("source_id", at(0).alias("at"), at(7).alias("seventh"), third.alias("third_unit"))
 
 
 @plans.query("U02_union_tiers", f"""WITH {_DEFS}, a AS (SELECT source_id, 1 AS tier FROM defs WHERE name = 'merge'), b AS (SELECT source_id, 2 AS tier FROM {NEWEST} WHERE starts_with(path, 'src/graph/') AND source_id NOT IN (SELECT source_id FROM a))

@@ -148,11 +148,14 @@ def identifiers(t):
     return d.select("source_id", F.size(X.identifiers(F.col("body"))).cast("long").alias("runs"))
 
 
-@plans.query("X03_segments", r"SELECT DISTINCT path, list_aggregate(list_filter(string_split_regex(lower(regexp_replace(path, '\.[^./]*$', '')), '[^a-z0-9_$]+'), lambda x: x <> ''), 'string_agg', ' ') AS segments FROM partition_source WHERE len(list_distinct(list_filter(string_split_regex(lower(regexp_replace(path, '\.[^./]*$', '')), '[^a-z0-9_$]+'), lambda x: x <> ''))) = len(list_filter(string_split_regex(lower(regexp_replace(path, '\.[^./]*$', '')), '[^a-z0-9_$]+'), lambda x: x <> ''))")
+@plans.query("X03_segments", r"""
+SELECT path, list_aggregate(list_filter(w, lambda x, i: list_position(w, x) = i), 'string_agg', ' ') AS segments
+FROM (SELECT DISTINCT path, list_filter(string_split_regex(lower(regexp_replace(path, '\.[^./]*$', '')), '[^a-z0-9_$]+'), lambda x: x <> '') AS w FROM (SELECT path FROM partition_source UNION ALL SELECT path || '/' || path FROM partition_source))""")
 def segments(t):
-    words = F.filter(F.split(F.lower(F.regexp_replace("path", r"\.[^./]*$", "")), r"[^a-z0-9_$]+"), lambda x: x != "")
-    d = t.partition_source.select("path").distinct().filter(F.size(X.path_segments(F.col("path"))) == F.size(words))
-    return d.select("path", F.array_join(X.path_segments(F.col("path")), " ").alias("segments"))
+    """Paths as they are and with every segment repeated."""
+    p = t.partition_source.select("path").distinct()
+    p = p.unionByName(p.select(F.concat("path", F.lit("/"), "path").alias("path"))).distinct()
+    return p.select("path", F.array_join(X.path_segments(F.col("path")), " ").alias("segments"))
 
 
 @plans.query("X05_find_word", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_$])packet([^\p{L}\p{N}_$]|$)')")
@@ -223,21 +226,14 @@ def router(t):
     return t.session_entry.filter(X.has_any_word(F.col("content_text"), sorted(DOOR_WORDS))).select("row_id")
 
 
-@plans.query("C12_retrieve", f"""
-SELECT u.unit_id, substr(s.body, u.start_byte + 1, u.end_byte - u.start_byte) AS text
-FROM (SELECT DISTINCT unit_id, source_id, source_hash, start_byte, end_byte FROM partition_unit) u JOIN (SELECT DISTINCT source_id, source_hash, body FROM partition_source WHERE octet_length(encode(body)) = length(body)) s
-  ON s.source_id = u.source_id AND s.source_hash = u.source_hash WHERE u.start_byte >= 0 AND u.end_byte > u.start_byte AND u.end_byte <= length(s.body)""")
-def retrieve(t):
-    u = t.partition_unit.select("unit_id", "source_id", "source_hash", "start_byte", "end_byte").distinct()
-    s = t.partition_source.filter("octet_length(body) = length(body)").select("source_id", "source_hash", "body").dropDuplicates(["source_id"])
-    j = u.join(s, ["source_id", "source_hash"]).withColumn("text", X.byte_slice(F.col("body"), F.col("start_byte"), F.col("end_byte")))
-    return j.filter("text IS NOT NULL").select("unit_id", "text")
-
-
-@plans.query("C12_retrieve_all", f"""
+_RETRIEVE = f"""
 SELECT unit_id, text FROM (SELECT u.unit_id, try(decode(array_slice(encode(s.body), u.start_byte + 1, u.end_byte))) AS text
 FROM (SELECT DISTINCT unit_id, source_id, source_hash, start_byte, end_byte FROM partition_unit) u JOIN (SELECT DISTINCT source_id, source_hash, body FROM partition_source) s
-  ON s.source_id = u.source_id AND s.source_hash = u.source_hash WHERE u.start_byte >= 0 AND u.end_byte > u.start_byte AND u.end_byte <= octet_length(encode(s.body))) WHERE text IS NOT NULL""")
+  ON s.source_id = u.source_id AND s.source_hash = u.source_hash WHERE u.start_byte >= 0 AND u.end_byte > u.start_byte AND u.end_byte <= octet_length(encode(s.body))) WHERE text IS NOT NULL"""
+
+
+@plans.query("C12_retrieve", _RETRIEVE)
+@plans.query("C12_retrieve_all", _RETRIEVE)
 def retrieve_all(t):
     u = t.partition_unit.select("unit_id", "source_id", "source_hash", "start_byte", "end_byte").distinct()
     s = t.partition_source.filter("body IS NOT NULL").select("source_id", "source_hash", "body").dropDuplicates(["source_id"])

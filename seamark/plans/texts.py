@@ -65,7 +65,16 @@ def nesting(t):
     return sources(t).agg(F.count("*").alias("sources")).join(F.broadcast(inside), how="cross").join(F.broadcast(ok), how="cross")
 
 
-@plans.query("Y04_sections_all")
+#: Headings by line patterns: ATX, and lines of signs under a line of text, outside of fences.
+_SECTIONS = rf"""
+WITH l AS (SELECT source_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT source_id, string_split_regex(body, '\r\n|\r|\n') AS x FROM {_BODIES} WHERE regexp_matches(lower(path), '\.(md|markdown)$'))),
+f AS (SELECT *, regexp_matches(line, '^ {{0,3}}(```|~~~)') AS mark, sum(CASE WHEN regexp_matches(line, '^ {{0,3}}(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY i) AS fences, lag(line) OVER (PARTITION BY source_id ORDER BY i) AS above FROM l)
+SELECT source_id, count(*) AS sections FROM f WHERE NOT mark AND fences % 2 = 0 AND (regexp_matches(line, '^ {{0,3}}#{{1,6}}([ \t]|$)')
+ OR (regexp_matches(line, '^ {{0,3}}(=+|-+)[ \t]*$') AND regexp_matches(above, '\S') AND NOT regexp_matches(above, '^ {{0,3}}(#{{1,6}}([ \t]|$)|[-*+][ \t]|[0-9]+[.)][ \t]|>|```|~~~|(=+|-+)[ \t]*$)'))) GROUP BY source_id"""
+
+
+@plans.query("Y04_sections", _SECTIONS)
+@plans.query("Y04_sections_all", _SECTIONS)
 def sections_all(t):
     s = sources(t).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
     return DO.units(s, ["source_id"]).groupBy("source_id").agg(F.count("*").alias("sections"))
@@ -106,11 +115,18 @@ def outline_lines(t):
     return o.select("source_id", (F.size(F.split("outline", "\n")) + hidden).alias("lines"), (F.size(F.split("outline", "\n")) <= F.size(F.split("content", "\n"))).alias("shorter"))
 
 
-@plans.query("Y09_cards", """
-SELECT count(*) AS cards, count(DISTINCT input_key) AS inputs FROM (SELECT sha256('f1' || chr(0) || concat_ws(' › ', path, repo)) AS input_key FROM (SELECT DISTINCT source_id, path, repo FROM partition_source WHERE body IS NOT NULL))""")
+@plans.query("Y09_cards", rf"""
+SELECT source_id, 1::BIGINT AS addresses, length(regexp_replace(body, '[ \t\n\r\f\v]+', '', 'g')) AS shown, length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AS overview, sha256('f1' || chr(0) || concat_ws(' › ', path, repo)) AS address_key
+FROM (SELECT DISTINCT source_id, repo, path, body FROM partition_source WHERE body IS NOT NULL)""")
 def cards(t):
+    """Of each source its address card, the characters that its body cards hold, white space aside, and whether it has an overview."""
     s = t.partition_source.filter("body IS NOT NULL").select("source_id", "path", "repo", "body").dropDuplicates(["source_id"])
-    return DO.cards(s, "path", "repo", "body", "f1").filter("card_kind = 'address'").agg(F.count("*").alias("cards"), F.count_distinct("input_key").alias("inputs"))
+    c = DO.cards(s, "path", "repo", "body", "f1")
+    piece = F.when(F.col("card_kind") == "body", X.byte_slice(F.col("body"), F.col("card_start"), F.col("card_end")))
+    return c.groupBy("source_id").agg(
+        F.count_if(F.col("card_kind") == "address").alias("addresses"), F.coalesce(F.sum(F.length(F.regexp_replace(piece, r"[ \t\n\r\f\x0b]+", ""))), F.lit(0)).alias("shown"), F.bool_or(F.col("card_kind") == "file").alias("overview"),
+        F.max(F.when(F.col("card_kind") == "address", F.col("input_key"))).alias("address_key"),
+    )
 
 
 @plans.query("Y09_cards_all")
