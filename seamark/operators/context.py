@@ -13,31 +13,63 @@ from seamark.operators.freshness import minus_units, with_freshness
 UNITS, OUTLINES, EVIDENCE_EXAMINED, EVIDENCE_RESULTS, TRACE_EVENTS = 32, 3, 128, 16, 8192
 
 
-def search_in(docs: DataFrame, definitions: DataFrame, sources: DataFrame, query: str, path: str | None = None, limit: int = 10) -> DataFrame:
-    """The best units for a query: ``path, start, tier, place, score``; exact definitions first, then lexical hits of other units.
+def admitted_anchors(definitions: DataFrame, query: str) -> tuple[list[str], list[str]]:
+    """(anchors, qualifiers) of a query: capitalized words are anchors only where a definition has exactly that name and they aren't incidental."""
+    a = Q.parse_anchors(query)
+    asked = [c for c in a.capitalized if not (Q.is_prose(query) and Q.incidental_anchor(query, c, a.places[c]))]
+    # at most as many names as the query has words
+    defined = {r["name"] for r in definitions.filter(F.col("name").isin(asked)).select("name").distinct().collect()} if asked else set()
+    a.capitalized = [c for c in a.capitalized if c in asked]
+    return Q.select_anchors(a, defined), a.qualifiers
+
+
+def candidates(docs: DataFrame, definitions: DataFrame, sources: DataFrame, query: str, path: str | None = None, unit: str = "start") -> DataFrame:
+    """Everything offered to a query: ``path, start, tier, score, key_hash, fresh``; tier 1 exact definitions, tier 2 lexical hits of other units.
 
-    ``docs`` needs ``path, start, sha256, text, key_hash``, ``definitions`` what ``resolve`` needs and ``sha256``. Every candidate is
-    checked against the current sources in one join at the end; stale ones fall out before the caps.
+    Memory and brief documents (``kind``, where there is such a column) are never in a tier. Of several documents of one delivery unit the
+    best counts. Every candidate is checked against the current sources in one join; stale ones stay, marked as such.
     """
     from seamark.functions.text import in_subtree
 
-    Q.check_query(query, limit)
+    for name in ("memory", "brief"):
+        if "kind" in docs.columns:
+            docs = docs.filter(~F.col("kind").eqNullSafe(name))
+        if "kind" in definitions.columns:
+            definitions = definitions.filter(~F.col("kind").eqNullSafe(name))
     if path:
         docs, definitions = docs.filter(in_subtree(F.col("path"), path)), definitions.filter(in_subtree(F.col("path"), path))
-    a = Q.parse_anchors(query)
-    names = [*a.fixed, *a.capitalized]
-    first = L.resolve(definitions, names, a.qualifiers) if names else None
+    names, qualifiers = admitted_anchors(definitions, query)
     concepts = Q.concepts(query) or [[query.lower()]]
-    second = L.prose_hits(docs.select("path", "start", "sha256", "text", "key_hash"), "text", concepts).select("path", "start", "sha256", "score", "key_hash", F.lit(2).alias("tier"))
-    if first is not None:
-        one = first.select("path", "start", "sha256", (1.0 / F.col("rank")).alias("score"), "key_hash", F.lit(1).alias("tier"))
-        second = one.unionByName(minus_units(second, one, ["path", "start"]))
-    fresh = with_freshness(second, sources, ["path"], "sha256", "current").filter("fresh")
+    hits = L.prose_hits(docs.select("path", "start", *({unit} - {"start"}), "sha256", "text", "key_hash"), "text", concepts)
+    hits = L.one_per_unit(hits, ["path", unit], [F.desc("score"), F.col("key_hash")])
+    out = hits.select("path", "start", "sha256", "score", "key_hash", F.lit(2).alias("tier"))
+    if names:
+        first = L.resolve(definitions, names, qualifiers)
+        one = first.groupBy("path", "start", "sha256", "key_hash").agg(F.min("rank").alias("rank")).select("path", "start", "sha256", (1.0 / F.col("rank")).alias("score"), "key_hash", F.lit(1).alias("tier"))
+        out = one.unionByName(minus_units(out, one, ["path", "start"]))
+    return with_freshness(out, sources, ["path"], "sha256", "current")
+
+
+def search_in(docs: DataFrame, definitions: DataFrame, sources: DataFrame, query: str, path: str | None = None, limit: int = 10, unit: str = "start") -> DataFrame:
+    """The best units for a query: ``path, start, tier, place, score``; exact definitions first, then lexical hits of other units.
+
+    ``docs`` needs ``path, start, sha256, text, key_hash``, ``definitions`` what ``resolve`` needs and ``sha256``. Stale candidates fall out
+    before the caps. ``search_counts`` says what fell out and why.
+    """
+    Q.check_query(query, limit)
     order = [F.col("tier"), F.desc("score"), F.col("key_hash")]
-    top = L.per_file_cap(fresh, "path", order, limit)
+    top = L.per_file_cap(candidates(docs, definitions, sources, query, path, unit).filter("fresh"), "path", order, limit)
     return top.withColumn("place", F.row_number().over(W.orderBy(*order))).select("path", "start", "tier", "place", "score")  # at most 64 rows
 
 
+def search_counts(docs: DataFrame, definitions: DataFrame, sources: DataFrame, query: str, path: str | None = None, limit: int = 10, unit: str = "start") -> DataFrame:
+    """One row for the same search: ``offered`` fresh candidates, ``stale`` ones, those the cap of a file drops, and whether the limit drops more."""
+    c = candidates(docs, definitions, sources, query, path, unit)
+    per = c.groupBy("path").agg(F.count_if("fresh").alias("n"), F.count_if(~F.col("fresh")).alias("stale"))
+    g = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("offered"), F.coalesce(F.sum("stale"), F.lit(0)).alias("stale"), F.coalesce(F.sum(F.greatest(F.col("n") - L.PER_FILE, F.lit(0))), F.lit(0)).alias("capped"))
+    return g.select("offered", "stale", "capped", ((F.col("offered") - F.col("capped")) > limit).alias("truncated"))
+
+
 def context(tiers: DataFrame, outlines: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     """Units, then memory, then outlines of the first distinct files: ``lane, place, path, start``. ``tiers`` is ranked by ``place``."""
     units = tiers.filter(F.col("place") <= UNITS).select(F.lit(1).alias("lane"), "place", "path", "start")

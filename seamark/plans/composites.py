@@ -19,13 +19,41 @@ from seamark.plans.texts import sources
 plans = Plans()
 
 
-@plans.query("C01_search")
-def search(t):
+_ASKED = "How does `merge` in src/graph keep stale packets out of the ledger?"
+_CONCEPTS = "['merge', 'src', 'graph', 'keep', 'stale', 'packets', 'out', 'ledger']"
+_HASH64 = "CAST(concat('0x', substr(sha256({0}), 1, 16)) AS UBIGINT)::DECIMAL(20,0)"
+#: A source counts as changed since its document was made where its id is divisible by seven.
+_SEARCH = f"""WITH {_DEFS},
+n AS (SELECT source_id, repo || '/' || path AS path, source_hash FROM {NEWEST}),
+d AS (SELECT n.path, n.source_id, {_HASH64.format("n.path || chr(0) || '0'")} AS key_hash, regexp_extract_all(lower(b.body), '[a-z0-9]+') AS w FROM n JOIN (SELECT DISTINCT source_id, body FROM partition_source WHERE body IS NOT NULL) b USING (source_id)),
+p AS (SELECT path, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d), q AS (SELECT unnest({_CONCEPTS}) AS term, generate_subscripts({_CONCEPTS}, 1) AS k),
+c AS (SELECT path, count(DISTINCT term) AS n FROM p JOIN q USING (term) GROUP BY path),
+pairs AS (SELECT path, count(*) AS pairs FROM (SELECT DISTINCT p1.path, q1.k FROM q q1 JOIN q q2 ON q2.k = q1.k + 1 JOIN p p1 ON p1.term = q1.term JOIN p p2 ON p2.path = p1.path AND p2.term = q2.term AND p2.pos - p1.pos BETWEEN 1 AND 17) GROUP BY path),
+hit AS (SELECT d.path, d.source_id, d.key_hash, c.n + coalesce(pairs, 0) * (0.5::DOUBLE / 8) AS score FROM d JOIN c USING (path) LEFT JOIN pairs USING (path) QUALIFY row_number() OVER (ORDER BY round(c.n + coalesce(pairs, 0) * (0.5::DOUBLE / 8), 9) DESC, d.key_hash) <= 256),
+r AS (SELECT repo || '/' || path AS path, source_id, {_HASH64.format("repo || '/' || path || chr(0) || '0'")} AS key_hash, len(list_intersect(address, ['src', 'graph'])) AS hits, name = 'merge' AS exact, role_rank FROM defs WHERE lower(name) = 'merge'),
+cut AS (SELECT * FROM r QUALIFY row_number() OVER (ORDER BY hits DESC, exact DESC, role_rank, key_hash) <= 64),
+one AS (SELECT path, source_id, key_hash, 1.0::DOUBLE / row_number() OVER (ORDER BY hits DESC, exact DESC, role_rank, path, key_hash) AS score FROM cut),
+offered AS (SELECT *, source_id % 7 <> 0 AS fresh FROM (SELECT 1 AS tier, * FROM (SELECT path, source_id, key_hash, score FROM one) UNION ALL SELECT 2, path, source_id, key_hash, score FROM hit WHERE path NOT IN (SELECT path FROM one)))"""
+
+
+def _search(t, f):
     body = t.partition_source.filter("body IS NOT NULL").select("source_id", F.col("body").alias("text")).dropDuplicates(["source_id"])
-    n = newest(t).withColumnRenamed("source_hash", "sha256").withColumn("start", F.lit(0))
+    whole = F.concat("repo", F.lit("/"), "path")
+    n = newest(t).withColumnRenamed("source_hash", "sha256").withColumn("path", whole).withColumn("start", F.lit(0))
     docs = n.join(body, "source_id").withColumn("key_hash", I.key_hash(F.col("path"), F.col("start")))
-    d = definitions(t).join(n.select("source_id", "sha256"), "source_id")
-    return CX.search_in(docs, d, n.select("path", F.col("sha256").alias("current")), "How does `merge` in src/graph keep stale packets out of the ledger?", limit=20)
+    d = definitions(t).withColumn("path", whole).join(n.select("source_id", "sha256"), "source_id").withColumn("key_hash", I.key_hash(F.col("path"), F.col("start")))
+    now = n.select("path", F.when(F.col("source_id") % 7 != 0, F.col("sha256")).alias("current"))
+    return f(docs, d, now, _ASKED, limit=20)
+
+
+@plans.query("C01_search", _SEARCH + """ SELECT path, 0 AS start, tier, row_number() OVER (ORDER BY tier, round(score, 9) DESC, key_hash) AS place, round(score, 9) AS score FROM offered WHERE fresh ORDER BY place LIMIT 20""")
+def search(t):
+    return _search(t, CX.search_in).select("path", "start", "tier", F.col("place").cast("long").alias("place"), F.round("score", 9).alias("score"))
+
+
+@plans.query("C01_counts", _SEARCH + " SELECT count(*) FILTER (WHERE fresh) AS offered, count(*) FILTER (WHERE NOT fresh) AS stale, 0::BIGINT AS capped, count(*) FILTER (WHERE fresh) > 20 AS truncated FROM offered")
+def counts(t):
+    return _search(t, CX.search_counts)
 
 
 @plans.query("C03_context", f"""WITH {_P}, tiers AS (SELECT coalesce(repo, '?') || '/' || coalesce(source, '?') AS path, doc_id AS start, place FROM top)
