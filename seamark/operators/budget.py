@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seamark.functions.tokens import VOCABULARY, encode
 
-MOST_ITEMS, MOST_RESPONSE_BYTES = 32, 256 * 1024
+MOST_ITEMS, MOST_RESPONSE_BYTES, MOST_LINES = 32, 256 * 1024, 1024
 
 
 def pack_items(forms: list[list[str]], budget: int, path: str = VOCABULARY) -> tuple[str, list[int]]:
@@ -41,6 +42,34 @@ def longest_prefix(lines: list[str], budget: int, path: str = VOCABULARY) -> int
     return lo
 
 
+def with_tail(response: str, tail: list[str], budget: int, path: str = VOCABULARY) -> tuple[str, int]:
+    """A packed response and, below it, as many lines of memory as still fit, each tried in turn; (response, lines taken)."""
+    taken = 0
+    for line in tail:
+        whole = f"{response}\n{line}" if response else line
+        if len(whole.encode()) <= MOST_RESPONSE_BYTES and len(encode(whole, path)) <= budget:
+            response, taken = whole, taken + 1
+    return response, taken
+
+
+def pack_lines(lines: DataFrame, query: str, place: str, line: str, budget: int, path: str = VOCABULARY) -> DataFrame:
+    """``query, response, tokens, shown, left_out``: the longest prefix of each query's lines that fits, as lists of references and directories are packed.
+
+    A query has at most ``MOST_LINES`` lines; what lies beyond counts as left out.
+    """
+    kind = dict(lines.dtypes)[query]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(place)[line].tolist()
+        n = longest_prefix(rows, budget, path)
+        text = "\n".join(rows[:n])
+        return pd.DataFrame([[pdf[query].iloc[0], text, len(encode(text, path)), n]], columns=[query, "response", "tokens", "shown"])
+
+    total = lines.groupBy(query).count()
+    got = lines.filter(lines[place] <= MOST_LINES).select(query, place, line).groupBy(query).applyInPandas(one, f"{query} {kind}, response string, tokens long, shown long")
+    return got.join(total, query).select(query, "response", "tokens", "shown", (F.col("count") - F.col("shown")).alias("left_out"))
+
+
 def pack_responses(items: DataFrame, query: str, rank: str, forms: list[str], budget: int, path: str = VOCABULARY) -> DataFrame:
     """``query, response, tokens, items, short, left_out`` for each query; ``forms`` are text columns from full to short."""
     kind = dict(items.dtypes)[query]

@@ -102,13 +102,25 @@ def execution_evidence(edges: DataFrame, paths: list[str]) -> DataFrame:
     return hit.orderBy(*order).limit(EVIDENCE_EXAMINED).orderBy(F.desc("fresh"), *order).limit(EVIDENCE_RESULTS)
 
 
-def evidence(facets: dict[str, DataFrame], columns: list[str]) -> DataFrame:
-    """Facets of a task (implementation, callers, tests, boundaries, observed) as one frame with their names."""
+def evidence(facets: dict[str, DataFrame], columns: list[str], unit: list[str], most: int = EVIDENCE_RESULTS) -> DataFrame:
+    """Facets of a task in the order given (implementation, callers, tests, boundaries, observed): ``facet_no, facet, place, ...``.
+
+    ``place`` orders each facet, of which ``most`` are kept; a unit belongs to the first facet that has it.
+    """
     out = None
-    for name, df in facets.items():
-        x = df.select(F.lit(name).alias("facet"), *columns)
+    for no, (name, df) in enumerate(facets.items()):
+        x = df.orderBy("place", *unit).limit(most).select(F.lit(no).alias("facet_no"), F.lit(name).alias("facet"), "place", *columns)
         out = x if out is None else out.unionByName(x)
-    return out
+    first = F.row_number().over(W.partitionBy(*unit).orderBy("facet_no", "place"))
+    return out.withColumn("_n", first).filter("_n = 1").drop("_n")
+
+
+def prepend(tiers: DataFrame, memory: DataFrame, briefs: DataFrame, key: str, most: int = 256) -> DataFrame:
+    """Memory records, then briefs, then ranked candidates, each in its ``place``: ``lane, place, key``; of an id that comes twice the first counts."""
+    lanes = [x.select(F.lit(n).alias("lane"), "place", key) for n, x in enumerate((memory, briefs, tiers))]
+    both = lanes[0].unionByName(lanes[1]).unionByName(lanes[2])
+    best = both.groupBy(key).agg(F.min(F.struct("lane", "place")).alias("_b")).select("_b.*", key)
+    return best.orderBy("lane", "place", key).limit(most)
 
 
 def orphans(cache: DataFrame, cards: DataFrame, key: str = "input_key") -> DataFrame:

@@ -93,6 +93,13 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, distance, rows, blo
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
+def top_areas(areas: DataFrame, query: list[float], key: str = "area_id", vector: str = "vector", k: int = 8) -> DataFrame:
+    """The nearest of at most ``AREAS`` area vectors by (cosine distance, key), scanned exactly; more areas than that are an error."""
+    if areas.limit(AREAS + 1).count() > AREAS:
+        raise ValueError(f"at most {AREAS} areas")
+    return top_k(areas, query, key, vector, k)
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, k: int = 10, block: int = BLOCK) -> DataFrame:
     """The nearest vectors of a stated set of queries against all vectors, exactly: ``query, key, distance``. Null vectors are left out."""
     v = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).filter("v IS NOT NULL")

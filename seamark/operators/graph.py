@@ -145,10 +145,10 @@ def doors_by_file(sites: DataFrame, file: str, order: list[str], files: int = 16
     return g.orderBy("first", file).limit(files)
 
 
-def approximate_doors(mentions: DataFrame, importing: DataFrame, own: DataFrame, unit: list[str], file: str = "path", window: int = 256) -> DataFrame:
+def approximate_doors(mentions: DataFrame, importing: DataFrame, own: DataFrame, unit: list[str], file: str = "path", window: int = 256, order: list[str] | None = None) -> DataFrame:
     """Mentions outside of the definition's own units, those of importing files first, in a total order, at most a window of them."""
     m = mentions.join(own.select(*unit), unit, "left_anti").join(importing.select(file, F.lit(True).alias("imports")).distinct(), file, "left")
-    return m.withColumn("imports", F.coalesce("imports", F.lit(False))).orderBy(F.desc("imports"), "role_rank", file, *[u for u in unit if u != file]).limit(window)
+    return m.withColumn("imports", F.coalesce("imports", F.lit(False))).orderBy(F.desc("imports"), *(order or ["role_rank", file, *[u for u in unit if u != file]])).limit(window)
 
 
 def edge_id(*parts: Column) -> Column:

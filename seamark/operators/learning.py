@@ -100,3 +100,22 @@ def route(a: Column, b: Column, ids: tuple[Column, Column], temperature: float,
     pa, pb = softmax2(a, b, temperature), softmax2(b, a, temperature)
     winner = F.when(pa > pb, ids[0]).when(pb > pa, ids[1]).otherwise(F.least(*ids))
     return F.when(F.greatest(pa, pb) >= threshold, winner)
+
+
+def calibrated(cases: DataFrame, a: str, b: str, correct: str) -> float:
+    """The temperature that fits a calibration split best; 1 without a case. ``correct`` is the place of the right option."""
+    k = best_temperature(nll_grid(cases, a, b, correct)).collect()[0]["k"]
+    return k / 20 if k is not None and not cases.isEmpty() else 1.0
+
+
+def evaluation(cases: DataFrame, a: str, b: str, correct: str, group: str, temperature: float, threshold: float) -> DataFrame:
+    """One row over an evaluation split at a temperature: ``accuracy, macro_accuracy, coverage, accepted_accuracy, ece``."""
+    c = cases.withColumn("_conf", confidence(F.col(a), F.col(b), temperature)).withColumn("_ok", F.when(F.col(a) >= F.col(b), 0).otherwise(1) == F.col(correct))
+    # one row each
+    return accuracy(c, group, "_ok", "_conf", threshold).join(F.broadcast(ece(calibration_bins(c, "_conf", "_ok"))), how="cross")
+
+
+def selected(reports: DataFrame, least_accepted: float, least_coverage: float) -> DataFrame:
+    """The report to deploy: enough accepted accuracy and coverage, then highest macro accuracy, lowest error, first name; none if none is good enough."""
+    good = reports.filter((F.col("accepted_accuracy") >= least_accepted) & (F.col("coverage") >= least_coverage))
+    return good.orderBy(F.desc("macro_accuracy"), "ece", "name").limit(1)

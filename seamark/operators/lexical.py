@@ -24,16 +24,6 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, pos``: one row per occurrence; bucket it by term when it is kept."""
-    return docs.select(key, F.posexplode(words(F.col(text))).alias("pos", "term"))
-
-
-def collection(docs: DataFrame, text: str) -> DataFrame:
-    """One row: number of documents and their mean length in words."""
-    return docs.agg(F.count("*").alias("docs"), F.avg(F.size(words(F.col(text)))).alias("mean_length"))
-
-
 def normal(c: Column) -> Column:
     """The words of the analyzer as one text, each between blanks: terms and phrases become plain searches in it."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(" "))
@@ -190,11 +180,16 @@ def two_passages(hits: DataFrame, unit: list[str], start: str, end: str, order:
     return h.withColumn("_k", F.row_number().over(w)).filter("_k <= 2").drop("_n", "_s", "_e", "_k")
 
 
-def companions(hits: DataFrame, owner: str, order: list) -> DataFrame:
-    """Passages pulled next to the best passage of their owner: ``owner_rank, passage``."""
-    raise_ = hits.groupBy(owner).agg(F.min(F.struct(*order)).alias("_best"))
-    passage = F.row_number().over(W.partitionBy(owner).orderBy(*order))
-    return hits.withColumn("passage", passage).join(raise_, owner).orderBy("_best", owner, "passage").drop("_best")
+def companions(hits: DataFrame, owner: list[str], order: list) -> DataFrame:
+    """Passages with the next one of their owner pulled beside them: ``..., place``.
+
+    The first passage of an owner takes the second with it, the third the fourth and so on; each pair stands where its first one ranked.
+    For the bounded window of a search.
+    """
+    h = hits.withColumn("_rank", F.row_number().over(W.orderBy(*order)))  # at most a window of 256 rows
+    h = h.withColumn("_passage", F.row_number().over(W.partitionBy(*owner).orderBy("_rank")) - 1)
+    seed = F.min("_rank").over(W.partitionBy(*owner, F.floor(F.col("_passage") / 2)))
+    return h.withColumn("_seed", seed).withColumn("place", F.row_number().over(W.orderBy("_seed", "_passage"))).drop("_rank", "_passage", "_seed")
 
 
 def reciprocal_rank_fusion(hits: DataFrame, root: str, order: list, key: list[str], k: int = RRF_K) -> DataFrame:

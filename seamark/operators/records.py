@@ -107,3 +107,30 @@ def preparation_levels(nodes: DataFrame, children: DataFrame, key: str) -> DataF
 def assertion_conflicts(entries: DataFrame, task: str, subject: str, value: str) -> DataFrame:
     """Subjects of a task for which its live entries assert different values."""
     return entries.groupBy(task, subject).agg(F.count_distinct(value).alias("values")).filter("values > 1")
+
+
+#: Seconds of the first pause after a failed preparation, doubled by each further failure up to the longest.
+FIRST_PAUSE, LONGEST_PAUSE = 30, 3600
+
+
+def due(levels: DataFrame, cache: DataFrame, failures: DataFrame, now: int, key: str) -> DataFrame:
+    """What a preparation run may start: ``key, level, pause`` of nodes that are not cached with their present input, whose children all are, and
+    whose pause since the last failure is over.
+
+    ``levels`` has ``key, level, input_key, children`` (keys), ``cache`` ``key, input_key``, ``failures`` ``key, times, last`` (seconds).
+    """
+    done = cache.select(key, "input_key").distinct().withColumn("_done", F.lit(True))
+    n = levels.join(done, [key, "input_key"], "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
+    child = n.select(F.col(key).alias("_c"), F.col("_done").alias("_ready"))
+    waits = n.select(key, F.explode("children").alias("_c")).join(child, "_c", "left").groupBy(key).agg(F.bool_and(F.coalesce("_ready", F.lit(False))).alias("_ready"))
+    pause = F.least(F.lit(LONGEST_PAUSE), F.lit(FIRST_PAUSE) * F.pow(F.lit(2.0), F.greatest(F.col("times") - 1, F.lit(0)))).cast("long")
+    n = n.join(waits, key, "left").join(failures, key, "left").withColumn("pause", F.when(F.col("times") > 0, pause).otherwise(0))
+    return n.filter(~F.col("_done") & F.coalesce("_ready", F.lit(True)) & (F.coalesce("last", F.lit(0)) + F.col("pause") <= now)).select(key, "level", "pause")
+
+
+def rendered(entries: DataFrame, task: str, kinds: list[str], most: int = EXPORT_ROWS) -> DataFrame:
+    """A task's live entries as it is shown: ``task, kind, place, text`` by kind in the order given, then revision; superseded and forgotten ones are gone."""
+    order = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    now = live(entries, "id").withColumn("_k", order).filter("_k > 0")
+    place = F.row_number().over(W.partitionBy(task).orderBy("_k", "revision", "id"))
+    return now.withColumn("place", place).filter(F.col("place") <= most).select(task, "kind", "place", "text")

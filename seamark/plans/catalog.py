@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamark.plans import accounts, composites, evolving, relations, retrieval, storage, texts
+from seamark.plans import accounts, assemblies, composites, evolving, relations, retrieval, storage, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (storage, retrieval, relations, accounts, texts, composites)
+MODULES = (storage, retrieval, relations, accounts, texts, composites, assemblies)
 
 
 def queries() -> dict[str, Query]:

@@ -129,9 +129,8 @@ def approximate(t):
     s = t.partition_source.filter(F.lower("body").contains("packet")).select("source_id", "path", "body").dropDuplicates(["source_id"])
     m = s.select("source_id", "path", F.when(F.col("path").startswith("tests/"), 1).otherwise(0).alias("role_rank"))
     own = t.partition_source.filter(F.col("path").contains("packet")).select("source_id").distinct()
-    imports = s.filter(F.col("body").rlike(r"import[^\n]*Packet")).select("path", "source_id")
-    d = m.join(own, "source_id", "left_anti").join(imports.select("source_id", F.lit(True).alias("imports")), "source_id", "left").withColumn("imports", F.coalesce("imports", F.lit(False)))
-    return d.orderBy(F.desc("imports"), "role_rank", "path", "source_id").limit(256).select("source_id", "imports")
+    imports = s.filter(F.col("body").rlike(r"import[^\n]*Packet")).select("source_id")
+    return G.approximate_doors(m, imports, own, ["source_id"], "source_id", order=["role_rank", "path", "source_id"]).select("source_id", "imports")
 
 
 _COS = "1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"

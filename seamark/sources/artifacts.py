@@ -71,12 +71,22 @@ def append_receipts(receipts: DataFrame, path: str) -> None:
     receipts.write.mode("append").json(path)
 
 
-def export_dataset(rows: DataFrame, path: str) -> None:
-    """Rows that may be used for training, one folder per split, each with the digest of its content."""
+def export_dataset(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that may be used for training, one folder per split, each with the digest of its content; returns the manifest as written.
+
+    The manifest, ``split, rows, sha256``, digests the sorted digests of each split's rows, so that it doesn't depend on how they are spread.
+    """
     from seamark.functions.identity import digest
 
     kept = rows.filter(F.coalesce(F.col("allow_training"), F.lit(False)))
-    kept.withColumn("row_sha256", digest(F.to_json(F.struct(*[c for c in kept.columns if c != "split"])))).write.mode("overwrite").partitionBy("split").json(path)
+    kept.withColumn("row_sha256", digest(F.to_json(F.struct(*[c for c in kept.columns if c != "split"])))).write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
+    written = rows.sparkSession.read.json(f"{path}/rows").select("split", "row_sha256")
+    # digests fold by groups of their first byte, so that no task holds those of a whole split
+    part = written.groupBy("split", F.substring("row_sha256", 1, 4).alias("p")).agg(F.count("*").alias("n"), digest(F.array_join(F.array_sort(F.collect_list("row_sha256")), "\n")).alias("h"))
+    manifest = part.groupBy("split").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("p", "h"))).alias("parts"))
+    manifest = manifest.select("split", "rows", digest(F.array_join(F.transform("parts", lambda x: x["h"]), "\n")).alias("sha256"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return rows.sparkSession.read.schema("split string, rows long, sha256 string").json(f"{path}/manifest")
 
 
 def commit_vectors(vectors: DataFrame, path: str, dims: int, most_bytes: int) -> int:
