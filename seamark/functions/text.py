@@ -85,9 +85,9 @@ def in_subtree(path: Column, tree: str) -> Column:
 
 
 def language(path: Column) -> Column:
-    """The language of a path by its file name, else its extension as it is spelled; null if unknown or a bare ``.name``."""
+    """The language of a path by its file name, else its extension in any letter case; null if unknown or a bare ``.name``."""
     pair = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    return F.coalesce(pair(LANGUAGE_BY_NAME)[basename(path)], F.when(~basename(path).rlike(r"^\.[^.]*$"), pair(LANGUAGE_BY_EXTENSION)[F.regexp_extract(path, r"\.([^./\\]+)$", 1)]))
+    return F.coalesce(pair(LANGUAGE_BY_NAME)[basename(path)], F.when(~basename(path).rlike(r"^\.[^.]*$"), pair(LANGUAGE_BY_EXTENSION)[extension(path)]))
 
 
 def path_role(path: Column) -> Column:

@@ -1,10 +1,13 @@
-"""Parsing of query texts on the driver: code spans, anchors, qualifiers, runs, concepts and intents. A query is a few hundred bytes."""
+"""Parsing of query texts: code spans, anchors, qualifiers, runs, concepts and intents; one query on the driver or a column of them."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 MOST_QUERY_BYTES, MOST_LIMIT, MOST_TOKENS = 4096, 64, 32768
 MOST_ANCHORS, MOST_RUNS, MOST_CONCEPTS = 4, 32, 64
 #: Words that express no concept, first words of a locator request, words that ask for users of a definition.
@@ -234,3 +237,21 @@ def language_preference(query: str) -> str | None:
         return None
     named = {LANGUAGES[a] for a, b in zip(words, words[1:]) if a in LANGUAGES and b.rstrip(ENDS) in LANGUAGE_THINGS}
     return named.pop() if len(named) == 1 else None
+
+
+PARSED = "struct<fixed:array<string>,capitalized:array<string>,qualifiers:array<string>,concepts:array<array<string>>,runs:array<string>,language:string,prose:boolean,doors:boolean>"
+
+
+def parsed(query):
+    """A column of queries as a column of what they name and ask for; null for null, in Arrow batches."""
+    def one(q: str | None) -> dict | None:
+        if q is None:
+            return None
+        a = parse_anchors(q)
+        return {"fixed": a.fixed, "capitalized": a.capitalized, "qualifiers": a.qualifiers, "concepts": concepts(q), "runs": runs(q), "language": language_preference(q), "prose": is_prose(q), "doors": asks_for_doors(q)}
+
+    @F.pandas_udf(PARSED)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(q) or dict.fromkeys(("fixed", "capitalized", "qualifiers", "concepts", "runs", "language", "prose", "doors")) for q in s], columns=["fixed", "capitalized", "qualifiers", "concepts", "runs", "language", "prose", "doors"])
+
+    return F.when(query.isNotNull(), run(query))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from seamark.operators.lexical import LISTED, RRF_K
 
-MOST_ROOTS = 9
+MOST_ROOTS, MOST_ANCHORS = 9, 4
 
 
 def union_roots(roots: dict[str, DataFrame]) -> DataFrame:
@@ -22,6 +22,13 @@ def union_roots(roots: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def union_anchors(anchors: DataFrame) -> DataFrame:
+    """The anchors of all roots, ``anchor, place``: each once whatever its case, in order of their place in the query, at most four."""
+    first = anchors.groupBy(F.lower("anchor").alias("_a")).agg(F.min(F.struct("place", "root", "anchor")).alias("_f"))
+    top = first.orderBy("_f.place", "_f.root").limit(MOST_ANCHORS)
+    return top.select("_f.anchor", F.row_number().over(W.orderBy("_f.place", "_f.root")).alias("place"))  # four rows
+
+
 def merged_anchors(resolved: DataFrame) -> DataFrame:
     """Definitions of each anchor over all roots: summed counts, order by tuple, root, path, start, cut to what is listed."""
     per_root = resolved.select("anchor", "root", "definitions").distinct().groupBy("anchor").agg(F.sum("definitions").alias("all_definitions"))

@@ -10,6 +10,7 @@ from seamark.operators import context as CX
 from seamark.operators import dense as D
 from seamark.operators import graph as G
 from seamark.operators import lexical as L
+from seamark.operators import query_text as Q
 from seamark.operators import roots as RO
 from seamark.plans.registry import Plans
 from seamark.plans.relations import _COS
@@ -120,3 +121,24 @@ def reference_lines(t):
     s = s.withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy("l_orderkey", "l_linenumber")))
     p = BU.pack_lines(s, "symbol", "place", "line", 128)
     return p.select("symbol", (F.col("shown") + F.col("left_out")).alias("sites"), (F.col("tokens") <= 128).alias("within"), ((F.col("left_out") == 0) | (F.col("tokens") > 128 - 12)).alias("longest"))
+
+
+@plans.query("Q02_batch", r"""
+WITH e AS (SELECT row_id, any_value(content_text) AS x FROM session_entry WHERE content_text IS NOT NULL GROUP BY row_id),
+w AS (SELECT *, list_filter(string_split_regex(x, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+'), lambda y: y <> '') AS w FROM e)
+SELECT row_id, len(w) >= 3 AND NOT list_contains(['where', 'find', 'locate', 'show', 'who'], lower(w[1])) AND len(list_filter(w, lambda y: NOT regexp_full_match(y, '\p{L}+(-\p{L}+)*[?.,:]*'))) = 0 AS prose,
+ len(list_intersect(regexp_extract_all(lower(x), '[a-z0-9_]+'), ['callers', 'caller', 'calls', 'called', 'invokes', 'invoked', 'invokers', 'uses', 'used', 'usage', 'usages', 'references', 'reference', 'referenced', 'dependents', 'depends', 'dependency', 'dependencies', 'impact', 'affects', 'break', 'breaks'])) > 0 AS doors,
+ list_distinct(list_transform(regexp_extract_all(x, '[A-Za-z_$][A-Za-z0-9_$]*'), lambda y: lower(y))) IS NOT NULL AS has_runs FROM w""")
+def batch(t):
+    """All messages parsed as queries."""
+    d = t.session_entry.filter("content_text IS NOT NULL").select("row_id", "content_text").dropDuplicates(["row_id"])
+    q = d.select("row_id", Q.parsed(F.col("content_text")).alias("q"))
+    return q.select("row_id", "q.prose", "q.doors", F.col("q.runs").isNotNull().alias("has_runs"))
+
+
+@plans.query("U05_anchors", "SELECT anchor, row_number() OVER (ORDER BY place, root) AS place FROM (SELECT min(place) AS place, min(root) AS root, arg_min(name, (place, root)) AS anchor FROM (SELECT repo AS root, name, CASE name WHEN 'merge' THEN 1 WHEN 'rank' THEN 2 WHEN 'cut' THEN 3 ELSE 4 END AS place FROM (WITH " + _DEFS + " SELECT DISTINCT repo, name FROM defs WHERE name IN ('merge', 'rank', 'cut', 'publish', 'order'))) GROUP BY lower(name)) ORDER BY place, anchor LIMIT 3")
+def anchors(t):
+    """The first anchors that any repository defines."""
+    place = F.when(F.col("name") == "merge", 1).when(F.col("name") == "rank", 2).when(F.col("name") == "cut", 3).otherwise(4)
+    d = definitions(t).filter(F.col("name").isin("merge", "rank", "cut", "publish", "order")).select(F.col("repo").alias("root"), F.col("name").alias("anchor"), place.alias("place")).distinct()
+    return RO.union_anchors(d).filter("place <= 3").select("anchor", F.col("place").cast("long").alias("place"))

@@ -24,6 +24,8 @@ def build_session(app: str = "seamark", master: str | None = None, **conf: objec
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # tables that were cut from their lineage go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (defaults | conf).items():
         b = b.config(k, v)

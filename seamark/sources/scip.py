@@ -10,6 +10,7 @@ import glob
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_ARTIFACT, MOST_DOCUMENT, MOST_OCCURRENCES = 1 << 30, 8 << 20, 16_384
@@ -92,12 +93,32 @@ def occurrences_of(document: bytes) -> Iterator[tuple]:
         yield (path, language, *row)
 
 
+def read_scip(spark, path: str):
+    """Occurrences of all artifacts below a path of any file system that Spark reads, one task for each file; one above the bound is an error."""
+    from pyspark.sql import functions as F
+
+    def decode(batches):
+        for pdf in batches:
+            for size, data in zip(pdf["length"], pdf["content"]):
+                if size > MOST_ARTIFACT:
+                    raise ValueError("artifact too large")
+                rows = [r for number, _, v in fields(bytes(data)) if number == 2 for r in occurrences_of(v)]
+                yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in SCHEMA.split(",")])
+
+    # an artifact above the bound is never read: its size is known before its content is
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.scip").option("recursiveFileLookup", "true").load(path)
+    content = F.when(F.col("length") <= MOST_ARTIFACT, F.col("content"))
+    return files.select("length", content.alias("content")).mapInPandas(decode, SCHEMA)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
 class ScipReader(DataSourceReader):
+    """The same as a data source, for folders that every worker has mounted; ``read_scip`` reads any file system."""
+
     def __init__(self, options):
         self.options = options
 

@@ -248,6 +248,12 @@ def test_query_text():
         assert query_text.asks_for_doors(text) == want
 
 
+def test_queries_are_parsed_in_batches(spark):
+    d = spark.createDataFrame([("Why does `Engine::open` call load_index?",), (None,), ("",)], "q string")
+    got = [r[0] for r in d.select(query_text.parsed(F.col("q"))).collect()]
+    assert got[0]["fixed"] == ["open", "load_index"] and got[0]["qualifiers"] == ["engine"] and got[0]["doors"] is False and got[1] is None and got[2]["runs"] == []
+
+
 def test_concepts_of_prose():
     c = query_text.concepts
     assert c("Why does the packet reader refuse an empty token before the ledger is written?") == [["why"], ["packet"], ["reader"], ["refuse"], ["empty"], ["token"], ["before"], ["ledger"], ["written"]]
@@ -458,6 +464,7 @@ def test_scip_source(spark, tmp_path):
     (tmp_path / "x.scip").write_bytes(_message((2, doc)))
     spark.dataSource.register(scip.ScipSource)
     rows = [tuple(r) for r in spark.read.format("scip").load(str(tmp_path)).collect()]
+    assert [tuple(r) for r in scip.read_scip(spark, str(tmp_path)).collect()] == rows
     assert rows == [("src/a.rs", "rust", "sym a", 1, 2, 3, 2, 9), ("src/a.rs", "rust", "sym b", 0, 4, 0, 5, 2)]
     with pytest.raises(ValueError):
         list(scip.fields(b"\x12\xff"))
