@@ -1,7 +1,8 @@
-"""Units, imports and calls of languages with braces, read from masked text by one table of declarations for each language.
+"""Units, imports and calls of languages, read from masked text by one table of declarations for each.
 
-Comments and literals are blanked first, so that brackets and words in them don't count; a declaration ends where its own block closes, or
-at its semicolon. The result is that of a grammar on well-formed text; on broken text it is what still closes.
+Comments and literals are blanked first, so that brackets and words in them don't count. Where blocks have braces a declaration ends where
+its own block closes, or at its semicolon; in the other languages it goes on as far as its lines are further in, and takes in the line that
+ends it. The result is that of a grammar on well-formed text; on broken text it is what still closes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ NAME = r"[^\W\d][\w$]*"
 FAMILY = {
     "rs": "rust", "go": "go", "ts": "ts", "mts": "ts", "cts": "ts", "tsx": "ts", "js": "ts", "mjs": "ts", "cjs": "ts", "jsx": "ts", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "hh": "c", "hxx": "c",
     "java": "java", "cs": "csharp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala", "sc": "scala", "php": "php", "phtml": "php", "dart": "dart",
+    "sh": "bash", "bash": "bash", "zsh": "bash", "pl": "perl", "pm": "perl", "t": "perl", "psgi": "perl", "ps1": "powershell", "psm1": "powershell", "psd1": "powershell",
+    "rb": "ruby", "rake": "ruby", "lua": "lua", "ex": "elixir", "exs": "elixir", "hs": "haskell", "fs": "fsharp", "fsx": "fsharp", "fsi": "fsharp", "vb": "vbnet",
 }
 
 
@@ -30,6 +33,8 @@ class Spec:
     joint: str = "."
     not_calls: frozenset[str] = field(default_factory=frozenset)
     enums: bool = False
+    #: How the line begins that ends a declaration of a language without braces, None for braces.
+    ends: str | None = None
 
 
 #: Families whose declarations may end with their line.
@@ -61,6 +66,14 @@ def _specs() -> dict[str, Spec]:
     return {
         "rust": rust, "ts": ts, "go": go, "c": c, "java": java_like([], typed), "csharp": java_like([("mod", rf"namespace\s+(?P<name>[\w.]+)")], typed), "dart": java_like([("fn", typed)], typed),
         "kotlin": java_like(fun("fun"), None), "swift": java_like([*fun("func"), ("impl", rf"{_MOD}extension\s+(?P<name>{NAME})")], None), "scala": java_like(fun("def"), None), "php": java_like([("fn", rf"{_MOD}function\s+&?(?P<name>{NAME})"), ("mod", r"namespace\s+(?P<name>[\w\\]+)")], None),
+        "bash": Spec([("fn", r"(?:function\s+)?(?P<name>[\w:.-]+)\s*\(\)\s*(?=\{)"), ("fn", r"function\s+(?P<name>[\w:.-]+)\s*(?=\{)")]), "perl": Spec([("mod", r"package\s+(?P<name>[\w:]+)"), ("fn", rf"sub\s+(?P<name>{NAME})")], joint="::", not_calls=_CONTROL),
+        "powershell": Spec([("class", rf"(?i:class)\s+(?P<name>{NAME})"), ("enum", rf"(?i:enum)\s+(?P<name>{NAME})"), ("fn", r"(?i:function|filter)\s+(?:\w+:)?(?P<name>[\w-]+)")], ("class",), not_calls=_CONTROL),
+        "ruby": Spec([("class", r"class\s+(?P<name>[\w:]+)"), ("mod", r"module\s+(?P<name>[\w:]+)"), ("fn", r"(?:private\s+|protected\s+|public\s+)?def\s+(?:self\.)?(?P<name>[\w]+[?!=]?)")], ("class", "mod"), joint="::", ends=r"end\b", not_calls=_CONTROL),
+        "lua": Spec([("fn", r"(?:local\s+)?function\s+(?P<name>[\w.:]+)"), ("fn", r"(?:local\s+)?(?P<name>[\w.]+)\s*=\s*function\b")], ends=r"end\b", not_calls=_CONTROL),
+        "elixir": Spec([("mod", r"def(?:module|protocol|impl)\s+(?P<name>[\w.]+)"), ("macro", r"defmacrop?\s+(?P<name>\w+[?!]?)"), ("fn", r"defp?\s+(?P<name>\w+[?!]?)")], ends=r"end\b", not_calls=_CONTROL),
+        "haskell": Spec([("class", r"class\s+(?:[^=\n]*=>\s*)?(?P<name>\w+)"), ("impl", r"instance\s+(?:[^=\n]*=>\s*)?(?P<name>\w+)"), ("enum", r"(?:data|newtype)\s+(?P<name>\w+)"), ("type", r"type\s+(?P<name>\w+)"), ("fn", r"(?P<name>[a-z_][\w']*)\s*::")], ends=r"(?!)"),
+        "fsharp": Spec([("mod", r"(?:module|namespace)\s+(?:rec\s+)?(?P<name>[\w.]+)"), ("type", r"type\s+(?:private\s+|internal\s+)?(?P<name>\w+)"), ("fn", r"let\s+(?:rec\s+|inline\s+|private\s+|mutable\s+)*(?P<name>\w+)"), ("method", r"(?:static\s+)?(?:member|override)\s+(?:\w+\.)?(?P<name>\w+)")], ends=r"(?!)", not_calls=_CONTROL),
+        "vbnet": Spec([("class", r"(?i:(?:public|private|friend|partial|mustinherit|notinheritable|\s)*class)\s+(?P<name>\w+)"), ("interface", r"(?i:(?:public|private|friend|\s)*interface)\s+(?P<name>\w+)"), ("enum", r"(?i:(?:public|private|friend|\s)*enum)\s+(?P<name>\w+)"), ("mod", r"(?i:(?:public|private|friend|\s)*(?:module|namespace))\s+(?P<name>[\w.]+)"), ("method", r"(?i:(?:public|private|protected|friend|shared|overridable|overrides|async|\s)*(?:sub|function))\s+(?P<name>\w+)")], ends=r"(?i:end)\b"),
     }
 
 
@@ -72,6 +85,8 @@ def _mask_rx() -> dict:
         "ts": re.compile(rf"{usual}|{sq}|`(?:[^`\\]|\\.)*`?|(?<=[=(,:;!&|?\[{{}}\n])\s*/(?![/*\s])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", re.S),
         "go": re.compile(rf"{usual}|`[^`]*`?|'(?:[^'\\\n]|\\.)+'", re.S),
         "php": re.compile(rf"#(?!\[)[^\n]*|{usual}|{sq}", re.S),
+        **dict.fromkeys(("bash", "perl", "powershell", "ruby", "elixir"), re.compile(rf"<\#.*?\#>|(?m:^=begin\b.*?^=end\b)|(?<![$\w{{])\#[^\n]*|\"\"\".*?\"\"\"|{dq}|{sq}", re.S)),
+        "lua": re.compile(rf"--\[\[.*?\]\]|--[^\n]*|\[\[.*?\]\]|{dq}|{sq}", re.S), "haskell": re.compile(rf"\{{-.*?-\}}|--[^\n]*|{dq}", re.S), "fsharp": re.compile(rf"\(\*.*?\*\)|//[^\n]*|\"\"\".*?\"\"\"|{dq}", re.S), "vbnet": re.compile(r"'[^\n]*|\"(?:[^\"\n]|\"\")*\"?", re.S),
         "": re.compile(rf"{usual}|\"\"\"(?:.*?)\"\"\"|'(?:[^'\\\n]|\\.)'", re.S),
     }
 
@@ -153,6 +168,8 @@ def code_units(text: str, family: str, most: int = 16) -> list[Unit]:
     """Declarations in order of place, containers before what they hold; a unit begins at the comments and attributes directly above it."""
     spec = resource("code.specs", _specs)[family]
     m_text = masked(text, family)
+    if spec.ends is not None:
+        return _indented(text, m_text, spec, most)
     pairs = mates(m_text)
     found: dict[int, tuple[str, str, int, int | None, str | None]] = {}
     at_line = r"(?m)(?:^|(?<=[{};]))[ \t]*(?:(?:@\w[\w.]*(?:\([^()\n]*\))?|\[[^\]\n]*\]|#\[[^\]\n]*\])[ \t]*)*"
@@ -196,6 +213,52 @@ def code_units(text: str, family: str, most: int = 16) -> list[Unit]:
     return out
 
 
+def _indented(text: str, m_text: str, spec: Spec, most: int) -> list[Unit]:
+    """Declarations of languages without braces: each goes on until a line that isn't further in, which it takes in if that line ends it."""
+    lines, at = [], 0
+    for line in m_text.split("\n"):
+        lines.append((at, len(line) - len(line.lstrip(" \t")), line))
+        at += len(line) + 1
+    heads = [(kind, re.compile(rx)) for kind, rx in spec.heads]
+    ends = re.compile(spec.ends)
+    out: list[Unit] = []
+    open_: list[int] = []
+
+    def close(indent: int, start: int, end: int, line: str) -> None:
+        # a further line of the same indent that ends a declaration belongs to the innermost of that indent
+        while open_ and out[open_[-1]].at >= indent:
+            u = out[open_.pop()]
+            same = u.at == indent and ends.match(line.strip())
+            u.end = end if same else last_end
+            if same:
+                break
+
+    last_end = 0
+    for start, indent, line in lines:
+        if not line.strip():
+            continue
+        close(indent, start, start + len(line.rstrip()), line)
+        body = line.strip()
+        for kind, rx in heads:
+            m = rx.match(body)
+            if m and not ends.match(body):
+                parent = open_[-1] if open_ else -1
+                if kind == "fn" and parent >= 0 and out[parent].kind in spec.owners:
+                    kind = "method"
+                names = [out[k].name for k in open_][-most:]
+                # until the end is known, the place of the name holds the indent
+                out.append(Unit(kind, m.group("name"), spec.joint.join([*names, m.group("name")]), start + indent, -1, start + len(line), parent, len(open_), indent))
+                open_.append(len(out) - 1)
+                break
+        last_end = start + len(line.rstrip())
+    for k in open_:
+        out[k].end = last_end
+    for u in out:
+        u.at = m_text.find(u.name, u.start)
+        u.start = _lead_start(text, m_text, u.start)
+    return out
+
+
 def _enclosing(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     """Places of all matched brackets in order, and behind each the bracket that is open there, -1 for none."""
     places, within, stack = [], [], []
@@ -278,6 +341,19 @@ def code_imports(text: str, family: str) -> list[str]:
                     out.append(alias or path.rsplit("/", 1)[-1])
     elif family == "c":
         out += [_stem(x) for x in re.findall(r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)[\">]", plain)]
+    elif family in ("ruby", "bash", "lua", "perl", "powershell"):
+        plain = re.sub(r"(?m)^\s*(?:#|--)[^\n]*", " ", text)
+        out += [re.split(r"[./]", x)[-1] if family == "lua" else _stem(x) for x in re.findall(r"(?m)(?:\brequire(?:_relative)?|\bsource|^\s*\.|\bload|\bdofile)[ \t(]+[\"']?([\w./:\\-]+)", plain) if x not in ("strict", "warnings")]
+        if family == "perl":
+            out = [x for x in (re.split(r"::", y)[-1] for y in re.findall(r"(?m)^\s*(?:use|require)\s+([A-Za-z][\w:]*)", plain)) if x not in ("strict", "warnings", "utf8")]
+        if family == "powershell":
+            out += [_stem(x) for x in re.findall(r"(?mi)^\s*(?:import-module|using\s+module)\s+[\"']?([\w./\\-]+)", plain)]
+    elif family == "haskell":
+        out += [a or b.rsplit(".", 1)[-1] for b, a in re.findall(r"(?m)^import\s+(?:qualified\s+)?([\w.]+)(?:\s+(?:qualified\s+)?as\s+(\w+))?", text)]
+    elif family == "elixir":
+        out += [x.rsplit(".", 1)[-1] for x in re.findall(r"(?m)^\s*(?:import|alias|use|require)\s+([A-Z][\w.]*)", text)]
+    elif family == "vbnet":
+        out += [a or b.rsplit(".", 1)[-1] for a, b in re.findall(r"(?mi)^\s*Imports\s+(?:(\w+)\s*=\s*)?([\w.]+)", text)]
     elif family == "php":
         out += [a or b for b, a in re.findall(r"(?m)^\s*use\s+(?:[\w\\]*\\)?(\w+)(?:\s+as\s+(\w+))?\s*;", plain)]
     else:
@@ -302,8 +378,10 @@ def code_calls(text: str, family: str) -> dict[str, int]:
 
 
 def balanced(text: str, family: str) -> bool:
-    """Whether all brackets of a text meet; what has no grammar here counts as parsed if they do."""
+    """Whether all brackets of a text meet; what has no grammar here counts as parsed if they do. Shell patterns close what they never open."""
     m_text = masked(text, family)
+    if family == "bash":
+        m_text = re.sub(r"(?m)^[^()\n]*\)", "", m_text)
     return 2 * len(mates(m_text)) == sum(m_text.count(x) for x in "()[]{}")
 
 

@@ -88,6 +88,34 @@ static int f(int a, char *b) { if (a) { return g(a); } return 0; }
 '''
 
 
+OTHERS = {
+    "ruby": ("require 'a/b'\n# def no\nmodule M\n  class K < Q\n    # doc\n    def run(a)\n      if a\n        go\n      end\n    end\n    def self.x?\n      'def y'\n    end\n  end\nend\n", "mod M,class M::K,method M::K::run,method M::K::x?", ["b"]),
+    "lua": ("local m = require('a.b')\nlocal function f(a)\n  if a then\n    g()\n  end\nend\nm.h = function()\nend\n-- function no()\n", "fn f,fn m.h", ["b"]),
+    "elixir": ("defmodule A.B do\n  alias C.D\n  def f(x) do\n    x\n  end\n  defp g, do: 1\n  defmacro m(a) do\n  end\nend\n", "mod A.B,fn A.B.f,fn A.B.g,macro A.B.m", ["D"]),
+    "haskell": ("module M where\nimport qualified Data.Map as Map\nimport Data.List\ndata T = A | B\n  deriving Show\nclass C a where\n  op :: a -> a\nf :: Int -> Int\nf x = x\n", "enum T,class C,fn C.op,fn f", ["Map", "List"]),
+    "fsharp": ("module M\nopen A.B\ntype T =\n  | X\n  member this.Go() = 1\nlet rec f x =\n  x + 1\n(* let no = 1 *)\n", "mod M,type T,method T.Go,fn f", ["B"]),
+    "vbnet": ("Imports X = A.B\nImports C.D\nPublic Class K\n  ' Sub no()\n  Public Sub Go()\n    Run()\n  End Sub\nEnd Class\n", "class K,method K.Go", ["X", "D"]),
+    "bash": ("source lib/x.sh\nrun() {\n  go # }\n}\nfunction other {\n  a\n}\n", "fn run,fn other", ["x"]),
+    "perl": ("package A::B;\nuse strict;\nuse C::D;\nsub f {\n  return '}';\n}\n", "mod A::B,fn f", ["D"]),
+    "powershell": ("Import-Module ./a/b.psm1\nfunction Get-It($x) {\n  <# } #>\n  $x\n}\nclass K {\n}\n", "fn Get-It,class K", ["b"]),
+    "csharp": ("using A.B;\nnamespace N {\n  public class K : Q {\n    public int F(int a) { return G(a); }\n    K() { }\n  }\n  struct S { }\n}\n", "mod N,class N.K,method N.K.F,method N.K.K,struct N.S", ["B"]),
+    "swift": ("import Foundation\nstruct S {\n    func f(_ a: Int) -> Int { return a }\n}\nextension S {\n    func g() {}\n}\n", "struct S,method S.f,impl S,method S.g", ["Foundation"]),
+    "scala": ("import a.b.C\ntrait T {\n  def f(x: Int): Int = x\n}\nobject O {\n  def g() = {\n    1\n  }\n}\n", "interface T,method T.f,class O,method O.g", ["C"]),
+    "php": ("<?php\nuse A\\B as C;\nclass K {\n  public function f() { return '}'; }\n}\nfunction g() {}\n", "class K,method K.f,fn g", ["C"]),
+    "dart": ("import 'a/b.dart';\nclass K {\n  int f(int a) { return g(a); }\n}\nvoid main() { }\n", "class K,method K.f,fn main", []),
+    "kotlin": ("import a.b.C\nclass A(val x: Int) {\n    fun f(a: Int): Int { return a }\n}\nfun g() = 1\n", "class A,method A.f,fn g", ["C"]),
+}
+
+
+@pytest.mark.parametrize("family", sorted(OTHERS))
+def test_units_of_other_languages(family):
+    text, units, imports = OTHERS[family]
+    got = C.code_units(text, family)
+    assert ",".join(f"{u.kind} {u.qname}" for u in got) == units
+    assert C.code_imports(text, family) == imports and C.balanced(text, family)
+    assert all(0 <= u.start < u.end <= len(text) and (u.parent < 0 or (got[u.parent].start <= u.start and u.end <= got[u.parent].end)) for u in got)
+
+
 @pytest.mark.parametrize(
     ("text", "family", "units", "imports", "calls"),
     [
