@@ -74,29 +74,29 @@ def provider_currency(providers: DataFrame, inputs: DataFrame, sources: DataFram
 def resolve_routes(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     """``consumer, state, matches, route``: exact_key, route_template, ambiguous, unresolved, incomplete or unsupported.
 
-    Literal routes meet by equality on (service, method, path). Templates meet on (service, method, number of segments, first segment
-    where it is literal), those with an open end on the same without the number, so that they are tried on few candidates. Templates whose
-    first segment is a parameter meet without it; those are counted and broadcast where they are few, so that a service with a third of all
+    A route has one key: a literal one its path; a template its number of segments, unless its end is open, and its first segment, unless
+    that is a parameter. A consumer looks at the five keys that could match it, in one join on (service, method, key), so that templates are
+    tried on few candidates. Routes are normalized once and counted; few of them are broadcast, so that a service with a third of all
     consumers isn't one task.
     """
-    c = consumers.withColumn("_segments", F.size(F.split("path", "/"))).withColumn("_first", F.get(F.split("path", "/"), F.lit(1)))
+    segments = lambda c: F.size(F.split(c, "/")).cast("string")
+    first = lambda c: F.coalesce(F.get(F.split(c, "/"), F.lit(1)), F.lit(""))
+    template = F.col("template")
+    open_, free = template.rlike(r":(?:flask_)?path\}$"), first(template).contains("{")
+    key = (
+        F.when(~template.contains("{"), F.concat(F.lit("="), template))
+        .when(~open_ & ~free, F.concat_ws("/", F.lit("n"), segments(template), first(template)))
+        .when(~free, F.concat_ws("/", F.lit("o"), first(template)))
+        .when(~open_, F.concat_ws("/", F.lit("f"), segments(template)))
+        .otherwise("r")
+    )
     p = providers.withColumn("template", normalize_template(F.col("route"))).filter("template IS NOT NULL")
-    p = p.withColumn("_is", F.col("template").contains("{")).withColumn("_open", F.col("template").rlike(r":(?:flask_)?path\}$"))
-    p = p.withColumn("_segments", F.size(F.split("template", "/"))).withColumn("_first", F.get(F.split("template", "/"), F.lit(1)))
+    p = hinted(cut(p.select("service", "method", key.alias("_key"), "template", "route", template.contains("{").alias("_is"))))
+    path = F.col("path")
+    looks = F.array(F.concat(F.lit("="), path), F.concat_ws("/", F.lit("n"), segments(path), first(path)), F.concat_ws("/", F.lit("o"), first(path)), F.concat_ws("/", F.lit("f"), segments(path)), F.lit("r"))
     keys = ["service", "method"]
-    cols = ["consumer", "route", "_is"]
-    exact = c.join(p.filter("NOT _is").select(*keys, F.col("template").alias("path"), "route", "_is"), [*keys, "path"]).select(*cols)
-    cols_of = ("template", "route", "_is")
-    named, free = ~F.col("_first").contains("{"), F.col("_first").contains("{")
-    tried = [
-        c.join(p.filter(F.col("_is") & ~F.col("_open") & named).select(*keys, "_segments", "_first", *cols_of), [*keys, "_segments", "_first"]),
-        c.join(p.filter(F.col("_is") & F.col("_open") & named).select(*keys, "_first", *cols_of), [*keys, "_first"]),
-        c.join(hinted(cut(p.filter(F.col("_is") & ~F.col("_open") & free).select(*keys, "_segments", *cols_of))), [*keys, "_segments"]),
-        c.join(hinted(cut(p.filter(F.col("_is") & F.col("_open") & free).select(*keys, *cols_of))), keys),
-    ]
-    hits = exact
-    for x in tried:
-        hits = hits.unionByName(x.filter(fits(F.col("template"), F.col("path"))).select(*cols))
+    c = consumers.filter(path.isNotNull() & F.col("method").isNotNull()).select("consumer", *keys, "path", F.explode(looks).alias("_key"))
+    hits = c.join(p, [*keys, "_key"]).filter(~F.col("_is") | fits(template, path)).select("consumer", "route", "_is")
     g = hits.groupBy("consumer").agg(F.count("*").alias("matches"), F.min("route").alias("route"), F.bool_or("_is").alias("_template"))
     broken = providers.filter(~F.col("complete")).select(*keys).distinct().withColumn("_broken", F.lit(True))
     j = consumers.join(g, "consumer", "left").join(broken, keys, "left")
