@@ -27,7 +27,7 @@ BUCKETS = 1024
 #: The classifier is fitted on about so many labelled rows, chosen by a hash of their id; the only sample taken here.
 SAMPLE = 8000
 EPOCHS, RATE, DECAY = 120, 0.01, 1e-2
-#: Steps of the descent at most, and the share of the whole at which it has converged.
+#: Steps of the descent at most, and the share of the whole at which it has converged; it ends as well when a step moves less than a tenth of that.
 STEPS, TOLERANCE = 25, 1e-4
 #: Texts that are rounded one after the other in one group; a source has as many groups as it takes.
 GROUP = 200_000
@@ -202,12 +202,14 @@ def rate_texts(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCAB
     size = min(most[s] / share[s] for s in range(n) if share[s] > 0)
     goal = share * size
     steps: list[np.ndarray] = []
+    before = None
     for _ in range(STEPS):
         gap = goal - now
-        if np.abs(gap).max() <= TOLERANCE * size:
+        # at the goal, or where the projection leaves nothing to move: a source at its cap may fall short of it for good
+        if np.abs(gap).max() <= TOLERANCE * size or (before is not None and np.abs(now - before).max() <= TOLERANCE / 10 * size):
             break
         steps.append(np.where(reach, gap / np.maximum(have, 1e-9), 0.0))
-        now = totals(steps)[0]
+        before, now = now, totals(steps)[0]
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
