@@ -151,6 +151,67 @@ def approximate_doors(mentions: DataFrame, importing: DataFrame, own: DataFrame,
     return m.withColumn("imports", F.coalesce("imports", F.lit(False))).orderBy(F.desc("imports"), *(order or ["role_rank", file, *[u for u in unit if u != file]])).limit(window)
 
 
+def door_states(resolution: DataFrame, targets: DataFrame, sites: DataFrame) -> DataFrame:
+    """``anchor, state``: which kind of doors each anchor has.
+
+    ``resolution`` has ``anchor`` and ``kind`` (resolved, tied, ambiguous, none), ``targets`` its definitions ``anchor, target``, ``sites`` the
+    eligible exact sites ``target, path, start``. Exact where the one definition has sites, each where one of a tie group has, approx where none
+    has; a definition that fell out since gives none.
+    """
+    has = targets.join(sites.select("target").distinct(), "target", "left_semi").select("anchor", F.lit(True).alias("_exact")).distinct()
+    there = targets.select("anchor", F.lit(True).alias("_there")).distinct()
+    j = resolution.join(has, "anchor", "left").join(there, "anchor", "left")
+    state = (
+        F.when(F.col("kind").isin("ambiguous", "none"), F.col("kind"))
+        .when(F.col("_there").isNull(), "none")
+        .when(F.col("_exact").isNull(), "approx")
+        .when(F.col("kind") == "resolved", "exact")
+        .otherwise("each")
+    )
+    return j.select("anchor", state.alias("state"))
+
+
+def door_lines(states: DataFrame, targets: DataFrame, sites: DataFrame, mentions: DataFrame, files: int = 16, group_files: int = 4) -> DataFrame:
+    """The lines of the doors: ``anchor, target, path, first, more, place``, one for each using file in order of its first site.
+
+    Exact doors have up to ``files`` lines, each target of a tie group ``group_files``; approximate ones, attributed to no target, come from
+    ``mentions`` (``anchor, path, start, imports, role_rank``) with those of importing files first.
+    """
+    exact = states.filter(F.col("state").isin("exact", "each")).join(targets, "anchor").join(sites, "target")
+    a = exact.groupBy("anchor", "state", "target", "path").agg(F.min("start").alias("first"), (F.count("*") - 1).alias("more"))
+    a = a.withColumn("place", F.row_number().over(W.partitionBy("anchor", "target").orderBy("path"))).filter(F.col("place") <= F.when(F.col("state") == "exact", files).otherwise(group_files))
+    near = states.filter("state = 'approx'").join(mentions, "anchor")
+    b = near.groupBy("anchor", "path").agg(F.min("start").alias("first"), (F.count("*") - 1).alias("more"), F.max("imports").alias("imports"), F.min("role_rank").alias("role_rank"))
+    b = b.withColumn("place", F.row_number().over(W.partitionBy("anchor").orderBy(F.desc("imports"), "role_rank", "path"))).filter(F.col("place") <= files)
+    cols = ["anchor", "target", "path", "first", "more", "place"]
+    kind = dict(a.dtypes)["target"]
+    return a.select(*cols).unionByName(b.withColumn("target", F.lit(None).cast(kind)).select(*cols))
+
+
+def references_page(symbols: DataFrame, definitions: DataFrame, occurrences: DataFrame, seed: str, after: tuple | None = None, limit: int = DEFAULT_PAGE) -> DataFrame:
+    """One page of the references of the symbols with a prefix: ``place, path, start, fresh, resolved, coverage, more``.
+
+    ``symbols`` has ``symbol``, ``definitions`` ``symbol``, ``occurrences`` ``symbol, path, start, fresh`` of eligible scopes. At most eight symbols
+    may have the prefix; more are no page at all, as is none. Sites after the key are examined in order, at most 256 of them in 64 files; stale
+    ones count as examined and stay, marked, so that a page never hides what it saw. ``resolved`` says that there is one definition;
+    ``more`` that sites lie beyond the page.
+    """
+    ids = [r["symbol"] for r in by_prefix(symbols, "symbol", seed, DEFINITIONS).collect()]
+    keys = ["path", "start"]
+    sites = occurrences.filter(F.col("symbol").isin(ids if 0 < len(ids) <= DEFINITIONS else [])).groupBy(*keys).agg(F.bool_or("fresh").alias("fresh"))
+    if after is not None:
+        sites = sites.filter(F.struct(*keys) > F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, after)]))
+    # one site more than may be examined shows that there are others; the window holds at most 257 rows
+    w = sites.orderBy(*keys).limit(EXAMINED + 1).withColumn("place", F.row_number().over(W.orderBy(*keys))).withColumn("_file", F.dense_rank().over(W.orderBy("path")))
+    ok = (F.col("place") <= min(EXAMINED, max(1, min(limit, MOST_PAGE)))) & (F.col("_file") <= REFERENCE_FILES)
+    w = w.withColumn("_ok", ok).withColumn("more", F.max(~F.col("_ok")).over(W.partitionBy())).filter("_ok")
+    one = definitions.filter(F.col("symbol").isin(ids)).agg((F.count("*") == 1).alias("resolved"))
+    page = w.select("place", *keys, "fresh", "more").join(F.broadcast(one), how="cross")  # one row
+    stale, live = F.sum(F.when(F.col("fresh"), 0).otherwise(1)).over(W.partitionBy()), F.sum(F.when(F.col("fresh"), 1).otherwise(0)).over(W.partitionBy())
+    page = page.withColumn("targets", F.lit(len(ids))).withColumn("stale", stale).withColumn("progressed", live).withColumn("unresolved", F.when(F.col("resolved"), 0).otherwise(1)).withColumn("definitions", F.when(F.col("resolved"), 1).otherwise(0))
+    return coverage(page).select("place", *keys, "fresh", "resolved", "coverage", "more")
+
+
 def edge_id(*parts: Column) -> Column:
     """SHA-256 of the compact JSON array of an edge's parts."""
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *[json_string(p) for p in parts]), F.lit("]")), 256)

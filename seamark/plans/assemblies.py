@@ -142,3 +142,47 @@ def anchors(t):
     place = F.when(F.col("name") == "merge", 1).when(F.col("name") == "rank", 2).when(F.col("name") == "cut", 3).otherwise(4)
     d = definitions(t).filter(F.col("name").isin("merge", "rank", "cut", "publish", "order")).select(F.col("repo").alias("root"), F.col("name").alias("anchor"), place.alias("place")).distinct()
     return RO.union_anchors(d).filter("place <= 3").select("anchor", F.col("place").cast("long").alias("place"))
+
+
+@plans.query("C06_page", """
+WITH s AS (SELECT l_orderkey AS path, l_linenumber::BIGINT AS start, bool_or(l_returnflag <> 'R') AS fresh FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE starts_with(lpad((p_partkey * 3)::VARCHAR, 6, '0'), '00012')) AND (l_orderkey, l_linenumber) > (500, 2) GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (ORDER BY path, start) AS place, dense_rank() OVER (ORDER BY path) AS file FROM (SELECT * FROM s ORDER BY path, start LIMIT 257)), g AS (SELECT * FROM w WHERE place <= 64 AND file <= 64),
+d AS (SELECT count(*) = 1 AS resolved FROM part WHERE p_size > 10 AND starts_with(lpad((p_partkey * 3)::VARCHAR, 6, '0'), '00012'))
+SELECT place, path, start, fresh, resolved, CASE WHEN (SELECT bool_and(NOT fresh) FROM g) THEN 'stale' WHEN (SELECT bool_and(fresh) FROM g) AND resolved THEN 'complete' ELSE 'partial' END AS coverage, (SELECT count(*) FROM w) > (SELECT count(*) FROM g) AS more FROM g, d""")
+def references_page(t):
+    """The sites of four symbols with a common prefix after a key: seed, eligibility, allowance, coverage and next page in one plan."""
+    name = F.lpad((F.col("p_partkey") * 3).cast("string"), 6, "0").alias("symbol")
+    occ = t.lineitem.select(F.lpad((F.col("l_partkey") * 3).cast("string"), 6, "0").alias("symbol"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("start"), (F.col("l_returnflag") != "R").alias("fresh"))
+    p = G.references_page(t.part.select(name), t.part.filter("p_size > 10").select(name), occ, "00012", (500, 2), 64)
+    return p.withColumn("place", F.col("place").cast("long"))
+
+
+_DOORS = """
+WITH r AS (SELECT p_partkey AS anchor, CASE p_partkey % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'tied' WHEN 2 THEN 'ambiguous' ELSE 'resolved' END AS kind FROM part),
+t AS (SELECT p_partkey AS anchor, p_partkey AS target FROM part WHERE p_partkey % 8 <> 7 UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 4 = 1),
+s AS (SELECT l_partkey AS target, l_orderkey AS path, l_linenumber::BIGINT AS start FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 5 <> 0),
+x AS (SELECT r.anchor, CASE WHEN kind = 'ambiguous' THEN 'ambiguous' WHEN r.anchor NOT IN (SELECT anchor FROM t) THEN 'none' WHEN r.anchor NOT IN (SELECT anchor FROM t JOIN s USING (target)) THEN 'approx' WHEN kind = 'resolved' THEN 'exact' ELSE 'each' END AS state FROM r)"""
+
+
+def _doors(t):
+    k = F.col("p_partkey")
+    r = t.part.select(k.alias("anchor"), F.when(k % 4 == 1, "tied").when(k % 4 == 2, "ambiguous").otherwise("resolved").alias("kind"))
+    targets = t.part.filter(k % 8 != 7).select(k.alias("anchor"), k.alias("target")).unionByName(t.part.filter(k % 4 == 1).select(k.alias("anchor"), (k + 1).alias("target")))
+    sites = t.lineitem.filter("l_returnflag = 'A' AND l_partkey % 5 <> 0").select(F.col("l_partkey").alias("target"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("start"))
+    return r, targets, sites
+
+
+@plans.query("C05_states", f"{_DOORS} SELECT anchor, state FROM x")
+def door_states(t):
+    return G.door_states(*_doors(t))
+
+
+@plans.query("C07_lines", f"""{_DOORS},
+a AS (SELECT anchor, state, target, path, min(start) AS first, count(*) - 1 AS more, row_number() OVER (PARTITION BY anchor, target ORDER BY path) AS place FROM x JOIN t USING (anchor) JOIN s USING (target) WHERE state IN ('exact', 'each') GROUP BY anchor, state, target, path),
+m AS (SELECT l_partkey AS anchor, l_orderkey AS path, l_linenumber::BIGINT AS start, l_discount > 0.05 AS imports, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS role_rank FROM lineitem),
+b AS (SELECT anchor, path, min(start) AS first, count(*) - 1 AS more, row_number() OVER (PARTITION BY anchor ORDER BY max(imports) DESC, min(role_rank), path) AS place FROM x JOIN m USING (anchor) WHERE state = 'approx' GROUP BY anchor, path)
+SELECT anchor, target, path, first, more, place FROM a WHERE place <= CASE state WHEN 'exact' THEN 16 ELSE 4 END UNION ALL SELECT anchor, NULL, path, first, more, place FROM b WHERE place <= 16""")
+def door_lines(t):
+    r, targets, sites = _doors(t)
+    m = t.lineitem.select(F.col("l_partkey").alias("anchor"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("start"), (F.col("l_discount") > 0.05).alias("imports"), F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("role_rank"))
+    return G.door_lines(G.door_states(r, targets, sites), targets, sites, m).withColumn("place", F.col("place").cast("long"))
