@@ -184,8 +184,10 @@ class IncrementalRun:
         def write(name: str, frame: DataFrame) -> DataFrame:
             seen = Observation()
             frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.dir}/{data}/{name}")
-            outputs[name] = seen.get["n"]
-            return self.spark.read.schema(frame.schema).parquet(f"{self.dir}/{data}/{name}")
+            written = self.spark.read.schema(frame.schema).parquet(f"{self.dir}/{data}/{name}")
+            # a plan that is found to be empty may lose its count
+            outputs[name] = seen.get["n"] if "n" in seen.get else written.count()
+            return written
 
         process(after.filter(F.col(seq) <= high), write)
         if fail_before_commit:

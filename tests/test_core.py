@@ -124,6 +124,18 @@ def test_a_run_of_lower_id_that_completes_later_is_not_lost(spark, tmp_path):
     assert second["outputs"] == {"ledger": 2, "pending": 1}
 
 
+def test_preparation_of_empty_tables(spark, tmp_path):
+    run = IN.IncrementalRun(spark, str(tmp_path / "s"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    first = IN.prepare(run, none(SRC), none(REC), none(RUN))
+    assert first["high"] == -1 and first["outputs"] == {"ledger": 0, "pending": 0}
+    # with no record of a run, later sources are all pending
+    src = spark.createDataFrame([(1, "r", "a", 1, H, None, None), (2, None, None, None, None, None, None)], SRC)
+    second = IN.prepare(run, src, none(REC), spark.createDataFrame([(4, "completed", None, None), (5, None, "f", None)], RUN))
+    assert (second["low"], second["high"]) == (-1, 4) and {r["source_id"]: r["reason"] for r in IN.pending_of(run).collect()} == {1: "new", 2: "new"}
+    assert run.run(spark.range(9).toDF("seq"), "seq", lambda d: d.filter(F.lit(False)))["rows"] == 0
+
+
 def test_ledger_is_written_whole_from_time_to_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(IN, "COMPACT_AFTER", 2)
     src = spark.createDataFrame([(i, "r", f"p{i}", 1, H, "x", None) for i in range(6)], SRC)
