@@ -135,7 +135,7 @@ def publish(t):
 
 @plans.query("J23_callers")
 def callers(t):
-    c = DO.calls(sources(t), ["source_id", "path"]).withColumn("key_hash", I.hash64(F.col("path")))
+    c = DO.calls(sources(t, False), ["source_id", "path"]).withColumn("key_hash", I.hash64(F.col("path")))
     return CX.callers_by_name(c, ["len", "append", "enumerate", "open"])
 
 
@@ -145,7 +145,7 @@ _PARSED = (("a.py", "import os\nX = 1\n", True), ("b.py", "def f(:\n", False), (
 @plans.query("A17_unparsed")
 def unparsed(t):
     """Sources of languages with units that don't parse, by the parser's own flag."""
-    return CX.unparsed(sources(t).select("path", DO.parsed(F.col("path"), F.col("content")).alias("parsed")).filter("parsed IS NOT NULL"))
+    return CX.unparsed(sources(t, False).select("source_id", "path", DO.parsed(F.col("path"), F.col("content")).alias("parsed")).filter("parsed IS NOT NULL").dropDuplicates(["source_id"]))
 
 
 @plans.query("A17_cases", "SELECT 3::BIGINT AS sources, 'b.py d.rs f.ts' AS samples")

@@ -16,18 +16,20 @@ from seamark.streaming import changes as CH
 plans = Plans()
 
 
-def sources(t):
-    return t.partition_source.filter("body IS NOT NULL").select("source_id", "path", F.col("body").alias("content")).dropDuplicates(["source_id"])
+def sources(t, once: bool = True):
+    """Bodies with their paths; without ``once`` repeated rows stay, so that bodies aren't moved: who takes them makes the narrow outcome distinct."""
+    s = t.partition_source.filter("body IS NOT NULL").select("source_id", "path", F.col("body").alias("content"))
+    return s.dropDuplicates(["source_id"]) if once else s
 
 
 @plans.query("Y05_blocks")
 def blocks(t):
-    return DO.search_documents(sources(t), ["source_id"])
+    return DO.search_documents(sources(t, False), ["source_id"]).distinct()
 
 
 @plans.query("Y02_units")
 def units(t):
-    return DO.units(sources(t), ["source_id"])
+    return DO.units(sources(t, False), ["source_id"]).distinct()
 
 
 #: Every body once, for SQL.
@@ -48,9 +50,9 @@ SELECT source_id, len(regexp_extract_all(body, CASE WHEN regexp_matches(lower(pa
 FROM {_BODIES} WHERE regexp_matches(lower(path), '\.(rs|go)$')""")
 def functions(t):
     """Functions and methods of each Rust and Go source; SQL counts the lines that declare one."""
-    s = sources(t).filter(F.lower("path").rlike(r"\.(rs|go)$"))
-    u = DO.units(s, ["source_id"]).filter(F.col("kind").isin("fn", "method")).groupBy("source_id").agg(F.count("*").alias("functions"))
-    return s.select("source_id").join(u, "source_id", "left").na.fill(0, ["functions"])
+    s = sources(t, False).filter(F.lower("path").rlike(r"\.(rs|go)$"))
+    u = DO.units(s, ["source_id"]).filter(F.col("kind").isin("fn", "method")).select("source_id", "ordinal").distinct().groupBy("source_id").agg(F.count("*").alias("functions"))
+    return s.select("source_id").distinct().join(u, "source_id", "left").na.fill(0, ["functions"])
 
 
 @plans.query("Y02_nesting", rf"SELECT count(*) AS sources, true AS inside, true AS nested FROM {_BODIES}")
@@ -76,13 +78,13 @@ SELECT source_id, count(*) AS sections FROM f WHERE NOT mark AND fences % 2 = 0
 @plans.query("Y04_sections", _SECTIONS)
 @plans.query("Y04_sections_all", _SECTIONS)
 def sections_all(t):
-    s = sources(t).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
-    return DO.units(s, ["source_id"]).groupBy("source_id").agg(F.count("*").alias("sections"))
+    s = sources(t, False).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
+    return DO.units(s, ["source_id"]).select("source_id", "ordinal").distinct().groupBy("source_id").agg(F.count("*").alias("sections"))
 
 
 @plans.query("Y06_imports")
 def imports(t):
-    return DO.imports(sources(t), ["source_id"])
+    return DO.imports(sources(t, False), ["source_id"]).distinct()
 
 
 @plans.query("Y06_imports_braces", rf"""
@@ -92,12 +94,12 @@ SELECT DISTINCT source_id, key FROM (
  SELECT source_id, trim(unnest(string_split(names, ','))) FROM (SELECT source_id, unnest(regexp_extract_all(body, '(?m)^import \{{ ([^}}]*) \}} from "', 1)) AS names FROM {_BODIES} WHERE regexp_matches(lower(path), '\.tsx?$')))""")
 def imports_braces(t):
     """Rust, Go and TypeScript, whose imports SQL can read in the forms that the tables have."""
-    return DO.imports(sources(t).filter(F.lower("path").rlike(r"\.(rs|go|tsx?)$")), ["source_id"])
+    return DO.imports(sources(t, False).filter(F.lower("path").rlike(r"\.(rs|go|tsx?)$")), ["source_id"]).distinct()
 
 
 @plans.query("Y07_calls")
 def calls(t):
-    return DO.calls(sources(t), ["source_id"])
+    return DO.calls(sources(t, False), ["source_id"]).distinct()
 
 
 @plans.query("Y08_outlines")
