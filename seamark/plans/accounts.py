@@ -196,7 +196,13 @@ def assertions(t):
     return RC.assertion_conflicts(t.session_entry, "session_id", "entry_id", "content_text")
 
 
-@plans.query("C18_briefs")
+@plans.query("C18_briefs", """
+WITH b AS (SELECT DISTINCT source_id, repo, path, source_hash, revision FROM partition_source), s AS (SELECT path, arg_max(source_hash, (revision, source_id)) AS now FROM b WHERE source_hash IS NOT NULL GROUP BY path),
+e AS (SELECT 'first' AS edition, * FROM b QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY revision, source_id) = 1 UNION ALL SELECT 'newest', * FROM b QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY revision DESC, source_id DESC) = 1),
+p AS (SELECT edition, string_split(concat_ws('/', repo, path), '/') AS parts, coalesce(e.source_hash = s.now, false) AS ok FROM e JOIN s USING (path)),
+k AS (SELECT edition, parts, ok, unnest(range(1, len(parts))) AS k FROM p)
+SELECT concat_ws('/', repo, path, source_id::VARCHAR) AS brief_id, 0 AS depth FROM b JOIN s USING (path) WHERE source_hash = now
+UNION ALL SELECT array_to_string(parts[1:k], '/') || '#' || edition, max(len(parts) - k)::INTEGER FROM k GROUP BY 1 HAVING bool_and(ok)""")
 def briefs(t):
     """Briefs of all revisions of files, and of each directory and repository as of the first and as of the newest revisions in it.
 
