@@ -67,8 +67,18 @@ def read_receipts(spark: SparkSession, path: str) -> DataFrame:
     return r.select("line", F.coalesce(ok, F.lit(False)).alias("valid"), "r.*")
 
 
-def append_receipts(receipts: DataFrame, path: str) -> None:
-    receipts.write.mode("append").json(path)
+def append_receipts(receipts: DataFrame, path: str) -> int:
+    """Append receipts to a log within its bounds; rows too long for a log are refused, and all if the log would grow beyond them. How many were refused."""
+    spark = receipts.sparkSession
+    size = F.octet_length(F.to_json(F.struct(*receipts.columns))) + 1
+    got = receipts.agg(F.count_if(size <= ROW_BYTES).alias("rows"), F.coalesce(F.sum(F.when(size <= ROW_BYTES, size)), F.lit(0)).alias("bytes"), F.count_if(size > ROW_BYTES).alias("long")).first()
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log)
+    had = spark.read.text(path).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes")).first() if there else {"rows": 0, "bytes": 0}
+    if had["rows"] + got["rows"] > MOST_ROWS or had["bytes"] + got["bytes"] > FILE_BYTES:
+        raise ValueError(f"a receipt log holds at most {MOST_ROWS} rows and {FILE_BYTES} bytes")
+    receipts.filter(size <= ROW_BYTES).write.mode("append").json(path)
+    return got["long"]
 
 
 def export_dataset(rows: DataFrame, path: str) -> DataFrame:

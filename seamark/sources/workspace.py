@@ -19,15 +19,97 @@ SKIPPED_DIRS = ("target", "node_modules")
 PATH_BYTES = 4096
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """The files below a folder: ``path`` relative to it, ``content`` bytes, ``modified``; hidden files, build folders and ignored globs stay out.
+#: Names of files whose lines say what a scan leaves out, and how many bytes of them a scan reads.
+IGNORE_FILES, IGNORE_BYTES = (".gitignore", ".ignore"), 1 << 20
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool, bool]]:
+    """(pattern of whole paths, keeps?, folders only?) of all ignore files below a folder, outer ones first; later rules win.
 
-    The patterns of ignore files are read once by the caller; their number doesn't grow with the files.
+    Spark's readers pass over names with a leading dot, so that these few files are found and read through the file system itself. They are
+    configuration: their size is checked, not their number assumed.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    found, size, files = [], 0, fs.listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName() in IGNORE_FILES:
+            size += f.getLen()
+            if size > IGNORE_BYTES:
+                raise ValueError(f"ignore files hold more than {IGNORE_BYTES} bytes")
+            stream = fs.open(f.getPath())
+            try:
+                text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+            finally:
+                stream.close()
+            found.append((f.getPath().toUri().getPath()[len(base) + 1 :].rpartition("/")[0], text))
+    rules = [ignore_rule(line, folder) for folder, text in sorted(found, key=lambda x: (x[0].count("/"), x[0] != "", x[0])) for line in text.splitlines()]
+    return [r for r in rules if r]
+
+
+def ignore_rule(line: str, folder: str = "") -> tuple[str, bool, bool] | None:
+    """One line of an ignore file as a pattern of whole paths; None for a blank line or a comment."""
+    x = line.rstrip()
+    if not x or x.startswith("#"):
+        return None
+    keep = x.startswith("!")
+    x = x[1:] if keep or x.startswith("\\") else x
+    dirs = x.endswith("/")
+    x = x.rstrip("/")
+    anchored = "/" in x
+    out, i = "", 0
+    x = x.lstrip("/")
+    while i < len(x):
+        if x.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif x.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif x[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif x[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif x[i] == "[" and "]" in x[i + 2 :]:
+            end = x.index("]", i + 2)
+            out, i = out + "[" + x[i + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
+        else:
+            out, i = out + ("\\" + x[i] if not x[i].isalnum() and x[i] != "/" else x[i]), i + 1
+    base = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in folder) + "/" if folder else ""
+    return f"^{base}{'' if anchored else '(?:.*/)?'}{out}$", keep, dirs
+
+
+def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
+    """Whether a file's path, or a folder above it, is left out by the last rule that matches it; what is in an ignored folder stays out."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("p"), (k < F.size(parts)).alias("folder")))
+
+    def out(x: Column) -> Column:
+        state = F.lit(False)
+        for rx, keep, dirs in rules:
+            hit = x["p"].rlike(rx) & x["folder"] if dirs else x["p"].rlike(rx)
+            state = F.when(hit, not keep).otherwise(state)
+        return state
+
+    return F.exists(above, out) if rules else F.lit(False)
+
+
+def _relative(root: str) -> Column:
     prefix = root.rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + "".join("\\" + x if not x.isalnum() and x != "/" else x for x in ("/" + prefix.split("://")[-1].lstrip("/"))) + "/?", "")
-    out = raw.select(path.alias("path"), "content", F.col("modificationTime").alias("modified"))
+    whole = "/" + prefix.split("://")[-1].lstrip("/")
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + "".join("\\" + x if not x.isalnum() and x != "/" else x for x in whole) + "/?", "")
+
+
+def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """The files below a folder: ``path`` relative to it, ``content`` bytes, ``modified``; hidden files, build folders and what ignore files or
+    the given globs name stay out, and so do empty files, which Spark's reader doesn't show.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    out = raw.select(_relative(root).alias("path"), "content", F.col("modificationTime").alias("modified"))
+    rules = ignore_rules(spark, root)
+    if rules:
+        out = out.filter(~ignored(F.col("path"), rules))
     parts = F.split("path", "/")
     out = out.filter(~F.exists(parts, lambda x: x.startswith(".")) & ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in SKIPPED_DIRS])))
     for g in ignore or []:

@@ -153,3 +153,28 @@ def test_one_brief_per_path_and_edge_ids(spark):
 
     got = spark.range(1).select(G.edge_id(F.lit('a"'), F.lit("b")).alias("x")).first()["x"]
     assert got == hashlib.sha256(json.dumps(['a"', "b"], separators=(",", ":")).encode()).hexdigest()
+
+
+def test_ignore_files_are_read(spark, tmp_path):
+    from seamark.sources import workspace
+
+    files = {
+        ".gitignore": "# comment\n\n*.log\nbuild/\n/only.txt\ndocs/**/draft.md\n!keep.log\n", "src/.gitignore": "gen/\nt?p.rs\n[ab].py\n", "a.log": "", "keep.log": "", "sub/b.log": "", "build/x.rs": "", "sub/build/y.rs": "", "only.txt": "",
+        "sub/only.txt": "", "docs/a/b/draft.md": "", "docs/draft.md": "", "draft.md": "", "src/gen/z.rs": "", "gen/z.rs": "", "src/top.rs": "", "top.rs": "", "src/a.py": "", "src/c.py": "", "build": None, "src/.hidden": "",
+    }
+    for name, text in files.items():
+        if text is not None:
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text(text or "x")
+    got = {r["path"] for r in workspace.scan(spark, str(tmp_path)).select("path").collect()}
+    assert got == {"keep.log", "sub/only.txt", "draft.md", "gen/z.rs", "top.rs", "src/c.py"}
+    assert {r["path"] for r in workspace.scan(spark, str(tmp_path / "sub"), ["*.txt"]).select("path").collect()} == {"b.log", "build/y.rs"}
+
+
+def test_receipt_logs_stay_within_their_bounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "MOST_ROWS", 5)
+    d = spark.createDataFrame([("a", "s", str(i)) for i in range(3)] + [("a", "s", "x" * 20_000)], "adapter_id string, session_id string, request_id string")
+    assert artifacts.append_receipts(d, str(tmp_path / "log")) == 1
+    with pytest.raises(ValueError):
+        artifacts.append_receipts(d, str(tmp_path / "log"))
+    assert artifacts.read_receipts(spark, str(tmp_path / "log")).filter("valid").count() == 3
