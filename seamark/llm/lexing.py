@@ -312,9 +312,9 @@ def lex_python(src: str) -> list[tuple]:
             if ind > pending:
                 stack.append(ind)
                 opened = True
-                for _, cs, ce in comments:
+                # comments at the top of a block lead its first statement as any others do
+                for _, _, ce in comments:
                     last_end = ce
-                comments.clear()
             else:
                 out.add(CLOSE, last_end, last_end)
             pending = None

@@ -178,3 +178,12 @@ def test_many_functions_and_truncated_files():
             LX.lex(text[:cut], lang)
         LX.lex(text.replace("\n", "\r\n"), lang)
         LX.lex("", lang), LX.lex("\0", lang), LX.lex("\"" * 999, lang)
+
+
+def test_comments_at_the_top_of_a_block_lead_its_first_method(spark):
+    body = 'class A:\n    # noqa\n    def f(self):\n        # first\n        """Closes the open drawer again."""\n        return 1\n\n    # second\n    def g(self):\n        """Opens the closed drawer again."""\n'
+    src = spark.createDataFrame([(1, "r", "a.py", "h", body, None, 0, 0)], SRC)
+    lead, head, end = body.index("# noqa"), body.index("def f"), body.index("return 1") + len("return 1")
+    lead2, end2 = body.index("# second"), len(body) - 1
+    units = spark.createDataFrame([(1, 1, "h", "body", lead, end, None), (2, 1, "h", "body", head, end, None), (3, 1, "h", "body", lead2, end2, None), (4, 1, "h", "body", body.index("# first"), end, None)], UNIT)
+    assert {r["unit_id"] for r in P.documented_units(src, units).collect()} == {1, 2, 3}
