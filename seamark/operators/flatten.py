@@ -31,7 +31,7 @@ DECODED = ("messages[].tool_calls[].function.arguments",)
 ROOT = "record"
 #: Elements share a table if at least this share of the smaller one's members belongs to the other one too.
 ALIKE = 0.8
-#: An object of more structured members than this is a map whose keys are data; it is read as free JSON.
+#: An element of more members than this is a map whose keys are data; it is read as free JSON.
 MOST_MEMBERS = 1000
 #: Labels of elements are broadcast up to so many.
 MOST_LABELS = 20_000
@@ -98,6 +98,7 @@ class _Scan:
     def __init__(self, decoded: frozenset[str], free: frozenset[str], below: frozenset[str] | None, values: bool):
         self.decoded, self.free, self.below, self.values = decoded, free, below, values
         self.known: dict[tuple[str, str], str] = {}
+        self.members: dict[str, int] = {}
         self.edges: dict[tuple[str, str, str], list[int]] = {}
         self.out: list[list] = [[] for _ in range(8)]
         self.names: list[str] = []
@@ -105,6 +106,14 @@ class _Scan:
         self.texts: list[str | None] = []
         self.offsets = [0]
 
+    def _member(self, elem: str, key: str) -> str:
+        """The element of a member that is new to this task; beyond ``MOST_MEMBERS`` they are one, so that keys that are data fill no memory."""
+        n = self.members[elem] = self.members.get(elem, 0) + 1
+        if n > MOST_MEMBERS:
+            return f"{elem}.*"
+        child = self.known[elem, key] = _child(elem, key)
+        return child
+
     def _edge(self, parent: str, elem: str, kind: str, most: int) -> None:
         e = self.edges.get((parent, elem, kind))
         if e is None:
@@ -139,7 +148,7 @@ class _Scan:
                 else:
                     child = known.get((elem, k))
                     if child is None:
-                        child = known[elem, k] = _child(elem, k)
+                        child = self._member(elem, k)
                     if kind == "string" and child in self.decoded:
                         got = decode_arguments(x)
                         if got is not None:
@@ -241,8 +250,8 @@ def scan_records(records: DataFrame, record_id: str = "record_id", raw: str = "r
         r = r.withColumn("_h", F.xxhash64("raw")).dropDuplicates(["record_id", "_h"]).drop("_h")
     out = cut(r.mapInArrow(per_partition, SCAN_SCHEMA))
     graph = cut(_graph(out))
-    # an object with very many structured members is a map; its keys are no schema
-    maps = graph.filter(F.col("kind").isin("object", "array") & ~F.col("element").endswith("[]")).groupBy("parent").agg(F.count_distinct("element").alias("n")).filter(F.col("n") > MOST_MEMBERS)
+    # an element with very many members is a map; its keys are no schema
+    maps = graph.filter(~F.col("element").endswith("[]")).groupBy("parent").agg(F.count_distinct("element").alias("n")).filter(F.col("n") > MOST_MEMBERS)
     found = [m["parent"] for m in maps.select("parent").orderBy("parent").limit(MOST_MEMBERS).collect()]
     if found:
         return scan_records(records, record_id, raw, below, values, once, decoded, (*free, *found))

@@ -187,13 +187,14 @@ def test_tables_come_from_the_graph(spark):
     tree = {"name": "a", "kids": [{"name": "b", "kids": [{"name": "c"}]}], "next": {"left": 1, "node": {"name": "d", "next": {"left": 2}}}}
     rows = [
         (1, json.dumps({"node": tree, "home": {"street": "x", "city": "y"}, "work": {"home": {"street": "z", "city": "w", "no": 3}}, "tags": ["p", "q"], "only": {"deep": {"one": True}}})),
-        (2, json.dumps({"by_id": {f"k{i}": {"v": i} for i in range(1200)}})),
+        (2, json.dumps({"by_id": {f"k{i}": {"v": i} for i in range(1200)}, "count": {f"c{i}": i for i in range(1500)}})),
     ]
     scan = FL.scan_records(records_of(spark, rows))
     plan = FL.plan_tables(scan.graph)
     assert plan.shared == {"home", "work.home"} and plan.tables["home"] == plan.tables["work.home"] == "home"
     assert {"node", "node.kids[]"} <= plan.recursive and plan.tables["tags[]"] == "tag" and plan.owners["only.deep"] == ""
     assert not any(e.startswith("by_id.") for e in [*plan.tables, *plan.owners])
+    assert scan.graph.filter("parent IN ('by_id', 'count')").count() == 0
     nodes = {(r["record_id"], r["node_path"]): r for r in FL.shred(scan, plan).collect()}
     assert {(p, r["table_name"], r["parent_table"], r["parent_path"]) for (i, p), r in nodes.items() if i == 1} == {
         ("", "record", None, None), ("node", "node", "record", ""), ("node.kids[0]", "kid", "node", "node"), ("node.kids[0].kids[0]", "kid", "kid", "node.kids[0]"),
@@ -202,7 +203,7 @@ def test_tables_come_from_the_graph(spark):
     col = lambda p: {k: v["value"] for k, v in nodes[1, p]["cols"].items()}
     assert col("node") == {"name": "a", "kids": "1", "next.left": "1"} and col("node.next.node") == {"name": "d", "next.left": "2"} and col("") == {"tags": "2", "only.deep.one": "true"}
     leaves = {(r["record_id"], r["node_path"]) for r in FL.scalar_leaves(scan, plan).collect()}
-    assert sum(i == 2 for i, _ in leaves) == 1200 and (1, "node.kids[0].kids[0].name") in leaves and (1, "only.deep.one") in leaves
+    assert sum(i == 2 for i, _ in leaves) == 1200 + 1500 and (1, "node.kids[0].kids[0].name") in leaves and (1, "only.deep.one") in leaves
 
 
 def test_deep_nesting_is_defined(spark):
